@@ -33,12 +33,7 @@ def split_row_number(
     it.  Only counts of large keys travel twice; their number is at most
     rows / hot_rows times the number of blocks.
     """
-    sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same_key = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    tagged = df.join(hot, _all(same_key), "left").drop(*[f"_hot_{k}" for k in keys])
-    tagged = tagged.withColumn("_block", F.when(F.col("_hot"), block.cast("string")))
-
+    tagged = _tag_hot(df, keys, block, hot_rows)
     counts = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").count()
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
@@ -58,6 +53,46 @@ def split_row_number(
     ).drop("_hot", "_block", "_inside", "_offset", "_off_block", *[f"_off_{k}" for k in keys])
 
 
+def with_neighbours(
+    df: DataFrame, keys: list[str], pos: str, value: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``_prev`` and ``_next``: ``value`` (never null) of the rows around a row by ``pos``.
+
+    Keys above ``hot_rows`` rows are cut in blocks of positions; the first and
+    last rows of their blocks are handed over through a small table.
+    """
+    tagged = _tag_hot(df, keys, F.floor(F.col(pos) / hot_rows), hot_rows).withColumn("_value", value)
+    edges = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").agg(
+        F.min_by("_value", pos).alias("_first"), F.max_by("_value", pos).alias("_last")
+    )
+    along = Window.partitionBy(*keys).orderBy("_block")
+    handed = edges.select(
+        *[F.col(k).alias(f"_off_{k}") for k in keys],
+        F.col("_block").alias("_off_block"),
+        F.lead("_first").over(along).alias("_after"),
+        F.lag("_last").over(along).alias("_before"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_off_{k}")) for k in keys] + [F.col("_block") == F.col("_off_block")]
+    inside = Window.partitionBy(*keys, "_block").orderBy(pos)
+    out = (
+        tagged.withColumn("_next", F.lead("_value").over(inside))
+        .withColumn("_prev", F.lag("_value").over(inside))
+        .join(handed, _all(same), "left")
+        .withColumn("_next", F.coalesce("_next", "_after"))
+        .withColumn("_prev", F.coalesce("_prev", "_before"))
+    )
+    return out.drop("_hot", "_block", "_value", "_off_block", "_after", "_before", *[f"_off_{k}" for k in keys])
+
+
+def _tag_hot(df: DataFrame, keys: list[str], block: Column, hot_rows: int) -> DataFrame:
+    """Mark rows of keys above ``hot_rows`` rows and give them a block."""
+    sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
+    hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same_key = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    tagged = df.join(hot, _all(same_key), "left").drop(*[f"_hot_{k}" for k in keys])
+    return tagged.withColumn("_block", F.when(F.col("_hot"), block))
+
+
 def _all(conditions: list) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -15,6 +15,7 @@ def local_session(cores: str = "8", app: str = "examloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", os.environ.get("EXAMLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .getOrCreate()
