@@ -1,5 +1,6 @@
 """Question-bank and assessment analytics as Spark DataFrame jobs.
 
-Every operator is a function from DataFrames to a DataFrame.  None of them
-creates a session, collects rows or starts a job by itself.
+Operators are functions from DataFrames to a DataFrame.  None of them creates a
+session or collects rows.  Those that store an intermediate table (a walk over
+links, near-duplicate merging, whole-table numbering) say so.
 """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 50_000
 
 
 def top_n(df: DataFrame, keys: list, order: list, n: int, out: str = "rn") -> DataFrame:
@@ -30,8 +31,8 @@ def split_row_number(
 
     ``block`` must not decrease along ``order``.  Rows of a large key are
     numbered inside their block, then moved up by the size of the blocks before
-    it.  Only counts of large keys travel twice; their number is at most
-    rows / hot_rows times the number of blocks.
+    it.  The rows are shuffled once, by key and block; the join with the
+    sizes of blocks meets them where they are.
     """
     tagged = _tag_hot(df, keys, block, hot_rows)
     counts = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").count()
@@ -43,7 +44,7 @@ def split_row_number(
         F.col("_block").alias("_off_block"),
         F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
     )
-    same_block = [F.col(k).eqNullSafe(F.col(f"_off_{k}")) for k in keys] + [
+    same_block = [F.col(k) == F.col(f"_off_{k}") for k in keys] + [
         F.col("_block") == F.col("_off_block")
     ]
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
@@ -72,7 +73,7 @@ def with_neighbours(
         F.lead("_first").over(along).alias("_after"),
         F.lag("_last").over(along).alias("_before"),
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_off_{k}")) for k in keys] + [F.col("_block") == F.col("_off_block")]
+    same = [F.col(k) == F.col(f"_off_{k}") for k in keys] + [F.col("_block") == F.col("_off_block")]
     inside = Window.partitionBy(*keys, "_block").orderBy(pos)
     out = (
         tagged.withColumn("_next", F.lead("_value").over(inside))
@@ -85,11 +86,16 @@ def with_neighbours(
 
 
 def _tag_hot(df: DataFrame, keys: list[str], block: Column, hot_rows: int) -> DataFrame:
-    """Mark rows of keys above ``hot_rows`` rows and give them a block."""
+    """Mark rows of the largest keys above ``hot_rows`` rows and give them a block.
+
+    No more than ``MAX_HOT_KEYS`` keys are marked, which bounds the broadcast;
+    a key beyond that, or a null one, is only not split.
+    """
     sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same_key = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    tagged = df.join(hot, _all(same_key), "left").drop(*[f"_hot_{k}" for k in keys])
+    largest = sizes.orderBy(F.col("count").desc()).limit(MAX_HOT_KEYS)
+    hot = largest.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same_key = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    tagged = df.join(F.broadcast(hot), _all(same_key), "left").drop(*[f"_hot_{k}" for k in keys])
     return tagged.withColumn("_block", F.when(F.col("_hot"), block))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 # Line breaks as a text reader sees them.
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
-_EDGE_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+# Every character that counts as white space, from the Unicode property.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_SPACE_CLASS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 # Label shapes of options and numbering.
 OPTION_LABEL = r"[A-Ha-h][).\-:]\s+"
@@ -43,12 +45,17 @@ _MARKED, _PLAIN = _fold_table()
 
 def strip(col) -> Column:
     """Drop white space of every kind at both ends."""
-    return F.regexp_replace(col, _EDGE_SPACE, "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def squeeze(col) -> Column:
     """Runs of white space become one blank; ends are stripped."""
-    return strip(F.regexp_replace(col, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col, _SPACE_CLASS + "+", " "))
+
+
+def let(value, body) -> Column:
+    """``body(value)`` with the value worked out once; lambdas share no subexpressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def lines(col) -> Column:
@@ -59,7 +66,7 @@ def lines(col) -> Column:
 def blocks(col) -> Column:
     """Non-empty stripped blocks separated by blank lines."""
     unix = F.replace(col, F.lit("\r\n"), F.lit("\n"))
-    return F.filter(F.transform(F.split(unix, r"(?U)\n\s*\n"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(unix, r"\n\s*\n"), strip), lambda x: x != "")
 
 
 def fold_accents(col) -> Column:
@@ -163,21 +170,3 @@ def strip_tags(col) -> Column:
 def seeded(seed, *parts) -> Column:
     """Reproducible random-looking sort key."""
     return F.md5(F.concat(F.lit(str(seed)), *[p.cast("string") for p in parts]))
-
-
-def shift_right(arr) -> Column:
-    """The array moved by one place, so that it pairs each item with the one before."""
-    return F.when(F.size(arr) <= 1, F.transform(arr, lambda x: F.lit(None).cast("string"))).otherwise(
-        F.concat(
-            F.array(F.lit(None).cast("string")), F.slice(arr, F.lit(1), F.size(arr) - 1)
-        )
-    )
-
-
-def drop_repeats(arr) -> Column:
-    """Drop items equal to the item just before them."""
-    pairs = F.zip_with(
-        arr, shift_right(arr), lambda x, prev: F.struct(x.alias("x"), prev.alias("prev"))
-    )
-    kept = F.filter(pairs, lambda p: p["prev"].isNull() | (p["x"] != p["prev"]))
-    return F.transform(kept, lambda p: p["x"])

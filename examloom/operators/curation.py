@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import HOT_ROWS, split_row_number, with_neighbours
+from examloom.functions.storage import checkpointed
 from examloom.functions.text import (
     NON_ASCII_CHAR,
     VIETNAMESE_CHAR,
@@ -168,7 +169,8 @@ def near_dup_merge(
     marked = ahead.withColumn("_mask", mask)
 
     # Rows with a candidate, and the rows they may take.
-    linked = marked.filter(F.col("_mask") > 0).select("doc_id", "_idx", "_mask", "_block")
+    # They are few, and three steps read them, so they are stored once.
+    linked = checkpointed(marked.filter(F.col("_mask") > 0).select("doc_id", "_idx", "_mask", "_block"))
     doc_type = questions.schema["doc_id"].dataType.simpleString()
     starts = _start_states(linked, lookahead, doc_type)
     choices = (

@@ -14,8 +14,8 @@ from examloom.functions.ranking import top_n
 from examloom.functions.text import (
     NON_ASCII_CHAR,
     VIETNAMESE_CHAR,
-    drop_repeats,
     blocks,
+    let,
     lines,
     squeeze,
     strip,
@@ -37,30 +37,33 @@ def _text_lines(text) -> Column:
 
 # ---------------------------------------------------------------- splitting
 
+# \u0001 stands between lines that do not belong together.
 _OPTION_BREAK = r"\n(?![A-Ha-h][).\-:]\s)"
-_NUMBER_BREAK = r"\n(?=\d{1,3}[).\-:]\s)"
+_REPEATED = "(?<=^|\u0001)([^\u0001]*+)(?:\u0001\\1(?=\u0001|$))++"
+_NUMBER_BREAK = "\u0001(?=\\d{1,3}[).\\-:]\\s)"
 
 
 def _block_questions(block) -> Column:
     """Questions of one block of lines."""
-    text = _text_lines(block)
-    # An option line stays with the line before it.
-    merged = drop_repeats(F.split(text, _OPTION_BREAK))
-    joined = F.array_join(merged, "\n")
-    has_options = text.rlike(r"\n[A-Ha-h][).\-:]\s")
-    groups = F.transform(
-        F.split(joined, _NUMBER_BREAK),
-        lambda g: F.replace(F.regexp_replace(g, r"^\d{1,3}[).\-:]\s+", ""), F.lit("\n"), F.lit(" ")),
-    )
-    sentences = F.filter(
-        F.transform(F.split(F.replace(joined, F.lit("\n"), F.lit(" ")), r"(?<=[?？])\s+"), strip),
-        lambda s: s != "",
-    )
-    return (
-        F.when(has_options, F.array(joined))
-        .when(text.rlike(r"(?m)^\d{1,3}[).\-:]\s"), groups)
-        .otherwise(sentences)
-    )
+
+    def parted(text):
+        # An option line stays with the line before it; of equal neighbours one stays.
+        marked = F.regexp_replace(F.regexp_replace(text, _OPTION_BREAK, "\u0001"), _REPEATED, "$1")
+        return let(marked, lambda m: questions(text, m))
+
+    def questions(text, marked):
+        groups = F.transform(
+            F.split(marked, _NUMBER_BREAK),
+            lambda g: F.translate(F.regexp_replace(g, r"^\d{1,3}[).\-:]\s+", ""), "\u0001", " "),
+        )
+        sentences = F.split(F.translate(marked, "\u0001", " "), r"(?<=[?？])\s+")
+        return (
+            F.when(text.rlike(r"\n[A-Ha-h][).\-:]\s"), F.array(F.translate(marked, "\u0001", "\n")))
+            .when(text.rlike(r"(?m)^\d{1,3}[).\-:]\s"), groups)
+            .otherwise(sentences)
+        )
+
+    return let(_text_lines(block), parted)
 
 
 def text_questions(text) -> Column:

@@ -49,10 +49,14 @@ def ingest_dedup(batch: DataFrame, bank: DataFrame, defaults: dict | None = None
             )
         else:
             accepted = accepted.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
-    totals = rows.agg(F.count("*").alias("_rows")).crossJoin(
-        F.broadcast(fresh.agg(F.count("*").alias("saved")))  # one row each
+    flags = rows.select(F.lit(1).alias("row"), F.lit(0).alias("new")).unionByName(
+        fresh.select(F.lit(0).alias("row"), F.lit(1).alias("new"))
     )
-    return accepted, totals.select("saved", (F.col("_rows") - F.col("saved")).alias("skipped"))
+    totals = flags.agg(
+        F.coalesce(F.sum("new"), F.lit(0)).alias("saved"),
+        F.coalesce(F.sum("row") - F.sum("new"), F.lit(0)).alias("skipped"),
+    )
+    return accepted, totals
 
 
 def history_append(history: DataFrame, rows: DataFrame, key: str = "timestamp", order: str = "seq") -> DataFrame:

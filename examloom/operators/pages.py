@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from examloom.functions import urls
 from examloom.functions.storage import checkpointed
-from examloom.functions.text import squeeze, strip_tags, unescape_html
+from examloom.functions.text import let, squeeze, strip_tags, unescape_html
 
 # Marks of answers and numbering in page texts.
 ANSWER_MARK = r"(?iu)(?:Đáp án|Answer|Đ/A)[:\s]*([A-Da-d])"
@@ -32,6 +32,7 @@ class PageLayout:
     tags: tuple[str, ...] = ()
     min_length: int = 1
     drop_noise: bool = False
+    first_filled: bool = False
 
 
 # Layouts by route.
@@ -40,7 +41,7 @@ LAYOUTS = {
     "hoc247": PageLayout(
         ("content-question", "question-box", "quiz-item", "question"), ("question-text", "question", "noidung")
     ),
-    "loigiaihay": PageLayout(("box-content", "question-content", "bai-tap")),
+    "loigiaihay": PageLayout(("box-content", "question-content", "bai-tap"), first_filled=True),
     "generic": PageLayout(
         ("question", "cau-hoi", "bai-tap"), tags=("article",), min_length=10, drop_noise=True
     ),
@@ -56,16 +57,21 @@ def _by_tag(name: str) -> str:
 
 
 def _first_found(choices: list[Column]) -> Column:
-    """First non-empty array."""
-    out = choices[-1]
-    for c in reversed(choices[:-1]):
-        out = F.when(F.size(c) > 0, c).otherwise(out)
-    return out
+    """First non-empty array; later choices are looked at only when needed."""
+    if len(choices) == 1:
+        return choices[0]
+    return let(choices[0], lambda x: F.when(F.size(x) > 0, x).otherwise(_first_found(choices[1:])))
+
+
+_PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"
 
 
-def _paragraphs(html) -> Column:
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"), F.lit(1))
-    return F.filter(F.transform(found, strip_tags), lambda x: x != "")
+def _first_paragraph(html, filled: bool) -> Column:
+    """Text of the first paragraph, or of the first that is not empty."""
+    if not filled:
+        return strip_tags(F.regexp_extract(html, _PARAGRAPH, 1))
+    found = F.transform(F.regexp_extract_all(html, F.lit(_PARAGRAPH), F.lit(1)), strip_tags)
+    return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
 def _options(html) -> Column:
@@ -78,7 +84,7 @@ def _options(html) -> Column:
         lambda x: x != "",
     )
     listed = F.transform(items, lambda x: F.regexp_replace(x, r"^[A-Da-d][.):\s]+", ""))
-    return F.slice(F.when(F.size(listed) > 0, listed).otherwise(labelled_runs(strip_tags(html))), 1, 4)
+    return F.slice(let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(labelled_runs(strip_tags(html)))), 1, 4)
 
 
 def labelled_runs(text) -> Column:
@@ -90,7 +96,7 @@ def labelled_runs(text) -> Column:
 def _answer(html) -> Column:
     marked = F.upper(F.regexp_extract(strip_tags(html), ANSWER_MARK, 1))
     bold = F.regexp_extract(html, r"(?is)<(?:b|strong)>\s*([A-D])", 1)
-    return F.when(marked != "", marked).otherwise(bold)
+    return let(marked, lambda m: F.when(m != "", m).otherwise(bold))
 
 
 def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> DataFrame:
@@ -111,7 +117,7 @@ def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> Dat
 
     def parts(box):
         stems = [strip_tags(F.regexp_extract(box, _by_class(c), 2)) for c in layout.stems]
-        first = F.coalesce(F.try_element_at(_paragraphs(box), F.lit(1)), F.lit(""))
+        first = _first_paragraph(box, layout.first_filled)
         stem = F.coalesce(*[F.nullif(s, F.lit("")) for s in stems], first) if stems else first
         return F.struct(
             F.regexp_replace(stem, NUMBER_PREFIX, "").alias("content"),

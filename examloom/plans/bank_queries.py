@@ -94,12 +94,17 @@ def missing_answer_samples(t):
     return ops.missing_answer_samples(b.bank(t), subject="de")
 
 
-@query("bank_delete", WITH + f"""
-SELECT {SLIM}, (SELECT count(*) FROM bank WHERE topic = 't2' AND difficulty = 'easy' AND source LIKE 'src1%') AS deleted
-FROM bank WHERE NOT coalesce(topic = 't2' AND difficulty = 'easy' AND source LIKE 'src1%', false)""")
+DELETED = "topic = 't2' AND difficulty = 'easy' AND source LIKE 'src1%'"
+
+
+@query("bank_delete", WITH + f"SELECT {SLIM} FROM bank WHERE NOT coalesce({DELETED}, false)")
 def bank_delete(t):
-    kept, deleted = ops.bank_delete(b.bank(t), source_like="src1%", topic="t2", difficulty="easy")
-    return slim(kept.crossJoin(F.broadcast(deleted)))  # one row
+    return slim(ops.bank_delete(b.bank(t), source_like="src1%", topic="t2", difficulty="easy")[0])
+
+
+@query("bank_delete_count", WITH + f"SELECT count(*) AS deleted FROM bank WHERE {DELETED}")
+def bank_delete_count(t):
+    return ops.bank_delete(b.bank(t), source_like="src1%", topic="t2", difficulty="easy")[1]
 
 
 @query("bank_patch", WITH + f"""

@@ -112,7 +112,7 @@ box AS (SELECT page_id, url, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</a
 p AS (SELECT *, regexp_extract_all(box, '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|$)', 1) AS ps FROM box),
 stem AS (SELECT page_id, url, list_filter(list_transform(ps, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
     regexp_replace(regexp_replace(x, '(?is)<p[\s>].*$', ''), '(?s)<[^>]*>', ' ', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '')[1] AS content FROM p)
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: true)[1] AS content FROM p)
 SELECT page_id, url, content FROM stem WHERE length(content) >= 10""")
 def html_questions(t):
     return ops.html_questions(t.pages).select("page_id", "url", "content")
