@@ -13,6 +13,11 @@ LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _SPACE_CLASS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
+# A run worth replacing: a single blank stays as it is.
+_SPACE_RUN = (
+    rf" {_SPACE_CLASS}+|[\t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]{_SPACE_CLASS}*"
+)
+
 # Label shapes of options and numbering.
 OPTION_LABEL = r"[A-Ha-h][).\-:]\s+"
 LEADING_NUMBER = r"^\s*\d{1,3}[).\-:]\s+"
@@ -50,7 +55,7 @@ def strip(col) -> Column:
 
 def squeeze(col) -> Column:
     """Runs of white space become one blank; ends are stripped."""
-    return F.trim(F.regexp_replace(col, _SPACE_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(col, _SPACE_RUN, " "))
 
 
 def let(value, body) -> Column:
@@ -58,9 +63,17 @@ def let(value, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unix_breaks(col) -> Column:
+    """Every kind of line break as a newline; texts without the rare kinds pass untouched."""
+    rare = F.lit(False)
+    for ch in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
+        rare = rare | col.contains(ch)
+    return F.when(rare, F.regexp_replace(col, LINE_BREAK, "\n")).otherwise(col)
+
+
 def lines(col) -> Column:
     """Non-empty stripped lines of a text, in order."""
-    return F.filter(F.transform(F.split(col, LINE_BREAK), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(unix_breaks(col), "\n"), strip), lambda x: x != "")
 
 
 def blocks(col) -> Column:
@@ -159,12 +172,13 @@ def unescape_html(col) -> Column:
     out = col
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.when(col.contains("&"), out).otherwise(col)
 
 
 def strip_tags(col) -> Column:
     """Text of an HTML fragment: tags out, entities resolved, spaces squeezed."""
-    return squeeze(unescape_html(F.regexp_replace(col, r"(?s)<[^>]*>", " ")))
+    return let(F.regexp_replace(col, r"<[^>]*+>", " "), lambda x: squeeze(unescape_html(x)))
 
 
 def seeded(seed, *parts) -> Column:

@@ -39,7 +39,6 @@ def _text_lines(text) -> Column:
 
 # \u0001 stands between lines that do not belong together.
 _OPTION_BREAK = r"\n(?![A-Ha-h][).\-:]\s)"
-_REPEATED = "(?<=^|\u0001)([^\u0001]*+)(?:\u0001\\1(?=\u0001|$))++"
 _NUMBER_BREAK = "\u0001(?=\\d{1,3}[).\\-:]\\s)"
 
 
@@ -48,17 +47,24 @@ def _block_questions(block) -> Column:
 
     def parted(text):
         # An option line stays with the line before it; of equal neighbours one stays.
-        marked = F.regexp_replace(F.regexp_replace(text, _OPTION_BREAK, "\u0001"), _REPEATED, "$1")
-        return let(marked, lambda m: questions(text, m))
+        parts = F.split(F.regexp_replace(text, _OPTION_BREAK, "\u0001"), "\u0001")
+        return let(parts, lambda p: let(F.array_join(without_repeats(p), "\u0001"), lambda m: questions(text, m)))
+
+    def without_repeats(parts):
+        return F.filter(parts, lambda x, i: (i == 0) | (x != F.element_at(parts, F.greatest(i, F.lit(1)))))
 
     def questions(text, marked):
         groups = F.transform(
             F.split(marked, _NUMBER_BREAK),
-            lambda g: F.translate(F.regexp_replace(g, r"^\d{1,3}[).\-:]\s+", ""), "\u0001", " "),
+            lambda g: F.replace(
+                F.regexp_replace(g, r"^\d{1,3}[).\-:]\s+", ""), F.lit("\u0001"), F.lit(" ")
+            ),
         )
-        sentences = F.split(F.translate(marked, "\u0001", " "), r"(?<=[?？])\s+")
+        joined = F.replace(marked, F.lit("\u0001"), F.lit(" "))
+        asked = marked.contains("?") | marked.contains("？")
+        sentences = F.when(asked, F.split(joined, r"(?<=[?？])\s+")).otherwise(F.array(joined))
         return (
-            F.when(text.rlike(r"\n[A-Ha-h][).\-:]\s"), F.array(F.translate(marked, "\u0001", "\n")))
+            F.when(text.rlike(r"\n[A-Ha-h][).\-:]\s"), F.array(F.replace(marked, F.lit("\u0001"), F.lit("\n"))))
             .when(text.rlike(r"(?m)^\d{1,3}[).\-:]\s"), groups)
             .otherwise(sentences)
         )

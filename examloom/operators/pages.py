@@ -249,12 +249,12 @@ def page_passage(html) -> Column:
     80 characters, 100 characters or longer, cut before "Câu n:".
     """
     texts = F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*>([^<]*+(?:<br\s*/?>[^<]*+)*+)"), F.lit(1))
-    raw = F.transform(texts, lambda x: squeeze(unescape_html(F.regexp_replace(x, r"(?i)<br\s*/?>", " "))))
     starts = "|".join(PASSAGE_STARTS)
+    tidy = lambda x: squeeze(unescape_html(F.regexp_replace(x, r"(?i)<br\s*/?>", " ")))
+    raw = F.transform(F.filter(texts, lambda x: x.rlike(starts)), tidy)
 
     def cleaned(x):
-        no_tail = F.regexp_replace(x, r"(?su)(?:Câu\s*\d+\s*:|Bắt đầu làm bài).*$", "")
-        return squeeze(no_tail)
+        return squeeze(F.regexp_replace(x, r"(?su)(?:Câu\s*\d+\s*:|Bắt đầu làm bài).*$", ""))
 
     fits = F.filter(raw, lambda x: (F.length(x) > 100) & F.substring(x, 1, 80).rlike(starts))
     good = F.filter(F.transform(fits, cleaned), lambda x: F.length(x) > 80)
@@ -263,12 +263,13 @@ def page_passage(html) -> Column:
 
 def passage_attach(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """Put the reading passage of a page before each of its questions."""
-    found = pages.select("page_id", page_passage(F.col("html")).alias("_passage")).filter(F.col("_passage") != "")
+    found = pages.select("page_id", page_passage(F.col("html")).alias("_passage"))
     joined = questions.join(found, "page_id", "left")
     whole = F.concat(
         F.lit("[Reading Passage]\n"), F.col("_passage"), F.lit("\n\n[Question]\n"), F.col("content")
     )
-    return joined.withColumn("content", F.coalesce(whole, F.col("content"))).drop("_passage")
+    attached = F.when(F.col("_passage") != "", whole).otherwise(F.col("content"))
+    return joined.withColumn("content", attached).drop("_passage")
 
 
 def embedded_answers(pages: DataFrame) -> DataFrame:

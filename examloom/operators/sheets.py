@@ -188,11 +188,12 @@ def gap_group(rows: DataFrame, templates: DataFrame) -> DataFrame:
         lambda c: F.size(c) == opts,
     )
     groups = F.when((F.col("_kind") == "full") & (F.col("_widest") > F.col("_median") * 1.4), by_gap).otherwise(chunks)
-    grouped = usable.withColumn("_groups", groups).filter(F.size("_groups") > 0)
+    grouped = usable.withColumn("_groups", groups)
 
     # A sheet has few rows of bubbles; full rows come first, then the others, by y.
     order = Window.partitionBy("sheet_id", "template").orderBy("_kind", "_y", "row_no")
-    placed = grouped.withColumn("_r", F.row_number().over(order)).withColumn(
+    # A row without a whole question has no number of its own.
+    placed = grouped.withColumn("_r", F.count_if(F.size("_groups") > 0).over(order)).withColumn(
         "_before",
         F.coalesce(F.sum(F.size("_groups")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
