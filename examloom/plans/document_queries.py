@@ -151,12 +151,13 @@ UNION ALL SELECT p_partkey, 1, '(Passage) 2. Again', p_size || '/x', 'Text about
 UNION ALL SELECT p_partkey, 0, '(31) ' || substr('Fill the __(31) and the __(32) of ' || p_name, 1, 100) || '...', p_brand || '/b', NULL FROM part WHERE p_size <= 25
 UNION ALL SELECT p_partkey, 1, '(32) ' || substr('Fill the __(31) and the __(32) of ' || p_name, 1, 100) || '...', 'c/' || p_size, NULL FROM part WHERE p_size <= 25""")
 def passage_questions(t):
-    read = written(t, "part", "p_partkey", "=Text about ", "p_name", "=\n\nsecond line\n1. Ask ", "p_name", "=\nA. ", "p_brand", "=\nB) ", "p_type",
-                   "=\n2) Again\na. ", "p_size", "=\nb. x\n3. none\nEnd\n4. Late\nA. no")
-    cloze = written(t, "part", "p_partkey", "=Fill the __(31) and the __(32) of ", "p_name", "=\nA) ", "p_brand", "= B) b\nA) c B) ", "p_size")
-    both = read.withColumnRenamed("text", "a").join(cloze.withColumnRenamed("text", "b"), "doc_id").join(
-        t.part.select(F.col("p_partkey").alias("doc_id"), "p_size"), "doc_id")
-    rows = both.select("doc_id", F.when(F.col("p_size") > 25, F.col("a")).otherwise(F.col("b")).alias("text"))
+    name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size")
+    read = F.concat(
+        F.lit("Text about "), name, F.lit("\n\nsecond line\n1. Ask "), name, F.lit("\nA. "), brand, F.lit("\nB) "), "p_type",
+        F.lit("\n2) Again\na. "), size, F.lit("\nb. x\n3. none\nEnd\n4. Late\nA. no"))
+    cloze = F.concat(
+        F.lit("Fill the __(31) and the __(32) of "), name, F.lit("\nA) "), brand, F.lit(" B) b\nA) c B) "), size)
+    rows = t.part.select(F.col("p_partkey").alias("doc_id"), F.when(size > 25, read).otherwise(cloze).alias("text"))
     return joined(ops.passage_questions(rows), "options")
 
 
