@@ -9,12 +9,26 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 50_000
 
 
+# Above this many rows per key Spark ranks whole groups (windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SALTS = 256
+
+
 def top_n(df: DataFrame, keys: list, order: list, n: int, out: str = "rn") -> DataFrame:
     """First ``n`` rows of each key.
 
     The bound is a literal, so Spark keeps only ``n`` rows per key in every map
     task before the shuffle (WindowGroupLimit); a large key does not matter.
+    For an ``n`` too large for that, each key is first cut in salted parts, and
+    the first ``n`` of the parts are ranked again.
     """
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (
+            df.withColumn("_salt", salt).withColumn(out, F.row_number().over(part))
+            .filter(F.col(out) <= F.lit(int(n))).drop("_salt", out)
+        )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(out, rank).filter(F.col(out) <= F.lit(int(n)))
 

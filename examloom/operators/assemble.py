@@ -102,7 +102,9 @@ def matrix_pick(
                 lambda pdf: _fill_in_turn(pdf, oversample), "cell int, place long, _id long"
             )
         )
-    return bank.join(picks, F.col("id") == F.col("_id")).select("cell", "place", *bank.columns)
+    # The same filters again, so that the scan for the full rows is pruned as well.
+    rows = bank.filter(test).join(F.broadcast(picks), F.col("id") == F.col("_id"))  # as many as asked for
+    return rows.select("cell", "place", *bank.columns)
 
 
 def _disjoint(cells: list[tuple]) -> bool:
@@ -243,7 +245,8 @@ def exam_list(
     """Exams of a subject, newest first, with the number of variants."""
     rows = exams if not subject else exams.filter(F.col("subject") == subject)
     page = rows.orderBy(F.col("created_at").desc(), F.col("exam_id").desc()).offset(skip).limit(limit)
-    made = variants.groupBy("exam_id").agg(F.count("*").alias("_made"))
+    shown = F.broadcast(page.select("exam_id"))  # one page
+    made = variants.join(shown, "exam_id", "left_semi").groupBy("exam_id").agg(F.count("*").alias("_made"))
     return (
         page.join(made, "exam_id", "left")
         .withColumn("variant_count", F.coalesce("_made", F.lit(0)))

@@ -279,8 +279,12 @@ def score_summary(sheets: DataFrame) -> DataFrame:
 
 def results_wide(graded: DataFrame, sheets: DataFrame, key: DataFrame, n: int) -> DataFrame:
     """One row per sheet with its marks Q1..Qn, and one answer-key row per template."""
-    marks = graded.groupBy("sheet_id", "template").agg(
-        *[F.max(F.when(F.col("q") == i, F.col("student"))).alias(f"Q{i}") for i in range(1, n + 1)]
+    # A graded sheet has one row per position of its template, so the map is small.
+    maps = graded.groupBy("sheet_id", "template").agg(
+        F.map_from_entries(F.collect_list(F.struct("q", "student"))).alias("_m")
+    )
+    marks = maps.select(
+        "sheet_id", "template", *[F.try_element_at("_m", F.lit(i)).alias(f"Q{i}") for i in range(1, n + 1)]
     )
     scores = sheets.select("sheet_id", "template", "score", "n_correct", "n_wrong", "n_blank")
     rows = scores.join(marks, ["sheet_id", "template"]).withColumn("row_kind", F.lit("sheet"))

@@ -154,7 +154,24 @@ def matrix_pick(t):
     return picks(t).select("cell", "place", "id", "answer")
 
 
-@query("matrix_pick_overlapping")
+def overlapping_sql(seed: str = "7", oversample: int = 3) -> str:
+    """One step per cell, each without the rows of the steps before."""
+    steps, cell = [], 0
+    for row in OVERLAPPING:
+        for level in ("easy", "medium", "hard"):
+            if row[level] == 0:
+                continue
+            cell += 1
+            topic = f" AND topic = '{row['topic']}'" if row["topic"] else ""
+            free = "".join(f" AND id NOT IN (SELECT id FROM c{i})" for i in range(1, cell))
+            steps.append(f"""c{cell} AS (SELECT {cell} AS cell, row_number() OVER (ORDER BY md5('{seed}/' || id), id) AS place, * FROM (
+  SELECT id, topic, difficulty, times_used FROM bank WHERE subject = 'en' AND question_type = 'mcq' AND answer <> ''
+    AND difficulty = '{level}'{topic}{free} ORDER BY times_used, md5('{seed}' || id), id LIMIT {row[level] * oversample}) QUALIFY place <= {row[level]})""")
+    union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(1, cell + 1))
+    return WITH + ", " + ", ".join(steps) + " " + union
+
+
+@query("matrix_pick_overlapping", overlapping_sql())
 def matrix_pick_overlapping(t):
     return assemble.matrix_pick(b.bank(t), OVERLAPPING, "en", seed=7).select(
         "cell", "place", "id", "topic", "difficulty", "times_used")

@@ -15,10 +15,10 @@ BANK = "WITH " + b.BANK_SQL
 TRIMMED = r"trim(content, E' \n\t\r')"
 
 
-@query("bank_json", BANK + f"""
+@query("read_bank_json", BANK + f"""
 SELECT {TRIMMED} AS content, 'a' || id || '/b' || id || '/c' || id || '/d' || id AS options, coalesce(answer, '') AS answer, coalesce(explanation, '') AS explanation,
   subject, coalesce(topic, '') AS topic, grade, question_type, difficulty, 'import_json' AS source FROM bank WHERE subject = 'fr'""")
-def bank_json(t):
+def read_bank_json(t):
     path = scratch_folder(t.spark, "bank-json")
     banks.write_bank_json(b.bank(t), path, subject="fr")
     return joined(banks.read_bank_json(t.spark, path, multiline=False).drop("tags"), "options")
@@ -33,43 +33,81 @@ def part_bank(t):
         F.when(F.col("id") % 2 == 0, "because").alias("explanation"), F.lit("2024-01-01").cast("date").alias("created_at"))
 
 
-@query("moodle_xml", PARTS + """
+@query("read_moodle_xml", PARTS + """
 SELECT content, array_to_string(options, '/') AS options, CASE WHEN list_contains(options, answer) THEN answer ELSE '' END AS answer, 'imported' AS subject,
   CASE WHEN id % 3 = 0 THEN 'blank' ELSE 'mcq' END AS question_type, 'medium' AS difficulty, 'import_moodle' AS source FROM questions""")
-def moodle_xml(t):
+def read_moodle_xml(t):
     path = scratch_folder(t.spark, "moodle")
     banks.write_moodle_xml(part_bank(t), path)
     return joined(banks.read_moodle_xml(t.spark, path), "options")
 
 
-@query("qti_xml", PARTS + """
+@query("read_qti_xml", PARTS + """
 SELECT content || ' ' || array_to_string(options, ' ') AS content, array_to_string(options, '/') AS options,
   CASE WHEN list_contains(options, answer) THEN answer ELSE options[1] END AS answer, 'import_qti' AS source FROM questions""")
-def qti_xml(t):
+def read_qti_xml(t):
     path = scratch_folder(t.spark, "qti")
     banks.write_qti_xml(part_bank(t), path)
     return joined(banks.read_qti_xml(t.spark, path), "options").select("content", "options", "answer", "source")
 
 
-@query("question_csv", """
+@query("write_bank_json", BANK + """
+SELECT content, len(options)::INT AS n_options, answer, explanation, subject, topic, grade, question_type, difficulty, 0::INT AS n_tags FROM bank""")
+def write_bank_json(t):
+    path = scratch_folder(t.spark, "bank-json")
+    banks.write_bank_json(b.bank(t), path)
+    schema = ", ".join(f"{c} {'array<string>' if c in ('options', 'tags') else 'string'}" for c in banks._COLUMNS)
+    raw = t.spark.read.schema(schema).json(path)
+    return raw.withColumn("n_options", F.size("options")).withColumn("n_tags", F.size("tags")).drop("options", "tags")
+
+
+@query("write_moodle_xml", PARTS + """
+SELECT CASE WHEN id % 3 = 0 THEN 'shortanswer' ELSE 'multichoice' END AS kind, substr(content, 1, 100) AS name, content, 'html' AS format,
+  array_to_string(list_transform(options, lambda o: o || '=' || CASE WHEN o = answer THEN '100' ELSE '0' END), '/') AS answers,
+  CASE WHEN id % 2 = 0 THEN 'because' END AS feedback FROM questions""")
+def write_moodle_xml(t):
+    path = scratch_folder(t.spark, "moodle")
+    banks.write_moodle_xml(part_bank(t), path)
+    raw = t.spark.read.format("xml").option("rowTag", "question").schema(banks._MOODLE_SCHEMA).load(path)
+    answers = F.transform("answer", lambda a: F.concat(a["text"], F.lit("="), a["_fraction"]))
+    return raw.select(
+        F.col("_type").alias("kind"), F.col("name.text").alias("name"), F.col("questiontext.text").alias("content"),
+        F.col("questiontext._format").alias("format"), F.array_join(answers, "/").alias("answers"), F.col("generalfeedback.text").alias("feedback"))
+
+
+@query("write_qti_xml", PARTS + """
+SELECT 'item_' || row_number() OVER (ORDER BY id DESC) AS identifier, substr(content, 1, 50) AS title,
+  'choice_' || greatest(0, coalesce(list_position(options, answer), 0) - 1) AS correct, content AS body, array_to_string(options, '/') AS choices FROM questions""")
+def write_qti_xml(t):
+    path = scratch_folder(t.spark, "qti")
+    banks.write_qti_xml(part_bank(t), path)
+    raw = t.spark.read.format("xml").option("rowTag", "assessmentItem").schema(banks._QTI_SCHEMA).load(path)
+    choices = F.transform("itemBody.choiceInteraction.simpleChoice", lambda c: c["_VALUE"])
+    return raw.select(
+        F.col("_identifier").alias("identifier"), F.col("_title").alias("title"),
+        F.col("responseDeclaration.correctResponse.value").alias("correct"), F.array_join("itemBody.p", "").alias("body"),
+        F.array_join(choices, "/").alias("choices"))
+
+
+@query("write_question_text", """
 SELECT row_number() OVER (ORDER BY p_partkey) AS id, 'Say "' || p_name || '", x² of ' || p_brand AS question FROM part""")
-def question_csv(t):
+def write_question_text(t):
     path = scratch_folder(t.spark, "csv")
     rows = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit('Say "'), "p_name", F.lit('", $x^2$ of '), "p_brand").alias("content"))
     banks.write_question_text(rows, path, "csv")
     return t.spark.read.option("header", True).option("escape", '"').schema("id long, question string").csv(path)
 
 
-@query("question_txt", "SELECT p_name || ' α' AS question FROM part")
-def question_txt(t):
+@query("write_question_text_plain", "SELECT p_name || ' α' AS question FROM part")
+def write_question_text_plain(t):
     path = scratch_folder(t.spark, "txt")
     banks.write_question_text(t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" $\\alpha$")).alias("content")), path, "txt")
     return t.spark.read.text(path).withColumnRenamed("value", "question")
 
 
-@query("text_corpus", """
+@query("read_text_corpus", """
 SELECT DISTINCT 'p_type=' || p_type AS subject, 'Is it ' || p_name || '?' AS question FROM part""")
-def text_corpus(t):
+def read_text_corpus(t):
     path = scratch_folder(t.spark, "corpus")
     rows = t.part.select("p_type", F.concat(F.lit("1. Is it "), "p_name", F.lit("?\n")).alias("value"))
     rows.repartition("p_type").write.partitionBy("p_type").text(path)
@@ -113,31 +151,59 @@ def normalize_feeds(t):
     return joined(out, "options")
 
 
-@query("file_inventory")
+FILES_SQL = """
+WITH f AS (SELECT 'p_type=' || p_type AS subject, 'p_size=' || p_size AS grade, sum(length(p_name) + 1)::BIGINT AS size FROM part GROUP BY ALL)
+"""
+SIZE_TEXT = "CASE WHEN {0} < 1024 THEN {0} || ' B' ELSE format('{{:.1f}} KB', {0} / 1024) END"
+
+
+def stored_files(t):
+    """Names of parts as one file per type and size."""
+    path = scratch_folder(t.spark, "files")
+    rows = t.part.select("p_type", "p_size", F.col("p_name").alias("value"))
+    rows.repartition("p_type", "p_size").write.partitionBy("p_type", "p_size").text(path)
+    return path
+
+
+@query("file_inventory", FILES_SQL + f"SELECT *, {SIZE_TEXT.format('size')} AS size_text FROM f")
 def file_inventory(t):
-    return files.file_inventory(t.spark, t.folder).drop("modified_at")
+    return files.file_inventory(t.spark, stored_files(t)).drop("modified_at", "filename")
 
 
-@query("file_stats")
+@query("file_stats", FILES_SQL + f"""
+, g AS (SELECT subject, grade, grouping(subject) * 2 + grouping(grade) AS g, count(*) AS files, sum(size)::BIGINT AS bytes
+  FROM f GROUP BY GROUPING SETS ((subject, grade), (subject), (grade), ()))
+SELECT CASE g WHEN 0 THEN 'folder' WHEN 1 THEN 'subject' WHEN 2 THEN 'grade' ELSE 'total' END AS level, subject, grade, files, bytes,
+  CASE WHEN bytes < 1048576 THEN {SIZE_TEXT.format('bytes')} ELSE format('{{:.1f}} MB', bytes / 1048576) END AS size_text FROM g""")
 def file_stats(t):
-    return files.file_stats(files.file_inventory(t.spark, t.folder))
+    return files.file_stats(files.file_inventory(t.spark, stored_files(t)))
 
 
-@query("file_tree")
+@query("file_tree", FILES_SQL + """
+SELECT 0::INT AS depth, subject AS path, subject AS name, count(*) AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY subject
+UNION ALL SELECT 1, subject || '/' || grade, grade, 1, size FROM f""")
 def file_tree(t):
-    return files.file_tree(files.file_inventory(t.spark, t.folder))
+    # File names are made up by the writer, so the twin knows the folders only.
+    return files.file_tree(files.file_inventory(t.spark, stored_files(t))).filter("depth < 2")
 
 
-@query("image_inventory")
+def stored_images(t):
+    """One file per brand, all with the same content."""
+    path = scratch_folder(t.spark, "images")
+    brands = t.part.select("p_brand", F.lit("same").alias("value")).distinct()
+    brands.repartition("p_brand").write.partitionBy("p_brand").text(path)
+    return path
+
+
+@query("image_inventory", """
+SELECT '.txt' AS extension, count(DISTINCT p_brand) AS files, 5 * count(DISTINCT p_brand) AS bytes, count(DISTINCT p_brand) - 1 AS repeated FROM part""")
 def image_inventory(t):
-    return files.image_inventory(t.spark, t.folder)
+    return files.image_inventory(t.spark, stored_images(t))
 
 
-@query("image_duplicates")
+@query("image_duplicates", "SELECT md5('same' || chr(10)) AS hash, count(DISTINCT p_brand) AS copies, 5::BIGINT AS size FROM part")
 def image_duplicates(t):
-    path = scratch_folder(t.spark, "images")
-    t.part.select("p_brand", F.lit("same").alias("value")).distinct().repartition("p_brand").write.partitionBy("p_brand").text(path)
-    return files.image_duplicates(t.spark, path).drop("first_path")
+    return files.image_duplicates(t.spark, stored_images(t)).drop("first_path")
 
 
 def document_stream(t):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from examloom.operators.ingest import ingest_dedup
+from examloom.operators.ingest import DIGEST, ingest_dedup
 
 
 def stream_ingest(
@@ -21,7 +21,7 @@ def stream_ingest(
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = _bank(spark, bank_path, batch_id)
-        accepted, _ = ingest_dedup(batch, known, defaults)
+        accepted, _ = ingest_dedup(batch, known, defaults, keep_digest=True)
         accepted.write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
 
     return (
@@ -33,10 +33,10 @@ def stream_ingest(
 
 
 def _bank(spark, path: str, before: int) -> DataFrame:
-    """Contents saved by earlier batches."""
+    """Digests saved by earlier batches; contents are not read."""
     if before == 0:
-        return spark.createDataFrame([], "content string")
-    return spark.read.parquet(path).filter(F.col("batch") < before).select("content")
+        return spark.createDataFrame([], f"{DIGEST} binary")
+    return spark.read.parquet(path).filter(F.col("batch") < before).select(DIGEST)
 
 
 def stream_daily_activity(

@@ -10,7 +10,8 @@ from examloom.plans.registry import Tables
 FOLDER = "/root/testdata/sf0.001"
 WITH_PYTHON = {"matrix_pick_overlapping", "near_dup_merge", "numbered_line_parse"}
 WRITES_FIRST = {
-    "bank_json", "moodle_xml", "qti_xml", "question_csv", "question_txt", "text_corpus", "image_duplicates", "stream_ingest",
+    "read_bank_json", "write_bank_json", "read_moodle_xml", "write_moodle_xml", "read_qti_xml", "write_qti_xml",
+    "write_question_text", "write_question_text_plain", "read_text_corpus", "image_duplicates", "image_inventory", "file_inventory", "file_stats", "file_tree", "stream_ingest",
     "stream_daily_activity", "link_frontier",
 }
 ROW_LOCAL = [

@@ -52,6 +52,13 @@ def test_top_n_is_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_top_n_beyond_the_group_limit(spark):
+    df = skewed(spark, 9000)
+    w = Window.partitionBy("k").orderBy("h")
+    plain = df.withColumn("rn", F.row_number().over(w)).filter("rn <= 1500")
+    assert rows_of(top_n(df, ["k"], ["h"], 1500)) == rows_of(plain)
+
+
 def greedy(rows, lookahead=4, min_len=10):
     """Plain walk over (pos, text, options) rows."""
     import re
