@@ -43,27 +43,46 @@ def split_row_number(
 ) -> DataFrame:
     """``row_number`` per key where keys above ``hot_rows`` rows are cut in blocks.
 
-    ``block`` must not decrease along ``order``.  Rows of a large key are
-    numbered inside their block, then moved up by the size of the blocks before
-    it.  The rows are shuffled once, by key and block; the join with the
-    sizes of blocks meets them where they are.
+    ``block`` must not decrease along ``order``.
+    """
+    return split_running_sum(df, keys, order, block, F.lit(1), out, hot_rows)
+
+
+def split_running_sum(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    block: Column,
+    value: Column,
+    out: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Running sum of ``value`` per key, the row itself included.
+
+    Rows of a large key are summed inside their block, then moved up by the
+    sums of the blocks before it.  The rows are shuffled once, by key and block;
+    the join with the sums of blocks meets them where they are.
     """
     tagged = _tag_hot(df, keys, block, hot_rows)
-    counts = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").count()
+    sums = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = counts.select(
+    offsets = sums.select(
         *[F.col(k).alias(f"_off_{k}") for k in keys],
         F.col("_block").alias("_off_block"),
-        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
     )
     same_block = [F.col(k) == F.col(f"_off_{k}") for k in keys] + [
         F.col("_block") == F.col("_off_block")
     ]
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    numbered = tagged.withColumn("_inside", inside).join(offsets, _all(same_block), "left")
-    return numbered.withColumn(
+    along = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    summed = tagged.withColumn("_inside", F.sum(value).over(along)).join(
+        offsets, _all(same_block), "left"
+    )
+    return summed.withColumn(
         out, (F.col("_inside") + F.coalesce(F.col("_offset"), F.lit(0))).cast("long")
     ).drop("_hot", "_block", "_inside", "_offset", "_off_block", *[f"_off_{k}" for k in keys])
 

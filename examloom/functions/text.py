@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
 # Every character that counts as white space, from the Unicode property.
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-_SPACE_CLASS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-
-# A run worth replacing: a single blank stays as it is.
-_SPACE_RUN = (
-    rf" {_SPACE_CLASS}+|[\t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]{_SPACE_CLASS}*"
-)
 
 # Label shapes of options and numbering.
 OPTION_LABEL = r"[A-Ha-h][).\-:]\s+"
@@ -28,11 +22,8 @@ VIETNAMESE_CHAR = r"[À-ỹ]"
 NON_ASCII_CHAR = r"[^\x00-\x7F]"
 
 
-def _fold_table() -> tuple[str, str]:
-    """Characters that lose their marks under NFD, and what they become.
-
-    Marks themselves come last, without a partner, so ``translate`` drops them.
-    """
+def _fold_table() -> tuple[str, str, str]:
+    """Characters that lose their marks under NFD, what they become, and the marks themselves."""
     marked, plain = [], []
     for code in range(0x00C0, 0x1F00):
         ch = chr(code)
@@ -42,10 +33,10 @@ def _fold_table() -> tuple[str, str]:
             marked.append(ch)
             plain.append(kept)
     marks = [chr(c) for c in range(0x0300, 0x0370) if unicodedata.category(chr(c)) == "Mn"]
-    return "".join(marked) + "".join(marks), "".join(plain)
+    return "".join(marked), "".join(plain), "".join(marks)
 
 
-_MARKED, _PLAIN = _fold_table()
+_MARKED, _PLAIN, _MARKS = _fold_table()
 
 
 def strip(col) -> Column:
@@ -55,7 +46,11 @@ def strip(col) -> Column:
 
 def squeeze(col) -> Column:
     """Runs of white space become one blank; ends are stripped."""
-    return F.trim(F.regexp_replace(col, _SPACE_RUN, " "))
+    return _single_blanks(F.translate(col, _SPACES, " " * len(_SPACES)))
+
+
+def _single_blanks(col) -> Column:
+    return F.trim(F.regexp_replace(col, " {2,}", " "))
 
 
 def let(value, body) -> Column:
@@ -84,12 +79,14 @@ def blocks(col) -> Column:
 
 def fold_accents(col) -> Column:
     """Accent-free form: NFD without marks, so the letter đ stays."""
-    return F.translate(col, _MARKED, _PLAIN)
+    # Characters without a partner are dropped: the marks.
+    return F.translate(col, _MARKED + _MARKS, _PLAIN)
 
 
 def name_key(col) -> Column:
     """Accent-free, single-spaced, lower-case name."""
-    return F.lower(squeeze(fold_accents(col)))
+    folded = F.translate(col, _MARKED + _SPACES + _MARKS, _PLAIN + " " * len(_SPACES))
+    return F.lower(_single_blanks(folded))
 
 
 def strip_numbering(col) -> Column:

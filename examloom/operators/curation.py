@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examloom.functions.ranking import HOT_ROWS, split_row_number, with_neighbours
+from examloom.functions.ranking import HOT_ROWS, split_row_number, split_running_sum, with_neighbours
 from examloom.functions.storage import checkpointed
 from examloom.functions.text import (
     NON_ASCII_CHAR,
@@ -353,36 +353,44 @@ def position_marks(
     English levels have one mark.  In science the first third of the document
     scores 3, the second 4 and the rest 5; fewer than three questions are all easy.
     """
-    if subject == "english" and level in LEVEL_MARKS:
-        return questions.withColumn("marks", F.lit(LEVEL_MARKS[level])).withColumn("difficulty", F.lit("EASY"))
     if subject != "science":
-        return questions.withColumn("marks", F.lit(None).cast("double")).withColumn("difficulty", F.lit("EASY"))
-    total = questions.groupBy("doc_id").agg(F.count("*").alias("_total"))
-    placed = split_row_number(
-        questions, ["doc_id"], ["pos"], F.floor(F.col("pos") / hot_rows), "_i", hot_rows
-    ).join(total, "doc_id")
+        return _marked(questions, None, subject, level)
+    return _marked(_placed(questions, "_number", hot_rows), "_number", subject, level).drop("_number")
+
+
+def _placed(questions: DataFrame, out: str, hot_rows: int) -> DataFrame:
+    return split_row_number(questions, ["doc_id"], ["pos"], F.floor(F.col("pos") / hot_rows), out, hot_rows)
+
+
+def _marked(placed: DataFrame, number: str | None, subject: str, level: str | None) -> DataFrame:
+    if subject != "science":
+        fixed = LEVEL_MARKS.get(level) if subject == "english" else None
+        return placed.withColumn("marks", F.lit(fixed).cast("double")).withColumn("difficulty", F.lit("EASY"))
+    total = placed.groupBy("doc_id").agg(F.count("*").alias("_total"))
     group = F.when(F.col("_total") >= 3, F.floor(F.col("_total") / 3)).otherwise(F.col("_total"))
-    i = F.col("_i") - 1
-    easy, medium = i < group, i < group * 2
+    easy, medium = F.col(number) <= group, F.col(number) <= group * 2
     return (
-        placed.withColumn("marks", F.when(easy, 3.0).when(medium, 4.0).otherwise(5.0))
+        placed.join(total, "doc_id")
+        .withColumn("marks", F.when(easy, 3.0).when(medium, 4.0).otherwise(5.0))
         .withColumn("difficulty", F.when(easy, "EASY").when(medium, "MEDIUM").otherwise("HARD"))
-        .drop("_i", "_total")
+        .drop("_total")
     )
 
 
-def section_renumber(sections: DataFrame, answers: DataFrame) -> DataFrame:
+def section_renumber(sections: DataFrame, answers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Answer numbers of a section to numbers of the whole exam; numbers beyond the section go.
 
     ``sections(exam_id, section, size)``, ``answers(exam_id, section, number, answer)``.
-    Sections are the cells of a matrix, a handful per exam.
     """
-    before = Window.partitionBy("exam_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sections.withColumn("_offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    upto = split_running_sum(
+        sections, ["exam_id"], ["section"], F.floor(F.col("section") / hot_rows), F.col("size"), "_upto", hot_rows
+    )
     return (
-        answers.join(offsets, ["exam_id", "section"])
+        answers.join(upto, ["exam_id", "section"])
         .filter(F.col("number") <= F.col("size"))
-        .select("exam_id", "section", (F.col("number") + F.col("_offset")).cast("long").alias("number"), "answer")
+        .select(
+            "exam_id", "section", (F.col("number") + F.col("_upto") - F.col("size")).cast("long").alias("number"), "answer"
+        )
     )
 
 
@@ -394,10 +402,7 @@ def question_sheet(
     ``questions(doc_id, pos, question, options, answer)``, ``key(doc_id,
     number, correct)`` with 1–5.  The key wins over the parsed answer letter.
     """
-    marked = position_marks(questions, subject, level, hot_rows)
-    numbered = split_row_number(
-        marked, ["doc_id"], ["pos"], F.floor(F.col("pos") / hot_rows), "number", hot_rows
-    )
+    numbered = _marked(_placed(questions, "number", hot_rows), "number", subject, level)
     letter = F.upper(strip(F.col("answer")))
     parsed = F.when(letter.rlike("^[A-E]$"), F.ascii(letter) - 64)
     rows = numbered.join(key.select("doc_id", "number", "correct"), ["doc_id", "number"], "left")

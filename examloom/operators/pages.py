@@ -74,7 +74,7 @@ def _first_paragraph(html, filled: bool) -> Column:
     return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
-def _options(html) -> Column:
+def _options(html, text) -> Column:
     """List items without labels, four at most; else labelled runs of the text."""
     items = F.filter(
         F.transform(
@@ -84,7 +84,7 @@ def _options(html) -> Column:
         lambda x: x != "",
     )
     listed = F.transform(items, lambda x: F.regexp_replace(x, r"^[A-Da-d][.):\s]+", ""))
-    return F.slice(let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(labelled_runs(strip_tags(html)))), 1, 4)
+    return F.slice(let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(labelled_runs(text))), 1, 4)
 
 
 def labelled_runs(text) -> Column:
@@ -93,8 +93,10 @@ def labelled_runs(text) -> Column:
     return F.slice(F.transform(runs, squeeze), 1, 4)
 
 
-def _answer(html) -> Column:
-    marked = F.upper(F.regexp_extract(strip_tags(html), ANSWER_MARK, 1))
+def _answer(html, text) -> Column:
+    low = F.lower(text)
+    named = low.contains("đáp án") | low.contains("answer") | low.contains("đ/a")
+    marked = F.when(named, F.upper(F.regexp_extract(text, ANSWER_MARK, 1))).otherwise("")
     bold = F.regexp_extract(html, r"(?is)<(?:b|strong)>\s*([A-D])", 1)
     return let(marked, lambda m: F.when(m != "", m).otherwise(bold))
 
@@ -119,11 +121,11 @@ def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> Dat
         stems = [strip_tags(F.regexp_extract(box, _by_class(c), 2)) for c in layout.stems]
         first = _first_paragraph(box, layout.first_filled)
         stem = F.coalesce(*[F.nullif(s, F.lit("")) for s in stems], first) if stems else first
-        return F.struct(
+        return let(strip_tags(box), lambda text: F.struct(
             F.regexp_replace(stem, NUMBER_PREFIX, "").alias("content"),
-            _options(box).alias("options"),
-            _answer(box).alias("answer"),
-        )
+            _options(box, text).alias("options"),
+            _answer(box, text).alias("answer"),
+        ))
 
     usable = F.filter(
         F.transform("_boxes", parts), lambda q: F.length(q["content"]) >= layout.min_length
@@ -327,13 +329,13 @@ def document_links(pages: DataFrame, suffix: str = ".docx") -> DataFrame:
 
 
 def link_frontier(
-    pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int, max_depth: int = 20
+    pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_depth: int = 20
 ) -> DataFrame:
     """Breadth-first walk over stored pages: each reached address once, with its depth.
 
     ``links(url, link)``, ``seeds(url)``.  A level is one join of the newest
-    addresses with their links; lineage is cut after each level.  At most
-    ``max_pages`` pages are taken, nearest and then alphabetical first.
+    addresses with their links; lineage is cut after each level.  With
+    ``max_pages`` the nearest, and then alphabetically first, pages are taken.
     """
     stored = pages.select(_clean_url(F.col("url")).alias("url")).distinct()
     edges = (
@@ -348,7 +350,7 @@ def link_frontier(
     )
     reached, taken = frontier, frontier.count()
     for depth in range(1, max_depth + 1):
-        if taken >= max_pages:
+        if max_pages is not None and taken >= max_pages:
             break
         frontier = checkpointed(
             edges.join(frontier.select("url"), "url")
@@ -361,7 +363,7 @@ def link_frontier(
             break
         taken += new
         reached = reached.unionByName(frontier)  # every level is a stored table
-    return reached.orderBy("depth", "url").limit(max_pages)
+    return reached if max_pages is None else reached.orderBy("depth", "url").limit(max_pages)
 
 
 def _clean_url(url) -> Column:

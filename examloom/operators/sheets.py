@@ -104,6 +104,7 @@ def row_cluster(rects: DataFrame, tolerance: float = 15) -> DataFrame:
 
     ``rects(sheet_id, cx, cy, …)``.  Only the distinct y of a sheet, which are
     no more than the lines of its image, come together to find where rows begin.
+    Within a row the order is that of ``cx``.
     """
     ys = rects.groupBy("sheet_id").agg(F.array_sort(F.collect_set("cy")).alias("_ys"))
     none = F.array().cast("array<double>")
@@ -114,11 +115,9 @@ def row_cluster(rects: DataFrame, tolerance: float = 15) -> DataFrame:
         ).otherwise(acc),
     )
     anchors = ys.select("sheet_id", starts.alias("_starts"))
-    placed = rects.join(anchors, "sheet_id").withColumn(
+    return rects.join(anchors, "sheet_id").withColumn(
         "row_no", F.size(F.filter("_starts", lambda s: s <= F.col("cy")))
     ).drop("_starts")
-    order = Window.partitionBy("sheet_id", "row_no").orderBy("cx", "cy")
-    return placed.withColumn("col_no", F.row_number().over(order))
 
 
 def gap_group(rows: DataFrame, templates: DataFrame) -> DataFrame:
@@ -228,11 +227,16 @@ def nearest_right_match(
     number = F.when(text.rlike(r"^\d{1,9}$"), text.cast("int"))
     letter = F.when(text.rlike("^[A-E]$") | (text.rlike("^[A-E]") & text.contains(",")), F.substring(text, 1, 1))
     grid = lambda c, step: F.floor(F.col(c) / step)
-    numbers = spans.select("doc_id", "seq", "x", "y", number.alias("q")).filter(F.col("q").between(1, max_number))
-    answers = spans.select(
-        "doc_id", F.col("seq").alias("a_seq"), F.col("x").alias("ax"), F.col("y").alias("ay"), letter.alias("letter"),
+    # The same text at the same place counts once.
+    numbers = spans.select("doc_id", "seq", "x", "y", number.alias("q")).filter(
+        F.col("q").between(1, max_number)
+    ).groupBy("doc_id", "q", "x", "y").agg(F.min("seq").alias("seq"))
+    answers = spans.select("doc_id", "seq", "x", "y", letter.alias("letter")).filter(
+        F.col("letter").isNotNull()
+    ).groupBy("doc_id", "letter", "x", "y").agg(F.min("seq").alias("a_seq")).select(
+        "doc_id", "a_seq", F.col("x").alias("ax"), F.col("y").alias("ay"), "letter",
         grid("x", dx).alias("_gx"), grid("y", dy).alias("_gy"),
-    ).filter(F.col("letter").isNotNull())
+    )
     near = F.array(*[
         F.struct((grid("x", dx) + i).alias("gx"), (grid("y", dy) + j).alias("gy")) for i in (0, 1) for j in (-1, 0, 1)
     ])

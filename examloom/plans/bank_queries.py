@@ -51,10 +51,10 @@ def top_sources(t):
 
 
 @query("daily_activity", WITH + f"""
-SELECT CAST(created_at AS DATE) AS day, count(*) AS total FROM bank
+SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS total FROM bank
 WHERE created_at >= TIMESTAMP '{b.AS_OF}' - INTERVAL 14 DAY GROUP BY 1""")
 def daily_activity(t):
-    return ops.daily_activity(b.bank(t), b.AS_OF)
+    return ops.daily_activity(b.bank(t), b.AS_OF).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("bank_availability", WITH + """

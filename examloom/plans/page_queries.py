@@ -197,7 +197,7 @@ def link_frontier(t):
     down = t.pages.join(child, F.col("page_id") == F.col("parent")).select("url", "link")
     links = down.unionByName(down.select(F.col("link").alias("url"), F.col("url").alias("link")))
     seeds = t.pages.filter(F.col("page_id") == 0)
-    return ops.link_frontier(t.pages, links, seeds, max_pages=1_000_000)
+    return ops.link_frontier(t.pages, links, seeds)
 
 
 @query("image_flags", """
@@ -248,10 +248,10 @@ def shape_similar(t):
 
 
 @query("variant_leak_check", """
-WITH o AS (SELECT DISTINCT source AS batch_id, lower(trim(text, E' \\n\\t\\r')) AS k FROM documents WHERE lang = 'de'),
+WITH o AS (SELECT DISTINCT source AS batch_id, lower(trim(text, E' \\n\\t\\r')) AS k FROM documents),
 i AS (SELECT DISTINCT source AS batch_id, lower(trim(text, E' \\n\\t\\r')) AS k FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT o.batch_id, count(*) AS outputs, count(i.k) AS repeated FROM o LEFT JOIN i ON o.batch_id = i.batch_id AND o.k = i.k GROUP BY o.batch_id)
 SELECT *, outputs = repeated AS leaked FROM g""")
 def variant_leak_check(t):
-    rows = t.documents.select(F.col("source").alias("batch_id"), "doc_id", "lang", "text")
-    return ingest.variant_leak_check(rows.filter(F.col("lang") == "de"), rows.join(t.labels, "doc_id", "left_semi"))
+    rows = t.documents.select(F.col("source").alias("batch_id"), "doc_id", "text")
+    return ingest.variant_leak_check(rows, rows.join(t.labels, "doc_id", "left_semi"))

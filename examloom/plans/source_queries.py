@@ -17,10 +17,10 @@ TRIMMED = r"trim(content, E' \n\t\r')"
 
 @query("read_bank_json", BANK + f"""
 SELECT {TRIMMED} AS content, 'a' || id || '/b' || id || '/c' || id || '/d' || id AS options, coalesce(answer, '') AS answer, coalesce(explanation, '') AS explanation,
-  subject, coalesce(topic, '') AS topic, grade, question_type, difficulty, 'import_json' AS source FROM bank WHERE subject = 'fr'""")
+  subject, coalesce(topic, '') AS topic, grade, question_type, difficulty, 'import_json' AS source FROM bank""")
 def read_bank_json(t):
     path = scratch_folder(t.spark, "bank-json")
-    banks.write_bank_json(b.bank(t), path, subject="fr")
+    banks.write_bank_json(b.bank(t), path)
     return joined(banks.read_bank_json(t.spark, path, multiline=False).drop("tags"), "options")
 
 
@@ -222,11 +222,12 @@ def stream_ingest(t):
 
 @query("stream_daily_activity", """
 WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day, count(*) AS total FROM documents GROUP BY 1)
-SELECT day, total FROM d WHERE day < (SELECT max(day) FROM d) - 1""")
+SELECT strftime(day, '%Y-%m-%d') AS day, total FROM d WHERE day < (SELECT max(day) FROM d) - 1""")
 def stream_daily_activity(t):
     # The last two days are still open: their ends lie after the watermark.
     created = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(CAST(doc_id % 30 AS INT))")
     rows = document_stream(t).select(created.alias("created_at"))
     path = scratch_folder(t.spark, "daily")
     jobs.stream_daily_activity(rows, path, scratch_folder(t.spark, "state")).awaitTermination()
-    return t.spark.read.schema("day date, total long").parquet(path)
+    days = t.spark.read.schema("day date, total long").parquet(path)
+    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))

@@ -118,10 +118,32 @@ def test_ordering_operators_split(spark):
     rows = paper(Tables(spark, FOLDER))
     for op in (curation.splice_order, curation.number_sort):
         assert rows_of(op(rows, hot_rows=2).select("doc_id", "pos", "place")) == rows_of(op(rows).select("doc_id", "pos", "place"))
+    sheet_rows = rows.drop("number").withColumn("options", F.array(F.lit("a"))).withColumn("answer", F.lit("a"))
+    key = rows.select("doc_id", F.lit(2).cast("long").alias("number"), F.lit(3).alias("correct")).distinct()
+    one, two = (curation.question_sheet(sheet_rows, key, "science", hot_rows=h) for h in (2, 10**6))
+    assert rows_of(one) == rows_of(two)
     a = curation.position_marks(rows, "science", hot_rows=2).select("doc_id", "pos", "marks")
     assert rows_of(a) == rows_of(curation.position_marks(rows, "science").select("doc_id", "pos", "marks"))
 
 
+def test_section_renumber_split(spark):
+    sections = spark.range(300).select((F.col("id") % 3).alias("exam_id"), F.col("id").alias("section"), (F.col("id") % 4 + 1).alias("size"))
+    answers = sections.select("exam_id", "section", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("number"), F.lit("A").alias("answer"))
+    assert rows_of(curation.section_renumber(sections, answers, hot_rows=10)) == rows_of(curation.section_renumber(sections, answers))
+
+
+def test_link_frontier_takes_the_nearest(spark):
+    from examloom.operators import pages
+
+    urls = ["http://s/a", "http://s/b/", "http://s/c#x", "http://s/d", "http://s/e"]
+    stored = spark.createDataFrame([(u,) for u in urls], "url string")
+    links = spark.createDataFrame([("http://s/a", "http://s/c"), ("http://s/a", "http://s/b"), ("http://s/b", "http://s/d"), ("http://s/d", "http://s/a"), ("http://s/d", "http://other")], "url string, link string")
+    seeds = spark.createDataFrame([("http://s/a",)], "url string")
+    got = [(r["depth"], r["url"]) for r in pages.link_frontier(stored, links, seeds, max_pages=2).collect()]
+    assert got == [(0, "http://s/a"), (1, "http://s/b")]
+    assert pages.link_frontier(stored, links, seeds).count() == 4
+
+
 def test_exam_variants_split(spark):
     t = Tables(spark, FOLDER)
     args = (b.exam_questions(t), b.questions(t), ["A", "B"], 5)
