@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import HOT_ROWS, split_row_number, top_n
+from examloom.functions.small import literal_table
 from examloom.functions.text import answer_letter, has_text, letter_at, seeded
 from examloom.operators.bank import DIFFICULTIES
 
@@ -21,7 +22,7 @@ def matrix_cells(spark, matrix: list[dict]) -> DataFrame:
     A matrix is a form filled in by hand, so it is a plain list.
     """
     cells = _cell_rows(matrix)
-    return spark.createDataFrame(cells, CELL_SCHEMA)
+    return literal_table(spark, cells, CELL_SCHEMA)
 
 
 def _cell_rows(matrix: list[dict]) -> list[tuple]:
@@ -70,8 +71,8 @@ def matrix_pick(
     for cell, topic, _label, difficulty, n in cells:
         need.append((cell, topic, difficulty, n, n * oversample + asked_before))
         asked_before += n
-    spec = spark.createDataFrame(
-        need, "cell int, _topic string, _difficulty string, _n int, _keep int"
+    spec = literal_table(
+        spark, need, "cell int, _topic string, _difficulty string, _n int, _keep int"
     )
     fits = (F.col("difficulty") == F.col("_difficulty")) & (
         F.col("_topic").isNull() | (F.col("topic") == F.col("_topic"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import top_n
+from examloom.functions.small import literal_table
 
 TEMPLATE_SCHEMA = (
     "template string, questions int, scheme string, base double, correct double, "
@@ -41,7 +42,7 @@ TEMPLATES = [
 
 def templates_df(spark) -> DataFrame:
     """The contest templates as a small table."""
-    return spark.createDataFrame(TEMPLATES, TEMPLATE_SCHEMA)
+    return literal_table(spark, TEMPLATES, TEMPLATE_SCHEMA)
 
 
 def mark_status(student: Column, correct: Column) -> Column:
@@ -65,9 +66,7 @@ def grade_responses(responses: DataFrame, key: DataFrame, templates: DataFrame)
     """
     small = templates.select("template", "questions")
     answers = (
-        key.join(small, "template")
-        .filter(F.col("q").between(1, F.col("questions")))
-        .groupBy("template")
+        key.groupBy("template")
         .agg(F.map_from_entries(F.collect_set(F.struct(F.col("q").cast("int"), "correct"))).alias("_key"))
     )
     spec = small.join(answers, "template", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from examloom.functions.small import literal_table
 from examloom.operators import curation as ops, curriculum as cur, sheets
 from examloom.plans import bindings as b
 from examloom.plans.document_queries import joined
@@ -393,7 +394,7 @@ def gap_group(t):
     rows = t.customer.select(
         F.col("c_custkey").alias("sheet_id"), F.when(F.col("c_custkey") % 2 == 0, "row").otherwise("column").alias("template"),
         F.explode(F.concat(cells(1, 1), cells(2, 4), cells(3, 4), cells(4, 1), twin)).alias("b")).select("sheet_id", "template", "b.*")
-    spec = t.spark.createDataFrame([("row", 9, 5, 4, "row"), ("column", 30, 5, 4, "column")],
+    spec = literal_table(t.spark, [("row", 9, 5, 4, "row"), ("column", 30, 5, 4, "column")],
                                    "template string, questions int, options int, questions_per_row int, layout string")
     return sheets.gap_group(rows, spec)
 

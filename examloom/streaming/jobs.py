@@ -35,7 +35,7 @@ def stream_ingest(
 def _bank(spark, path: str, before: int) -> DataFrame:
     """Digests saved by earlier batches; contents are not read."""
     if before == 0:
-        return spark.createDataFrame([], f"{DIGEST} binary")
+        return spark.range(0).select(F.lit(None).cast("binary").alias(DIGEST))
     return spark.read.parquet(path).filter(F.col("batch") < before).select(DIGEST)
 
 
