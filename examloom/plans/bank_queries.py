@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from examloom import schemas
 from examloom.operators import assemble, bank as ops, grading
 from examloom.plans import bindings as b
 from examloom.plans.registry import query
@@ -126,6 +127,16 @@ def usage_increment(t):
     return ops.usage_increment(b.bank(t), picks.unionByName(picks)).select("id", "times_used")
 
 
+@query("canonical_answers", "WITH " + b.EXAMS_SQL + """
+SELECT id, CASE WHEN id % 2 = 0 THEN 'B' WHEN list_contains(options, answer) THEN chr(64 + list_position(options, answer)::INT) END AS answer_letter,
+  CASE WHEN id % 2 = 0 THEN options[2] ELSE answer END AS answer_text FROM questions""")
+def canonical_answers(t):
+    """Options and answers as an export keeps them: JSON text, letters next to texts."""
+    rows = b.questions(t).select(
+        "id", F.to_json("options").alias("options"), F.when(F.col("id") % 2 == 0, "b").otherwise(F.col("answer")).alias("answer"))
+    return schemas.canonical_answers(schemas.parse_json_columns(rows)).select("id", "answer_letter", "answer_text")
+
+
 MATRIX = [
     {"topic": f"t{i}", "topic_label": f"Topic {i}", "easy": 2, "medium": 3, "hard": 40} for i in range(5)
 ]

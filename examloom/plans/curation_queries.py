@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examloom.functions.small import literal_table
+from examloom.functions.storage import scratch_folder
 from examloom.operators import curation as ops, curriculum as cur, sheets
 from examloom.plans import bindings as b
 from examloom.plans.document_queries import joined
@@ -315,6 +316,18 @@ def replace_slice(t):
     return cur.replace_slice(rows, rows.filter(F.col("grade") == 2).withColumn("grade", F.lit(1)), "AFRICA")
 
 
+@query("write_slice", CUR + """
+SELECT * FROM curriculum WHERE subject <> 'AFRICA' UNION ALL
+SELECT id, subject, 1::INT, chapter, topic, lesson, knowledge, periods FROM curriculum WHERE subject = 'AFRICA' AND grade = 2""")
+def write_slice(t):
+    """A table stored by subject, one subject of it written again."""
+    path = scratch_folder(t.spark, "curriculum")
+    rows = b.curriculum(t)
+    cur.write_slice(rows, path)
+    cur.write_slice(rows.filter((F.col("subject") == "AFRICA") & (F.col("grade") == 2)).withColumn("grade", F.lit(1)), path)
+    return t.spark.read.parquet(path)
+
+
 @query("curriculum_flatten", CUR + """
 , b AS (SELECT r_name AS subject, CAST(s_suppkey % 4 + 1 AS INT) AS grade, n_name AS chapter, s_name AS lesson
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)

@@ -65,6 +65,11 @@ def history_list(t):
     return ingest.history_list(history(t), "view", 20)
 
 
+@query("history_delete", HISTORY_SQL + "SELECT * FROM all_rows WHERE \"timestamp\" <> '2024-01-03 05:00'")
+def history_delete(t):
+    return ingest.history_delete(history(t), "2024-01-03 05:00")
+
+
 @query("subject_by_slug", """
 SELECT page_id, CASE WHEN file LIKE '%ref=x%' THEN 'ref' WHEN file LIKE '%#top%' THEN 'top'
   WHEN title LIKE '%tion%' THEN 'title' WHEN url LIKE '%/en/%' THEN 'english' WHEN url LIKE '%/fr/%' THEN 'french' WHEN lower(url) LIKE '%tion%' THEN 'title' ELSE 'general' END AS subject

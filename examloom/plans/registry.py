@@ -16,6 +16,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -10,6 +10,7 @@ from examloom.plans.registry import Tables
 FOLDER = "/root/testdata/sf0.001"
 WITH_PYTHON = {"matrix_pick_overlapping", "near_dup_merge", "numbered_line_parse"}
 WRITES_FIRST = {
+    "write_slice",
     "read_bank_json", "write_bank_json", "read_moodle_xml", "write_moodle_xml", "read_qti_xml", "write_qti_xml",
     "write_question_text", "write_question_text_plain", "read_text_corpus", "image_duplicates", "image_inventory", "file_inventory", "file_stats", "file_tree", "stream_ingest",
     "stream_daily_activity", "link_frontier",
