@@ -23,7 +23,7 @@ def without_fragment(url) -> Column:
 
 def resolve(base, href) -> Column:
     """Absolute form of ``href`` found on page ``base``."""
-    base = without_fragment(base)
+    whole, base = base, without_fragment(base)
     scheme = F.regexp_extract(base, r"^([A-Za-z][\w+.\-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][\w+.\-]*://[^/?#]*)", 1)
     plain = F.regexp_replace(base, r"\?.*$", "")
@@ -31,7 +31,7 @@ def resolve(base, href) -> Column:
     path = F.substring(plain, F.length(origin) + 1, F.length(plain))
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
     target = (
-        F.when(href == "", base)
+        F.when(href == "", whole)
         .when(href.rlike(r"^[A-Za-z][\w+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin, href))
@@ -55,5 +55,5 @@ def _fold_dots(url) -> Column:
         return F.when(part == "..", up).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
 
     kept = F.aggregate(steps, F.array().cast("array<string>"), step)
-    closed = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    closed = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
     return F.concat(origin, F.lit("/"), F.array_join(kept, "/"), closed, tail)
