@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from examloom.functions.text import let
+
 
 def host(url) -> Column:
     """Lower-case host without a leading ``www.``."""
@@ -21,25 +23,37 @@ def without_fragment(url) -> Column:
     return F.regexp_replace(url, r"#.*$", "")
 
 
-def resolve(base, href) -> Column:
-    """Absolute form of ``href`` found on page ``base``."""
-    whole, base = base, without_fragment(base)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][\w+.\-]*):", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][\w+.\-]*://[^/?#]*)", 1)
-    plain = F.regexp_replace(base, r"\?.*$", "")
-    # Keep up to the last slash of the path; a bare host gets one.
-    path = F.substring(plain, F.length(origin) + 1, F.length(plain))
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+def base_parts(base) -> Column:
+    """What is needed of a page address to resolve its links; worth working out once per page."""
+    plain = without_fragment(base)
+    origin = F.regexp_extract(plain, r"^([A-Za-z][\w+.\-]*://[^/?#]*)", 1)
+    bare = F.regexp_replace(plain, r"\?.*$", "")
+    path = F.substring(bare, F.length(origin) + 1, F.length(bare))
+    return F.struct(
+        base.alias("whole"), plain.alias("plain"), bare.alias("bare"), origin.alias("origin"),
+        F.regexp_extract(plain, r"^([A-Za-z][\w+.\-]*):", 1).alias("scheme"),
+        # Up to the last slash of the path; a bare host gets one.
+        F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")).alias("folder"),
+    )
+
+
+def resolve_from(base, href) -> Column:
+    """Absolute form of ``href`` on a page given by its :func:`base_parts`."""
     target = (
-        F.when(href == "", whole)
+        F.when(href == "", base["whole"])
         .when(href.rlike(r"^[A-Za-z][\w+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(plain, href))
-        .when(href.startswith("#"), F.concat(base, href))
-        .otherwise(F.concat(origin, folder, href))
+        .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(base["origin"], href))
+        .when(href.startswith("?"), F.concat(base["bare"], href))
+        .when(href.startswith("#"), F.concat(base["plain"], href))
+        .otherwise(F.concat(base["origin"], base["folder"], href))
     )
-    return F.when(target.rlike(r"/\.{1,2}(/|$|[?#])"), _fold_dots(target)).otherwise(target)
+    return let(target, lambda x: F.when(x.rlike(r"/\.{1,2}(/|$|[?#])"), _fold_dots(x)).otherwise(x))
+
+
+def resolve(base, href) -> Column:
+    """Absolute form of ``href`` found on page ``base``."""
+    return let(base_parts(base), lambda b: resolve_from(b, href))
 
 
 def _fold_dots(url) -> Column:

@@ -218,7 +218,7 @@ def exam_variants(
     )
     placed = split_row_number(
         rows, ["exam_id", "variant_code"], ["_key", "question_id", "order"],
-        F.substring("_key", 1, 2), "position", hot_rows,
+        F.substring("_key", 1, 3), "position", hot_rows,
     ).drop("_key")
     q = bank.select(F.col("id").alias("_id"), "options", "answer")
     joined = placed.join(q, F.col("question_id") == F.col("_id"), "left")

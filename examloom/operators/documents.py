@@ -129,8 +129,22 @@ def generated_questions(text) -> Column:
         parts,
         lambda b: F.struct(b.alias("b"), b.rlike(_OPTION_LINE).alias("opt"), b.rlike(_LABEL_LINE).alias("label")),
     )
-    # Before the first label every plain block opens a question; from there on only labels do.
-    first_label = F.array_position(F.transform(tagged, lambda t: t["label"] & ~t["opt"]), F.lit(True))
+    entries = let(tagged, lambda t: let(_first_label(t), lambda first: _joined_entries(t, first)))
+    cleaned = F.transform(entries, _clean_entry)
+    return F.filter(
+        cleaned,
+        lambda q: (q != "")
+        & ~q.rlike(r"^-{2,}$")
+        & (q.contains("?") | q.contains("...") | q.rlike(r"(?m)^[A-Ha-h][).\-:]\s+")),
+    )
+
+
+def _first_label(tagged) -> Column:
+    return F.array_position(F.transform(tagged, lambda t: t["label"] & ~t["opt"]), F.lit(True))
+
+
+def _joined_entries(tagged, first_label) -> Column:
+    """Before the first label every plain block opens a question; from there on only labels do."""
     opened = F.transform(
         tagged,
         lambda t, i: F.concat(
@@ -143,14 +157,7 @@ def generated_questions(text) -> Column:
             t["b"],
         ),
     )
-    entries = F.split(F.array_join(opened, ""), "\u0002")
-    cleaned = F.transform(entries, _clean_entry)
-    return F.filter(
-        cleaned,
-        lambda q: (q != "")
-        & ~q.rlike(r"^-{2,}$")
-        & (q.contains("?") | q.contains("...") | q.rlike(r"(?m)^[A-Ha-h][).\-:]\s+")),
-    )
+    return F.split(F.array_join(opened, ""), "\u0002")
 
 
 def _clean_entry(entry) -> Column:
@@ -426,7 +433,7 @@ def passage_questions(docs: DataFrame, text: str = "text") -> DataFrame:
     region = F.regexp_extract(after, r"^(?:(?:\d+\s*[.)]|[A-Da-d]\s*[.)])[^\n]*+(?:\n|$))*+", 0)
     items = F.filter(F.split(region, r"(?m)^(?=\d+\s*[.)])"), lambda x: x != "")
 
-    def item(x):
+    def item(x, excerpt):
         parts = F.filter(F.split(x, "\n"), lambda y: y != "")
         first = F.element_at(parts, 1)
         options = F.slice(F.transform(_rest(parts), lambda o: F.regexp_replace(o, r"^[A-Da-d]\s*[.)]\s*", "")), 1, 4)
@@ -434,29 +441,35 @@ def passage_questions(docs: DataFrame, text: str = "text") -> DataFrame:
             F.lit("(Passage) "), F.regexp_extract(first, r"^(\d+)", 1), F.lit(". "),
             F.regexp_replace(first, r"^\d+\s*[.)]\s*", ""),
         )
-        return F.struct(stem.alias("question"), options.alias("options"), shown.alias("passage"))
+        return F.struct(stem.alias("question"), options.alias("options"), excerpt.alias("passage"))
 
-    asked = F.filter(F.transform(items, item), lambda q: F.size(q["options"]) > 0)
+    asked = let(shown, lambda excerpt: F.filter(
+        F.transform(items, lambda x: item(x, excerpt)), lambda q: F.size(q["options"]) > 0
+    ))
 
-    blanks = F.regexp_extract_all(whole, F.lit(r"_+\s*\((\d+)\)"), F.lit(1))
     is_options = lambda x: x.contains("A)") & x.contains("B)")
     all_lines = lines(F.col(text))
-    option_lines = F.filter(all_lines, is_options)
-    prose = F.array_join(F.filter(all_lines, lambda x: ~is_options(x)), " ")
+    prose = F.concat(
+        F.substring(F.array_join(F.filter(all_lines, lambda x: ~is_options(x)), " "), 1, 100), F.lit("...")
+    )
 
-    def blank(n, i):
-        options = F.transform(
-            _rest(F.split(F.coalesce(F.try_element_at(option_lines, i + 1), F.lit("")), r"(?i)(?:^|\s+)[A-E]\s*[.)]\s*")), strip
-        )
+    def blank(n, i, option_lines, excerpt):
+        line = F.coalesce(F.try_element_at(option_lines, i + 1), F.lit(""))
+        options = F.transform(_rest(F.split(line, r"(?i)(?:^|\s+)[A-E]\s*[.)]\s*")), strip)
         return F.struct(
-            F.concat(F.lit("("), n, F.lit(") "), F.substring(prose, 1, 100), F.lit("...")).alias("question"),
-            F.filter(options, lambda o: o != "").alias("options"), shown.alias("passage"),
+            F.concat(F.lit("("), n, F.lit(") "), excerpt).alias("question"),
+            F.filter(options, lambda o: o != "").alias("options"), F.lit(None).cast("string").alias("passage"),
         )
 
-    found = F.when(F.size(blanks) > 0, F.transform(blanks, blank)).otherwise(asked)
+    blanks = F.regexp_extract_all(whole, F.lit(r"_+\s*\((\d+)\)"), F.lit(1))
+    found = let(blanks, lambda numbers: F.when(
+        F.size(numbers) > 0,
+        let(F.filter(all_lines, is_options), lambda option_lines: let(
+            prose, lambda excerpt: F.transform(numbers, lambda n, i: blank(n, i, option_lines, excerpt))
+        )),
+    ).otherwise(asked))
     rows = docs.select(*keep, F.posexplode(found).alias("pos", "_q"))
-    passage_out = F.when(F.col("_q.question").startswith("(Passage)"), F.col("_q.passage"))
-    return rows.select(*keep, "pos", "_q.question", "_q.options", passage_out.alias("passage"))
+    return rows.select(*keep, "pos", "_q.question", "_q.options", "_q.passage")
 
 
 # ------------------------------------------------------------------- tagging
@@ -631,8 +644,8 @@ def cell_questions(cells: DataFrame, text: str = "text") -> DataFrame:
     last_question = F.array_max(F.transform(
         "_l", lambda x, i: F.when(x.endswith("?") | ((F.length(x) > 100) & (i < n - 3)), i).otherwise(-1)))
     first_slash = F.array_min(F.transform("_l", lambda x, i: F.when(x.contains("/") & ~x.endswith("?"), i).otherwise(ALL)))
-    loose = F.transform("_l", lambda x, i: (i >= first_slash) & (
-        (i == first_slash) | x.contains("/") | ((F.length(x) < 50) & ~x.endswith("?"))))
+    loose = let(first_slash, lambda first: F.transform("_l", lambda x, i: (i >= first) & (
+        (i == first) | x.contains("/") | ((F.length(x) < 50) & ~x.endswith("?")))))
     tagged = F.arrays_zip(F.col("_l").alias("x"), loose.alias("o"))
     cut = F.when(F.size(slash_at) >= 3, F.element_at(slash_at, 1)).when(
         (last_question >= 0) & (last_question < n - 2), last_question + 1
@@ -679,9 +692,10 @@ def answer_key_text(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
         F.concat(found(r"(?:Câu\s*)?(\d+)\s*[.:)]\s*([A-Ea-e])"), found(r"(\d+)\s+([A-Ea-e])\b")),
         lambda p: p["q"].between(1, n),
     )
-    rows = docs.select(*keep, pairs.alias("_p"))
-    last = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda q: F.try_element_at(F.filter("_p", lambda p: p["q"] == q), F.lit(-1)))
-    return rows.select(*keep, F.explode(F.filter(last, lambda p: p.isNotNull())).alias("_r")).select(
+    last = let(pairs, lambda found: F.transform(
+        F.sequence(F.lit(1), F.lit(n)), lambda q: F.try_element_at(F.filter(found, lambda p: p["q"] == q), F.lit(-1))
+    ))
+    return docs.select(*keep, F.explode(F.filter(last, lambda p: p.isNotNull())).alias("_r")).select(
         *keep, F.col("_r.q").alias("q"), F.col("_r.letter").alias("letter")
     )
 

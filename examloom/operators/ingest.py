@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import top_n
-from examloom.functions.text import question_key, strip
+from examloom.functions.text import let, question_key, strip
 from examloom.functions.urls import file_name, host
 
 DEFAULTS = {
@@ -232,16 +232,16 @@ def shape_similar(samples: DataFrame, bank: DataFrame, k: int = 3) -> DataFrame:
             example_text(F.col("content"), F.col("options")).alias("example"),
         ))).alias("_pool")
     )
-    length = F.length("text")
-    has = F.col("text").rlike(r"[ABCD][).]")
+    traits = F.struct(F.length("text").alias("length"), F.col("text").rlike(r"[ABCD][).]").alias("has"))
 
-    def scored(row):
-        off = F.abs(row["len"] - length) / F.greatest(length, F.lit(1))
+    def scored(row, sample):
+        off = F.abs(row["len"] - sample["length"]) / F.greatest(sample["length"], F.lit(1))
         near = F.when(off < 0.5, 2).when(off < 1.0, 1).otherwise(0)
-        score = near + F.when(row["has"] == has, 2).otherwise(0)
+        score = near + F.when(row["has"] == sample["has"], 2).otherwise(0)
         return F.struct((-score).alias("neg"), row["rn"].alias("rn"), row["id"].alias("id"), row["example"].alias("example"))
 
-    best = F.slice(F.array_sort(F.transform("_pool", scored)), 1, k)
+    ranked = let(traits, lambda sample: F.transform("_pool", lambda row: scored(row, sample)))
+    best = F.slice(F.array_sort(ranked), 1, k)
     return (
         samples.join(pool, "subject")
         .select("sample_id", F.posexplode(best).alias("_i", "_r"))

@@ -208,27 +208,37 @@ def cau_segments(pages: DataFrame, rules: SegmentRule | str = "tracnghiem", text
     keep = [c for c in pages.columns if c != text]
     numbers = F.regexp_extract_all(F.col(text), F.lit(rule.header), F.lit(1))
     bodies = F.slice(F.split(F.col(text), rule.header), 2, 1_000_000_000)
-    rows = pages.select(*keep, F.posexplode(F.arrays_zip(numbers.alias("n"), bodies.alias("body"))).alias("pos", "_s"))
-    body = F.col("_s.body")
-    marked = None
-    for mark in reversed(rule.option_marks):
-        pieces = F.split(body, mark)
-        marked = pieces if marked is None else F.when(body.rlike(mark), pieces).otherwise(marked)
-    rows = rows.select(*keep, "pos", F.col("_s.n").cast("int").alias("number"), body.alias("_body"), marked.alias("_parts"))
 
     def tidy(x):
         return squeeze(F.regexp_replace(x, rule.cut, ""))
 
-    options = F.filter(F.transform(F.slice("_parts", 2, 1_000_000_000), tidy), lambda x: x != "")
-    answer = F.upper(F.regexp_extract("_body", rule.answer, 1)) if rule.answer else F.lit("")
-    out = rows.select(
-        *keep, "pos", "number", tidy(F.element_at("_parts", 1)).alias("content"), options.alias("options"),
-        answer.alias("answer"),
+    def pieces(body):
+        out = F.split(body, rule.option_marks[-1])
+        for mark in reversed(rule.option_marks[:-1]):
+            out = F.when(body.rlike(mark), F.split(body, mark)).otherwise(out)
+        return out
+
+    def segment(s, i):
+        answer = F.upper(F.regexp_extract(s["body"], rule.answer, 1)) if rule.answer else F.lit("")
+        return let(pieces(s["body"]), lambda p: F.struct(
+            i.alias("pos"), s["n"].try_cast("int").alias("number"), tidy(F.element_at(p, 1)).alias("content"),
+            F.filter(F.transform(F.slice(p, 2, 1_000_000_000), tidy), lambda x: x != "").alias("options"),
+            answer.alias("answer"),
+        ))
+
+    def usable(q):
+        return (
+            (F.length(q["content"]) >= rule.min_stem)
+            & (F.size(q["options"]) >= rule.min_options)
+            & F.forall(q["options"], lambda o: F.length(o) >= rule.min_option_length)
+        )
+
+    # Filtered before the rows are made: a filter on the rows would work everything out again.
+    zipped = F.arrays_zip(numbers.alias("n"), bodies.alias("body"))
+    rows = pages.select(*keep, F.explode(F.filter(F.transform(zipped, segment), usable)).alias("_q"))
+    return rows.select(
+        *keep, "_q.pos", "_q.number", "_q.content", F.slice("_q.options", 1, 4).alias("options"), "_q.answer"
     )
-    long_enough = F.forall("options", lambda o: F.length(o) >= rule.min_option_length)
-    return out.filter(
-        (F.length("content") >= rule.min_stem) & (F.size("options") >= rule.min_options) & long_enough
-    ).withColumn("options", F.slice("options", 1, 4))
 
 
 # How reading passages begin.
@@ -297,15 +307,20 @@ def page_links(
     ``include`` and ``exclude`` are patterns on the address.  Links of a page
     are told apart inside its row.
     """
-    links = F.transform(
-        F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)),
-        lambda h: F.regexp_replace(
-            urls.without_fragment(urls.resolve(F.col("url"), unescape_html(h))), r"/+$", ""
+    hrefs = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
+    links = let(
+        urls.base_parts(F.col("url")),
+        lambda base: F.transform(
+            hrefs,
+            lambda h: F.regexp_replace(
+                urls.without_fragment(urls.resolve_from(base, unescape_html(h))), r"/+$", ""
+            ),
         ),
     )
     kept = F.filter(links, lambda x: x.rlike("(?i)^https?://"))
     if same_site:
-        kept = F.filter(kept, lambda x: urls.host(x) == urls.host(F.col("url")))
+        on_site = kept
+        kept = let(urls.host(F.col("url")), lambda site: F.filter(on_site, lambda x: urls.host(x) == site))
     if include:
         kept = F.filter(kept, lambda x: x.rlike(include))
     if exclude:
@@ -322,7 +337,7 @@ def document_links(pages: DataFrame, suffix: str = ".docx") -> DataFrame:
         "html", F.lit(r"(?is)<iframe\b[^>]*?\bsrc\s*=\s*[\"'][^\"']*view\.officeapps\.live\.com[^\"']*?src=([^&\"']+)"), F.lit(1)
     )
     shown = F.filter(F.transform(viewers, F.try_url_decode), lambda u: F.lower(u).endswith(suffix))
-    resolved = F.transform(direct, lambda h: urls.resolve(F.col("url"), h))
+    resolved = let(urls.base_parts(F.col("url")), lambda base: F.transform(direct, lambda h: urls.resolve_from(base, h)))
     return pages.select(
         "page_id", "url", F.explode(F.array_sort(F.array_distinct(F.concat(resolved, shown)))).alias("link")
     )
