@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -58,12 +59,21 @@ def let(value, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def contains_any(col, words: list[str]) -> Column:
+    """True when one of the plain words occurs; the text is looked at once."""
+    return col.rlike("|".join(re.escape(w) for w in words))
+
+
 def unix_breaks(col) -> Column:
     """Every kind of line break as a newline; texts without the rare kinds pass untouched."""
-    rare = F.lit(False)
-    for ch in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
-        rare = rare | col.contains(ch)
-    return F.when(rare, F.regexp_replace(col, LINE_BREAK, "\n")).otherwise(col)
+
+    def cleaned(x):
+        rare = F.lit(False)
+        for ch in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
+            rare = rare | x.contains(ch)
+        return F.when(rare, F.regexp_replace(x, LINE_BREAK, "\n")).otherwise(x)
+
+    return let(col, cleaned)
 
 
 def lines(col) -> Column:
@@ -166,11 +176,15 @@ ENTITIES = [
 
 def unescape_html(col) -> Column:
     """Replace the common named and numeric entities; ``&amp;`` goes last."""
-    out = col
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(col.contains("&"), out).otherwise(col)
+
+    def replaced(x):
+        out = x
+        for entity, char in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+        return F.when(x.contains("&"), out).otherwise(x)
+
+    return let(col, replaced)
 
 
 def strip_tags(col) -> Column:

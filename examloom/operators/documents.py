@@ -15,6 +15,7 @@ from examloom.functions.text import (
     NON_ASCII_CHAR,
     VIETNAMESE_CHAR,
     blocks,
+    contains_any,
     let,
     lines,
     squeeze,
@@ -180,20 +181,26 @@ def clean_generated(texts: DataFrame, text: str = "text") -> DataFrame:
 def split_answer_sections(texts: DataFrame, text: str = "text") -> DataFrame:
     """Questions, answer lines ``n. X`` and explanations of a generated text."""
     keep = [c for c in texts.columns if c != text]
-    cut = F.split(F.col(text), _EXPLANATION_HEAD, 2)
-    main, explained = F.element_at(cut, 1), F.try_element_at(cut, F.lit(2))
-    halves = F.split(main, _ANSWER_HEAD, 2)
-    raw = strip(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
     mark = r"(?iu)^(?:Câu\s*)?(\d+)[.):\s]+([A-D])\b.*$"
-    keyed = F.transform(
-        F.filter(lines(raw), lambda x: x.rlike(mark)),
-        lambda x: F.concat(F.regexp_extract(x, mark, 1), F.lit(". "), F.upper(F.regexp_extract(x, mark, 2))),
-    )
-    return texts.select(
-        *keep,
-        generated_questions(F.element_at(halves, 1)).alias("questions"),
-        F.when(F.size(keyed) > 0, F.array_join(keyed, "\n")).otherwise(raw).alias("answers"),
-        explanation_list(F.coalesce(explained, F.lit(""))).alias("explanations"),
+
+    def answer_lines(raw):
+        keyed = F.transform(
+            F.filter(lines(raw), lambda x: x.rlike(mark)),
+            lambda x: F.concat(F.regexp_extract(x, mark, 1), F.lit(". "), F.upper(F.regexp_extract(x, mark, 2))),
+        )
+        return let(keyed, lambda k: F.when(F.size(k) > 0, F.array_join(k, "\n")).otherwise(raw))
+
+    def sections(cut):
+        halves = F.split(F.element_at(cut, 1), _ANSWER_HEAD, 2)
+        return let(halves, lambda h: F.struct(
+            generated_questions(F.element_at(h, 1)).alias("questions"),
+            let(strip(F.coalesce(F.try_element_at(h, F.lit(2)), F.lit(""))), answer_lines).alias("answers"),
+            explanation_list(F.coalesce(F.try_element_at(cut, F.lit(2)), F.lit(""))).alias("explanations"),
+        ))
+
+    parted = let(F.split(F.col(text), _EXPLANATION_HEAD, 2), sections)
+    return texts.select(*keep, F.explode(F.array(parted)).alias("_s")).select(
+        *keep, "_s.questions", "_s.answers", "_s.explanations"
     )
 
 
@@ -237,6 +244,10 @@ _NO_TEXT = ["...", "..", ".", "…", ""]
 
 def split_option_line(line) -> Column:
     """Options of one line: ``A. x  B. y``, ``x⇥B) y`` or compact ``A. 2B. 4C. 5``."""
+    return let(line, _line_options)
+
+
+def _line_options(line) -> Column:
     compact = line.rlike(r"(?i)^A\s*[.)]\s*\S") & line.rlike(r"\S[B-D]\s*[.)]")
     marked = F.size(F.regexp_extract_all(line, F.lit(r"(?i)(?:^|\s)[A-E]\s*[.)]\s*(?=\S)"), F.lit(0)))
     tabbed = line.rlike(r"\t\s*[B-E]\s*\)")
@@ -303,7 +314,10 @@ def _stem_and_options(line) -> Column:
     embedded = line.rlike(r"(?i)\sA\s*[.)]\s*\S.*B\s*[.)]")
     start = F.regexp_instr(line, F.lit(r"(?i)\sA\s*[.)]\s*\S"))
     tail = F.when(embedded & ~begins, F.substring(line, start + 1, F.length(line))).otherwise(line)
-    many = split_option_line(tail)
+    return let(split_option_line(tail), lambda many: _parted_line(line, begins, embedded, start, many))
+
+
+def _parted_line(line, begins, embedded, start, many) -> Column:
     one = F.array(F.regexp_replace(line, r"(?i)^[A-D]\s*[.)]\s*", ""))
     options = (
         F.when((begins | embedded) & (F.size(many) >= 2), many)
@@ -318,12 +332,16 @@ def _stem_and_options(line) -> Column:
     return F.struct(stem.alias("stem"), options.alias("options"))
 
 
-_NUMBERED = "array<struct<number:int,question:string,options:array<string>>>"
-
-
-def _numbered(tagged: pd.Series) -> pd.Series:
-    """Group tagged lines of a document into questions."""
-    return tagged.map(_group_tagged)
+def _numbered_rows(batches):
+    """Tagged lines of documents, in Arrow batches, to question rows."""
+    for pdf in batches:
+        names = [*pdf.columns[:-1], "pos", "number", "question", "options"]
+        out = [
+            (*row[:-1], pos, q["number"], q["question"], q["options"])
+            for row in pdf.itertuples(index=False, name=None)
+            for pos, q in enumerate(_group_tagged(row[-1]))
+        ]
+        yield pd.DataFrame(out, columns=names).astype({"pos": "int32", "number": "Int32"})
 
 
 def _group_tagged(tagged) -> list[dict]:
@@ -393,7 +411,9 @@ def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
     def tag(t):
         x, kind = t["x"], t["kind"]
         body = F.when(kind == "numbered", strip(F.regexp_replace(x, r"^\d+\s*[.)]\s*", ""))).otherwise(x)
-        found = split_option_line(body)
+        return let(body, lambda y: let(split_option_line(y), lambda found: described(t, x, kind, y, found)))
+
+    def described(t, x, kind, body, found):
         single = F.array(strip(F.regexp_replace(x, r"(?i)^[A-E]\s*[.)]\s*", "")))
         options = (
             F.when(kind == "option", single)
@@ -411,10 +431,11 @@ def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     tagged = F.transform(F.transform(lines(F.col(text)), kind_of), tag)
-    grouped = F.pandas_udf(_numbered, _NUMBERED)
-    rows = docs.select(*keep, F.posexplode(grouped(tagged)).alias("pos", "_q"))
-    return rows.select(*keep, "pos", F.col("_q.number").alias("number"), F.col("_q.question").alias("question"),
-                       F.col("_q.options").alias("options"))
+    rows = docs.select(*keep, tagged.alias("_t"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInPandas(
+        _numbered_rows, ", ".join([*kept, "pos int", "number int", "question string", "options array<string>"])
+    )
 
 
 def passage_questions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -487,13 +508,6 @@ _LEVEL_NAMES = [
 ]
 
 
-def _has_word(low, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
-
-
 def line_tags(doc_lines: DataFrame, text: str = "text") -> DataFrame:
     """Flags of every line: option, blank, passage, instruction, matching, dialogue, and so on."""
     x = strip(F.col(text))
@@ -508,9 +522,9 @@ def line_tags(doc_lines: DataFrame, text: str = "text") -> DataFrame:
         "is_option": option,
         "is_fill_blank": blank,
         "is_passage": (F.length(x) > 150) & ~option & ~blank,
-        "is_passage_start": _has_word(low, _PASSAGE_WORDS),
+        "is_passage_start": contains_any(low, _PASSAGE_WORDS),
         "is_passage_with_blanks": (F.length(x) > 100) & x.rlike(r"\(\d+\)"),
-        "is_instruction": ~blank & (level | _has_word(low, _INSTRUCTION_WORDS)),
+        "is_instruction": ~blank & (level | contains_any(low, _INSTRUCTION_WORDS)),
         "is_matching": low.contains("match") | low.contains("column a"),
         "is_matching_item": x.rlike(r"(?i)^[1-9a-z][.)]\s*.+[….]{2,}"),
         "is_dialogue_task": low.contains("complete the dialogue") | low.contains("suitable response"),
@@ -559,7 +573,7 @@ def shape_vote(docs: DataFrame, text: str = "text") -> DataFrame:
         count(head(80), r"^[A-E][.)]\s*.+\s*/\s*.+").alias("bilingual_options"),
         F.size(F.filter(pairs, lambda p: p)).alias("bilingual_pairs"),
         count(head(80), r"(?iu)^Câu\s+\d+").alias("cau_lines"),
-        (_has_word(sample, ["for each question", "read the text", "choose the correct answer", "choose the best answer"])
+        (contains_any(sample, ["for each question", "read the text", "choose the correct answer", "choose the best answer"])
          | F.exists(head(80), lambda x: x.rlike(r"[A-D]\)\s*\w"))).alias("is_reading"),
     )
     name = F.upper(F.col("name")) if "name" in docs.columns else F.lit("")
@@ -635,41 +649,54 @@ def cell_questions(cells: DataFrame, text: str = "text") -> DataFrame:
     line; else short lines from the first slash line on.  A cell with a blank
     to fill and no options is a question too.
     """
-    rows = cells.withColumn("_l", lines(F.col(text))).filter(F.size("_l") >= 2)
-    n = F.size("_l")
-    labelled = F.filter("_l", lambda x: x.rlike(r"^[A-E]\.\s+"))
+    keep = [c for c in cells.columns if c != text]
+    found = let(lines(F.col(text)), lambda parts: let(_cell_options(parts), lambda o: _cell_rows(parts, o)))
+    return cells.select(*keep, F.explode(found).alias("_q")).select(*keep, "_q.question", "_q.options")
+
+
+_CELL_LABEL = r"^[A-E]\.\s+"
+
+
+def _cell_options(parts) -> Column:
+    """For every line of a cell: is it an option."""
+    n = F.size(parts)
     slash_at = F.filter(
-        F.transform("_l", lambda x, i: F.when(x.contains("/") & (F.length(x) < 120) & (i >= 2), i)), lambda i: i.isNotNull()
+        F.transform(parts, lambda x, i: F.when(x.contains("/") & (F.length(x) < 120) & (i >= 2), i)),
+        lambda i: i.isNotNull(),
     )
     last_question = F.array_max(F.transform(
-        "_l", lambda x, i: F.when(x.endswith("?") | ((F.length(x) > 100) & (i < n - 3)), i).otherwise(-1)))
-    first_slash = F.array_min(F.transform("_l", lambda x, i: F.when(x.contains("/") & ~x.endswith("?"), i).otherwise(ALL)))
-    loose = let(first_slash, lambda first: F.transform("_l", lambda x, i: (i >= first) & (
+        parts, lambda x, i: F.when(x.endswith("?") | ((F.length(x) > 100) & (i < n - 3)), i).otherwise(-1)))
+    first_slash = F.array_min(F.transform(
+        parts, lambda x, i: F.when(x.contains("/") & ~x.endswith("?"), i).otherwise(ALL)))
+    by_label = F.transform(parts, lambda x: x.rlike(_CELL_LABEL))
+
+    def after(place):
+        return F.transform(parts, lambda x, i: i >= place)
+
+    loose = let(first_slash, lambda first: F.transform(parts, lambda x, i: (i >= first) & (
         (i == first) | x.contains("/") | ((F.length(x) < 50) & ~x.endswith("?")))))
-    tagged = F.arrays_zip(F.col("_l").alias("x"), loose.alias("o"))
-    cut = F.when(F.size(slash_at) >= 3, F.element_at(slash_at, 1)).when(
-        (last_question >= 0) & (last_question < n - 2), last_question + 1
-    )
-    no = F.array().cast(NO_STRINGS)
-    stem = (
-        F.when(F.size(labelled) > 0, F.filter("_l", lambda x: ~x.rlike(r"^[A-E]\.\s+")))
-        .when(cut.isNotNull(), F.slice("_l", F.lit(1), cut))
-        .otherwise(F.transform(F.filter(tagged, lambda t: ~t["o"]), lambda t: t["x"]))
+    by_question = let(last_question, lambda q: F.when((q >= 0) & (q < n - 2), after(q + 1)).otherwise(loose))
+    return F.when(F.array_contains(by_label, True), by_label).otherwise(
+        let(slash_at, lambda s: F.when(F.size(s) >= 3, after(F.element_at(s, 1))).otherwise(by_question))
     )
-    options = (
-        F.when(F.size(labelled) > 0, F.transform(labelled, lambda x: F.regexp_replace(x, r"^[A-E]\.\s+", "")))
-        .when(cut.isNotNull(), F.slice("_l", cut + 1, n))
-        .otherwise(F.transform(F.filter(tagged, lambda t: t["o"]), lambda t: t["x"]))
-    )
-    parted = rows.withColumn("_q", stem).withColumn("_o", options).withColumn(
-        "_both", (F.size("_q") > 0) & (F.size("_o") > 0)
-    )
-    keep = [c for c in cells.columns if c != text]
-    joined = F.array_join("_l", "\n")
-    return parted.filter(F.col("_both") | joined.contains("___")).select(
-        *keep,
-        F.when(F.col("_both"), F.array_join("_q", "\n")).otherwise(joined).alias("question"),
-        F.when(F.col("_both"), F.col("_o")).otherwise(no).alias("options"),
+
+
+def _cell_rows(parts, is_option) -> Column:
+    """No row or one: stem and options, or a text with a blank to fill."""
+    tagged = F.arrays_zip(parts.alias("x"), is_option.alias("o"))
+    stem = F.transform(F.filter(tagged, lambda t: ~t["o"]), lambda t: t["x"])
+    options = F.transform(F.filter(tagged, lambda t: t["o"]), lambda t: F.regexp_replace(t["x"], _CELL_LABEL, ""))
+
+    def row(question, found):
+        return F.array(F.struct(question.alias("question"), found.alias("options")))
+
+    none = F.array().cast(NO_STRINGS)
+    whole = F.array_join(parts, "\n")
+    both = F.array_contains(is_option, True) & F.array_contains(is_option, False)
+    return (
+        F.when((F.size(parts) >= 2) & both, row(F.array_join(stem, "\n"), options))
+        .when((F.size(parts) >= 2) & whole.contains("___"), row(whole, none))
+        .otherwise(F.array().cast("array<struct<question:string,options:array<string>>>"))
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from examloom.functions import urls
 from examloom.functions.storage import checkpointed
-from examloom.functions.text import let, squeeze, strip_tags, unescape_html
+from examloom.functions.text import contains_any, let, squeeze, strip_tags, unescape_html
 
 # Marks of answers and numbering in page texts.
 ANSWER_MARK = r"(?iu)(?:Đáp án|Answer|Đ/A)[:\s]*([A-Da-d])"
@@ -416,36 +416,35 @@ def needs_image(text) -> Column:
     return F.coalesce(text.rlike("(?iu)" + "|".join(NEEDS_IMAGE)), F.lit(False))
 
 
-def _any_of(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
-
-
 def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
 
 
 def image_kind(tag) -> Column:
     """skip, formula, small or meaningful for one ``<img>`` tag; none without a source."""
-    src = F.lower(_attribute(tag, "src"))
-    alt = F.lower(_attribute(tag, "alt"))
-    words = F.concat(alt, F.lit(" "), F.lower(_attribute(tag, "title")))
+    parts = F.struct(
+        F.lower(_attribute(tag, "src")).alias("src"), F.lower(_attribute(tag, "alt")).alias("alt"),
+        F.lower(_attribute(tag, "title")).alias("title"),
+    )
+    return let(parts, lambda p: _kind_of(tag, p))
+
+
+def _kind_of(tag, p) -> Column:
+    src, alt = p["src"], p["alt"]
     formula = (
-        _any_of(src, FORMULA_SOURCES)
-        | _any_of(F.lower(_attribute(tag, "class")), FORMULA_CLASSES)
+        contains_any(src, FORMULA_SOURCES)
+        | contains_any(F.lower(_attribute(tag, "class")), FORMULA_CLASSES)
         | (_attribute(tag, "data-latex") != "")
         | (_attribute(tag, "data-formula") != "")
-        | _any_of(words, FORMULA_WORDS)
-        | _any_of(alt, FORMULA_DELIMITERS)
+        | contains_any(F.concat(alt, F.lit(" "), p["title"]), FORMULA_WORDS)
+        | contains_any(alt, FORMULA_DELIMITERS)
     )
     width = F.regexp_replace(_attribute(tag, "width"), "px", "").try_cast("int")
     height = F.regexp_replace(_attribute(tag, "height"), "px", "").try_cast("int")
     small = F.coalesce((width < 100) | (height < 50), F.lit(False)) & width.isNotNull() & height.isNotNull()
     return (
         F.when(src == "", "none")
-        .when(_any_of(src, SKIPPED_IMAGES), "skip")
+        .when(contains_any(src, SKIPPED_IMAGES), "skip")
         .when(formula, "formula")
         .when(small | F.coalesce(width < 30, F.lit(False)), "small")
         .otherwise("meaningful")
