@@ -1,28 +1,27 @@
-"""Cutting lineage in iterative jobs."""
+"""Folders that every executor sees, and cutting lineage in them."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise to reliable storage and forget how the rows came about.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or one set on the context, or else one beside the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
 
-    Uses the shared folder of ``spark.checkpoint.dir``.  Only a session without
-    one, as in tests, gets a temporary folder.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise to reliable storage and forget how the rows came about."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, next to the checkpoints of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
