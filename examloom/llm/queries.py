@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from examloom.llm import quality_rules, url_filter
+from examloom.llm import quality_rules, secrets, url_filter
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -18,6 +18,16 @@ def op3(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES, labels)
 
 
+@query("op4_secret_scans")
+def op4(spark, folder):
+    """Secrets in every document."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 @query("op8_quality_rules")
 def op8(spark, folder):
     """Counts, base rule and adaptive verdict for every document."""
