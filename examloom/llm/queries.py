@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from examloom.llm import quality_rules, secrets, url_filter
+from examloom.llm import quality_classifier, quality_rules, secrets, url_filter
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -28,6 +28,17 @@ def op4(spark, folder):
         F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+@query("op6_quality_classifier")
+def op6(spark, folder):
+    """Quality score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # only the score depends on the text; it is dropped after the tasks have read it
+    out = quality_classifier.scored(docs, table(spark, folder, "labels"))
+    return out.select(
+        "doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op8_quality_rules")
 def op8(spark, folder):
     """Counts, base rule and adaptive verdict for every document."""
