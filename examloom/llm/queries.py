@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from examloom.llm import quality_classifier, quality_rules, secrets, url_filter
+from examloom.functions.storage import scratch_folder
+from examloom.llm import bpe, quality_classifier, quality_rules, secrets, url_filter, warc
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -43,3 +46,21 @@ def op6(spark, folder):
 def op8(spark, folder):
     """Counts, base rule and adaptive verdict for every document."""
     return quality_rules.quality_filter(table(spark, folder, "documents"))
+
+
+@query("op9_bpe")
+def op9(spark, folder):
+    """Ids of every document, and the text that they decode to."""
+    vocabulary = bpe.read_vocabulary(VOCABULARY)
+    found = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return found.select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op10_warc")
+def op10(spark, folder):
+    """Every page into an archive and back."""
+    place = scratch_folder(spark, "warc")
+    warc.write_archive(table(spark, folder, "pages"), place)
+    return warc.record_fields(warc.read_archive(spark, place))
