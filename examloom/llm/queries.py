@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from examloom.functions.storage import scratch_folder
-from examloom.llm import bpe, quality_classifier, quality_rules, secrets, url_filter, warc
+from examloom.llm import bpe, quality_classifier, quality_rules, secrets, token_counts, url_filter, warc
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,13 @@ def op4(spark, folder):
         F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+@query("op5_token_counts")
+def op5(spark, folder):
+    """Tokens of every section of every document; a token on a boundary goes where most of it lies."""
+    ranks = token_counts.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.section_tokens(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op6_quality_classifier")
 def op6(spark, folder):
     """Quality score of every document."""
