@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from examloom.functions.storage import scratch_folder
-from examloom.llm import bpe, quality_classifier, quality_rules, secrets, token_counts, url_filter, warc
+from examloom.llm import bpe, jaccard_join, quality_classifier, quality_rules, secrets, token_counts, url_filter, warc
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,12 @@ def op6(spark, folder):
         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op7_jaccard_join")
+def op7(spark, folder):
+    """Class and number of links of every document at a similarity of 0.8 or more."""
+    return jaccard_join.similar(table(spark, folder, "documents"))
+
+
 @query("op8_quality_rules")
 def op8(spark, folder):
     """Counts, base rule and adaptive verdict for every document."""
