@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from examloom.functions.storage import scratch_folder
-from examloom.llm import bpe, jaccard_join, quality_classifier, quality_rules, secrets, token_counts, url_filter, warc
+from examloom.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, secrets, token_counts, url_filter, warc
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+@query("op1_decontaminate")
+def op1(spark, folder):
+    """Benchmark items in every document."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op3_url_filter")
 def op3(spark, folder):
     """Every page URL against four rules and the template tree; labels come from the document that a path names."""
