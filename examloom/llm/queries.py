@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from examloom.functions.storage import scratch_folder
-from examloom.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, secrets, token_counts, url_filter, warc
+from examloom.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, secrets, suffix_dedup, token_counts, url_filter, warc
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,13 @@ def op1(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark, folder):
+    """Bytes that smaller documents hold too, for every document."""
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_url_filter")
 def op3(spark, folder):
     """Every page URL against four rules and the template tree; labels come from the document that a path names."""
