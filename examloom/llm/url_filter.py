@@ -96,7 +96,7 @@ def judge_urls(
 
     ``labels`` has key and bad (boolean): the number in a path names the key of its label, when both exist.
     A template is blocked when its smoothed share of bad labels, (bad + prior * overall share) /
-    (labelled + prior), is at least ``reject_at``.  Labels repeated for a key count once, as bad if one of
+    (labelled + prior), is at least ``reject_at``; one without labels is allowed.  Labels repeated for a key count once, as bad if one of
     them is.  Verdicts of rules stand.
     """
     host, path = host_and_path(F.col("url"))
@@ -111,12 +111,13 @@ def judge_urls(
             F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("good"),
             F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad")))
     tree = template_tree(shapes, max_depth)
-    overall = shapes.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1).alias("o_bad"), (F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0)) + 2).alias("o_n"))
-    purity = (F.col("t_bad") + prior * F.col("o_bad") / F.col("o_n")) / (F.col("t_n") + prior)
+    totals = shapes.agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("n")).first()  # two numbers
+    share = ((totals["bad"] or 0) + 1) / ((totals["n"] or 0) + 2)
+    purity = (F.col("t_bad") + prior * share) / (F.col("t_n") + prior)
     groups = tree.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum(F.col("bad") + F.col("good")).alias("t_n"))
-    judged = groups.join(F.broadcast(overall), F.lit(True)).select("host", "template", purity.alias("purity"))  # one row
+    judged = groups.select("host", "template", purity.alias("purity"), (F.col("t_n") > 0).alias("labelled"))
     found = tree.select("host", "segs", "template").join(judged, ["host", "template"])
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_tree = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
+    by_tree = F.when(F.col("labelled") & (F.col("purity") >= reject_at), "block").otherwise("allow")
     return urls.join(found, ["host", "segs"], "left").select(
         "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, by_tree).alias("verdict"), "template", "purity")
