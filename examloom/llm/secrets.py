@@ -123,7 +123,8 @@ def text_p_value(encoding: str, n: int, chi: float, frequencies: dict[str, float
     Normal approximation with the mean and variance that the sum of squared counts has for n draws.
     """
     chars = ENCODINGS[encoding]
-    q = np.array([frequencies.get(c, 0.0) for c in chars])
+    one_case = chars.lower() == chars or chars.upper() == chars  # text in one case has the letters of both
+    q = np.array([sum(frequencies.get(x, 0.0) for x in ({c.lower(), c.upper()} if one_case else {c})) for c in chars])
     q = q / q.sum() if q.sum() else np.full(len(chars), 1 / len(chars))
     s2, s3 = float((q**2).sum()), float((q**3).sum())
     size = len(chars)
