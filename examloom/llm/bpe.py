@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from examloom.llm.bytes import pieces, prefix_hash, span_hash, word_spans
 
 #: Distinct words that a task remembers before it starts a new table; bounds memory, not results.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 400_000
 _ENCODE_AT_ONCE = 4096
 
 
@@ -86,15 +86,11 @@ class WordTable:
         return rows[inverse]
 
 
-def encode(docs: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, and ``ids``: unsigned 32-bit little-endian ids, one after another."""
-    rest = [f for f in docs.schema.fields if f.name not in (column, "ids")]
-
+def _encoding(vocabulary: str, column: str, rest: list[str]):
     def run(batches):
         table = WordTable(vocabulary)
         for batch in batches:
-            texts = batch.column(column)
-            for first, end, data, starts in pieces(texts):
+            for first, end, data, starts in pieces(batch.column(column)):
                 s, e = word_spans(data, starts)
                 rows = table.lookup(span_hash(prefix_hash(data), s, e), data, s, e)
                 size, at = table.size[rows], table.at[rows]
@@ -106,40 +102,62 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
                 cuts = before[np.searchsorted(s, starts)] * 4
                 offsets = pa.py_buffer(cuts.astype(np.int32).tobytes())
                 ids = pa.Array.from_buffers(pa.binary(), end - first, [None, offsets, pa.py_buffer(flat.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(first, end - first) for f in rest), ids], [*(f.name for f in rest), "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in rest), ids], [*rest, "ids"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
-    return docs.select(*(f.name for f in rest), column).mapInArrow(run, ", ".join([*fields, "ids binary"]))
+    return run
 
 
 def piece_table(vocabulary: str) -> list[str]:
     """The piece of every id, special tokens included."""
     spec = json.loads(vocabulary)
+    if spec.get("decoder"):
+        raise ValueError("only tokenizers without a decoder are supported")
     by_id = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
     return [by_id.get(i, "") for i in range(max(by_id) + 1)]
 
 
+def _decoding(vocabulary: str):
+    def run(batches):
+        by_id = pa.array(piece_table(vocabulary), pa.string())
+        for batch in batches:
+            ids = pc.fill_null(batch.column("ids"), b"")
+            sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4
+            first = 0
+            while first < len(batch):  # some 200,000 ids at a time, a longer text alone
+                end = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), 200_000, "right")))
+                raw = ids.slice(first, end - first).to_pylist()
+                cuts = np.concatenate([[0], np.cumsum(sizes[first:end])]).astype(np.int32)
+                found = by_id.take(pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int64)))
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found), " ")
+                part = batch.slice(first, len(raw))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
+                first += len(raw)
+
+    return run
+
+
+def _fields(frame: DataFrame, *without: str) -> dict[str, str]:
+    return {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name not in without}
+
+
+def encode(docs: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, and ``ids``: unsigned 32-bit little-endian ids, one after another."""
+    rest = _fields(docs, column, "ids", "decoded")
+    return docs.select(*rest, column).mapInArrow(_encoding(vocabulary, column, list(rest)), ", ".join([*rest.values(), "ids binary"]))
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``: the pieces of its ids, joined by blanks.
 
     That is what the library does for a tokenizer without a decoder.
     """
-    table = piece_table(vocabulary)
-    if json.loads(vocabulary).get("decoder"):
-        raise ValueError("only tokenizers without a decoder are supported")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "decoded"]
+    fields = _fields(encoded, "decoded")
+    return encoded.select(*fields).mapInArrow(_decoding(vocabulary), ", ".join([*fields.values(), "decoded string"]))
 
-    def run(batches):
-        by_id = pa.array(table, pa.string())
-        for batch in batches:
-            ids = pc.fill_null(batch.column("ids"), b"")
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                raw = ids.slice(at, 256).to_pylist()
-                flat = np.frombuffer(b"".join(raw), "<u4")
-                cuts = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
-                found = by_id.take(pa.array(flat.astype(np.int64)))
-                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
-    return encoded.drop("decoded").mapInArrow(run, ", ".join([*fields, "decoded string"]))
+def round_trip(docs: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
+    """``decode(encode(docs))``, both in one pass of one worker."""
+    rest = _fields(docs, column, "ids", "decoded")
+    encoding, decoding = _encoding(vocabulary, column, list(rest)), _decoding(vocabulary)
+    return docs.select(*rest, column).mapInArrow(
+        lambda batches: decoding(encoding(batches)), ", ".join([*rest.values(), "ids binary", "decoded string"]))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together until they reach this many bytes; a longer text is taken alone, whole.
-PIECE = 4 << 20
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,21 +41,20 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
         first = end
 
 
-@lru_cache(maxsize=1)
-def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    n = 1 << log_size
-    out = []
-    for base in (_BASE, inverse):
-        steps = np.full(n + 1, base, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n at least of the hash base, and of its inverse."""
-    return _powers(max(22, int(n).bit_length()))
+    """Powers 0 to n at least of the hash base, and of its inverse; the longest tables so far are kept."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(PIECE, n) + 1
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size + 1, base, np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[:] = tables
+    return _POWERS[0], _POWERS[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -113,7 +111,7 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, size: int = 5) -> tuple
         return words, rows
     first, counts = np.unique(rows, return_index=True)[1], np.unique(rows, return_counts=True)[1]
     total = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         stretch = words[k:] * np.uint64(pow(_BASE, k + 1, 1 << 64))
         total[: n - k] += stretch
     whole = np.zeros(n, bool)

@@ -78,7 +78,7 @@ def op8(spark, folder):
 def op9(spark, folder):
     """Ids of every document, and the text that they decode to."""
     vocabulary = bpe.read_vocabulary(VOCABULARY)
-    found = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    found = bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
     return found.select(
         "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

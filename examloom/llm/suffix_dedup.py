@@ -39,6 +39,8 @@ LENGTH, ANCHOR = 50, 26
 REACH = LENGTH - ANCHOR + 1  # anchors per string, and strings per tile at most
 #: Chunks that share an anchor before its strings travel one by one.
 FREQUENT = 2000
+#: Bytes of text per chunk, about; a longer text is a chunk of its own.
+CHUNK = 2 << 20
 #: Bytes of text per bucket, about.
 BUCKET = 8 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a null id
@@ -61,7 +63,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id")
         known = np.asarray(ids.is_valid())
         numbers = np.asarray(ids.cast(pa.int64()).fill_null(_LAST))
-        for first, end, data, starts in pieces(batch.column("text")):
+        for first, end, data, starts in pieces(batch.column("text"), CHUNK):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([numbers[first:end].tobytes()], pa.binary()), pa.array([known[first:end].tobytes()], pa.binary()),
                  pa.array([starts.tobytes()], pa.binary()), pa.array([_pack(data.tobytes())], pa.binary()), pa.array([len(data)], pa.int64())],
