@@ -5,135 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 50_000
+from examloom.functions.storage import checkpointed
 
-
-# Above this many rows per key Spark ranks whole groups (windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-SALTS = 256
+SALTS = 64
 
 
 def top_n(df: DataFrame, keys: list, order: list, n: int, out: str = "rn") -> DataFrame:
-    """First ``n`` rows of each key.
+    """First ``n`` rows of each key, in two levels.
 
-    The bound is a literal, so Spark keeps only ``n`` rows per key in every map
-    task before the shuffle (WindowGroupLimit); a large key does not matter.
-    For an ``n`` too large for that, each key is first cut in salted parts, and
-    the first ``n`` of the parts are ranked again.
+    Keys are first cut in salted parts by a hash of the row, and the first ``n`` of the parts are ranked
+    again, so a key with most of the rows is ranked by many tasks.  The bound is a literal: Spark drops rows
+    beyond it before the shuffle as well (WindowGroupLimit), equal rows included.
     """
-    if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt).withColumn(out, F.row_number().over(part))
-            .filter(F.col(out) <= F.lit(int(n))).drop("_salt", out)
-        )
+    bound = F.lit(int(n))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    firsts = salted.withColumn(out, F.row_number().over(part)).filter(F.col(out) <= bound).drop("_salt", out)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(out, rank).filter(F.col(out) <= F.lit(int(n)))
+    return firsts.withColumn(out, rank).filter(F.col(out) <= bound)
 
 
-def split_row_number(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    block: Column,
-    out: str = "rn",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``row_number`` per key where keys above ``hot_rows`` rows are cut in blocks.
+def split_row_number(df: DataFrame, keys: list[str], order: list, out: str = "rn") -> DataFrame:
+    """``row_number`` per key, for keys of any size."""
+    return split_running_sum(df, keys, order, F.lit(1), out)
 
-    ``block`` must not decrease along ``order``.
-    """
-    return split_running_sum(df, keys, order, block, F.lit(1), out, hot_rows)
-
-
-def split_running_sum(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    block: Column,
-    value: Column,
-    out: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+
+def split_running_sum(df: DataFrame, keys: list[str], order: list, value: Column, out: str) -> DataFrame:
     """Running sum of ``value`` per key, the row itself included.
 
-    Rows of a large key are summed inside their block, then moved up by the
-    sums of the blocks before it.  The rows are shuffled once, by key and block;
-    the join with the sums of blocks meets them where they are.
-    """
-    tagged = _tag_hot(df, keys, block, hot_rows)
-    sums = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sums.select(
-        *[F.col(k).alias(f"_off_{k}") for k in keys],
-        F.col("_block").alias("_off_block"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-    )
-    same_block = [F.col(k) == F.col(f"_off_{k}") for k in keys] + [
-        F.col("_block") == F.col("_off_block")
-    ]
-    along = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    summed = tagged.withColumn("_inside", F.sum(value).over(along)).join(
-        offsets, _all(same_block), "left"
-    )
-    return summed.withColumn(
-        out, (F.col("_inside") + F.coalesce(F.col("_offset"), F.lit(0))).cast("long")
-    ).drop("_hot", "_block", "_inside", "_offset", "_off_block", *[f"_off_{k}" for k in keys])
-
-
-def with_neighbours(
-    df: DataFrame, keys: list[str], pos: str, value: Column, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``_prev`` and ``_next``: ``value`` (never null) of the rows around a row by ``pos``.
-
-    Keys above ``hot_rows`` rows are cut in blocks of positions; the first and
-    last rows of their blocks are handed over through a small table.
+    Rows are cut into ranges of (key, order), so a large key lies in many ranges and a small one in one.  Sums
+    run inside a range; what a key has in the ranges before is added from a table of one row per key and range.
+    Null keys are a key like others.
     """
-    tagged = _tag_hot(df, keys, F.floor(F.col(pos) / hot_rows), hot_rows).withColumn("_value", value)
-    edges = tagged.filter(F.col("_hot")).groupBy(*keys, "_block").agg(
-        F.min_by("_value", pos).alias("_first"), F.max_by("_value", pos).alias("_last")
-    )
-    along = Window.partitionBy(*keys).orderBy("_block")
-    handed = edges.select(
-        *[F.col(k).alias(f"_off_{k}") for k in keys],
-        F.col("_block").alias("_off_block"),
-        F.lead("_first").over(along).alias("_after"),
-        F.lag("_last").over(along).alias("_before"),
-    )
-    same = [F.col(k) == F.col(f"_off_{k}") for k in keys] + [F.col("_block") == F.col("_off_block")]
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos)
-    out = (
-        tagged.withColumn("_next", F.lead("_value").over(inside))
-        .withColumn("_prev", F.lag("_value").over(inside))
-        .join(handed, _all(same), "left")
-        .withColumn("_next", F.coalesce("_next", "_after"))
-        .withColumn("_prev", F.coalesce("_prev", "_before"))
-    )
-    return out.drop("_hot", "_block", "_value", "_off_block", "_after", "_before", *[f"_off_{k}" for k in keys])
-
-
-def _tag_hot(df: DataFrame, keys: list[str], block: Column, hot_rows: int) -> DataFrame:
-    """Mark rows of the largest keys above ``hot_rows`` rows and give them a block.
-
-    No more than ``MAX_HOT_KEYS`` keys are marked, which bounds the broadcast;
-    a key beyond that, or a null one, is only not split.
+    rows = _ranged(df, keys, order)
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_key", "_range").agg(F.sum(value).alias("_sum")).select(
+        "_key", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    along = Window.partitionBy("_key", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("_inside", F.sum(value).over(along)).join(offsets, ["_key", "_range"])
+    return summed.withColumn(out, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_key", "_range", "_inside", "_offset")
+
+
+def with_neighbours(df: DataFrame, keys: list[str], pos: str, after: Column, before: Column) -> DataFrame:
+    """Add ``_next`` and ``_prev``: ``after`` of the row that follows by ``pos``, ``before`` of the one ahead.
+
+    Both are never null in a row.  Rows are cut into ranges as above; the first and last rows of a key in a
+    range are handed over through a small table.
     """
-    sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    largest = sizes.orderBy(F.col("count").desc()).limit(MAX_HOT_KEYS)
-    hot = largest.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same_key = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-    tagged = df.join(F.broadcast(hot), _all(same_key), "left").drop(*[f"_hot_{k}" for k in keys])
-    return tagged.withColumn("_block", F.when(F.col("_hot"), block))
-
-
-def _all(conditions: list) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    rows = _ranged(df.withColumn("_after", after).withColumn("_before", before), keys, [pos])
+    along = Window.partitionBy("_key").orderBy("_range")
+    handed = rows.groupBy("_key", "_range").agg(
+        F.min_by("_after", pos).alias("_first"), F.max_by("_before", pos).alias("_last")
+    ).select("_key", "_range", F.lead("_first").over(along).alias("_beyond"), F.lag("_last").over(along).alias("_ahead"))
+    inside = Window.partitionBy("_key", "_range").orderBy(pos)
+    near = rows.withColumn("_next", F.lead("_after").over(inside)).withColumn("_prev", F.lag("_before").over(inside))
+    out = near.join(handed, ["_key", "_range"]).withColumn("_next", F.coalesce("_next", "_beyond")).withColumn(
+        "_prev", F.coalesce("_prev", "_ahead"))
+    return out.drop("_key", "_range", "_after", "_before", "_beyond", "_ahead")
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows with their key as one value and the number of their range, stored once so that numbers stay."""
+    keyed = df.withColumn("_key", F.struct(*keys))
+    return checkpointed(keyed.repartitionByRange("_key", *order).withColumn("_range", F.spark_partition_id()))

@@ -147,42 +147,61 @@ def letter_at(position) -> Column:
     return F.char(position.cast("int") + F.lit(64))
 
 
-# Entities met in the feeds and pages.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#039;", "'"),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&deg;", "°"),
-    ("&eacute;", "é"),
-    ("&ouml;", "ö"),
-    ("&uuml;", "ü"),
-    ("&auml;", "ä"),
-    ("&pi;", "π"),
-    ("&times;", "×"),
-    ("&divide;", "÷"),
-]
+def _named_entities() -> tuple[dict[str, str], list[str]]:
+    """Names with their characters, and the old names that need no semicolon, longest first (public standard)."""
+    from html.entities import html5
+
+    full = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return full, sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+_NAMED, _OLD_NAMES = _named_entities()
+# Numbers of the range that the standard reads as Windows-1252.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def unescape_html(col) -> Column:
-    """Replace the common named and numeric entities; ``&amp;`` goes last."""
+    """Named, decimal and hexadecimal entities of HTML to their characters, each once; ``&nbsp;`` is a blank.
+
+    The text is cut at ampersands, and each part looks up its own entity.
+    """
+    listed = " ".join(f"{k}:{v.encode().hex()}" for k, v in _NAMED.items())
+    names = F.str_to_map(F.lit(listed), F.lit(" "), F.lit(":"))  # a constant
+
+    def named(name):
+        return F.when(name == "nbsp", " ").otherwise(F.decode(F.unhex(F.try_element_at(names, name)), "UTF-8"))
+
+    def numbered(digits):
+        hexed = F.lower(F.substring(digits, 1, 1)) == "x"
+        clean = F.regexp_replace(F.when(hexed, F.substring(digits, 2, 1 << 20)).otherwise(digits), "^0+(?=.)", "")
+        code = F.when(F.length(clean) <= 8, F.when(hexed, F.conv(clean, 16, 10)).otherwise(clean).try_cast("bigint"))
+
+        def char(n):
+            out = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+            for k, v in _WINDOWS.items():
+                out = F.when(n == k, v).otherwise(out)
+            control = n.between(1, 8) | n.between(14, 31) | n.between(127, 159) & ~n.isin(list(_WINDOWS)) | (n == 11)
+            noncharacter = n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+            bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+            return F.when(bad, "\ufffd").when(n == 13, "\r").when(n == 0x81, "\x81").when(
+                n.isin(0x8D, 0x8F, 0x90, 0x9D), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(
+                control | noncharacter, "").otherwise(out)
+
+        return let(code, char)
+
+    def decoded(part):
+        number = F.regexp_extract(part, r"^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        old = F.regexp_extract(part, f"^({'|'.join(_OLD_NAMES)})", 1)
+        by_number = F.concat(numbered(number), F.regexp_replace(part, r"^#([0-9]+|[xX][0-9a-fA-F]+);?", ""))
+        by_name = F.concat(named(name), F.regexp_replace(part, r"^[A-Za-z][A-Za-z0-9]*;", ""))
+        by_old = F.concat(named(old), F.substring(part, F.length(old) + 1, F.length(part)))
+        return F.when(number != "", by_number).otherwise(
+            F.coalesce(F.when(name != "", by_name), F.when(old != "", by_old), F.concat(F.lit("&"), part)))
 
     def replaced(x):
-        out = x
-        for entity, char in ENTITIES:
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-        return F.when(x.contains("&"), out).otherwise(x)
+        parts = F.transform(F.split(x, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+        return F.when(x.contains("&"), F.array_join(parts, "")).otherwise(x)
 
     return let(col, replaced)
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examloom.functions.ranking import HOT_ROWS, split_row_number, top_n
+from examloom.functions.ranking import split_row_number, top_n
 from examloom.functions.small import literal_table
 from examloom.functions.text import answer_letter, has_text, letter_at, seeded
 from examloom.operators.bank import DIFFICULTIES
@@ -80,7 +80,7 @@ def matrix_pick(
     # Rank on ids alone; the full rows are fetched for the winners only.
     slim = bank.filter(test).select("id", "topic", "difficulty", "times_used")
     candidates = (
-        slim.join(F.broadcast(spec), fits)  # as long as the matrix, a plain list
+        slim.join(spec, fits)  # a literal of the plan, as long as the matrix
         .withColumn("_luck", seeded(seed, F.col("id")))
         .withColumn("_draw", seeded(f"{seed}/", F.col("id")))
     )
@@ -100,11 +100,11 @@ def matrix_pick(
             ranked.select("cell", "id", "_rank", "_draw", "_n")
             .groupBy(F.lit(1).alias("_request"))
             .applyInPandas(
-                lambda pdf: _fill_in_turn(pdf, oversample), "cell int, place long, _id long"
+                lambda pdf: _fill_in_turn(pdf, oversample), f"cell int, place long, _id {bank.schema['id'].dataType.simpleString()}"
             )
         )
     # The same filters again, so that the scan for the full rows is pruned as well.
-    rows = bank.filter(test).join(F.broadcast(picks), F.col("id") == F.col("_id"))  # as many as asked for
+    rows = bank.filter(test).join(picks, F.col("id") == F.col("_id"))
     return rows.select("cell", "place", *bank.columns)
 
 
@@ -130,7 +130,7 @@ def _fill_in_turn(pdf: pd.DataFrame, oversample: int) -> pd.DataFrame:
         parts.append(
             pd.DataFrame({"cell": cell, "place": range(1, len(free) + 1), "_id": free["id"].values})
         )
-    return pd.concat(parts).astype({"cell": "int32", "place": "int64", "_id": "int64"})
+    return pd.concat(parts).astype({"cell": "int32", "place": "int64"})
 
 
 def shuffle_options(
@@ -199,7 +199,7 @@ def pick_answer_key(picks: DataFrame) -> DataFrame:
 
 
 def exam_variants(
-    exam_questions: DataFrame, bank: DataFrame, codes: list[str], seed="0", hot_rows: int = HOT_ROWS
+    exam_questions: DataFrame, bank: DataFrame, codes: list[str], seed="0"
 ) -> DataFrame:
     """Shuffled versions of every exam, one row per exam, code and question.
 
@@ -212,14 +212,13 @@ def exam_variants(
         "variant_code", F.explode(F.array(*[F.lit(c) for c in codes]))
     )
     rows = rows.withColumn(
-        "_key",
+        "_luck",
         seeded(seed, F.col("exam_id"), F.lit("|"), F.col("variant_code"), F.lit("|"),
                F.col("question_id"), F.lit("|"), F.col("order")),
     )
     placed = split_row_number(
-        rows, ["exam_id", "variant_code"], ["_key", "question_id", "order"],
-        F.substring("_key", 1, 3), "position", hot_rows,
-    ).drop("_key")
+        rows, ["exam_id", "variant_code"], ["_luck", "question_id", "order"], "position"
+    ).drop("_luck")
     q = bank.select(F.col("id").alias("_id"), "options", "answer")
     joined = placed.join(q, F.col("question_id") == F.col("_id"), "left")
     usable = (F.size("options") >= 2) & F.array_contains("options", F.col("answer"))
@@ -279,16 +278,20 @@ def exam_append(
 ) -> DataFrame:
     """Append ordered ids after the last place of their exam; drop removed ones first.
 
-    ``additions`` has (exam_id, question_ids array); an array is one row.
+    ``additions`` has (exam_id, question_ids array); an array is one row.  Several arrays for one exam follow
+    one another in the order of their values.
     """
     kept = exam_questions
     if removals is not None:
         kept = kept.join(removals.select("exam_id", "question_id").distinct(),
                          ["exam_id", "question_id"], "left_anti")
     last = kept.groupBy("exam_id").agg(F.max("order").alias("_last"))
+    several = Window.partitionBy("exam_id").orderBy("question_ids").rowsBetween(Window.unboundedPreceding, -1)
+    held = additions.select("exam_id", "question_ids").withColumn(
+        "_before", F.coalesce(F.sum(F.size("question_ids")).over(several), F.lit(0)))
     fresh = (
-        additions.join(last, "exam_id", "left")
-        .select("exam_id", F.coalesce("_last", F.lit(0)).alias("_last"),
+        held.join(last, "exam_id", "left")
+        .select("exam_id", (F.coalesce("_last", F.lit(0)) + F.col("_before")).alias("_last"),
                 F.posexplode("question_ids").alias("_i", "question_id"))
         .select("exam_id", "question_id",
                 (F.col("_last") + F.col("_i") + 1).cast("int").alias("order"),
@@ -305,12 +308,12 @@ def exam_totals(exam_questions: DataFrame) -> DataFrame:
 def sample_mix(
     pool_a: DataFrame, pool_b: DataFrame, n: int, ratio: float, seed="0", id_col: str = "id"
 ) -> DataFrame:
-    """A sample of ``n`` rows: ``round(n * ratio)`` of pool a, the others of pool b.
+    """A sample of ``n`` rows: ``round(n * ratio)`` of pool a (halves to even), the others of pool b.
 
     A pool smaller than its share is repeated from the start.  The share is a
     sampling size, so the sorted head of each pool is small.
     """
-    n_a = int(n * ratio + 0.5)
+    n_a = round(n * ratio)
     return _draw(pool_a, n_a, f"{seed}a", id_col).unionByName(
         _draw(pool_b, n - n_a, f"{seed}b", id_col)
     )

@@ -65,8 +65,9 @@ def bank_delete(bank: DataFrame, source_like: str | None = None, **filters):
 
 
 def bank_patch(bank: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
-    """Partial update: non-null patch fields win.  ``patches`` has one row per key."""
+    """Partial update: non-null patch fields win.  Of several patches for one key the smallest row counts."""
     fields = [c for c in patches.columns if c != key]
+    patches = patches.groupBy(key).agg(F.min(F.struct(*fields)).alias("_patch")).select(key, "_patch.*")
     renamed = patches.select(
         F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in fields]
     )

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examloom.functions.ranking import HOT_ROWS, split_row_number, split_running_sum, with_neighbours
+from examloom.functions.ranking import split_row_number, split_running_sum, with_neighbours
 from examloom.functions.storage import checkpointed
 from examloom.functions.text import (
     NON_ASCII_CHAR,
@@ -69,7 +69,7 @@ def language_flags(questions: DataFrame, question: str = "question", options: st
 _SECTION_HEADER = r"(?i)^\d+\s*[–\-]\s*Point\s+Questions?$"
 
 
-def bilingual_merge(questions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bilingual_merge(questions: DataFrame) -> DataFrame:
     """Merge an English row with the Vietnamese row right after it.
 
     ``questions(doc_id, pos, question, options)``.  Section headers go.  The
@@ -79,10 +79,6 @@ def bilingual_merge(questions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     Vietnamese one, so pairs cannot overlap and neighbours decide.
     """
     rows = questions.withColumn("question", strip(F.col("question")))
-    near = with_neighbours(
-        rows, ["doc_id"], "pos",
-        F.struct(F.col("question").alias("q"), F.col("options").alias("o")), hot_rows,
-    )
 
     def foreign(x):
         return x.rlike(NON_ASCII_CHAR)
@@ -90,9 +86,14 @@ def bilingual_merge(questions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     def opens(q):
         return ~q.rlike(_SECTION_HEADER) & ~foreign(q)
 
+    near = with_neighbours(
+        rows, ["doc_id"], "pos", F.struct(F.col("question").alias("q"), F.col("options").alias("o")),
+        F.coalesce(opens(F.col("question")), F.lit(False)),
+    )
+
     q, o, nq, no = F.col("question"), F.col("options"), F.col("_next.q"), F.col("_next.o")
     opener = opens(q) & F.coalesce(foreign(nq), F.lit(False))
-    taken = foreign(q) & F.coalesce(opens(F.col("_prev.q")), F.lit(False))
+    taken = foreign(q) & F.coalesce(F.col("_prev"), F.lit(False))
     paired = F.zip_with(
         o, no, lambda en, vn: F.when(foreign(vn) & ~foreign(en), F.concat(en, F.lit(" / "), vn)).otherwise(en)
     )
@@ -109,16 +110,17 @@ def bilingual_merge(questions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     )
 
 
-def bilingual_line_merge(doc_lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bilingual_line_merge(doc_lines: DataFrame) -> DataFrame:
     """Raw lines: a numbered line without Vietnamese letters and the Vietnamese line after it become one."""
-    near = with_neighbours(doc_lines, ["doc_id"], "line_no", F.struct(F.col("text").alias("t")), hot_rows)
 
     def opens(x):
         return x.rlike(r"^\d+\.\s*") & ~_viet(x)
 
     text = F.col("text")
+    near = with_neighbours(
+        doc_lines, ["doc_id"], "line_no", F.struct(text.alias("t")), F.coalesce(opens(text), F.lit(False)))
     opener = opens(text) & F.coalesce(_viet(F.col("_next.t")), F.lit(False))
-    taken = _viet(text) & F.coalesce(opens(F.col("_prev.t")), F.lit(False))
+    taken = _viet(text) & F.coalesce(F.col("_prev"), F.lit(False))
     whole = F.concat(strip(F.regexp_replace(text, r"^\d+\.\s*", "")), F.lit("\n"), F.col("_next.t"))
     return near.filter(~taken).select("doc_id", "line_no", F.when(opener, whole).otherwise(text).alias("text"))
 
@@ -146,9 +148,7 @@ def near_dup_merge(
     rows = questions.withColumn("question", strip(F.col("question"))).withColumn(
         "_clean", F.regexp_replace("question", _LABEL_NOISE, "")
     )
-    indexed = split_row_number(
-        rows, ["doc_id"], ["pos"], F.floor(F.col("pos") / block_rows), "_idx", block_rows
-    ).withColumn("_idx", F.col("_idx") - 1)
+    indexed = split_row_number(rows, ["doc_id"], ["pos"], "_idx").withColumn("_idx", F.col("_idx") - 1)
     own = F.floor(F.col("_idx") / block_rows)
     shared = (F.col("_idx") % block_rows < lookahead) & (own > 0)
     spread = indexed.withColumn("_own", own).withColumn(
@@ -266,77 +266,74 @@ def _chain(pdf: pd.DataFrame, lookahead: int) -> pd.DataFrame:
 # ------------------------------------------------------------------ ordering
 
 def best_version(questions: DataFrame) -> DataFrame:
-    """One row per document and number: the first answered, else the longest, ties the first."""
+    """One row per document and number: the first answered, else the longest, ties the first.
+
+    Rows without a number all stay.
+    """
     answered = ~is_blank(F.col("answer"))
     rank = F.struct(
         (~answered).alias("a"), F.when(answered, 0).otherwise(-F.length("question")).alias("l"), F.col("pos")
     )
     rest = [c for c in questions.columns if c not in ("doc_id", "number")]
-    return (
-        questions.groupBy("doc_id", "number")
+    best = (
+        questions.filter(F.col("number").isNotNull()).groupBy("doc_id", "number")
         .agg(F.min_by(F.struct(*rest), rank).alias("_row"))
         .select("doc_id", "number", "_row.*")
     )
+    return best.unionByName(questions.filter(F.col("number").isNull()).select("doc_id", "number", *rest))
 
 
-def splice_order(questions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def splice_order(questions: DataFrame) -> DataFrame:
     """Put numbered rows, as a block, before the place of their first number among the others.
 
     ``questions(doc_id, pos, number, question)``; other rows have a null
     number and go by ``pos``.  Of equal texts the first stays; empty ones stay all.
     """
-    others = split_row_number(
-        questions.filter(F.col("number").isNull()), ["doc_id"], ["pos"], F.floor(F.col("pos") / hot_rows), "_r", hot_rows
-    )
+    others = split_row_number(questions.filter(F.col("number").isNull()), ["doc_id"], ["pos"], "_r")
     numbered = questions.filter(F.col("number").isNotNull())
     first = numbered.groupBy("doc_id").agg(F.min("number").alias("_first"))
     part = F.lit(1 << 40)
     placed = others.join(first, "doc_id", "left").withColumn(
-        "_key", F.when(F.col("_r") < F.col("_first"), F.col("_r")).otherwise(F.col("_r") + 2 * part)
+        "_at", F.when(F.col("_r") < F.col("_first"), F.col("_r")).otherwise(F.col("_r") + 2 * part)
     ).drop("_r", "_first")
-    block = numbered.withColumn("_key", F.col("number") + part)
+    block = numbered.withColumn("_at", F.col("number") + part)
     both = placed.unionByName(block).withColumn("question", strip(F.col("question")))
     full = both.filter(F.col("question") != "")
-    kept_keys = full.groupBy("doc_id", "question").agg(F.min(F.struct("_key", "pos")).alias("_k"))
+    kept_keys = full.groupBy("doc_id", "question").agg(F.min(F.struct("_at", "pos")).alias("_k"))
     kept = full.join(
-        kept_keys.select("doc_id", F.col("_k._key").alias("_key"), F.col("_k.pos").alias("pos")),
-        ["doc_id", "_key", "pos"], "left_semi",
+        kept_keys.select("doc_id", F.col("_k._at").alias("_at"), F.col("_k.pos").alias("pos")),
+        ["doc_id", "_at", "pos"], "left_semi",
     ).unionByName(both.filter(F.col("question") == ""))
-    return split_row_number(
-        kept, ["doc_id"], ["_key", "pos"], F.floor(F.col("_key") / hot_rows), "place", hot_rows
-    ).drop("_key")
+    return split_row_number(kept, ["doc_id"], ["_at", "pos"], "place").drop("_at")
 
 
-def missing_numbers(passages: DataFrame, options: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def missing_numbers(passages: DataFrame, options: DataFrame) -> DataFrame:
     """Blank numbers of passages without options, each with a leftover option list by rank.
 
     ``passages(doc_id, text)``, ``options(doc_id, seq, number, options)``; a
     null number marks leftovers.  A number without a leftover keeps null options.
     """
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\((\d{1,9})\)"), F.lit(1))))
-    seen = passages.select("doc_id", found.alias("_n")).select("doc_id", F.col("_n").cast("int").alias("number")).distinct()
+    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\((\d+)\)"), F.lit(1))))
+    seen = passages.select("doc_id", found.alias("_n")).select("doc_id", F.col("_n").try_cast("bigint").alias("number")).distinct()
     missing = seen.join(
         options.filter(F.col("number").isNotNull()).select("doc_id", "number").distinct(), ["doc_id", "number"], "left_anti"
     )
-    ranked = split_row_number(missing, ["doc_id"], ["number"], F.floor(F.col("number") / hot_rows), "_rank", hot_rows)
+    ranked = split_row_number(missing, ["doc_id"], ["number"], "_rank")
     left = split_row_number(
-        options.filter(F.col("number").isNull()).select("doc_id", "seq", "options"),
-        ["doc_id"], ["seq"], F.floor(F.col("seq") / hot_rows), "_rank", hot_rows,
+        options.filter(F.col("number").isNull()).select("doc_id", "seq", "options"), ["doc_id"], ["seq"], "_rank"
     ).drop("seq")
     return ranked.join(left, ["doc_id", "_rank"], "left").select("doc_id", "number", "options")
 
 
-def number_sort(questions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_sort(questions: DataFrame) -> DataFrame:
     """Place of each row: by number when more than half of the document has one, missing last, else by ``pos``."""
     share = questions.groupBy("doc_id").agg((F.avg(F.col("number").isNotNull().cast("int")) > 0.5).alias("_by_number"))
     last = F.lit(1 << 40)
     key = F.when(
         F.col("_by_number"), F.coalesce(F.when(F.col("number") != 0, F.col("number").cast("long")), last)
     ).otherwise(F.col("pos").cast("long"))
-    keyed = questions.join(share, "doc_id").withColumn("_key", key)
-    return split_row_number(
-        keyed, ["doc_id"], ["_key", "pos"], F.floor(F.col("_key") / hot_rows), "place", hot_rows
-    ).drop("_key", "_by_number")
+    keyed = questions.join(share, "doc_id").withColumn("_at", key)
+    return split_row_number(keyed, ["doc_id"], ["_at", "pos"], "place").drop("_at", "_by_number")
 
 
 # Marks of a right answer by level.
@@ -346,7 +343,7 @@ LEVEL_MARKS = {
 
 
 def position_marks(
-    questions: DataFrame, subject: str, level: str | None = None, hot_rows: int = HOT_ROWS
+    questions: DataFrame, subject: str, level: str | None = None
 ) -> DataFrame:
     """Marks and difficulty of each question.
 
@@ -355,11 +352,11 @@ def position_marks(
     """
     if subject != "science":
         return _marked(questions, None, subject, level)
-    return _marked(_placed(questions, "_number", hot_rows), "_number", subject, level).drop("_number")
+    return _marked(_placed(questions, "_number"), "_number", subject, level).drop("_number")
 
 
-def _placed(questions: DataFrame, out: str, hot_rows: int) -> DataFrame:
-    return split_row_number(questions, ["doc_id"], ["pos"], F.floor(F.col("pos") / hot_rows), out, hot_rows)
+def _placed(questions: DataFrame, out: str) -> DataFrame:
+    return split_row_number(questions, ["doc_id"], ["pos"], out)
 
 
 def _marked(placed: DataFrame, number: str | None, subject: str, level: str | None) -> DataFrame:
@@ -377,14 +374,12 @@ def _marked(placed: DataFrame, number: str | None, subject: str, level: str | No
     )
 
 
-def section_renumber(sections: DataFrame, answers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def section_renumber(sections: DataFrame, answers: DataFrame) -> DataFrame:
     """Answer numbers of a section to numbers of the whole exam; numbers beyond the section go.
 
     ``sections(exam_id, section, size)``, ``answers(exam_id, section, number, answer)``.
     """
-    upto = split_running_sum(
-        sections, ["exam_id"], ["section"], F.floor(F.col("section") / hot_rows), F.col("size"), "_upto", hot_rows
-    )
+    upto = split_running_sum(sections, ["exam_id"], ["section"], F.col("size"), "_upto")
     return (
         answers.join(upto, ["exam_id", "section"])
         .filter(F.col("number") <= F.col("size"))
@@ -395,17 +390,18 @@ def section_renumber(sections: DataFrame, answers: DataFrame, hot_rows: int = HO
 
 
 def question_sheet(
-    questions: DataFrame, key: DataFrame, subject: str, level: str | None = None, hot_rows: int = HOT_ROWS
+    questions: DataFrame, key: DataFrame, subject: str, level: str | None = None
 ) -> DataFrame:
     """Hand-off table of thirteen columns per question.
 
     ``questions(doc_id, pos, question, options, answer)``, ``key(doc_id,
     number, correct)`` with 1–5.  The key wins over the parsed answer letter.
     """
-    numbered = _marked(_placed(questions, "number", hot_rows), "number", subject, level)
+    numbered = _marked(_placed(questions, "number"), "number", subject, level)
     letter = F.upper(strip(F.col("answer")))
     parsed = F.when(letter.rlike("^[A-E]$"), F.ascii(letter) - 64)
-    rows = numbered.join(key.select("doc_id", "number", "correct"), ["doc_id", "number"], "left")
+    right = key.groupBy("doc_id", "number").agg(F.min("correct").alias("correct"))  # one entry per number
+    rows = numbered.join(right, ["doc_id", "number"], "left")
     return rows.select(
         "doc_id", "number",
         F.when(F.size("options") > 0, "MSA").otherwise("SAQ").alias("question_type"),
@@ -433,11 +429,13 @@ def answer_prompts(bank: DataFrame) -> DataFrame:
 def answer_backfill(bank: DataFrame, responses: DataFrame):
     """Fill missing answers from stored responses ``(id, text)``; rows whose response has no letter.
 
-    The first stand-alone A–D of the response counts.
+    The first stand-alone A–D of the response counts.  Of several responses for one id the smallest letter
+    counts; the id is an error only if none has a letter.
     """
     letter = F.regexp_extract(F.upper("text"), r"\b([A-D])\b", 1)
     open_rows = bank.filter(is_blank(F.col("answer"))).select("id")
-    read = responses.join(open_rows, "id", "left_semi").select("id", letter.alias("answer"))
+    read = responses.join(open_rows, "id", "left_semi").select("id", F.nullif(letter, F.lit("")).alias("answer"))
+    read = read.groupBy("id").agg(F.coalesce(F.min("answer"), F.lit("")).alias("answer"))
     patched = bank_patch(bank, read.filter(F.col("answer") != ""))
     message = F.concat(F.lit("ID "), F.col("id"), F.lit(": no answer letter in the response"))
     return patched, read.filter(F.col("answer") == "").select("id", message.alias("error"))

@@ -92,25 +92,24 @@ def curriculum_flatten(src_a: DataFrame, src_b: DataFrame) -> DataFrame:
     )
 
 
-def curriculum_context(cur: DataFrame, subject: str, grade: int, max_items: int = 200) -> DataFrame:
-    """The first ``max_items`` rows of a subject and grade as one text with a heading per chapter."""
-    head = _slice(cur, subject, grade).orderBy("chapter", "id").limit(max_items)
-    order = Window.orderBy("chapter", "id")  # over max_items rows
-    new = F.coalesce(F.lag("chapter").over(order), F.lit("")) != F.coalesce(F.col("chapter"), F.lit(""))
-    rows = head.withColumn("_n", F.row_number().over(order)).withColumn("_new", new)
+def curriculum_context(cur: DataFrame, subject: str, grade: int, max_items: int | None = None) -> DataFrame:
+    """The rows of a subject and grade as text, one row per item; the first item of a chapter carries its heading.
+
+    (chapter, id) is the order of the whole text.  ``max_items`` keeps the first ones only.
+    """
+    rows = _slice(cur, subject, grade)
+    if max_items is not None:
+        rows = rows.orderBy("chapter", "id").limit(max_items)
+    firsts = rows.filter(has_text(F.col("chapter"))).groupBy("chapter").agg(F.min("id").alias("_first"))
 
     def part(column, prefix):
         return F.when(has_text(F.col(column)), F.concat(F.lit(prefix), F.col(column)))
 
     lines = F.array_compact(F.array(
-        F.when(F.col("_new"), F.concat(F.lit("\n## "), "chapter")),
+        F.when(F.col("id") == F.col("_first"), F.concat(F.lit("\n## "), "chapter")),
         part("topic", "- **Chủ đề:** "),
         part("lesson", "  - Bài: "),
         part("knowledge", "  - Kiến thức: "),
         *([part("skills", "  - Kỹ năng: ")] if "skills" in cur.columns else []),
     ))
-    texts = rows.groupBy().agg(
-        F.count("*").alias("items"),
-        F.array_sort(F.collect_list(F.struct("_n", F.array_join(lines, "\n").alias("t")))).alias("_t"),
-    )
-    return texts.select("items", F.array_join(F.transform("_t", lambda s: s["t"]), "\n").alias("content"))
+    return rows.join(firsts, "chapter", "left").select("chapter", "id", F.array_join(lines, "\n").alias("content"))

@@ -421,7 +421,7 @@ def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
             .when(kind.isin("options", "numbered"), found)
             .otherwise(F.array().cast(NO_STRINGS))
         )
-        number = F.regexp_extract(x, r"^(\d{1,9})\s*[.)]", 1).try_cast("int")
+        number = F.regexp_extract(x, r"^(\d+)\s*[.)]", 1).try_cast("bigint")
         only_options = (kind == "numbered") & (F.size(found) > 0)
         shown = F.when(only_options, F.concat(number.cast("string"), F.lit(". ..."))).otherwise(body)
         ends = x.contains("…") | x.contains("...") | x.contains("___") | (F.length(x) > 100)

@@ -62,13 +62,14 @@ def grade_responses(responses: DataFrame, key: DataFrame, templates: DataFrame)
     A position without a response is ``not_found``; responses beyond the
     template are ignored.  Marks are first reduced to one per sheet and
     position (the smallest; a real mark before an empty one), which runs before
-    the shuffle as well, so the map built per sheet never exceeds the template.
+    the shuffle as well, so the map built per sheet never exceeds the template.  Of several key entries for one
+    position the smallest counts.
     """
     small = templates.select("template", "questions")
-    answers = (
-        key.groupBy("template")
-        .agg(F.map_from_entries(F.collect_set(F.struct(F.col("q").cast("int"), "correct"))).alias("_key"))
-    )
+    once = key.select("template", F.col("q").cast("int").alias("q"), "correct").groupBy("template", "q").agg(
+        F.min("correct").alias("correct"))
+    answers = once.join(small, "template").filter(F.col("q").between(1, F.col("questions"))).groupBy("template").agg(
+        F.map_from_entries(F.collect_list(F.struct("q", "correct"))).alias("_key"))
     spec = small.join(answers, "template", "left")
 
     on_sheet = responses.join(small, "template").select(

@@ -26,11 +26,17 @@ def _digest(col: Column) -> Column:
     return F.unhex(F.sha2(col, 256))
 
 
+def content_digests(bank: DataFrame) -> DataFrame:
+    """Digest of the trimmed content of each row, as kept or worked out."""
+    held = F.col(DIGEST) if DIGEST in bank.columns else _digest(strip(F.col("content")))
+    return bank.select(held.alias(DIGEST))
+
+
 def ingest_dedup(batch: DataFrame, bank: DataFrame, defaults: dict | None = None, keep_digest: bool = False):
     """New rows of a batch, and how many rows were saved and skipped.
 
     A row is skipped when its trimmed content is in the bank already or came
-    earlier in the batch (``seq`` is unique and gives the order).  Contents travel as
+    earlier in the batch (``seq`` gives the order).  Contents travel as
     digests.  Copies are reduced to their first ``seq`` before the shuffle, and the
     bank to distinct digests, so a content repeated millions of times costs one
     row per task.  A bank that keeps the column ``content_digest``
@@ -40,12 +46,12 @@ def ingest_dedup(batch: DataFrame, bank: DataFrame, defaults: dict | None = None
     rows = batch.withColumn("content", strip(F.col("content"))).filter(F.col("content") != "")
     keyed = rows.select(_digest(F.col("content")).alias("_digest"), "seq")
     firsts = keyed.groupBy("_digest").agg(F.min("seq").alias("seq"))
-    held = F.col(DIGEST) if DIGEST in bank.columns else _digest(strip(F.col("content")))
-    known = bank.select(held.alias("_digest")).distinct()
-    fresh = firsts.join(known, "_digest", "left_anti").select("seq")
-    accepted = rows.join(fresh, "seq", "left_semi")
-    if keep_digest:
-        accepted = accepted.withColumn(DIGEST, _digest(F.col("content")))
+    known = content_digests(bank).select(F.col(DIGEST).alias("_digest")).distinct()
+    fresh = firsts.join(known, "_digest", "left_anti").select("seq", "_digest")
+    # a repeated seq brings neither another content in nor the same one twice
+    accepted = rows.withColumn("_digest", _digest(F.col("content"))).join(fresh, ["seq", "_digest"], "left_semi")
+    accepted = accepted.dropDuplicates(["seq", "_digest"])
+    accepted = accepted.withColumnRenamed("_digest", DIGEST) if keep_digest else accepted.drop("_digest")
     for column, value in fill.items():
         if column not in accepted.columns:
             accepted = accepted.withColumn(column, F.lit(value))

@@ -344,13 +344,14 @@ def document_links(pages: DataFrame, suffix: str = ".docx") -> DataFrame:
 
 
 def link_frontier(
-    pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_depth: int = 20
+    pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Breadth-first walk over stored pages: each reached address once, with its depth.
 
     ``links(url, link)``, ``seeds(url)``.  A level is one join of the newest
-    addresses with their links; lineage is cut after each level.  With
-    ``max_pages`` the nearest, and then alphabetically first, pages are taken.
+    addresses with their links, which lie by address from the start; lineage is cut after each level.  The walk
+    ends when a level brings nothing new, or at ``max_depth`` if given.  With ``max_pages`` the nearest, and
+    then alphabetically first, pages are taken.
     """
     stored = pages.select(_clean_url(F.col("url")).alias("url")).distinct()
     edges = (
@@ -358,15 +359,15 @@ def link_frontier(
         .join(stored.withColumnRenamed("url", "link"), "link", "left_semi")
         .distinct()
     )
-    edges = checkpointed(edges)
+    edges = checkpointed(edges.repartition("url"))
     frontier = checkpointed(
         seeds.select(_clean_url(F.col("url")).alias("url")).join(stored, "url", "left_semi").distinct()
         .withColumn("depth", F.lit(0))
     )
     reached, taken = frontier, frontier.count()
-    for depth in range(1, max_depth + 1):
-        if max_pages is not None and taken >= max_pages:
-            break
+    depth = 0
+    while depth != max_depth and (max_pages is None or taken < max_pages):
+        depth += 1
         frontier = checkpointed(
             edges.join(frontier.select("url"), "url")
             .select(F.col("link").alias("url")).distinct()

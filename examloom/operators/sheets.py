@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTERS = "ABCDE"
-
-
-def mark_decision(bubbles: DataFrame) -> DataFrame:
+def mark_decision(bubbles: DataFrame, options: int = 5) -> DataFrame:
     """Mark of every question from its bubbles: a letter, MULTI, or null for blank.
 
     ``bubbles(sheet_id, q, opt, fill_ratio, mean_val, is_filled)`` with ``opt``
-    0–4.  Plain conditional maxima per option bring the bubbles together, so
+    from 0 to ``options`` - 1 as the template says; another one is an error.  Plain conditional maxima per option bring the bubbles together, so
     the aggregation is combined before the shuffle.
     """
-    n = len(LETTERS)
+    n = options
+    known = F.when(F.col("opt").between(0, n - 1), F.col("opt")).otherwise(
+        F.raise_error(F.lit("a bubble lies beyond the options of the template")).cast("int"))
+    bubbles = bubbles.withColumn("opt", known)
     aggs = []
     for i in range(n):
         here = F.col("opt") == i
@@ -213,24 +213,23 @@ def gap_group(rows: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def nearest_right_match(
-    spans: DataFrame, dy: float = 8, dx: float = 50, slack: float = 3, max_number: int = 50, min_columns: int = 6
+    spans: DataFrame, dy: float = 8, dx: float = 50, slack: float = 3, max_number: int | None = None, min_columns: int = 6
 ) -> DataFrame:
     """Answer letter next to each question number of a page, per column.
 
     ``spans(doc_id, seq, text, x, y)``.  An answer is to the right of its
     number, less than ``dx`` away, in the same line within ``dy``; a clearly
     closer line wins, else the closer x.  Columns are told apart by the places
-    of the number 1.  Numbers meet only the answers in their own and the
+    of the number 1.  Numbers above ``max_number`` are left out if the template gives one.  Numbers meet only the answers in their own and the
     adjoining cells of a ``dx`` × ``dy`` grid.
     """
     text = F.trim("text")
-    number = F.when(text.rlike(r"^\d{1,9}$"), text.cast("int"))
+    number = F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
+    asked_for = F.col("q") >= 1 if max_number is None else F.col("q").between(1, max_number)
     letter = F.when(text.rlike("^[A-E]$") | (text.rlike("^[A-E]") & text.contains(",")), F.substring(text, 1, 1))
     grid = lambda c, step: F.floor(F.col(c) / step)
     # The same text at the same place counts once.
-    numbers = spans.select("doc_id", "seq", "x", "y", number.alias("q")).filter(
-        F.col("q").between(1, max_number)
-    ).groupBy("doc_id", "q", "x", "y").agg(F.min("seq").alias("seq"))
+    numbers = spans.select("doc_id", "seq", "x", "y", number.alias("q")).filter(asked_for).groupBy("doc_id", "q", "x", "y").agg(F.min("seq").alias("seq"))
     answers = spans.select("doc_id", "seq", "x", "y", letter.alias("letter")).filter(
         F.col("letter").isNotNull()
     ).groupBy("doc_id", "letter", "x", "y").agg(F.min("seq").alias("a_seq")).select(

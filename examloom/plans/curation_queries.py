@@ -156,10 +156,10 @@ def number_sort(t):
 
 
 @query("missing_numbers", """
-SELECT p_partkey AS doc_id, 1 AS number, 'x/' || p_brand AS options FROM part UNION ALL SELECT p_partkey, 3, 'y/' || p_type FROM part
-UNION ALL SELECT p_partkey, 5, NULL FROM part""")
+SELECT p_partkey AS doc_id, 1::BIGINT AS number, 'x/' || p_brand AS options FROM part UNION ALL SELECT p_partkey, 3, 'y/' || p_type FROM part
+UNION ALL SELECT p_partkey, 5, NULL FROM part UNION ALL SELECT p_partkey, 9000000000 + p_partkey, NULL FROM part""")
 def missing_numbers(t):
-    passages = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("a (5) of (1) "), "p_name", F.lit(" (2) and (3) or (1)")).alias("text"))
+    passages = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("a (5) of (1) "), "p_name", F.lit(" (2) and (3) or (1) ("), (F.lit(9000000000) + F.col("p_partkey")).cast("string"), F.lit(")")).alias("text"))
     rows = t.part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(
         F.struct(F.lit(9).alias("seq"), F.lit(2).alias("number"), F.array(F.lit("z")).alias("options")),
         F.struct(F.lit(12).alias("seq"), F.lit(None).cast("int").alias("number"), F.array(F.lit("y"), F.col("p_type")).alias("options")),
@@ -349,10 +349,10 @@ def curriculum_flatten(t):
 
 
 @query("curriculum_context", CUR + """
-, h AS (SELECT * FROM curriculum WHERE subject = 'ASIA' AND grade = 4 ORDER BY chapter, id LIMIT 200),
+, h AS (SELECT * FROM curriculum WHERE subject = 'ASIA' AND grade = 4),
 l AS (SELECT *, coalesce(lag(chapter) OVER (ORDER BY chapter, id), '') <> chapter AS new FROM h)
-SELECT count(*) AS items, string_agg(CASE WHEN new THEN chr(10) || '## ' || chapter || chr(10) ELSE '' END || '- **Chủ đề:** ' || topic || chr(10) ||
-  '  - Bài: ' || lesson || chr(10) || '  - Kiến thức: ' || knowledge, chr(10) ORDER BY chapter, id) AS content FROM l""")
+SELECT chapter, id, CASE WHEN new THEN chr(10) || '## ' || chapter || chr(10) ELSE '' END || '- **Chủ đề:** ' || topic || chr(10) ||
+  '  - Bài: ' || lesson || chr(10) || '  - Kiến thức: ' || knowledge AS content FROM l""")
 def curriculum_context(t):
     return cur.curriculum_context(b.curriculum(t), "ASIA", 4)
 
@@ -413,7 +413,7 @@ def gap_group(t):
 
 
 @query("nearest_right_match", """
-SELECT c_custkey AS doc_id, (col + 1)::INT AS "column", q::INT AS q, chr((65 + (c_custkey + col + q) % 5)::INT) AS letter
+SELECT c_custkey AS doc_id, (col + 1)::INT AS "column", q::BIGINT AS q, chr((65 + (c_custkey + col + q) % 5)::INT) AS letter
 FROM customer, generate_series(0, 5) c(col), generate_series(1, 4) g(q)""")
 def nearest_right_match(t):
     """Six columns of four numbers; a stray letter five lower and one 60 to the right must lose."""

@@ -190,14 +190,16 @@ def document_links(t):
 
 
 @query("link_frontier", """
-WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
-ranked AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url, page_id FROM pages),
-walk AS (SELECT 0::BIGINT AS page_id, 0 AS depth
-  UNION ALL SELECT c.page_id, depth + 1 FROM walk JOIN pages c ON (c.page_id - 1) // 3 = walk.page_id AND c.page_id > 0)
-SELECT url, min(depth)::INT AS depth FROM walk JOIN ranked USING (page_id) GROUP BY url""")
+WITH RECURSIVE p AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url, page_id FROM pages),
+down AS (SELECT a.url AS url, c.url AS link FROM p c JOIN p a ON CASE WHEN c.page_id <= 24 THEN c.page_id - 1 ELSE (c.page_id - 1) // 3 END = a.page_id AND c.page_id > 0),
+edges AS (SELECT url, link FROM down UNION SELECT link, url FROM down),
+walk AS (SELECT url, 0 AS depth FROM p WHERE page_id = 0
+  UNION SELECT e.link, depth + 1 FROM walk JOIN edges e ON e.url = walk.url WHERE depth < 60)
+SELECT url, min(depth)::INT AS depth FROM walk GROUP BY url""")
 def link_frontier(t):
-    # A tree over the stored pages: page i links to pages 3i+1, 3i+2 and 3i+3, and back to its parent.
-    child = t.pages.select(((F.col("page_id") - 1) / 3).cast("long").alias("parent"), F.col("url").alias("link"), "page_id")
+    # A chain of 25 pages, and below it a tree: page i links to pages 3i+1, 3i+2 and 3i+3, and back to its parent.
+    parent = F.when(F.col("page_id") <= 24, F.col("page_id") - 1).otherwise(((F.col("page_id") - 1) / 3).cast("long"))
+    child = t.pages.select(parent.alias("parent"), F.col("url").alias("link"), "page_id")
     child = child.filter(F.col("page_id") > 0).drop("page_id")
     down = t.pages.join(child, F.col("page_id") == F.col("parent")).select("url", "link")
     links = down.unionByName(down.select(F.col("link").alias("url"), F.col("url").alias("link")))

@@ -116,7 +116,7 @@ def read_text_corpus(t):
 
 @query("normalize_feeds", """
 WITH q AS (SELECT *, 'red ' || p_name AS r, list_sort(['red ' || p_name, p_brand, p_type]) AS o FROM part)
-SELECT 'What & why ' || p_name || '?' AS question, array_to_string(list_sort([p_brand, p_type, 'q "' || p_name || '"']), '/') AS options,
+SELECT 'What & why &lt; España it’s é ' || p_name || '?' AS question, array_to_string(list_sort([p_brand, p_type, 'q "' || p_name || '"']), '/') AS options,
   chr(64 + list_position(list_sort([p_brand, p_type, 'q "' || p_name || '"']), 'q "' || p_name || '"')::INT) AS answer,
   CASE WHEN p_size % 2 = 0 THEN 'math' ELSE 'general' END AS subject, CASE WHEN p_size > 25 THEN 'hard' ELSE 'medium' END AS difficulty, 'mcq' AS question_type, 'opentdb.com' AS source, 'international' AS grade FROM q
 UNION ALL SELECT 'Trivia ' || p_name, array_to_string(o, '/'), chr(64 + list_position(o, r)::INT), 'music', 'easy', 'mcq', 'the-trivia-api.com', 'international' FROM q
@@ -133,7 +133,7 @@ def normalize_feeds(t):
     opentdb = p.select(
         F.when(F.col("p_size") % 2 == 0, 19).otherwise(99).alias("category"),
         F.to_json(F.struct(F.array(F.struct(
-            F.concat(F.lit("What &amp; why "), name, F.lit("?")).alias("question"),
+            F.concat(F.lit("What &amp; why &amp;lt; Espa&ntilde;a it&#8217;s &#xE9; "), name, F.lit("?")).alias("question"),
             F.concat(F.lit("q &quot;"), name, F.lit("&quot;")).alias("correct_answer"), F.array(kind, brand).alias("incorrect_answers"),
             F.when(F.col("p_size") > 25, "hard").otherwise("odd").alias("difficulty"))).alias("results"))).alias("payload"))
     trivia = p.select(F.to_json(F.array(F.struct(
@@ -212,22 +212,21 @@ def document_stream(t):
 
 
 @query("stream_ingest", """
-SELECT min(doc_id) AS seq, trim(text, E' \\n\\t\\r') AS content FROM documents WHERE trim(text, E' \\n\\t\\r') <> '' GROUP BY 2""")
+SELECT min(doc_id) AS seq, trim(text, E' \\n\\t\\r') AS content FROM documents WHERE trim(text, E' \\n\\t\\r') <> ''
+  AND trim(text, E' \\n\\t\\r') NOT IN (SELECT trim(text, E' \\n\\t\\r') FROM documents JOIN labels USING (doc_id)) GROUP BY 2""")
 def stream_ingest(t):
     rows = document_stream(t).select(F.col("doc_id").alias("seq"), F.col("text").alias("content"))
     path = scratch_folder(t.spark, "bank")
-    jobs.stream_ingest(rows, path, scratch_folder(t.spark, "state")).awaitTermination()
+    bank = t.documents.join(t.labels, "doc_id", "left_semi").select(F.col("text").alias("content"))
+    jobs.stream_ingest(rows, path, scratch_folder(t.spark, "state"), bank=bank).awaitTermination()
     return t.spark.read.parquet(path).select("seq", "content")
 
 
 @query("stream_daily_activity", """
-WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day, count(*) AS total FROM documents GROUP BY 1)
-SELECT strftime(day, '%Y-%m-%d') AS day, total FROM d WHERE day < (SELECT max(day) FROM d) - 1""")
+SELECT strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d') AS day, count(*) AS total FROM documents GROUP BY 1""")
 def stream_daily_activity(t):
-    # The last two days are still open: their ends lie after the watermark.
     created = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(CAST(doc_id % 30 AS INT))")
     rows = document_stream(t).select(created.alias("created_at"))
     path = scratch_folder(t.spark, "daily")
     jobs.stream_daily_activity(rows, path, scratch_folder(t.spark, "state")).awaitTermination()
-    days = t.spark.read.schema("day date, total long").parquet(path)
-    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return jobs.daily_totals(t.spark, path).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

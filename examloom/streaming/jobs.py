@@ -2,57 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from examloom.operators.ingest import DIGEST, ingest_dedup
+from examloom.operators.ingest import DIGEST, content_digests, ingest_dedup
 
 
 def stream_ingest(
-    rows: DataFrame, bank_path: str, checkpoint: str, defaults: dict | None = None
+    rows: DataFrame, bank_path: str, checkpoint: str, defaults: dict | None = None, bank: DataFrame | None = None
 ) -> StreamingQuery:
     """Append new questions of a stream to a bank kept by batch.
 
-    Each batch is deduplicated within itself and against the bank without its
-    own earlier try, and replaces ``batch=<id>``; a repeated batch after a
-    failure leaves the bank as it was.
+    Each batch is deduplicated within itself, against ``bank`` (the questions held before the stream began) and
+    against what earlier batches saved, without its own earlier try.  It replaces ``batch=<id>``, so a batch
+    repeated after a failure leaves the bank as it was.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _bank(spark, bank_path, batch_id)
+        known = _saved(batch.sparkSession, bank_path, batch_id)
+        if bank is not None:
+            known = known.unionByName(content_digests(bank))
         accepted, _ = ingest_dedup(batch, known, defaults, keep_digest=True)
         accepted.write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
 
-    return (
-        rows.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(rows, save, checkpoint)
 
 
-def _bank(spark, path: str, before: int) -> DataFrame:
+def _saved(spark: SparkSession, path: str, before: int) -> DataFrame:
     """Digests saved by earlier batches; contents are not read."""
     if before == 0:
         return spark.range(0).select(F.lit(None).cast("binary").alias(DIGEST))
     return spark.read.parquet(path).filter(F.col("batch") < before).select(DIGEST)
 
 
-def stream_daily_activity(
-    rows: DataFrame, path: str, checkpoint: str, created: str = "created_at", late: str = "1 day"
-) -> StreamingQuery:
-    """Rows per day; a day is written once, when the watermark has passed its end."""
-    daily = (
-        rows.select(F.col(created).cast("timestamp").alias("at"))
-        .withWatermark("at", late)
-        .groupBy(F.window("at", "1 day").alias("w"))
-        .agg(F.count("*").alias("total"))
-        .select(F.to_date("w.start").alias("day"), "total")
-    )
+def _started(rows: DataFrame, save, checkpoint: str) -> StreamingQuery:
     return (
-        daily.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        rows.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_daily_activity(rows: DataFrame, path: str, checkpoint: str, created: str = "created_at") -> StreamingQuery:
+    """Rows per day, added up batch by batch; late rows count for their day like others.
+
+    A batch saves its own totals as ``batch=<id>`` and replaces them when it is repeated; ``daily_totals`` adds
+    them up.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        totals = batch.groupBy(F.to_date(created).alias("day")).agg(F.count("*").alias("total"))
+        totals.filter(F.col("day").isNotNull()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _started(rows, save, checkpoint)
+
+
+def daily_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per day over all batches so far."""
+    saved = spark.read.schema("day date, total long, batch int").parquet(path)
+    return saved.groupBy("day").agg(F.sum("total").alias("total"))

@@ -40,7 +40,7 @@ def test_fold_accents(spark):
 
 
 def test_unescape(spark):
-    values = ["a &amp; b &lt;c&gt; &quot;d&quot; &#039;e&#39; &eacute;", "&amp;lt; &hellip;", "plain", "R&D"]
+    values = ["a &amp; b &lt;c&gt; &quot;d&quot; &#039;e&#39; &eacute;", "&amp;lt; &hellip;", "plain", "R&D", "Espa&ntilde;a it&#8217;s &#xE9;", "&lt &notit; &copy2 &unknown; & &; &#; &#x; &#128; &#0; &#55296; &#x110000; &#99999999999; &#x1F600;x &#1; &#x81; &NotEqualTilde; &fjlig;"]
     assert applied(spark, values, T.unescape_html) == [html.unescape(v) for v in values]
 
 

@@ -51,4 +51,4 @@ def test_scans_are_pruned(spark):
 
 def test_picks_rank_ids_only(spark):
     plan = plan_of(queries()["matrix_pick"](spark, FOLDER))
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") >= 2

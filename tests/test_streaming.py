@@ -6,7 +6,7 @@ from examloom.operators.bank import daily_activity
 from examloom.operators.ingest import ingest_dedup
 from examloom.plans import bindings as b
 from examloom.plans.registry import Tables
-from examloom.streaming.jobs import stream_daily_activity, stream_ingest
+from examloom.streaming.jobs import daily_totals, stream_daily_activity, stream_ingest
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,18 +34,26 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     assert again.count() == 0
 
 
+def test_ingest_stream_honours_an_existing_bank(spark, tmp_path):
+    rows = stored(spark, tmp_path)
+    bank = rows.filter("seq % 3 = 0").select("content")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_ingest(source, str(tmp_path / "bank"), str(tmp_path / "state"), bank=bank).awaitTermination()
+    saved = spark.read.parquet(str(tmp_path / "bank"))
+    want = ingest_dedup(rows, bank)[0]
+    assert sorted(r[0] for r in saved.select("content").collect()) == sorted(r[0] for r in want.select("content").collect())
+
+
 def test_daily_stream_equals_batch(spark, tmp_path):
     rows = stored(spark, tmp_path)
     late = spark.createDataFrame([(10**9, "late", "2024-03-01 00:00:00"), (10**9 + 1, "old", "2024-01-02 00:00:00")], "seq long, content string, t string")
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    stream_daily_activity(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    # A row far ahead closes the days before it; a row older than the watermark is dropped.
-    late.select("seq", "content", F.to_timestamp("t").alias("created_at")).filter("seq = 1000000000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    stream_daily_activity(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    late.select("seq", "content", F.to_timestamp("t").alias("created_at")).filter("seq > 1000000000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    stream_daily_activity(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = {r["day"]: r["total"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {r["day"]: r["total"] for r in daily_activity(rows, "2024-02-01 00:00:00", days=40).collect()}
-    assert got == want
+    late = late.select("seq", "content", F.to_timestamp("t").alias("created_at"))
+    for more in (None, late.filter("seq = 1000000000"), late.filter("seq > 1000000000")):
+        if more is not None:
+            more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            rows = rows.unionByName(more)
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        stream_daily_activity(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        got = {r["day"]: r["total"] for r in daily_totals(spark, str(tmp_path / "out")).collect()}
+        want = {r["day"]: r["total"] for r in daily_activity(rows, "2024-03-02 00:00:00", days=100).collect()}
+        assert got == want
