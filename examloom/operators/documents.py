@@ -341,7 +341,7 @@ def _numbered_rows(batches):
             for row in pdf.itertuples(index=False, name=None)
             for pos, q in enumerate(_group_tagged(row[-1]))
         ]
-        yield pd.DataFrame(out, columns=names).astype({"pos": "int32", "number": "Int32"})
+        yield pd.DataFrame(out, columns=names).astype({"pos": "int32", "number": "Int64"})
 
 
 def _group_tagged(tagged) -> list[dict]:
@@ -368,8 +368,8 @@ def _group_tagged(tagged) -> list[dict]:
             if len(current["options"]) >= 5:
                 current = None
         elif current is not None and current["options"]:
-            if line["ends"]:
-                current = None
+            if line["ends"]:  # the line may open a question of its own
+                current = _opened(line, out)
         elif current is not None:
             current["question"] = f"{current['question']}\n{text}".strip()
     return [q for q in out if q["question"]]
@@ -395,7 +395,9 @@ def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
     def kind_of(x):
         numbered = x.rlike(r"^\d+\s*[.)]")
         blanks = F.regexp_extract_all(x, F.lit(r"\((\d+)\)"), F.lit(1))
-        option_line = x.rlike(r"(?i)^A\s*[.)]") | x.rlike(r"(?i)\tB\s*\)|\t.*B\s*\).*C\s*\)")
+        later = F.size(F.regexp_extract_all(x, F.lit(r"(?i)[B-E]\s*\)"), F.lit(0)))
+        tabbed = x.rlike(r"(?i)A\s*[.)].*B\s*[.)]") | (x.rlike(r"(?i)B\s*\)") & (later >= 2))
+        option_line = x.rlike(r"(?i)^A\s*[.)]") | (x.contains("\t") & tabbed)
         kind = (
             F.when(x.rlike(r"(?i)^Section\s+[A-Z]\s*:"), "section")
             .when(option_line, "options")
@@ -434,7 +436,7 @@ def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(*keep, tagged.alias("_t"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInPandas(
-        _numbered_rows, ", ".join([*kept, "pos int", "number int", "question string", "options array<string>"])
+        _numbered_rows, ", ".join([*kept, "pos int", "number bigint", "question string", "options array<string>"])
     )
 
 

@@ -132,15 +132,18 @@ def question_header_parse(t):
 
 
 @query("numbered_line_parse", """
-SELECT p_partkey AS doc_id, 0 AS pos, 1 AS number, 'First of ' || p_name || chr(10) || 'goes on' AS question, p_brand || '/' || p_type || '/z' AS options FROM part
+SELECT p_partkey AS doc_id, 0 AS pos, 1::BIGINT AS number, 'First of ' || p_name || chr(10) || 'goes on' AS question, p_brand || '/' || p_type || '/z' AS options FROM part
 UNION ALL SELECT p_partkey, 1, 2, '2. ...', p_size || '/b' FROM part
 UNION ALL SELECT p_partkey, 2, NULL, 'Cloze (3): 3. Fill ___ (3) or ___ (4) with ' || substr(p_name, 1, 100) || '...', 'p/q' FROM part
 UNION ALL SELECT p_partkey, 3, NULL, 'Cloze (4): 3. Fill ___ (3) or ___ (4) with ' || substr(p_name, 1, 100) || '...', 'r/' || p_size FROM part
-UNION ALL SELECT p_partkey, 4, NULL, 'Which brand is it, ' || p_brand || '?', 'yes/no' FROM part""")
+UNION ALL SELECT p_partkey, 4, NULL, 'Which brand is it, ' || p_brand || '?', 'yes/no' FROM part
+UNION ALL SELECT p_partkey, 5, NULL, 'Which of the very many brands that the long list of the shop names first is the one that made ' || p_name || ' in the year?', p_size || '/none' FROM part
+UNION ALL SELECT p_partkey, 6, 9000000000, 'Last', '' FROM part""")
 def numbered_line_parse(t):
     rows = written(t, "part", "p_partkey", "=Section A: start\n1. First of ", "p_name", "=\ngoes on\nA. ", "p_brand", "=  B. ", "p_type", "=\nC. z\nstray\n2) A. ", "p_size",
                    "=  B. b\nSection B: next\n3. Fill ___ (3) or ___ (4) with ", "p_name", "=\nA) p  B) q\nA) r  B) ", "p_size",
-                   "=\nWhich brand is it, ", "p_brand", "=?\nA) yes\tB) no")
+                   "=\nWhich brand is it, ", "p_brand", "=?\nA) yes\tB) no\nWhich of the very many brands that the long list of the shop names first is the one that made ", "p_name",
+                   "= in the year?\nA) ", "p_size", "=\nB) none\n9000000000. Last")
     return joined(ops.numbered_line_parse(rows), "options")
 
 
