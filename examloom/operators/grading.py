@@ -182,79 +182,83 @@ def _tallies() -> list[Column]:
 _RESULT = ["sheet_id", "template", "score", "n_correct", "n_wrong", "n_blank", "n_total"]
 
 
-def score_flat(graded: DataFrame, templates: DataFrame) -> DataFrame:
-    """base + correct * a + wrong * b + blank * c per sheet."""
-    spec = templates.filter(F.col("scheme") == "flat").select(
-        "template", "base", "correct", "wrong", "blank"
-    )
-    sheets = graded.groupBy("sheet_id", "template").agg(*_tallies())
-    score = (
-        F.coalesce("base", F.lit(0.0))
-        + F.col("n_correct") * F.coalesce("correct", F.lit(1.0))
-        + F.col("n_wrong") * F.coalesce("wrong", F.lit(0.0))
-        + F.col("n_blank") * F.coalesce("blank", F.lit(0.0))
-    )
-    return sheets.join(spec, "template").withColumn("score", F.bround(score, 2)).select(*_RESULT)
-
-
-def score_tiered(graded: DataFrame, templates: DataFrame) -> DataFrame:
-    """base + points of the first tier whose range holds the question; 1 and 0 without one."""
-    spec = templates.filter(F.col("scheme") == "tiered").select("template", "base", "tiers")
-    rows = graded.join(spec, "template")
+def _tier_points() -> Column:
+    """Points of a question by the first tier whose range holds it; 1 and 0 without one."""
     tier = F.try_element_at(
         F.filter("tiers", lambda t: F.col("q").between(t["start"], t["end"])), F.lit(1)
     )
-    points = (
+    return (
         F.when(_is_correct(), F.coalesce(tier["correct"], F.lit(1.0)))
         .when(_is_wrong(), F.coalesce(tier["wrong"], F.lit(0.0)))
         .otherwise(0.0)
     )
-    sheets = rows.groupBy("sheet_id", "template").agg(
-        *_tallies(), F.first(F.coalesce("base", F.lit(0.0))).alias("_base"), F.sum(points).alias("_points")
+
+
+def _flat_points() -> Column:
+    """correct * a + wrong * b + blank * c."""
+    return (
+        F.col("n_correct") * F.coalesce("correct", F.lit(1.0))
+        + F.col("n_wrong") * F.coalesce("wrong", F.lit(0.0))
+        + F.col("n_blank") * F.coalesce("blank", F.lit(0.0))
     )
-    return sheets.withColumn("score", F.bround(F.col("_base") + F.col("_points"), 2)).select(*_RESULT)
 
 
-def score_best_of(graded: DataFrame, templates: DataFrame) -> DataFrame:
-    """base + the best N question scores per sheet.
+def _best_points() -> Column:
+    """The best N question scores.
 
     A question scores one of three values, so the N best follow from the three
     counts; nothing is collected or ranked.
     """
-    spec = templates.filter(F.col("scheme") == "best_of").select(
-        "template", "base",
-        F.coalesce("correct", F.lit(1.0)).alias("correct"),
-        F.coalesce("wrong", F.lit(-0.5)).alias("wrong"),
-        F.coalesce("count_best", F.lit(40)).alias("count_best"),
-    )
-    sheets = graded.groupBy("sheet_id", "template").agg(*_tallies()).join(spec, "template")
     piles = F.sort_array(
         F.array(
-            F.struct(F.col("correct").alias("points"), F.col("n_correct").alias("n")),
+            F.struct(F.coalesce("correct", F.lit(1.0)).alias("points"), F.col("n_correct").alias("n")),
             F.struct(F.lit(0.0).alias("points"), F.col("n_blank").alias("n")),
-            F.struct(F.col("wrong").alias("points"), F.col("n_wrong").alias("n")),
+            F.struct(F.coalesce("wrong", F.lit(-0.5)).alias("points"), F.col("n_wrong").alias("n")),
         ),
         asc=False,
     )
-    start = F.struct(F.col("count_best").cast("long").alias("left"), F.lit(0.0).alias("sum"))
+    best = F.coalesce("count_best", F.lit(40)).cast("long")
+    start = F.struct(best.alias("left"), F.lit(0.0).alias("sum"))
 
     def take(acc, pile):
         n = F.least(acc["left"], pile["n"])
         return F.struct((acc["left"] - n).alias("left"), (acc["sum"] + n * pile["points"]).alias("sum"))
 
-    best = F.aggregate(piles, start, take, lambda acc: acc["sum"])
-    return sheets.withColumn(
-        "score", F.bround(F.coalesce("base", F.lit(0.0)) + best, 2)
-    ).select(*_RESULT)
+    return F.aggregate(piles, start, take, lambda acc: acc["sum"])
 
 
 def score_sheets(graded: DataFrame, templates: DataFrame) -> DataFrame:
-    """All three schemes together."""
-    return (
-        score_flat(graded, templates)
-        .unionByName(score_tiered(graded, templates))
-        .unionByName(score_best_of(graded, templates))
+    """Every sheet by the scheme of its template, in one aggregation: base + points.
+
+    flat: points per status · tiered: points by the range that holds the question · best_of: the best N questions.
+    """
+    spec = templates.filter(F.col("scheme").isin("flat", "tiered", "best_of"))
+    tiers = spec.filter(F.col("scheme") == "tiered").select("template", "tiers")
+    by_tier = F.when(F.col("tiers").isNotNull(), _tier_points()).otherwise(0.0)
+    sheets = graded.join(tiers, "template", "left").withColumn("_points", by_tier).groupBy(
+        "sheet_id", "template").agg(*_tallies(), F.sum("_points").alias("_points"))
+    points = (
+        F.when(F.col("scheme") == "flat", _flat_points())
+        .when(F.col("scheme") == "best_of", _best_points())
+        .otherwise(F.col("_points"))
     )
+    scored = sheets.join(spec.drop("tiers", "questions"), "template")
+    return scored.withColumn("score", F.bround(F.coalesce("base", F.lit(0.0)) + points, 2)).select(*_RESULT)
+
+
+def score_flat(graded: DataFrame, templates: DataFrame) -> DataFrame:
+    """Sheets of the flat templates."""
+    return score_sheets(graded, templates.filter(F.col("scheme") == "flat"))
+
+
+def score_tiered(graded: DataFrame, templates: DataFrame) -> DataFrame:
+    """Sheets of the tiered templates."""
+    return score_sheets(graded, templates.filter(F.col("scheme") == "tiered"))
+
+
+def score_best_of(graded: DataFrame, templates: DataFrame) -> DataFrame:
+    """Sheets of the best-of templates."""
+    return score_sheets(graded, templates.filter(F.col("scheme") == "best_of"))
 
 
 def score_summary(sheets: DataFrame) -> DataFrame:

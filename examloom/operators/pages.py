@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from examloom.functions import urls
 from examloom.functions.storage import checkpointed
-from examloom.functions.text import contains_any, let, squeeze, strip_tags, unescape_html
+from examloom.functions.text import contains_any, let, letter_at, squeeze, strip_tags, unescape_html
 
 # Marks of answers and numbering in page texts.
 ANSWER_MARK = r"(?iu)(?:Đáp án|Answer|Đ/A)[:\s]*([A-Da-d])"
@@ -25,10 +25,12 @@ NOISE_TAGS = "script|style|nav|header|footer|aside"
 
 @dataclass(frozen=True)
 class PageLayout:
-    """Where a site keeps its questions: container classes in order of choice, and stem classes."""
+    """Where a site keeps its questions: container classes in order of choice, stem, option and answer classes."""
 
     containers: tuple[str, ...]
     stems: tuple[str, ...] = ()
+    options: tuple[str, ...] = ()
+    answers: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
     min_length: int = 1
     drop_noise: bool = False
@@ -37,7 +39,8 @@ class PageLayout:
 
 # Layouts by route.
 LAYOUTS = {
-    "vietjack": PageLayout(("box-question", "question-item", "cau-hoi", "question"), ("question-content", "noi-dung")),
+    "vietjack": PageLayout(("box-question", "question-item", "cau-hoi", "question"), ("question-content", "noi-dung"),
+                           options=("answer-list", "dap-an"), answers=("correct-answer", "dap-an-dung", "answer")),
     "hoc247": PageLayout(
         ("content-question", "question-box", "quiz-item", "question"), ("question-text", "question", "noidung")
     ),
@@ -52,6 +55,11 @@ def _by_class(name: str) -> str:
     return rf"(?is)<(div|section|li|article|p|td)\b[^>]*\bclass=[\"'][^\"']*{name}[^\"']*[\"'][^>]*>(.*?)</\1>"
 
 
+def _of_class(name: str) -> str:
+    """An element of any tag that carries the class itself; its content is group 2."""
+    return rf"(?is)<([a-z]\w*)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1>"
+
+
 def _by_tag(name: str) -> str:
     return rf"(?is)<({name})\b[^>]*>(.*?)</\1>"
 
@@ -74,8 +82,23 @@ def _first_paragraph(html, filled: bool) -> Column:
     return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
+def _area(html, names: tuple[str, ...], last: list[Column]) -> Column:
+    """Content of the first element found by class, else the first non-empty of ``last``."""
+    found = [F.nullif(F.regexp_extract(html, _of_class(c), 2), F.lit("")) for c in names]
+    return F.coalesce(*found, *last)
+
+
+def _labelled_elements(html) -> Column:
+    """Texts of elements that begin with a label A–D, label by label."""
+    found = [
+        F.regexp_extract_all(html, F.lit(rf"(?s)<([a-zA-Z]\w*)\b[^>]*>{c}[.):](.*?)</\1>"), F.lit(2)) for c in "ABCD"
+    ]
+    texts = F.transform(F.flatten(F.array(*found)), lambda x: F.regexp_replace(strip_tags(x), r"^[.):\s]+", ""))
+    return F.filter(texts, lambda x: x != "")
+
+
 def _options(html, text) -> Column:
-    """List items without labels, four at most; else labelled runs of the text."""
+    """List items without labels, four at most; else labelled runs of the text; else labelled elements."""
     items = F.filter(
         F.transform(
             F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)(?=</li>|<li\b|</ul>|</ol>|$)"), F.lit(1)),
@@ -84,7 +107,9 @@ def _options(html, text) -> Column:
         lambda x: x != "",
     )
     listed = F.transform(items, lambda x: F.regexp_replace(x, r"^[A-Da-d][.):\s]+", ""))
-    return F.slice(let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(labelled_runs(text))), 1, 4)
+    runs = lambda: let(
+        labelled_runs(text), lambda x: F.when(F.size(x) > 0, x).otherwise(_labelled_elements(html)))
+    return F.slice(let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(runs())), 1, 4)
 
 
 def labelled_runs(text) -> Column:
@@ -101,12 +126,102 @@ def _answer(html, text) -> Column:
     return let(marked, lambda m: F.when(m != "", m).otherwise(bold))
 
 
+def _first_image(content, url, *parts) -> Column:
+    """Address of the first usable picture of the parts, in order, if the text calls for one."""
+    def address(html):
+        tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+        src = _attribute(F.try_element_at(F.filter(tags, lambda t: image_kind(t) == "meaningful"), F.lit(1)), "src")
+        return F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).when(src != "", urls.resolve(url, src))
+
+    return F.when(needs_image(content), F.coalesce(*[address(p) for p in parts]))
+
+
+_QUESTION = "array<struct<content:string,options:array<string>,answer:string,image_url:string>>"
+
+
+def _question_rows(found: DataFrame) -> DataFrame:
+    """One row per question of ``_q``."""
+    return found.select("page_id", "url", F.posexplode("_q").alias("pos", "q")).select(
+        "page_id", "url", "pos", "q.content", "q.options", "q.answer",
+        F.when(F.size("q.options") > 0, "mcq").otherwise("essay").alias("question_type"), "q.image_url",
+    )
+
+
+def quiz_list_questions(pages: DataFrame, least_options: int = 0, most_options: int | None = None) -> DataFrame:
+    """Questions of pages that hold a quiz as a list of items.
+
+    An item runs to the next one.  The answers stand in the script that fills the quiz: per question id a list
+    with a 1 at the right option.  Items with less than ``least_options`` options go.
+    """
+    html = F.col("html")
+    items = F.filter(
+        F.split(html, r"(?is)(?=<li\b[^>]*\bclass=[\"'][^\"']*wpProQuiz_listItem)"),
+        lambda x: x.rlike(r"(?is)^<li\b[^>]*\bclass=[\"'][^\"']*wpProQuiz_listItem"))
+    block = F.regexp_extract(html, r"(?s)wpProQuizInitList\.push\(\s*\{.*?json\s*:\s*(\{.*?\}\s*\})", 1)
+    told = F.from_json(block, "map<string,struct<correct:array<int>>>")
+
+    def question(item):
+        stem = F.regexp_extract(item, _of_class("wpProQuiz_question_text"), 2)
+        listed = F.regexp_extract_all(
+            item, F.lit(r"(?is)<li\b[^>]*\bclass=[\"'][^\"']*wpProQuiz_questionListItem[^>]*>(.*?)(?=</li>|<li\b|</ul>|$)"), F.lit(1))
+        options = F.filter(F.transform(listed, strip_tags), lambda x: x != "")
+        options = options if most_options is None else F.slice(options, 1, most_options)
+        own = F.regexp_extract(item, r"(?is)<ul\b[^>]*\bdata-question_id=[\"']([^\"']*)[\"']", 1)
+        right = F.array_position(F.try_element_at(told, own)["correct"], 1)
+        content = F.regexp_replace(strip_tags(stem), r"^Câu\s*\d+[.:]\s*", "")
+        return let(content, lambda c: F.struct(
+            c.alias("content"), options.alias("options"), F.when(right > 0, letter_at(right)).otherwise("").alias("answer"),
+            _first_image(c, F.col("url"), stem, item).alias("image_url")))
+
+    found = F.filter(F.transform(items, question), lambda q: (F.length(q["content"]) >= 5) & (F.size(q["options"]) >= least_options))
+    return _question_rows(pages.select("page_id", "url", found.cast(_QUESTION).alias("_q")))
+
+
+def header_list_questions(pages: DataFrame) -> DataFrame:
+    """Questions whose heading stands before the list of its options.
+
+    Lists of class ``dstl`` belong to the nearest heading of class ``b-title`` before them, or to the nearest
+    heading without one.  An option has a label and the texts beside it; two options at least.
+    """
+    marks = F.regexp_extract_all(
+        "html", F.lit(r"(?is)<(h3)\b[^>]*>.*?</h3>|<ul\b[^>]*\bclass=[\"'](?:[^\"']*\s)?dstl(?:\s[^\"']*)?[\"'][^>]*>.*?</ul>"), F.lit(0))
+    titled = r"(?is)^<h3\b[^>]*\bclass=[\"'](?:[^\"']*\s)?b-title(?:\s[^\"']*)?[\"']"
+
+    def question(heading, items):
+        link = F.coalesce(F.nullif(F.regexp_extract(heading, r"(?is)<a\b[^>]*>(.*?)</a>", 1), F.lit("")), heading)
+        stem = F.coalesce(F.nullif(F.regexp_extract(link, r"(?is)<p\b[^>]*>(.*?)</p>", 1), F.lit("")), link)
+        listed = F.filter(
+            F.regexp_extract_all(items, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), lambda x: x.rlike(r"(?is)<span\b[^>]*\bcautl\b"))
+        spans = lambda x: F.filter(
+            F.regexp_extract_all(x, F.lit(r"(?is)<span\b[^>]*>.*?</span>"), F.lit(0)), lambda y: ~y.rlike(r"(?is)^<span\b[^>]*\bcautl\b"))
+        options = F.filter(F.transform(listed, lambda x: strip_tags(F.array_join(spans(x), " "))), lambda x: x != "")
+        content = F.regexp_replace(strip_tags(stem), r"(?iu)^Câu\s*\d+[.:]\s*", "")
+        return let(content, lambda c: F.struct(
+            c.alias("content"), F.slice(options, 1, 4).alias("options"), F.lit("").alias("answer"),
+            _first_image(c, F.col("url"), heading).alias("image_url")))
+
+    def with_heading(xs):
+        # the place of the nearest heading so far, of the class and of any
+        at = lambda test: F.transform(xs, lambda x, i: F.when(test(x), i).otherwise(-1))
+        any_h, own_h = at(lambda x: x.rlike("(?i)^<h3")), at(lambda x: x.rlike(titled))
+        nearest = lambda places, i: F.array_max(F.slice(places, 1, i + 1))
+        pairs = F.filter(
+            F.transform(xs, lambda x, i: F.struct(
+                x.alias("x"), F.when(nearest(own_h, i) >= 0, nearest(own_h, i)).otherwise(nearest(any_h, i)).alias("h"))),
+            lambda p: ~p["x"].rlike("(?i)^<h3") & (p["h"] >= 0))
+        return F.transform(pairs, lambda p: question(F.get(xs, p["h"]), p["x"]))
+
+    found = F.filter(let(marks, with_heading), lambda q: (F.length(q["content"]) >= 5) & (F.size(q["options"]) >= 2))
+    return _question_rows(pages.select("page_id", "url", found.cast(_QUESTION).alias("_q")))
+
+
 def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> DataFrame:
-    """Question rows of stored pages: stem, options, answer letter, type.
+    """Question rows of stored pages: stem, options, answer letter, type, picture.
 
     The first container class that occurs on a page counts.  The stem is the
-    first stem class, else the first paragraph.  A page without a usable
-    container falls back to its "Câu n" text.
+    first stem class, else the first paragraph.  Options and answer come from
+    their own containers where the layout names them and the page has them.  A
+    page without a usable container falls back to its "Câu n" text.
     """
     layout = LAYOUTS[rules] if isinstance(rules, str) else rules
     html = F.col("html")
@@ -119,12 +234,16 @@ def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> Dat
 
     def parts(box):
         stems = [strip_tags(F.regexp_extract(box, _by_class(c), 2)) for c in layout.stems]
+        listed = F.nullif(F.regexp_extract(box, _by_tag("ul"), 2), F.lit(""))
+        option_area = _area(box, layout.options, [listed, box]) if layout.options else box
+        answer_area = _area(box, layout.answers, [box]) if layout.answers else box
         first = _first_paragraph(box, layout.first_filled)
         stem = F.coalesce(*[F.nullif(s, F.lit("")) for s in stems], first) if stems else first
         return let(strip_tags(box), lambda text: F.struct(
             F.regexp_replace(stem, NUMBER_PREFIX, "").alias("content"),
-            _options(box, text).alias("options"),
-            _answer(box, text).alias("answer"),
+            (let(option_area, lambda x: _options(x, strip_tags(x))) if layout.options else _options(box, text)).alias("options"),
+            (let(answer_area, lambda x: _answer(x, strip_tags(x))) if layout.answers else _answer(box, text)).alias("answer"),
+            _first_image(F.regexp_replace(stem, NUMBER_PREFIX, ""), F.col("url"), box).alias("image_url"),
         ))
 
     usable = F.filter(
@@ -132,14 +251,11 @@ def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> Dat
     )
     found = boxes.withColumn("_found", usable)
     inline = _inline_questions(strip_tags(_body(F.col("_html"))))
-    rows = found.select(
-        "page_id", "url",
-        F.posexplode(F.when(F.size("_found") > 0, F.col("_found")).otherwise(inline)).alias("pos", "q"),
-    )
-    return rows.select(
-        "page_id", "url", "pos", "q.content", "q.options", "q.answer",
-        F.when(F.size("q.options") > 0, "mcq").otherwise("essay").alias("question_type"),
-    )
+    inline = F.transform(inline, lambda q: F.struct(
+        q["content"].alias("content"), q["options"].alias("options"), q["answer"].alias("answer"),
+        F.lit(None).cast("string").alias("image_url")))
+    either = F.when(F.size("_found") > 0, F.col("_found")).otherwise(inline)
+    return _question_rows(found.select("page_id", "url", either.alias("_q")))
 
 
 def _body(html) -> Column:

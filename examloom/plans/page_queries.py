@@ -123,6 +123,66 @@ def html_questions(t):
     return ops.html_questions(t.pages).select("page_id", "url", "content")
 
 
+def site_page(t, *parts):
+    """One page per part; parts are column names or '=literals'."""
+    pieces = [F.lit(p[1:]) if p.startswith("=") else F.col(p).cast("string") for p in parts]
+    return t.part.select(F.col("p_partkey").alias("page_id"), F.lit("https://site/list").alias("url"), F.concat(*pieces).alias("html"))
+
+
+def listed_questions(rows):
+    return rows.select("page_id", "pos", "content", F.array_join("options", "/").alias("options"), "answer", "question_type", "image_url")
+
+
+@query("html_questions_boxes", """
+SELECT p_partkey AS page_id, 0 AS pos, 'Which brand in the hình vẽ is ' || p_name || '?' AS content, p_brand || '/' || p_type AS options, 'B' AS answer, 'mcq' AS question_type,
+  'https://site/pics/' || p_size || '.png' AS image_url FROM part
+UNION ALL SELECT p_partkey, 1, 'Write about ' || p_name, '', '', 'essay', NULL FROM part""")
+def html_questions_boxes(t):
+    """Options and answer in containers of their own; a list before them must lose."""
+    return listed_questions(ops.html_questions(site_page(
+        t, '=<section class="question-item"><p class="question-content">Câu 1: Which brand in the hình vẽ is ', "p_name",
+        '=?</p><ol><li>not an option</li></ol><img src="/pics/', "p_size", '=.png"><ul class="answer-list"><li>A. ', "p_brand", "=</li><li>B. ", "p_type",
+        '=</li></ul><div class="answer">Đáp án: B</div></section><section class="question-item"><p class="question-content">Câu 2: Write about ', "p_name",
+        "=</p></section>"), "vietjack"))
+
+
+@query("html_questions_quiz", """
+SELECT p_partkey AS page_id, 0 AS pos, 'Which brand is ' || p_name || '?' AS content, p_brand || '/' || p_type || '/none' AS options, chr(65 + (p_size % 3)::INT) AS answer,
+  'mcq' AS question_type, NULL::VARCHAR AS image_url FROM part
+UNION ALL SELECT p_partkey, 1, 'Tam giác number ' || p_size, p_size || '/7', '', 'mcq', 'https://cdn/' || p_partkey || '.png' FROM part""")
+def html_questions_quiz(t):
+    """Items of a quiz with their answers in the script; an item with one option goes."""
+    item = '=<li class="wpProQuiz_listItem"><div class="wpProQuiz_question_text"><p>'
+    option = '=<li class="wpProQuiz_questionListItem" data-pos="0"><label><input type="radio"> '
+    marks = [F.when(F.col("p_size") % 3 == k, "1").otherwise("0").alias(f"m{k}") for k in range(3)]
+    t = _with_columns(t, marks)
+    return listed_questions(ops.quiz_list_questions(site_page(
+        t, "=<ol>", item, "=Câu 1: Which brand is ", "p_name", '=?</p></div><ul class="wpProQuiz_questionList" data-question_id="11">', option, "p_brand",
+        "=</label></li>", option, "p_type", "=</label></li>", option, "=none</label></li></ul></li>", item, "=Tam giác number ", "p_size",
+        '=<img src="//cdn/', "p_partkey", '=.png"></p></div><ul data-question_id="12">', option, "p_size", "=</label></li>", option, "=7</label></li></ul></li>",
+        item, "=Only one option here", "=</p></div><ul>", option, '=x</label></li></ul></li></ol><script>wpProQuizInitList.push({id: 1, json: {"11":{"correct":[',
+        "m0", "=,", "m1", "=,", "m2", '=]},"12":{"correct":[0,0]}} });</script>'), least_options=2))
+
+
+class _with_columns:
+    """The part table with further columns."""
+
+    def __init__(self, t, columns):
+        self.part = t.part.select("*", *columns)
+
+
+@query("html_questions_header_list", """
+SELECT p_partkey AS page_id, 0 AS pos, 'Which brand is ' || p_name || '?' AS content, p_brand || '/' || p_type AS options, '' AS answer, 'mcq' AS question_type, NULL::VARCHAR AS image_url FROM part
+UNION ALL SELECT p_partkey, 1, 'Read the đồ thị of ' || p_name, p_size || '/9/x', '', 'mcq', 'https://site/g/' || p_partkey || '.png' FROM part""")
+def html_questions_header_list(t):
+    """Headings before lists of labelled spans; a plain heading between them must lose."""
+    label = '=<li><span class="cautl">A.</span><span>'
+    return listed_questions(ops.header_list_questions(site_page(
+        t, '=<h3 class="b-title"><a href="#"><p>Câu 1: Which brand is ', "p_name", '=?</p></a></h3><h3>advert</h3><ul class="dstl">', label, "p_brand", "=</span></li>", label, "p_type",
+        '=</span></li><li>no label</li></ul><h3 class="b-title">câu 2. Read the đồ thị of ', "p_name", '=<img src="/g/', "p_partkey", '=.png"></h3><ul class="list dstl">', label, "p_size",
+        "=</span></li>", label, "=9</span></li>", label, '=x</span></li></ul><h3 class="b-title">Three: lonely</h3><ul class="dstl">', label, "=y</span></li></ul>")))
+
+
 def exam_page(t):
     """Parts written as a page of numbered questions."""
     return t.part.select(
