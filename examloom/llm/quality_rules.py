@@ -104,7 +104,7 @@ def sketch_quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float
 
 #: Least spread per metric, so that a group of near-constant values does not reject on a trifle; and the
 #: number of spreads beyond the upper quantile that a document may lie.
-SLACK = {"symbol_share": 0.03, "line_share": 0.15, "repeat_share": 0.05, "word_length": 2.0}
+SLACK = {"symbol_share": 0.03, "line_share": 0.15, "repeat_share": 0.065, "word_length": 2.0}
 SPREADS = 3.0
 
 

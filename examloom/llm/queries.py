@@ -6,14 +6,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from examloom.functions.storage import scratch_folder
-from examloom.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, secrets, suffix_dedup, token_counts, url_filter, warc
+from examloom.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, secrets, suffix_dedup, token_counts, twins, url_filter, warc
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
-@query("op1_decontaminate")
+@query("op1_decontaminate", twins.DECONTAMINATE)
 def op1(spark, folder):
     """Benchmark items in every document."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -62,13 +62,13 @@ def op6(spark, folder):
         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op7_jaccard_join")
+@query("op7_jaccard_join", twins.JACCARD)
 def op7(spark, folder):
     """Class and number of links of every document at a similarity of 0.8 or more."""
     return jaccard_join.similar(table(spark, folder, "documents"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", twins.QUALITY_RULES)
 def op8(spark, folder):
     """Counts, base rule and adaptive verdict for every document."""
     return quality_rules.quality_filter(table(spark, folder, "documents"))
