@@ -280,3 +280,72 @@ def test_warc(spark, tmp_path):
 def test_every_dealt_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11))
     assert suffix_dedup.LENGTH == 50
+
+
+def plain_templates(shapes, max_depth=6, fan_out=16, z=1.96):
+    """The tree by plain loops over (host, segments) -> (n, good, bad)."""
+    import math
+
+    template = {k: "" for k in shapes}
+    for level in range(max_depth):
+        children = collections.defaultdict(lambda: [0, 0, 0])
+        for (host, segs), counts in shapes.items():
+            if level < len(segs):
+                c = children[host, template[host, segs], segs[level]]
+                for k in range(3):
+                    c[k] += counts[k]
+        parents = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for (host, above, _), c in children.items():
+            p = parents[host, above]
+            p[0] += 1
+            for k in range(3):
+                p[k + 1] += c[k]
+        step = {}
+        for (host, above, seg), (n, good, bad) in children.items():
+            k, p_n, p_good, p_bad = parents[host, above]
+            share = (p_bad + 1) / (p_bad + p_good + 2)
+            own = (bad + 2 * share) / (bad + good + 2)
+            distance = abs(own - share) / math.sqrt(share * (1 - share) / max(bad + good, 1))
+            step[host, above, seg] = "*" if k > fan_out and n * fan_out < p_n else "~" if k > 1 and distance <= z else seg
+        for host, segs in shapes:
+            if level < len(segs):
+                above = template[host, segs]
+                template[host, segs] = f"{above}/{step[host, above, segs[level]]}"
+    return template
+
+
+def shaped(path, max_depth=6):
+    path = re.sub(r"(?<=/)(?=[0-9a-fA-F-]*\d)(?=[0-9a-fA-F-]*[a-fA-F])[0-9a-fA-F-]{8,}(?=[/.]|$)", "{x}", path)
+    return tuple(re.sub(r"^/", "", re.sub(r"\d+", "{n}", path)).split("/", max_depth - 1))
+
+
+def test_url_verdicts_against_brute_force(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    pages = duckdb.sql(f"select page_id, url from '{folder}/pages.parquet'").fetchall()
+    bad = dict(duckdb.sql(f"select doc_id, quality = 0 or toxic = 1 from '{folder}/labels.parquet'").fetchall())
+    shapes, key_of = collections.defaultdict(lambda: [0, 0, 0]), {}
+    for i, url in pages:
+        host, path = plain_url(url)
+        number = re.search(r"/([0-9]+)(?:[/.]|$)", path)
+        label = bad.get(int(number[1])) if number else None
+        key_of[i] = host, shaped(path)
+        c = shapes[key_of[i]]
+        c[0] += 1
+        if label is not None:
+            c[2 if label else 1] += 1
+    template = plain_templates(shapes)
+    groups = collections.defaultdict(lambda: [0, 0])
+    for k, (_, good, b) in shapes.items():
+        groups[k[0], template[k]][0] += b
+        groups[k[0], template[k]][1] += b + good
+    total_bad, total = (sum(g[k] for g in groups.values()) for k in (0, 1))
+    share = (total_bad + 1) / (total + 2)
+    for r in QUERIES["op3_url_filter"](spark, folder).collect():
+        host, segs = key_of[r["page_id"]]
+        b, n = groups[host, template[host, segs]]
+        purity = (b + 4 * share) / (n + 4)
+        assert r["template"] == template[host, segs] and r["purity"] == pytest.approx(purity)
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if n and purity >= 0.5 else "allow")
