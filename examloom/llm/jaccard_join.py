@@ -218,10 +218,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     banded = keyed.select("key", "text").mapInArrow(_band_rows, "key binary, n int, bands array<bigint>")
     buckets = checkpointed(banded.select("key", "n", F.explode("bands").alias("band")).groupBy("band", "key").agg(F.first("n").alias("n")))
     leaders = buckets.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last")
-    links = buckets.join(leaders, "band").select(F.col("key").alias("a"), F.col("leader").alias("b"), "n")
-    links = checkpointed(links.groupBy("a", "b").agg(F.first("n").alias("n")))
-    groups = connected(links)
-    members = groups.join(links.groupBy(F.col("a").alias("node")).agg(F.first("n").alias("n")), "node", "left")
+    # at most BANDS leaders per text; its smallest leader stands for it, and ties the others together
+    led = checkpointed(buckets.join(leaders, "band").groupBy("key").agg(
+        F.min("leader").alias("least"), F.collect_set("leader").alias("leaders"), F.first("n").alias("n")))
+    ties = led.select(F.explode("leaders").alias("a"), F.col("least").alias("b")).distinct()
+    groups = connected(ties.union(led.select("key", "least")))
+    members = groups.join(led.select(F.col("key").alias("node"), "n"), "node", "left")
     sizes = members.groupBy("label").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, "label").select(F.col("node").alias("key"), "label", "blocks")
