@@ -187,15 +187,12 @@ def pick_totals(report: DataFrame) -> DataFrame:
 
 
 def pick_answer_key(picks: DataFrame) -> DataFrame:
-    """The picks of one exam, numbered through all cells, as ``n. answer`` lines.
-
-    Picks are as many as the matrix asks for, so one window over them is small.
-    """
-    number = F.row_number().over(Window.orderBy("cell", "place"))
+    """The picks of one exam, numbered through all cells, as ``n. answer`` lines."""
     line = F.when(
         has_text(F.col("answer")), F.concat(F.col("q_num").cast("string"), F.lit(". "), F.col("answer"))
     )
-    return picks.withColumn("q_num", number).select("q_num", "cell", "id", "answer", line.alias("line"))
+    numbered = split_row_number(picks.withColumn("_all", F.lit(1)), ["_all"], ["cell", "place"], "q_num")
+    return numbered.withColumn("q_num", F.col("q_num").cast("int")).select("q_num", "cell", "id", "answer", line.alias("line"))
 
 
 def exam_variants(
@@ -310,8 +307,7 @@ def sample_mix(
 ) -> DataFrame:
     """A sample of ``n`` rows: ``round(n * ratio)`` of pool a (halves to even), the others of pool b.
 
-    A pool smaller than its share is repeated from the start.  The share is a
-    sampling size, so the sorted head of each pool is small.
+    A pool smaller than its share is repeated from the start.
     """
     n_a = round(n * ratio)
     return _draw(pool_a, n_a, f"{seed}a", id_col).unionByName(
@@ -321,14 +317,12 @@ def sample_mix(
 
 def _draw(pool: DataFrame, n: int, seed: str, id_col: str) -> DataFrame:
     columns = pool.columns
-    head = pool.withColumn("_luck", seeded(seed, F.col(id_col))).orderBy("_luck", id_col).limit(max(n, 0))
-    w = Window.orderBy("_luck", id_col)
-    ranked = head.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_size", F.count("*").over(Window.partitionBy(F.lit(1)))
-    )
-    # The sample has n rows at most; repeat it until n places are filled.
+    lucky = pool.withColumn("_all", F.lit(1)).withColumn("_luck", seeded(seed, F.col(id_col)))
+    ranked = split_row_number(lucky, ["_all"], ["_luck", id_col], "_rn").filter(F.col("_rn") <= n)
+    size = ranked.groupBy("_all").agg(F.count("*").alias("_size"))
+    # A short pool is repeated until n places are filled.
     rounds = F.sequence(F.lit(0), F.floor((F.lit(n) - F.col("_rn")) / F.col("_size")).cast("int"))
-    return ranked.filter(F.col("_rn") <= n).withColumn("copy", F.explode(rounds)).select("copy", *columns)
+    return ranked.join(size, "_all").withColumn("copy", F.explode(rounds)).select("copy", *columns)
 
 
 def quiz_sample(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from examloom.functions.ranking import split_row_number
 from examloom.functions.text import has_text, squeeze, strip
 from examloom.operators.bank import bank_predicate
 from examloom.operators.curation import math_text
@@ -150,26 +151,8 @@ def read_qti_xml(spark: SparkSession, path: str, with_choices: bool = True) -> D
 
 
 def _numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Add ``n`` 1..N over a whole table without bringing it to one task.
-
-    The table is sorted and stored in ranges; only the sizes of the ranges are summed up.
-    """
-    from pyspark.sql import Window
-
-    from examloom.functions.storage import checkpointed
-
-    # Stored, so that ranges stay the same when they are read again.
-    sorted_rows = checkpointed(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn(
-        "_at", F.monotonically_increasing_id()
-    ))
-    sizes = sorted_rows.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    # The low 33 bits of the id count the rows of a range.
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_rows.join(F.broadcast(offsets), "_part").withColumn(  # one row per range
-        "n", F.col("_before") + inside + 1
-    ).drop("_part", "_at", "_before")
+    """Add ``n`` 1..N over a whole table without bringing it to one task."""
+    return split_row_number(rows.withColumn("_all", F.lit(1)), ["_all"], order, "n").drop("_all")
 
 
 def write_qti_xml(bank: DataFrame, path: str, limit: int | None = None, **filters) -> None:
