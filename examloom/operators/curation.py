@@ -66,6 +66,7 @@ def language_flags(questions: DataFrame, question: str = "question", options: st
 
 # ------------------------------------------------------------------- merging
 
+# Fixed value: headers between sections.
 _SECTION_HEADER = r"(?i)^\d+\s*[–\-]\s*Point\s+Questions?$"
 
 
@@ -125,6 +126,7 @@ def bilingual_line_merge(doc_lines: DataFrame) -> DataFrame:
     return near.filter(~taken).select("doc_id", "line_no", F.when(opener, whole).otherwise(text).alias("text"))
 
 
+# Fixed value: labels of diagrams in texts.
 _LABEL_NOISE = r"(?:[A-Z]\d){2,}"
 
 

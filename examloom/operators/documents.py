@@ -261,6 +261,7 @@ def _line_options(line) -> Column:
     return F.coalesce(found, F.array().cast(NO_STRINGS))
 
 
+# Fixed value: options run together in one line.
 _MERGED_OPTIONS = "|".join([
     r"\s{2,}(?=[A-E][.)]\s)",
     r"(?<=\S)\t+(?=[A-E][.)])",
@@ -821,6 +822,7 @@ def level_detect(headers: DataFrame, text: str = "text", questions: str = "num_q
 
 # ------------------------------------------------------------------- outlines
 
+# Lines that open a chapter or a topic.
 _CHAPTER_LINE = r"(?iu)^(Chương|Phần)\s*(\d+|[IVX]+)[.:]\s*(.+)"
 _TOPIC_LINE = r"(?iu)^(Chủ đề|Bài|Mục)\s*(\d+)?[.:]\s*(.+)"
 

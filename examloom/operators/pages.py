@@ -514,17 +514,17 @@ SKIPPED_IMAGES = [
     "icon", "avatar", "logo", "placeholder", "loading", "pixel", "emoji", "button", "banner",
     "ad-", "ads/", "advertisement", "tracking", "analytics",
 ]
-FORMULA_SOURCES = [
+FORMULA_SERVICES = [
     "latex.codecogs.com", "latex2png", "mathjax", "katex", "tex.s2cms", "mimetex", "mathurl",
     "quicklatex", "latex4technics", "sciweavers.org/tex2img", "chart.googleapis.com/chart?cht=tx",
-    "i.upmath.me", "render.githubusercontent.com", "/latex/", "/tex/", "/math/", "/formula/", "/equation/",
+    "i.upmath.me", "render.githubusercontent.com",
 ]
+FORMULA_PATHS = ["/latex/", "/tex/", "/math/", "/formula/", "/equation/"]
 FORMULA_CLASSES = ["mathjax", "latex", "katex", "math", "tex", "mjx", "equation"]
 FORMULA_WORDS = [
-    "\\\\frac", "\\\\sqrt", "\\\\sum", "\\\\int", "\\\\alpha", "\\\\beta", "\\\\gamma", "\\\\delta",
-    "\\\\theta", "\\\\pi", "\\\\infty", "\\\\lim", "\\\\begin{", "\\\\end{", "\\\\left", "\\\\right",
-    "\\\\cdot", "\\\\times", "\\\\div", "\\\\pm", "\\\\leq", "\\\\geq", "\\\\neq", "\\\\approx",
-    "\\\\equiv", "\\$",
+    r"\\frac", r"\\sqrt", r"\\sum", r"\\int", r"\\alpha", r"\\beta", r"\\gamma", r"\\delta", r"\\theta",
+    r"\\pi", r"\\infty", r"\\lim", r"\\begin{", r"\\end{", r"\\left", r"\\right", r"\\cdot", r"\\times",
+    r"\\div", r"\\pm", r"\\leq", r"\\geq", r"\\neq", r"\\approx", r"\\equiv", r"\$",
 ]
 FORMULA_DELIMITERS = ["$$", "\\(", "\\)", "\\[", "\\]"]
 
@@ -549,7 +549,7 @@ def image_kind(tag) -> Column:
 def _kind_of(tag, p) -> Column:
     src, alt = p["src"], p["alt"]
     formula = (
-        contains_any(src, FORMULA_SOURCES)
+        contains_any(src, FORMULA_SERVICES + FORMULA_PATHS)
         | contains_any(F.lower(_attribute(tag, "class")), FORMULA_CLASSES)
         | (_attribute(tag, "data-latex") != "")
         | (_attribute(tag, "data-formula") != "")

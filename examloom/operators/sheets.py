@@ -12,6 +12,7 @@ def mark_decision(bubbles: DataFrame, options: int = 5) -> DataFrame:
     from 0 to ``options`` - 1 as the template says; another one is an error.  Plain conditional maxima per option bring the bubbles together, so
     the aggregation is combined before the shuffle.
     """
+    # Fixed values below: the thresholds of fill and brightness.
     n = options
     known = F.when(F.col("opt").between(0, n - 1), F.col("opt")).otherwise(
         F.raise_error(F.lit("a bubble lies beyond the options of the template")).cast("int"))
