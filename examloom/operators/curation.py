@@ -301,7 +301,7 @@ def splice_order(questions: DataFrame) -> DataFrame:
     block = numbered.withColumn("_at", F.col("number") + part)
     both = placed.unionByName(block).withColumn("question", strip(F.col("question")))
     full = both.filter(F.col("question") != "")
-    kept_keys = full.groupBy("doc_id", "question").agg(F.min(F.struct("_at", "pos")).alias("_k"))
+    kept_keys = full.groupBy("doc_id", F.sha2("question", 256).alias("_digest")).agg(F.min(F.struct("_at", "pos")).alias("_k"))
     kept = full.join(
         kept_keys.select("doc_id", F.col("_k._at").alias("_at"), F.col("_k.pos").alias("pos")),
         ["doc_id", "_at", "pos"], "left_semi",
