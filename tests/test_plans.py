@@ -1,9 +1,11 @@
 """Shapes of physical plans."""
 
+from pathlib import Path
+
 import pytest
 
-from __spark_entry__ import queries
 from examloom.operators import bank as ops
+from examloom.plans import QUERIES
 from examloom.plans import bindings as b
 from examloom.plans.registry import Tables
 
@@ -28,9 +30,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - WRITES_FIRST))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES_FIRST))
 def test_no_nested_loops_and_no_python(spark, name):
-    plan = plan_of(queries()[name](spark, FOLDER))
+    plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in WITH_PYTHON:
         assert "Python" not in plan and "InPandas" not in plan and "ArrowEval" not in plan
@@ -38,7 +40,7 @@ def test_no_nested_loops_and_no_python(spark, name):
 
 @pytest.mark.parametrize("name", ROW_LOCAL)
 def test_row_local_jobs_do_not_shuffle(spark, name):
-    assert "Exchange" not in plan_of(queries()[name](spark, FOLDER))
+    assert "Exchange" not in plan_of(QUERIES[name](spark, FOLDER))
 
 
 def test_scans_are_pruned(spark):
@@ -50,5 +52,19 @@ def test_scans_are_pruned(spark):
 
 
 def test_picks_rank_ids_only(spark):
-    plan = plan_of(queries()["matrix_pick"](spark, FOLDER))
+    plan = plan_of(QUERIES["matrix_pick"](spark, FOLDER))
     assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("name", ["exam_variants", "number_sort", "position_marks", "section_renumber", "bilingual_merge", "pick_answer_key", "curriculum_context", "score_summary"])
+def test_no_table_meets_in_one_task(spark, name):
+    """Only sums of few rows may; none of these has any."""
+    assert "SinglePartition" not in plan_of(QUERIES[name](spark, FOLDER))
+
+
+def test_no_local_state_in_the_library():
+    import examloom
+
+    for path in Path(examloom.__file__).parent.rglob("*.py"):
+        text = path.read_text()
+        assert "mkdtemp" not in text and "tempfile" not in text and ".localCheckpoint(" not in text, path
