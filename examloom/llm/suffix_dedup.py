@@ -445,8 +445,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     chunks, tiles, buckets = _prepared(docs, merge=True)
     answers = _back(_exchange(tiles, _answers, "chunk bigint, bucket bigint, reply binary"), buckets, "answers")
-    told = checkpointed(answers)
-    return chunks.join(told, "chunk", "left").mapInArrow(
+    # in one plan with the tiles, so that the chunks are shuffled once and read twice
+    return chunks.join(answers, "chunk", "left").mapInArrow(
         _removed_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, edges array<bigint>")
 
 
