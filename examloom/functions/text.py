@@ -177,15 +177,11 @@ def unescape_html(col) -> Column:
         code = F.when(F.length(clean) <= 8, F.when(hexed, F.conv(clean, 16, 10)).otherwise(clean).try_cast("bigint"))
 
         def char(n):
-            out = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-            for k, v in _WINDOWS.items():
-                out = F.when(n == k, v).otherwise(out)
-            control = n.between(1, 8) | n.between(14, 31) | n.between(127, 159) & ~n.isin(list(_WINDOWS)) | (n == 11)
+            out = F.translate(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"), "".join(map(chr, _WINDOWS)), "".join(_WINDOWS.values()))
+            control = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127)
             noncharacter = n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
             bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-            return F.when(bad, "\ufffd").when(n == 13, "\r").when(n == 0x81, "\x81").when(
-                n.isin(0x8D, 0x8F, 0x90, 0x9D), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(
-                control | noncharacter, "").otherwise(out)
+            return F.when(bad, "\ufffd").when(control | noncharacter, "").otherwise(out)
 
         return let(code, char)
 

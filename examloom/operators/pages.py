@@ -239,12 +239,16 @@ def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> Dat
         answer_area = _area(box, layout.answers, [box]) if layout.answers else box
         first = _first_paragraph(box, layout.first_filled)
         stem = F.coalesce(*[F.nullif(s, F.lit("")) for s in stems], first) if stems else first
-        return let(strip_tags(box), lambda text: F.struct(
-            F.regexp_replace(stem, NUMBER_PREFIX, "").alias("content"),
+        both = F.struct(strip_tags(box).alias("text"), F.regexp_replace(stem, NUMBER_PREFIX, "").alias("content"))
+        return let(both, lambda b: described(box, b["text"], b["content"], option_area, answer_area))
+
+    def described(box, text, content, option_area, answer_area):
+        return F.struct(
+            content.alias("content"),
             (let(option_area, lambda x: _options(x, strip_tags(x))) if layout.options else _options(box, text)).alias("options"),
             (let(answer_area, lambda x: _answer(x, strip_tags(x))) if layout.answers else _answer(box, text)).alias("answer"),
-            _first_image(F.regexp_replace(stem, NUMBER_PREFIX, ""), F.col("url"), box).alias("image_url"),
-        ))
+            _first_image(content, F.col("url"), box).alias("image_url"),
+        )
 
     usable = F.filter(
         F.transform("_boxes", parts), lambda q: F.length(q["content"]) >= layout.min_length
