@@ -9,11 +9,16 @@ The suffixes of a large corpus do not fit one array, so they are sampled by cont
 3. Consecutive strings with the same anchor form a tile (50 to 74 bytes).  Tiles of repeated anchors go to
    buckets by anchor, equal tiles of a chunk once, with their smallest document.  A bucket builds an enhanced
    suffix array over the suffixes of its tiles (sorted suffixes, lengths of common prefixes, preceding bytes)
-   and scans it with a stack.  The scan gives the tree of common-prefix intervals: every interval of 50 bytes or
-   more is a repeat with all its occurrences; it is maximal to the left if the preceding bytes differ.
+   and scans it with a stack.  The scan gives the tree of common-prefix intervals.
 4. The tree says for every suffix whether a smaller document holds its first 50 bytes.  Chunks turn the answers
    into removed stretches.
 
+Maximal repeats (``repeat_groups``) may be longer than a tile.  For them buckets tell the chunks which 50-byte
+strings two documents hold, and which of these follow different bytes: only there a maximal repeat may begin.  Chunks
+send the suffixes from there on, up to the end of the stretch of such strings, to the bucket of their first string.
+The bucket sorts them whole and scans them with the same stack: every interval is a repeat with all its occurrences,
+maximal to the left if the preceding bytes differ.
+
 An anchor that very many chunks share sends its strings one by one, each to the bucket of its own hash and
 once per chunk, so no bucket gathers the surroundings of a frequent passage.  Both ways give the same result.
 
@@ -351,27 +356,131 @@ def _answers(rows: list[dict]) -> Iterator[pa.RecordBatch]:
          pa.array([_pack(b.tobytes()) for b in np.split(bits, cuts)], pa.binary())], ["chunk", "bucket", "reply"])
 
 
+def _marks(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Per record two bits for every string: two documents hold it (low half); they do after different bytes (high half)."""
+    data, first, count, before, ids, sizes = _bucket_tiles(rows)
+    tile = np.repeat(np.arange(len(first)), count)
+    inner = np.arange(len(tile)) - (np.cumsum(count) - count)[tile]
+    at = first[tile] + inner
+    left = np.where(inner > 0, data[np.maximum(at - 1, 0)].astype(np.int64), before[tile])
+    _, own = np.unique(span_hash(prefix_hash(data), at, at + LENGTH), return_inverse=True)
+    n = int(own.max()) + 1
+    low, high, least, most = np.full(n, _LAST), np.full(n, -_LAST), np.full(n, 256), np.full(n, -1)
+    np.minimum.at(low, own, ids[tile])
+    np.maximum.at(high, own, ids[tile])
+    np.minimum.at(least, own, left)
+    np.maximum.at(most, own, left)
+    twice = low < high
+    begins = twice & ((least < 0) | (least < most))
+    bits = np.zeros(len(ids), np.uint64)
+    np.bitwise_or.at(bits, tile, (twice[own].astype(np.uint64) | begins[own].astype(np.uint64) << np.uint64(32)) << inner.astype(np.uint64))
+    cuts = np.cumsum(sizes)[:-1]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int64()),
+         pa.array([_pack(x.tobytes()) for x in np.split(bits, cuts)], pa.binary())], ["chunk", "bucket", "reply"])
+
+
+def _start_rows(buckets: int):
+    """Places where a repeat may begin, to the bucket of their first string, with all bytes that a repeat may hold.
+
+    A repeat in two documents ends where the strings that two documents hold end.  Of such a stretch a bucket
+    gets the bytes once, from the first place in it on; equal stretches of a chunk share them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                first, count, key, doc = _selected(chunk, row["replies"])
+                if not len(first):
+                    continue
+                answers = sorted(row["answers"], key=lambda r: r["bucket"])
+                order, _ = _bucketed(key, answers[0]["buckets"])
+                bits = np.zeros(len(first), np.uint64)
+                bits[order] = np.frombuffer(b"".join(_unpack(r["reply"]) for r in answers), np.uint64)
+                twice, begins = np.zeros(len(chunk.data) + 1, bool), np.zeros(len(chunk.data) + 1, bool)
+                for k in range(int(count.max())):
+                    own = count > k
+                    twice[first[own] + k] = bits[own] >> np.uint64(k) & np.uint64(1) == 1
+                    begins[first[own] + k] = bits[own] >> np.uint64(k + 32) & np.uint64(1) == 1
+                at = np.flatnonzero(begins)
+                ends = np.flatnonzero(twice[:-1] & ~twice[1:])  # the last string of a stretch
+                end = ends[np.searchsorted(ends, at)] + LENGTH if len(at) else at
+                place = np.searchsorted(chunk.starts, at, "right") - 1
+                before = chunk.before(at, place)
+                order, parts = _bucketed(span_hash(chunk.prefix, at, at + LENGTH), buckets)
+                out = []
+                for bucket, a, b in parts:
+                    own = np.sort(order[a:b])
+                    lead = np.ones(len(own), bool)
+                    lead[1:] = end[own][1:] != end[own][:-1]
+                    head, tail = at[own[lead]], end[own[lead]]
+                    _, pick, same = np.unique(span_hash(chunk.prefix, head, tail), return_index=True, return_inverse=True)
+                    size = (tail - head)[pick]
+                    offset = (np.cumsum(size) - size)[same][np.cumsum(lead) - 1] + at[own] - head[np.cumsum(lead) - 1]
+                    data = b"".join(chunk.data[x:y].tobytes() for x, y in zip(head[pick].tolist(), tail[pick].tolist()))
+                    out.append((bucket, _pack(data), *(_pack(x.astype(np.int64).tobytes()) for x in (
+                        offset, end[own] - at[own], before[own], chunk.ids[place[own]], at[own] - chunk.starts[place[own]]))))
+                columns = list(zip(*out)) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                    ["bucket", "data", "offset", "size", "before", "ids", "place"])
+
+    return run
+
+
+def _common_prefix(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal bytes from ``a`` and ``b`` on, ``most`` at most: a binary search over hashes."""
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    while (low < high).any():
+        half = (low + high + 1) // 2
+        same = span_hash(prefix, a, a + half) == span_hash(prefix, b, b + half)
+        low, high = np.where(same, half, low), np.where(same, high, half - 1)
+    return low
+
+
 def _groups(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Maximal repeats of a bucket with every occurrence."""
-    data, first, count, before, ids, _ = _bucket_tiles(rows)
-    place = np.concatenate([np.frombuffer(_unpack(r["place"]), np.int64) for r in rows])
-    array = SuffixArray(data, first, count)
-    low, high, length = interval_tree(array.common, LENGTH)
-    preceding = np.where(array.inner > 0, data[np.maximum(array.at - 1, 0)].astype(np.int64), before[array.tile])[array.order]
-    docs, starts = ids[array.tile][array.order], (place[array.tile] + array.inner)[array.order]
+    """Maximal repeats that begin in a bucket, whole, with every occurrence."""
+    parts = [_unpack(r["data"]) for r in rows]
+    shift = np.cumsum([0, *map(len, parts)])
+    raw = b"".join(parts)
+    read = lambda name: [np.frombuffer(_unpack(r[name]), np.int64) for r in rows]
+    at = np.concatenate([o + x for o, x in zip(read("offset"), shift)])
+    size, before, ids, place = (np.concatenate(read(name)) for name in ("size", "before", "ids", "place"))
+    prefix = prefix_hash(np.frombuffer(raw, np.uint8))
+    first = span_hash(prefix, at, at + LENGTH)
+    # equal suffixes are sorted once; those with one first string at a time, so that few bytes are copied
+    _, lead, own = np.unique(np.stack([first, span_hash(prefix, at, at + size)]), axis=1, return_index=True, return_inverse=True)
+    own = own.ravel()
+    by_first = lead[np.argsort(first[lead], kind="stable")]
+    bounds = [0, *(np.flatnonzero(np.diff(first[by_first])) + 1).tolist(), len(by_first)] if len(by_first) > 1 else [0, len(by_first)]
+    rank, n = np.zeros(len(at), np.int64), 0
+    for a, b in zip(bounds, bounds[1:]):
+        for k in sorted(by_first[a:b].tolist(), key=lambda k: raw[at[k] : at[k] + size[k]]) if b - a > 1 else by_first[a:b].tolist():
+            rank[k], n = n, n + 1
+    order = np.argsort(rank[lead[own]], kind="stable")
+    at, size, before, ids, place = at[order], size[order], before[order], ids[order], place[order]
+    common = np.zeros(len(at), np.int64)
+    common[1:] = _common_prefix(prefix, at[:-1], at[1:], np.minimum(size[:-1], size[1:]))
+    common[common < LENGTH] = 0
     out: list[list] = [[], [], [], []]
-    for a, b, n in zip(low.tolist(), high.tolist(), length.tolist()):
-        left = preceding[a:b]
-        diverse = (left < 0).any() or (left != left[0]).any()
-        if diverse and (docs[a:b] != docs[a]).any():
-            at = array.at[array.order[a]]
-            name = hashlib.sha256(data[at : at + n].tobytes()).hexdigest()
-            for column, values in zip(out, ([name] * (b - a), [n] * (b - a), docs[a:b].tolist(), starts[a:b].tolist())):
+
+    def batch():
+        known = [None if d == _LAST else d for d in out[2]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(known, pa.int64()), pa.array(out[3], pa.int64())],
+            ["repeat", "n_bytes", "doc_id", "start"])
+
+    for a, b, n in zip(*(x.tolist() for x in interval_tree(common, LENGTH))):
+        left, docs = before[a:b], ids[a:b]
+        if ((left < 0).any() or (left != left[0]).any()) and (docs != docs[0]).any():
+            name = hashlib.sha256(raw[at[a] : at[a] + n]).hexdigest()
+            for column, values in zip(out, ([name] * (b - a), [n] * (b - a), docs.tolist(), place[a:b].tolist())):
                 column.extend(values)
-    ids_out = [None if d == _LAST else d for d in out[2]]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(ids_out, pa.int64()), pa.array(out[3], pa.int64())],
-        ["repeat", "n_bytes", "doc_id", "start"])
+            if len(out[0]) > 100_000:
+                yield batch()
+                out = [[], [], [], []]
+    yield batch()
 
 
 def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +521,7 @@ def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 _CHUNK = "ids binary, known binary, starts binary, data binary, n_bytes bigint"
 _TILES = "chunk bigint, bucket bigint, data binary, count binary, before binary, ids binary, place binary"
+_STARTS = "bucket bigint, data binary, offset binary, size binary, before binary, ids binary, place binary"
 
 
 def _exchange(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -453,8 +563,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def repeat_groups(docs: DataFrame) -> DataFrame:
     """repeat (SHA-256 of its bytes), n_bytes, doc_id, start: every occurrence of every maximal repeat.
 
-    Repeats are those of 50 bytes or more in two or more documents, maximal to the left and right within a tile:
-    of 74 bytes at most.  A longer repeat comes as the chain of its overlapping tiles.
+    Repeats are those of 50 bytes or more, of any length, in two or more documents, whose occurrences differ in
+    the byte before and in the byte after them (an end of a text differs from everything).
     """
-    _, tiles, _ = _prepared(docs, merge=False)
-    return _exchange(tiles, _groups, "repeat string, n_bytes bigint, doc_id bigint, start bigint")
+    chunks, tiles, buckets = _prepared(docs, merge=False)
+    marks = _back(_exchange(tiles, _marks, "chunk bigint, bucket bigint, reply binary"), buckets, "answers")
+    starts = chunks.join(marks, "chunk", "left").mapInArrow(_start_rows(buckets), _STARTS)
+    return _exchange(starts, _groups, "repeat string, n_bytes bigint, doc_id bigint, start bigint")

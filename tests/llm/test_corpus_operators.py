@@ -234,6 +234,46 @@ def test_repeat_groups_hold_every_occurrence(spark):
         assert places == every
 
 
+def plain_repeats(rows):
+    """(digest, length, document, start) of every occurrence of every maximal repeat, from sorted whole suffixes."""
+    texts = [(i, t.encode()) for i, t in rows]
+    suffixes = sorted((t[k:], t[k - 1] if k else -1, i, k) for i, t in texts for k in range(len(t) - 49))
+    common = [0]
+    for (a, *_), (b, *_) in zip(suffixes, suffixes[1:]):
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        common.append(n if n >= 50 else 0)
+    out = collections.Counter()
+    for a, b, n in zip(*suffix_dedup.interval_tree(np.array(common), 50)):
+        own = suffixes[a:b]
+        if (len({x[1] for x in own}) > 1 or own[0][1] < 0) and len({x[2] for x in own}) > 1:
+            out.update((hashlib.sha256(own[0][0][:n]).hexdigest(), int(n), i, k) for _, _, i, k in own)
+    return out
+
+
+@pytest.mark.parametrize("chunk, frequent", [(2 << 20, 2000), (700, 2000), (700, 1), (1, 0)])
+def test_repeat_groups_are_whole(spark, monkeypatch, chunk, frequent):
+    """Repeats longer than a tile come whole, whatever the size of chunks and whether anchors count as frequent or not."""
+    chunks, shared = suffix_dedup._chunk_rows, suffix_dedup._shared_anchors
+
+    def small(batches):
+        suffix_dedup.CHUNK = chunk
+        return chunks(batches)
+
+    def patched(work):
+        suffix_dedup.FREQUENT = frequent
+        return shared(work)
+
+    monkeypatch.setattr(suffix_dedup, "_chunk_rows", small)
+    monkeypatch.setattr(suffix_dedup, "_shared_anchors", patched)
+    short, long = cases.prose(610, 60)[:200], cases.prose(611, 500)[:2000]
+    assert (len(short), len(long)) == (200, 2000)
+    rows = [(1, "a" + short + "b" + cases.prose(612, 30)), (2, "c" + short + "d" + long), (3, cases.prose(613, 20) + "\n" + long + "e"), (4, "f" + long[500:1700] + "g" + short[:120]),
+            (5, long), (6, short + short), (7, cases.prose(614, 60)), (8, "ab" * 60), (9, "ab" * 50 + "c"), (5, "h" + long[:90])]
+    got = collections.Counter(map(tuple, suffix_dedup.repeat_groups(cases.frame(spark, rows)).collect()))
+    assert got == plain_repeats(rows)
+    assert {200, 1200, 2000} <= {n for _, n, _, _ in got}
+
+
 # Classifier
 
 
