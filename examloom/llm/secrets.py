@@ -1,7 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with control of false discoveries.
 
-Base spans come from three patterns.  Beside them every run of 20 or more characters of the base64 alphabets
-is a candidate.  Its encoding is inferred from its characters, and three tests ask whether it looks like
+Base spans come from three patterns.  Beside them runs of the base64 alphabets are searched for candidates of 20
+or more characters: a run is split at every ``=`` that is not padding at its end, and in each part these are
+candidates of their own:
+
+* the longest stretches of every alphabet, and of letters and digits with one of ``+ / - _`` (so what a run holds
+  between slashes, underscores or dashes is tested apart too),
+* stretches with separators once more without plain words at their front, and at both ends.
+
+The encoding of a candidate is inferred from its characters, and three tests ask whether it looks like
 independent uniform draws from that alphabet:
 
 * chi-squared of the symbol counts,
@@ -11,7 +18,8 @@ independent uniform draws from that alphabet:
 A candidate that fails one of them is text.  For the others the question is turned round: how likely is it
 that ordinary text of this length, with the letter frequencies of the whole corpus, comes out so even?  These
 p-values are judged per encoding and length class by the Benjamini-Hochberg rule over all candidates of the
-corpus, so short runs need a smaller value where there are many of them.
+corpus, so short runs need a smaller value where there are many of them.  Of found candidates inside one another
+the widest is given.
 
 Edge cases: a null text is empty.  Texts of any length are scanned whole.  Null and repeated ids are kept, one
 result per row.  An empty table gives an empty result.  Other columns are not read by ``scan``; ``redact``
@@ -59,6 +67,11 @@ def _table(chars: str) -> np.ndarray:
 _RUN, _HEX_RUN = _table(_ALNUM + "+/_=-"), _table(_HEX)
 _RANK = {name: {c: i for i, c in enumerate(sorted(chars))} for name, chars in ENCODINGS.items()}
 
+#: What a candidate may consist of, and plain words with separators at the front of a stretch (or the end, turned round).
+_STRETCHES = [re.compile(f"[{re.escape(chars)}]{{{SHORTEST},}}") for chars in dict.fromkeys([*ENCODINGS.values(), *(_ALNUM + c for c in "+/-_")])]
+_FRONT = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[+/_-]+)+")
+_BACK = re.compile(r"(?:(?:[a-z]+[A-Z]?|[A-Z]+)?[+/_-]+)+")
+
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 _CANDIDATE = "array<struct<start:int,end:int,encoding:string,n:int,chi:double>>"
 _SCANNED = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("n", pa.int32()), ("chi", pa.float64())])
@@ -90,6 +103,22 @@ def chi_squared_tail(x: float, df: int) -> float:
     return _normal_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
 
 
+def candidates(run: str) -> list[tuple[int, int]]:
+    """Bounds in ``run`` of the stretches to test; padding at the end of the run belongs to those that reach it."""
+    size, out = len(run.rstrip("=")), set()
+    for part in re.finditer("[^=]+", run):
+        if part.end() - part.start() < SHORTEST:
+            continue
+        for pattern in _STRETCHES:
+            for m in pattern.finditer(run, part.start(), part.end()):
+                b, e = m.span()
+                front = _FRONT.match(run, b, e)
+                back = _BACK.match(m[0][::-1])
+                low, high = front.end() if front else b, e - back.end() if back else e
+                out.update((x, len(run) if y == size else y) for x, y in ((b, e), (low, e), (low, high)) if y - x >= SHORTEST)
+    return sorted(out)
+
+
 def battery(run: str) -> tuple[str, float, float] | None:
     """Encoding, chi-squared value and smallest p-value of the three tests; None if no encoding fits."""
     body = run.rstrip("=")
@@ -166,10 +195,12 @@ def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base[row].append({"kind": "hex", "start": x, "end": y})
             for b, e in zip(*_runs(data, starts, _RUN, SHORTEST)):
                 row = int(np.searchsorted(starts, b, "right")) - 1
-                tested = battery(bytes(data[b:e]).decode())
-                if tested and tested[2] >= REJECT_RANDOM:
-                    x, y = place(row, b, e)
-                    found[row].append({"start": x, "end": y, "encoding": tested[0], "n": y - x, "chi": tested[1]})
+                run, at = bytes(data[b:e]).decode(), None
+                for low, high in candidates(run):
+                    tested = battery(run[low:high])
+                    if tested and tested[2] >= REJECT_RANDOM:
+                        at = place(row, b, e)[0] if at is None else at
+                        found[row].append({"start": at + low, "end": at + high, "encoding": tested[0], "n": high - low, "chi": tested[1]})
             for row in range(end - first):
                 raw = bytes(data[starts[row] : starts[row + 1]])
                 lower = raw.lower()
@@ -221,11 +252,14 @@ def _limits(scanned: DataFrame, frequencies: dict[str, float]) -> dict[tuple[str
 
 def _deciding(frequencies, limits):
     def added(found: list[dict]) -> list[dict]:
-        out = []
-        for c in found:
+        out, reached = [], -1
+        for c in sorted(found, key=lambda c: (c["start"], -c["end"])):
+            if c["end"] <= reached:  # inside one that was found
+                continue
             limit = limits.get((c["encoding"], _length_class(c["n"])))
             if limit is not None and _log_bin(text_p_value(c["encoding"], c["n"], c["chi"], frequencies)) >= limit:
                 out.append({"kind": "random", "start": c["start"], "end": c["end"]})
+                reached = c["end"]
         return out
 
     return added

@@ -112,6 +112,23 @@ def test_random_runs_are_found_and_text_is_not(spark):
     assert (s["start"], s["end"]) == (4, 68)
 
 
+def test_random_parts_of_runs_are_found(spark):
+    """Secrets behind a name and ``=``, in a path, or joined to words of another alphabet."""
+    r = np.random.default_rng(8)
+    run = lambda chars, n: "".join(r.choice(list(chars), n))
+    b64, alnum = secrets.ENCODINGS["base64"], secrets.ENCODINGS["base62"]
+    secret = [run(b64, 40), run(alnum, 40), run(alnum, 40), run(b64, 43) + "=", run(alnum, 20) + "/" + run(alnum, 20), run("0123456789abcdef", 30), run(alnum, 40)]
+    lead = ["AWS_KEY=", "see http://h.test/x?auth=", "path/to/sk_live_", "CONFIG_VALUE=", "bucket/of-many/files_here/", "zone=user_", "é some-long-name_"]
+    source = [(i, f"{a}{b} and so on") for i, (a, b) in enumerate(zip(lead, secret))]
+    source += [(50, "path/to/some_other-place/of_many-words/and/more_of-them=the/same_again")] + [(100 + i, cases.prose(50 + i, 200)) for i in range(20)]
+    got = {i: [text for s in spans if s["kind"] == "random" for text in [dict(source)[i][s["start"] : s["end"]]]] for i, _, spans in rows(secrets.scan(cases.frame(spark, source)))}
+    for i, text in enumerate(secret):
+        assert any(text in found for found in got[i]) and not any("=" in found[:-1] for found in got[i]), (i, got[i])
+    assert not any(got[i] for i in (50, *range(100, 120)))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(cases.frame(spark, source)).collect()}
+    assert not any(text in clean[i] for i, text in enumerate(secret)) and clean[0] == "AWS_KEY=[secret] and so on"
+
+
 def test_redact(spark, docs):
     out = secrets.redact(cases.frame(spark, secret_rows()))
     assert out.columns == docs.columns
