@@ -53,10 +53,11 @@ def template_tree(shapes: DataFrame, max_depth: int = 6, fan_out: int = 16, simi
     ``shapes`` has host, segs, n (pages), good and bad (labelled pages).  The tree is walked from the root,
     one level at a time, over branches that carry the template of their ancestors:
 
-    * a parent with more than ``fan_out`` children holds a variable: children with less than 1/``fan_out`` of
-      its pages become ``*``;
-    * of the other children those whose labels do not tell them from their siblings (two-sided test of the
-      smoothed share of bad labels against the share of all siblings) merge into ``~``; unlabelled ones too.
+    * children whose labels tell them from their siblings (two-sided test of the smoothed share of bad labels
+      against the share of all siblings) keep their name, however many there are;
+    * of the others, a parent with more than ``fan_out`` children holds a variable: those with less than
+      1/``fan_out`` of its pages become ``*``;
+    * the rest, which labels do not tell apart, merge into ``~``; unlabelled ones too.
 
     Levels are tables of distinct templates, cut by a checkpoint each, so no plan repeats an earlier level.
     """
@@ -75,7 +76,7 @@ def template_tree(shapes: DataFrame, max_depth: int = 6, fan_out: int = 16, simi
         distance = F.abs(own - share) / F.sqrt(share * (1 - share) / F.greatest(labelled, F.lit(1)))
         variable = (F.col("k") > fan_out) & (F.col("c_n") * fan_out < F.col("p_n"))
         similar = (F.col("k") > 1) & (distance <= similar_z)
-        step = F.when(variable, "*").when(similar, "~").otherwise(F.col("seg"))
+        step = F.when(similar & variable, "*").when(similar, "~").otherwise(F.col("seg"))
         decided = children.join(parents, ["host", "template"]).select(
             "host", "template", "seg", F.concat("template", F.lit("/"), step).alias("longer"))
         rows = checkpointed(

@@ -73,6 +73,17 @@ def test_url_templates_block_bad_branches(spark):
     assert not url_filter.judge_urls(pages.limit(0), [], labels).collect()
 
 
+def test_url_templates_keep_bad_branches_of_wide_hosts(spark):
+    """One bad section of 20 equal ones, and a bad branch of 3 % beside 300 folders; the others stay variable."""
+    pages = [(i, f"http://a.test/s{'abcdefghijklmnopqrst'[i % 20]}/{i}.html") for i in range(800)]
+    pages += [(1000 + i, f"http://b.test/{'spam' if i % 33 == 0 else 'u' + chr(97 + i % 25) + chr(97 + i // 25 % 12)}/{1000 + i}.html") for i in range(3300)]
+    is_bad = lambda i, url: "/sc/" in url or "/spam/" in url
+    labels = spark.createDataFrame([(i, is_bad(i, url)) for i, url in pages], "key long, bad boolean")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), [], labels).collect()}
+    assert all(got[i]["verdict"] == ("block" if is_bad(i, url) else "allow") for i, url in pages)
+    assert {got[i]["template"] for i, url in pages} == {"/sc/{n}.html", "/spam/{n}.html", "/*/{n}.html"}
+
+
 # Secrets
 
 
