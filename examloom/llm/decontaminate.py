@@ -17,7 +17,8 @@ shuffled to be searched, only those that hold a hit meet their windows again.
 
 Edge cases: null and empty texts and items have no words and match nothing.  Items of fewer than five words are
 looked up whole.  Texts of any length are searched whole.  A window that would reach over an end of the document
-is cut there.  Null ids are kept; rows that repeat an id and a text give one result.  Empty tables give an empty
+is cut there.  Null ids are kept; rows that repeat an id and a text give one result.  Items that share an id (or have
+none) are compared one by one, and the best counts; texts with the same words are one.  Empty tables give an empty
 result.  Other columns are not read; ``clean`` keeps those of the documents.
 """
 
@@ -89,9 +90,10 @@ def _shingles(tokens: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity and start_word of the best window, for every document and item that match."""
-    items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    items = checkpointed(items.select("item_id", "text", words(F.col("text")).alias("w")).where("size(w) > 0").select(
-        "item_id", "text", "w", F.size("w").alias("n"), fingerprint(F.col("w")).alias("print")))
+    items = benchmark.select("item_id", "text", words(F.col("text")).alias("w")).where("size(w) > 0")
+    # one id may have several texts; each is an item of its own until the best is taken
+    items = items.withColumn("i_t", F.xxhash64("w")).dropDuplicates(["item_id", "i_t"])
+    items = checkpointed(items.select("item_id", "i_t", "text", "w", F.size("w").alias("n"), fingerprint(F.col("w")).alias("print")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where("text is not null")
     short = [r[0] for r in items.where(f"n < {SHINGLE}").select("n").distinct().orderBy("n").collect()]  # at most four sizes
     found = None
@@ -114,16 +116,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     cut = checkpointed(cut.select("doc_id", "t", "x.start", "x.n", "x.w").dropDuplicates(["doc_id", "t", "start", "n"]).select(
         "*", fingerprint(F.col("w")).alias("print")))
     window_blocks = cut.select("doc_id", "t", "start", "n", "print", F.inline(hamming_blocks(F.col("print"))))
-    item_blocks = items.select("item_id", "n", F.col("print").alias("item_print"), F.inline(hamming_blocks(F.col("print"))))
+    item_blocks = items.select("item_id", "i_t", "n", F.col("print").alias("item_print"), F.inline(hamming_blocks(F.col("print"))))
     near = window_blocks.join(item_blocks, ["n", "block", "value"]).where(
-        F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("doc_id", "t", "start", "n", "item_id").distinct()
+        F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("doc_id", "t", "start", "n", "item_id", "i_t").distinct()
     # exact multiset similarity, as counts per (pair, shingle)
-    pair = ["doc_id", "t", "start", "n", "item_id"]
+    pair = ["doc_id", "t", "start", "n", "item_id", "i_t"]
     same = cut.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), F.col("start").alias("c_start"), F.col("n").alias("c_n"), "w")
     left = near.join(same, near["doc_id"].eqNullSafe(same["c_id"]) & (near["t"] == same["c_t"]) & (near["start"] == same["c_start"]) & (near["n"] == same["c_n"]))
     of_window = left.select(*pair, F.explode(_shingles(F.col("w"))).alias("s"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    own = items.select(F.col("item_id").alias("i_id"), F.col("w").alias("i_w"), F.col("n").alias("i_n"))
-    right = near.join(own, near["item_id"].eqNullSafe(own["i_id"]) & (near["n"] == own["i_n"]))
+    own = items.select(F.col("item_id").alias("i_id"), F.col("w").alias("i_w"), F.col("i_t").alias("i_d"))
+    right = near.join(own, near["item_id"].eqNullSafe(own["i_id"]) & (near["i_t"] == own["i_d"]))
     of_item = right.select(*pair, F.explode(_shingles(F.col("i_w"))).alias("s"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     counts = of_window.union(of_item).groupBy(*pair, "s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     judged = counts.groupBy(*pair).agg((F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -109,6 +109,17 @@ def test_decontamination_of_awkward_documents(spark, docs):
     assert got == {(7, 1), (8, 1), (None, 2), (11, 3)}
 
 
+def test_items_that_share_an_id_are_compared_one_by_one(spark):
+    """Texts of one id, or of no id, that differ in case, in white space or in words only."""
+    a, b, c = cases.prose(310, 40), cases.prose(311, 40), cases.prose(312, 40)
+    bench = [(1, a), (1, a.upper()), (1, a.replace(" ", "\n ")), (1, b), (None, c), (None, cases.prose(313, 40)), (2, "two words"), (2, "Two other")]
+    docs = [(1, cases.prose(314, 30) + " " + a), (2, b), (3, c + " " + cases.prose(315, 30)), (4, edited(a, 6, 1)), (5, "my two other words"), (6, cases.prose(316, 50))]
+    found = decontaminate.contaminated(cases.frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
+    assert len(got) == len(found) and set(got) == plain_matches(docs, bench) >= {(1, 1), (2, 1), (3, None), (5, 2)}
+    assert all(got[k] == 1.0 for k in ((1, 1), (2, 1), (3, None), (5, 2)))
+
+
 def test_fingerprints_of_similar_windows_lie_within_the_radius(spark):
     """Windows at the threshold: share of pairs beyond the radius, over many sizes and edits."""
     r, pairs = random.Random(5), []
