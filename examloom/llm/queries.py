@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from examloom.functions.storage import scratch_folder
-from examloom.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, secrets, suffix_dedup, token_counts, twins, url_filter, warc
+from examloom.llm import (
+    bpe, decontaminate, jaccard_join, language_crf, merkle, prefix_trie, quality_classifier, quality_rules, secrets, suffix_dedup, token_counts, twins, url_filter, warc)
 from examloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -90,3 +91,31 @@ def op10(spark, folder):
     place = scratch_folder(spark, "warc")
     warc.write_archive(table(spark, folder, "pages"), place)
     return warc.record_fields(warc.read_archive(spark, place))
+
+
+@query("op11_prefix_trie", twins.PREFIX_TRIE)
+def op11(spark, folder):
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
+@query("op12_language_crf")
+def op12(spark, folder):
+    """Language of every document, learnt from three quarters of them."""
+    docs = table(spark, folder, "documents")
+    found = language_crf.tagged(docs.select("doc_id", "text"), language_crf.fit(docs))
+    return found.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_merkle", twins.MERKLE)
+def op13(spark, folder):
+    """Proof of every document, folded again from a leaf that may have been tampered with."""
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    lowered = merkle.row_digest(*[F.col(c) for c in fields], merkle.ascii_lower(F.col("text")))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered)
+    manifest = merkle.write_manifest(docs, scratch_folder(spark, "manifest"), [*fields, "text"], "doc_id", "lang", {"tampered": tampered})
+    folded = merkle.folded(F.col("path"), F.coalesce("tampered", "leaf"))
+    return manifest.prove().select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))

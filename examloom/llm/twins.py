@@ -65,3 +65,63 @@ limits AS (SELECT lang, source, metric, q50 + {quality_rules.SPREADS} * greatest
 bad AS (SELECT DISTINCT doc_id FROM v JOIN limits x ON v.lang IS NOT DISTINCT FROM x.lang AND v.source IS NOT DISTINCT FROM x.source AND v.metric = x.metric WHERE value > top)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM m LEFT JOIN bad USING (doc_id)"""
+
+
+def _crc32(number: str) -> str:
+    """Unsigned CRC-32 of a number's decimal digits, bit by bit."""
+    bits = f"flatten(list_transform(string_split({number}::VARCHAR, ''), lambda ch: list_transform(range(0, 8), lambda k: (ascii(ch) >> k) & 1)))"
+    step = "lambda c, b: CASE WHEN (xor(c, b) & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295], {bits}), {step}), 4294967295)"
+
+
+PREFIX_TRIE = f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(t ORDER BY i) AS own, {_crc32('c')} % 6 AS h FROM o GROUP BY c),
+r AS (SELECT l.c, list_concat(coalesce(b.own, [])[1:l.h], l.own[l.h + 1:]) AS path FROM l LEFT JOIN l b ON b.c = l.c - l.c % 100),
+p AS (SELECT c, path, unnest(range(0, len(path) + 1)) AS depth FROM r),
+m AS (SELECT c, depth, depth = len(path) AS ends, path[1:depth] AS node FROM p),
+n AS (SELECT node, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(length(n.node[depth].text), 0) AS own FROM n LEFT JOIN k USING (node)),
+up AS (SELECT node[1:d] AS node, own, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v)),
+s AS (SELECT node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY node)
+SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN n a ON v.depth > 0 AND a.node = v.node[1:v.depth - 1]"""
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _row_digest(text: str) -> str:
+    return f"sha256({' || '.join(_framed(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _climb(level: str, name: str) -> str:
+    """All nodes of the trees over ``level`` (tree, i, n, d), with the two sides of every node's run."""
+    return f"""{name} AS (SELECT tree, 0 AS h, i, n, d FROM {level} UNION ALL
+  SELECT tree, h + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, h, i // 8, n),
+{name}_side AS (SELECT tree, h, i, n, d, coalesce(string_agg(d, '' ORDER BY i) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '' ORDER BY i) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY tree, h, i // 8 ORDER BY i))"""
+
+
+def _follow(name: str, start: str) -> str:
+    return f"""{name}_walk AS (SELECT {start} UNION ALL SELECT w.doc_id, w.lang, w.tree, w.h + 1, w.i // 8, sha256(s.l || w.cur || s.r), w.proof || s.l || s.r
+  FROM {name}_walk w JOIN {name}_side s ON s.tree = w.tree AND s.h = w.h AND s.i = w.i),
+{name}_end AS (SELECT doc_id, lang, max_by(cur, h) AS cur, max_by(proof, h) AS proof FROM {name}_walk GROUP BY doc_id, lang)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, coalesce('=' || lang, '-') AS tree, {_row_digest('text')} AS leaf,
+  CASE WHEN {_crc32('doc_id')} % 3 = 0 THEN {_row_digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, leaf AS d FROM f),
+{_climb('leaves', 'sub')},
+subroots AS (SELECT '' AS tree, tree AS lang_tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, d FROM sub WHERE n = 1),
+{_climb('subroots', 'top')}, root AS (SELECT d AS root FROM top WHERE n = 1),
+{_follow('sub', "doc_id, lang, tree, 0 AS h, i, coalesce(tampered, leaf) AS cur, '' AS proof FROM leaves")},
+met AS (SELECT e.doc_id, e.lang, e.cur, e.proof, s.i FROM sub_end e JOIN subroots s ON s.lang_tree = coalesce('=' || e.lang, '-')),
+{_follow('top', "doc_id, lang, '' AS tree, 0 AS h, i, cur, proof FROM met")}
+SELECT x.doc_id, leaf, s.d AS subroot, root, sha256(e.proof) AS proof_sha256, e.cur AS folded_root, e.cur = root AS verified
+FROM leaves x JOIN top_end e ON e.doc_id = x.doc_id JOIN subroots s ON s.lang_tree = x.tree, root"""
