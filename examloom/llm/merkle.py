@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import split_row_number
+from examloom.functions.storage import scratch_folder
 
 FANOUT = 8
 #: Powers of the fan-out that a 64-bit count can exceed.
@@ -86,9 +87,9 @@ class Manifest:
         """One row with the root (none for an empty table)."""
         return self.spark.read.parquet(f"{self.folder}/root")
 
-    def _asks(self, requests: DataFrame, depth: int, name: str) -> dict[int, DataFrame]:
+    def _asks(self, requests: DataFrame, depth: int) -> dict[int, DataFrame]:
         """Per height the nodes that requests (tree, idx, asked) go through, with the digits asked below them."""
-        place = f"{self.folder}/asks-{name}"
+        place = scratch_folder(self.spark, "asks")
         digit = (F.col("idx") % FANOUT).cast("int")
         up = F.expr(f"idx div {FANOUT}").alias("idx")
         requests.groupBy("tree", up).agg(F.collect_list(F.struct(digit.alias("digit"), "asked")).alias("asks")).write.parquet(f"{place}/height=1")
@@ -108,7 +109,7 @@ class Manifest:
 
         Segments are appended on the way, so the path runs from the root to the leaf.
         """
-        asks = self._asks(requests, depth, name)
+        asks = self._asks(requests, depth)
         starts = starts.withColumn("depth", _depth(F.col("n"))).withColumn("idx", F.lit(0).cast("bigint"))
         fixed = ["tree", "idx", "digest", "path", *kept]
         below = None

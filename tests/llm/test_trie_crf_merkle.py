@@ -73,20 +73,14 @@ def test_trie_cuts_through_copies(spark):
 
 
 def test_trie_of_one_long_conversation(spark):
-    long = [(1, t, "user", f"turn {t % 50}") for t in range(8000)]
-    got = run_trie(spark, [*long, (2, 0, "user", "turn 0"), (2, 1, "user", "else")])
-    assert sum(got.values()) == 8002 - 2 * 0 - _shared(long)
-    assert max(k[1] for k in got) == 8000 - 0 - _lost()
-
-
-def _lost():
-    h = zlib.crc32(b"1") % 6  # conversation 0 is absent, so that the first turns are lost
-    return h
-
-
-def _shared(long):
-    rows = [*long[:40], (2, 0, "user", "turn 0"), (2, 1, "user", "else")]
-    return 8002 - (sum(plain_trie(rows).values()) + len(long) - 40)
+    rows = [(1, t, "user", f"turn {t % 50}") for t in range(8000)] + [(2, t, "user", f"turn {t}") for t in range(20)]
+    paths = []
+    for c, n in ((1, 8000), (2, 20)):  # conversation 0 is absent, so that the first turns are lost
+        paths.append([f"turn {t % 50}" for t in range(n)][zlib.crc32(str(c).encode()) % 6 :])
+    common = next(k for k, (a, b) in enumerate(zip(*paths)) if a != b) if paths[0][: len(paths[1])] != paths[1] else len(paths[1])
+    got = run_trie(spark, rows)
+    assert sum(got.values()) == 1 + len(paths[0]) + len(paths[1]) - common
+    assert sorted(k[1] for k in got)[-1] == len(paths[0])
 
 
 def test_trie_without_rows(spark):
