@@ -122,26 +122,76 @@ def _first_hit(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def subject_by_slug(
-    pages: DataFrame, slugs: dict[str, str] | None = None, mode: str = "longest",
+    pages: DataFrame, slugs: dict[str, str] | DataFrame | None = None, mode: str = "longest",
     title: str | None = None, use_url: bool = True,
 ) -> DataFrame:
     """Tag rows with the subject whose slug their address or title holds.
 
     "longest": the longest slug wins, looked up in the file name, then the
     title, then the whole address, else ``general``.  "first": the first slug of
-    the map found in address and title together, else empty.  The map becomes a
-    chain of conditions inside the scan; nothing is joined.
+    the map found in address and title together, else empty.  A map becomes a
+    chain of conditions inside the scan; a table of slugs (slug, subject and, for
+    "first", rank) of any size is joined, see :func:`slug_matches`.
     """
-    pairs = list((slugs or SUBJECT_SLUGS).items())
     heading = F.lower(F.coalesce(F.col(title), F.lit(""))) if title else F.lit("")
-    if mode == "first":
-        text = F.concat(F.lower("url"), F.lit(" "), heading)
-        return pages.withColumn("subject", F.coalesce(_first_hit(text, pairs), F.lit("")))
-    pairs = sorted(pairs, key=lambda p: len(p[0]), reverse=True)
-    tries = [_first_hit(file_name(F.col("url")), pairs), _first_hit(heading, pairs)]
-    if use_url:
-        tries.append(_first_hit(F.lower("url"), pairs))
-    return pages.withColumn("subject", F.coalesce(*tries, F.lit("general")))
+    fields = [F.concat(F.lower("url"), F.lit(" "), heading)] if mode == "first" else [
+        file_name(F.col("url")), heading, *([F.lower("url")] if use_url else [])]
+    missing = "" if mode == "first" else "general"
+    if isinstance(slugs, DataFrame):
+        return _subject_from_table(pages, slugs, mode, title, fields, missing)
+    pairs = list((slugs or SUBJECT_SLUGS).items())
+    if mode != "first":
+        pairs = sorted(pairs, key=lambda p: len(p[0]), reverse=True)
+    return pages.withColumn("subject", F.coalesce(*[_first_hit(f, pairs) for f in fields], F.lit(missing)))
+
+
+def _subject_from_table(pages: DataFrame, slugs: DataFrame, mode: str, title: str | None, fields: list[Column], missing: str) -> DataFrame:
+    """Equal addresses with equal titles are looked up once."""
+    names = ["url", *([title] if title else [])]
+    asked = pages.select(*names).distinct().select(
+        *names, F.explode(F.array(*[F.struct(F.lit(i).alias("place"), f.alias("text")) for i, f in enumerate(fields)])).alias("f"))
+    asked = asked.select(*names, "f.place", "f.text").where("text <> ''")
+    best = slug_matches(asked.select("text").distinct(), slugs, mode)
+    told = asked.join(best, "text").groupBy(*names).agg(F.min_by("subject", "place").alias("_subject"))
+    told = told.select(*[F.col(n).alias(f"_by_{n}") for n in names], "_subject")
+    same = [F.col(n).eqNullSafe(F.col(f"_by_{n}")) for n in names]
+    found = pages.drop("subject").join(told, same, "left")
+    return found.withColumn("subject", F.coalesce("_subject", F.lit(missing))).drop("_subject", *[f"_by_{n}" for n in names])
+
+
+#: Length of the stretches that texts and slugs meet by; a shorter slug is met as a whole.
+SLUG_STRETCH = 4
+
+
+def slug_matches(texts: DataFrame, slugs: DataFrame, mode: str = "longest") -> DataFrame:
+    """text and subject for every text (column ``text``, distinct) that holds a slug of the table.
+
+    A contains join without a nested loop: every slug is filed under the rarest of its stretches of
+    ``SLUG_STRETCH`` characters, counted over the slugs, and a text looks up each of its own stretches once.  Only
+    digests of texts travel with stretches; whoever meets is compared whole.  The longest slug wins, then the
+    smallest; with "first" the smallest ``rank``.  Empty slugs match nothing; of a slug given twice the row with
+    the smallest rank, else the smallest subject, counts.
+    """
+    rank = F.col("rank").cast("bigint") if "rank" in slugs.columns else F.lit(0).cast("bigint")
+    table = slugs.where("slug <> ''").select("slug", "subject", rank.alias("rank")).groupBy("slug").agg(
+        F.min(F.struct("rank", "subject")).alias("s")).select("slug", "s.subject", "s.rank")
+
+    def stretches(text, n):
+        return F.when(F.length(text) >= n, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
+
+    cut = table.select("slug", F.explode(stretches(F.col("slug"), SLUG_STRETCH)).alias("key"))
+    often = cut.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = cut.join(often, "key").groupBy("slug").agg(F.min(F.struct("n", "key")).alias("k")).select("slug", "k.key")
+    short = table.where(F.length("slug") < SLUG_STRETCH).select("slug", F.col("slug").alias("key"))
+    filed = rarest.unionByName(short)
+
+    named = texts.select("text", F.sha2("text", 256).alias("id"))
+    own = F.flatten(F.filter(F.array(*[stretches(F.col("text"), n) for n in range(1, SLUG_STRETCH + 1)]), lambda x: x.isNotNull()))
+    met = named.select("id", F.explode(own).alias("key")).join(filed, "key").select("id", "slug")
+    held = met.join(named, "id").where(F.col("text").contains(F.col("slug"))).join(table, "slug")
+    order = F.struct("rank", "slug") if mode == "first" else F.struct((-F.length("slug")).alias("n"), "slug")
+    return held.groupBy("text").agg(F.min_by("subject", order).alias("subject"))
 
 
 # Sites with a layout of their own.

@@ -1,8 +1,8 @@
 """Stored web pages to question rows, links and images.
 
 Everything about one page is worked out inside its row, so these jobs are
-scans without a shuffle.  Tags are matched with regular expressions: a
-container ends at its first closing tag of the same name.
+scans without a shuffle.  Elements end at their own closing tag, however deep
+they are nested (``functions/markup.py``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examloom.functions import urls
+from examloom.functions.markup import Markup, first_matching, matching, on_markup, page_pieces, page_text, selector, with_markup
 from examloom.functions.storage import checkpointed
 from examloom.functions.text import contains_any, let, letter_at, squeeze, strip_tags, unescape_html
 
@@ -20,39 +21,36 @@ from examloom.functions.text import contains_any, let, letter_at, squeeze, strip
 ANSWER_MARK = r"(?iu)(?:Đáp án|Answer|Đ/A)[:\s]*([A-Da-d])"
 INLINE_ANSWER_MARK = r"(?iu)(?:Đáp án|Answer)[:\s]*([A-Da-d])"
 NUMBER_PREFIX = r"(?iu)^(Câu|Question|Bài)\s*\d+[.:]\s*"
-NOISE_TAGS = "script|style|nav|header|footer|aside"
+NOISE_TAGS = ["nav", "header", "footer", "aside"]
 
 
 @dataclass(frozen=True)
 class PageLayout:
-    """Where a site keeps its questions: container classes in order of choice, stem, option and answer classes."""
+    """Where a site keeps its questions: selectors of containers in order of choice, of stem, options and answer."""
 
     containers: tuple[str, ...]
     stems: tuple[str, ...] = ()
     options: tuple[str, ...] = ()
     answers: tuple[str, ...] = ()
-    tags: tuple[str, ...] = ()
     min_length: int = 1
     drop_noise: bool = False
     first_filled: bool = False
+    options_after_stem: bool = False
 
 
 # Layouts by route.
 LAYOUTS = {
-    "vietjack": PageLayout(("box-question", "question-item", "cau-hoi", "question"), ("question-content", "noi-dung"),
-                           options=("answer-list", "dap-an"), answers=("correct-answer", "dap-an-dung", "answer")),
-    "hoc247": PageLayout(
-        ("content-question", "question-box", "quiz-item", "question"), ("question-text", "question", "noidung")
-    ),
-    "loigiaihay": PageLayout(("box-content", "question-content", "bai-tap"), first_filled=True),
-    "generic": PageLayout(
-        ("question", "cau-hoi", "bai-tap"), tags=("article",), min_length=10, drop_noise=True
-    ),
+    "vietjack": PageLayout((".box-question", ".question-item", ".cau-hoi", "div[class*='question']"),
+                           (".question-content", ".noi-dung", "p:first-child", "div:first-child"),
+                           options=(".answer-list", ".dap-an", "ul"), answers=(".correct-answer", ".dap-an-dung", ".answer")),
+    "hoc247": PageLayout((".content-question", ".question-box", ".quiz-item", "div[class*='question']"),
+                         (".question-text", "p.question", ".noidung")),
+    "loigiaihay": PageLayout((".box-content", ".question-content", ".bai-tap"), first_filled=True, options_after_stem=True),
+    "generic": PageLayout(("[class*='question']", "[class*='cau-hoi']", "[class*='bai-tap']", "article", ".content"),
+                          min_length=10, drop_noise=True),
 }
-
-
-def _by_class(name: str) -> str:
-    return rf"(?is)<(div|section|li|article|p|td)\b[^>]*\bclass=[\"'][^\"']*{name}[^\"']*[\"'][^>]*>(.*?)</\1>"
+# Where the text of a page stands if it has no containers.
+MAIN_AREAS = ("main", "article", ".content", ".post-content", "#content")
 
 
 def _of_class(name: str) -> str:
@@ -60,10 +58,6 @@ def _of_class(name: str) -> str:
     return rf"(?is)<([a-z]\w*)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1>"
 
 
-def _by_tag(name: str) -> str:
-    return rf"(?is)<({name})\b[^>]*>(.*?)</\1>"
-
-
 def _first_found(choices: list[Column]) -> Column:
     """First non-empty array; later choices are looked at only when needed."""
     if len(choices) == 1:
@@ -71,77 +65,64 @@ def _first_found(choices: list[Column]) -> Column:
     return let(choices[0], lambda x: F.when(F.size(x) > 0, x).otherwise(_first_found(choices[1:])))
 
 
-_PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"
-
-
-def _first_paragraph(html, filled: bool) -> Column:
-    """Text of the first paragraph, or of the first that is not empty."""
-    if not filled:
-        return strip_tags(F.regexp_extract(html, _PARAGRAPH, 1))
-    found = F.transform(F.regexp_extract_all(html, F.lit(_PARAGRAPH), F.lit(1)), strip_tags)
-    return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1)), F.lit(""))
-
-
-def _area(html, names: tuple[str, ...], last: list[Column]) -> Column:
-    """Content of the first element found by class, else the first non-empty of ``last``."""
-    found = [F.nullif(F.regexp_extract(html, _of_class(c), 2), F.lit("")) for c in names]
-    return F.coalesce(*found, *last)
-
-
-def _labelled_elements(html) -> Column:
+def _labelled_elements(page: Markup, inside) -> Column:
     """Texts of elements that begin with a label A–D, label by label."""
-    found = [
-        F.regexp_extract_all(html, F.lit(rf"(?s)<([a-zA-Z]\w*)\b[^>]*>{c}[.):](.*?)</\1>"), F.lit(2)) for c in "ABCD"
-    ]
-    texts = F.transform(F.flatten(F.array(*found)), lambda x: F.regexp_replace(strip_tags(x), r"^[.):\s]+", ""))
+    begins = lambda e, c: F.coalesce(F.get(page.texts, e["at"] + 1), F.lit("")).rlike(rf"^{c}[.):]")
+    found = [F.filter(inside, lambda e, c=c: begins(e, c)) for c in "ABCD"]
+    texts = F.transform(F.flatten(F.array(*found)), lambda e: F.regexp_replace(page.text(e), r"^[A-Da-d][.):\s]+", ""))
     return F.filter(texts, lambda x: x != "")
 
 
-def _options(html, text) -> Column:
+def _options(page: Markup, inside, text) -> Column:
     """List items without labels, four at most; else labelled runs of the text; else labelled elements."""
-    items = F.filter(
-        F.transform(
-            F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)(?=</li>|<li\b|</ul>|</ol>|$)"), F.lit(1)),
-            strip_tags,
-        ),
-        lambda x: x != "",
-    )
+    items = F.filter(F.transform(F.filter(inside, lambda e: e["name"] == "li"), lambda e: page.text(e)), lambda x: x != "")
     listed = F.transform(items, lambda x: F.regexp_replace(x, r"^[A-Da-d][.):\s]+", ""))
     runs = lambda: let(
-        labelled_runs(text), lambda x: F.when(F.size(x) > 0, x).otherwise(_labelled_elements(html)))
+        labelled_runs(text), lambda x: F.when(F.size(x) > 0, x).otherwise(_labelled_elements(page, inside)))
     return F.slice(let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(runs())), 1, 4)
 
 
-def labelled_runs(text) -> Column:
+def labelled_runs(text, inner: str = r"[^A-Da-d\n]") -> Column:
     """Texts after ``A.``/``B)`` labels up to the next letter of A–D."""
-    runs = F.regexp_extract_all(text, F.lit(r"[A-Da-d][.)]\s*([^A-Da-d\n]+?)(?=[A-Da-d][.)]|$)"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(rf"[A-Da-d][.)]\s*({inner}+?)(?=[A-Da-d][.)]|$)"), F.lit(1))
     return F.slice(F.transform(runs, squeeze), 1, 4)
 
 
-def _answer(html, text) -> Column:
+def _answer(page: Markup, inside, text) -> Column:
+    """Letter after an answer mark, else the first letter of A–D that begins a bold element."""
     low = F.lower(text)
     named = low.contains("đáp án") | low.contains("answer") | low.contains("đ/a")
     marked = F.when(named, F.upper(F.regexp_extract(text, ANSWER_MARK, 1))).otherwise("")
-    bold = F.regexp_extract(html, r"(?is)<(?:b|strong)>\s*([A-D])", 1)
-    return let(marked, lambda m: F.when(m != "", m).otherwise(bold))
+    bold = F.transform(F.filter(inside, lambda e: e["name"].isin("b", "strong")), lambda e: F.regexp_extract(page.text(e), r"^([A-D])", 1))
+    return let(marked, lambda m: F.when(m != "", m).otherwise(F.coalesce(F.array_min(F.filter(bold, lambda x: x != "")), F.lit(""))))
 
 
 def _first_image(content, url, *parts) -> Column:
     """Address of the first usable picture of the parts, in order, if the text calls for one."""
-    def address(html):
-        tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
-        src = _attribute(F.try_element_at(F.filter(tags, lambda t: image_kind(t) == "meaningful"), F.lit(1)), "src")
+    tags = lambda html: F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    return _image_of(content, url, *[tags(p) for p in parts])
+
+
+def _image_of(content, url, *tags) -> Column:
+    """As above, from lists of picture tags."""
+    def address(found):
+        src = _attribute(F.get(F.filter(found, lambda t: image_kind(t) == "meaningful"), 0), "src")
         return F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).when(src != "", urls.resolve(url, src))
 
-    return F.when(needs_image(content), F.coalesce(*[address(p) for p in parts]))
+    return F.when(needs_image(content), F.coalesce(*[address(t) for t in tags]))
 
 
 _QUESTION = "array<struct<content:string,options:array<string>,answer:string,image_url:string>>"
 
 
 def _question_rows(found: DataFrame) -> DataFrame:
-    """One row per question of ``_q``."""
-    return found.select("page_id", "url", F.posexplode("_q").alias("pos", "q")).select(
+    """One row per question of ``_q``.
+
+    The outer form: with the inner one Spark would test ahead, in a filter below, whether there are questions, and
+    so work all of them out twice.
+    """
+    rows = found.select("page_id", "url", F.posexplode_outer("_q").alias("pos", "q")).where("q is not null")
+    return rows.select(
         "page_id", "url", "pos", "q.content", "q.options", "q.answer",
         F.when(F.size("q.options") > 0, "mcq").otherwise("essay").alias("question_type"), "q.image_url",
     )
@@ -218,54 +199,62 @@ def header_list_questions(pages: DataFrame) -> DataFrame:
 def html_questions(pages: DataFrame, rules: PageLayout | str = "generic") -> DataFrame:
     """Question rows of stored pages: stem, options, answer letter, type, picture.
 
-    The first container class that occurs on a page counts.  The stem is the
-    first stem class, else the first paragraph.  Options and answer come from
-    their own containers where the layout names them and the page has them.  A
-    page without a usable container falls back to its "Câu n" text.
+    The first container selector that takes anything on a page counts; containers may stand in one another.  The
+    stem is the element of the first stem selector that takes any, else the first paragraph.  Options and answer
+    come from their own elements where the layout names them and the page has them.  A page without a usable
+    container falls back to its "Câu n" text.
     """
     layout = LAYOUTS[rules] if isinstance(rules, str) else rules
-    html = F.col("html")
-    if layout.drop_noise:
-        html = F.regexp_replace(html, rf"(?is)<({NOISE_TAGS})\b[^>]*>.*?</\1>", "")
-    cleaned = pages.select("page_id", "url", html.alias("_html"))
-    tries = [F.regexp_extract_all("_html", F.lit(_by_class(c)), F.lit(2)) for c in layout.containers]
-    tries += [F.regexp_extract_all("_html", F.lit(_by_tag(c)), F.lit(2)) for c in layout.tags]
-    boxes = cleaned.withColumn("_boxes", _first_found(tries))
-
-    def parts(box):
-        stems = [strip_tags(F.regexp_extract(box, _by_class(c), 2)) for c in layout.stems]
-        listed = F.nullif(F.regexp_extract(box, _by_tag("ul"), 2), F.lit(""))
-        option_area = _area(box, layout.options, [listed, box]) if layout.options else box
-        answer_area = _area(box, layout.answers, [box]) if layout.answers else box
-        first = _first_paragraph(box, layout.first_filled)
-        stem = F.coalesce(*[F.nullif(s, F.lit("")) for s in stems], first) if stems else first
-        both = F.struct(strip_tags(box).alias("text"), F.regexp_replace(stem, NUMBER_PREFIX, "").alias("content"))
-        return let(both, lambda b: described(box, b["text"], b["content"], option_area, answer_area))
-
-    def described(box, text, content, option_area, answer_area):
+
+    def question(page, box, inside):
+        paragraphs = F.filter(inside, lambda e: e["name"] == "p")
+        texts = lambda: F.filter(F.transform(paragraphs, lambda e: page.text(e)), lambda x: x != "")
+        first = F.get(texts(), 0) if layout.first_filled else page.text(F.get(paragraphs, 0))
+        stem = first
+        if layout.stems:
+            named = let(first_matching(inside, layout.stems), lambda e: page.text(e))
+            stem = let(named, lambda x: F.when(F.coalesce(x != "", F.lit(False)), x).otherwise(first))
+        content = F.regexp_replace(F.coalesce(stem, F.lit("")), NUMBER_PREFIX, "")
+        own_text = page.text(box)
+        return let(content, lambda c: let(own_text, lambda text: described(page, box, inside, c, text, texts)))
+
+    def described(page, box, inside, content, text, texts):
+        def area(choices, found):
+            """``found`` on the elements and text of the first element chosen, else on those of the container."""
+            whole = found(page, inside, text)
+            if not choices:
+                return whole
+            inner = lambda e: let(page.inside(e), lambda x: let(page.text(e), lambda t: found(page, x, t)))
+            return let(first_matching(inside, choices), lambda e: F.when(e.isNull(), whole).otherwise(inner(e)))
+
+        after = lambda: labelled_runs(F.array_join(F.slice(texts(), 2, 1 << 30), " "), r"[^A-Da-d]")
         return F.struct(
-            content.alias("content"),
-            (let(option_area, lambda x: _options(x, strip_tags(x))) if layout.options else _options(box, text)).alias("options"),
-            (let(answer_area, lambda x: _answer(x, strip_tags(x))) if layout.answers else _answer(box, text)).alias("answer"),
-            _first_image(content, F.col("url"), box).alias("image_url"),
-        )
+            content.alias("content"), (after() if layout.options_after_stem else area(layout.options, _options)).alias("options"),
+            area(layout.answers, _answer).alias("answer"), _image_of(content, F.col("url"), page.tags(box, "img")).alias("image_url"))
 
-    usable = F.filter(
-        F.transform("_boxes", parts), lambda q: F.length(q["content"]) >= layout.min_length
-    )
-    found = boxes.withColumn("_found", usable)
-    inline = _inline_questions(strip_tags(_body(F.col("_html"))))
-    inline = F.transform(inline, lambda q: F.struct(
-        q["content"].alias("content"), q["options"].alias("options"), q["answer"].alias("answer"),
-        F.lit(None).cast("string").alias("image_url")))
-    either = F.when(F.size("_found") > 0, F.col("_found")).otherwise(inline)
-    return _question_rows(found.select("page_id", "url", either.alias("_q")))
+    def inline(page):
+        main = F.get(F.filter(page.elements, lambda e: _any_of(e, MAIN_AREAS)), 0)
+        chosen = F.coalesce(main, F.get(F.filter(page.elements, lambda e: e["name"] == "body"), 0))
+        text = let(chosen, lambda e: F.when(e.isNull(), squeeze(F.array_join(page.texts, ""))).otherwise(page.text(e)))
+        return F.transform(let(text, _inline_questions), lambda q: F.struct(
+            q["content"].alias("content"), q["options"].alias("options"), q["answer"].alias("answer"), F.lit(None).cast("string").alias("image_url")))
+
+    def questions(page):
+        boxes = _first_found([matching(page.elements, c) for c in layout.containers])
+        found = F.transform(boxes, lambda box: F.when(
+            F.length(box["name"]) > 0, let(page.inside(box), lambda inside: question(page, box, inside))))
+        usable = F.filter(found, lambda q: F.length(q["content"]) >= layout.min_length)
+        return let(usable, lambda x: F.when(F.size(x) > 0, x).otherwise(inline(page)))
 
+    rows = with_markup(pages.select("page_id", "url", "html"), drop=NOISE_TAGS if layout.drop_noise else None)
+    return _question_rows(rows.select("page_id", "url", on_markup(questions).cast(_QUESTION).alias("_q")))
 
-def _body(html) -> Column:
-    main = F.regexp_extract(html, r"(?is)<(main|article)\b[^>]*>(.*?)</\1>", 2)
-    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)</body>", 1)
-    return F.coalesce(F.nullif(main, F.lit("")), F.nullif(body, F.lit("")), html)
+
+def _any_of(e, choices: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for css in choices:
+        out = out | selector(css)(e)
+    return out
 
 
 def _inline_questions(text) -> Column:
@@ -301,6 +290,7 @@ class SegmentRule:
     min_options: int = 2
     min_option_length: int = 1
     answer: str | None = None
+    separator: str = "\n"
 
 
 _CUT = r"(?su)\s*(?:Câu\s*\d+|Lời giải).*$"
@@ -313,7 +303,7 @@ SEGMENT_RULES = {
     "vietjack_quiz": SegmentRule(r"\n\s*Câu\s*(\d+)[.:]\s*", (r"\n\s*[A-D][.)]\s*",), _CUT, 10),
     "vietjack_exam": SegmentRule(
         r"Câu\s*(\d+)[.:]\s*", (r"\b[A-D][.)]\s*(?=\S)",),
-        r"(?su)(?:Câu\s*\d+[.:]|Đáp án|Lời giải|Hướng dẫn).*$", 1,
+        r"(?su)(?:Câu\s*\d+[.:]|Đáp án|Lời giải|Hướng dẫn).*$", 1, separator="",
     ),
     "inline": SegmentRule(
         r"(?iu)Câu\s*(\d+)[.:]\s*", (r"\b[A-D][.)]\s",), r"(?isu)(?:Đáp án|Answer)[:\s]*[A-Da-d].*$", 10, 0,
@@ -322,9 +312,16 @@ SEGMENT_RULES = {
 }
 
 
-def cau_segments(pages: DataFrame, rules: SegmentRule | str = "tracnghiem", text: str = "text") -> DataFrame:
-    """ "Câu n" segments of a text: number, stem, options (four at most), answer letter."""
+def cau_segments(
+    pages: DataFrame, rules: SegmentRule | str = "tracnghiem", text: str = "text", html: str | None = None
+) -> DataFrame:
+    """ "Câu n" segments of a text: number, stem, options (four at most), answer letter.
+
+    With ``html`` the text is that of the page: the texts between its tags, without comments and scripts.
+    """
     rule = SEGMENT_RULES[rules] if isinstance(rules, str) else rules
+    if html is not None:
+        pages = pages.withColumn(text, page_text(page_pieces(F.col(html)), rule.separator)).drop(html)
     keep = [c for c in pages.columns if c != text]
     numbers = F.regexp_extract_all(F.col(text), F.lit(rule.header), F.lit(1))
     bodies = F.slice(F.split(F.col(text), rule.header), 2, 1_000_000_000)
@@ -374,28 +371,47 @@ PASSAGE_STARTS = [
 ]
 
 
-def page_passage(html) -> Column:
+def page_passage(page: Markup) -> Column:
     """The reading passage of a page, or empty.
 
-    It is the direct text of the first ``div`` with an instruction within its first
-    80 characters, 100 characters or longer, cut before "Câu n:".
+    It is the direct text of the first ``div`` with an instruction within its first 80 characters, longer than 100
+    characters, cut before "Câu n:"; what stands in elements of that ``div``, be they ``div`` themselves, is no part
+    of it.  Else it is the direct text of the ``div`` just before the first heading of class ``b-title``, if it is
+    longer than 100 characters and holds three words in a row or a numbered blank.
     """
-    texts = F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*>([^<]*+(?:<br\s*/?>[^<]*+)*+)"), F.lit(1))
     starts = "|".join(PASSAGE_STARTS)
-    tidy = lambda x: squeeze(unescape_html(F.regexp_replace(x, r"(?i)<br\s*/?>", " ")))
-    raw = F.transform(F.filter(texts, lambda x: x.rlike(starts)), tidy)
+    long = lambda x: F.length(x) > 100
 
     def cleaned(x):
         return squeeze(F.regexp_replace(x, r"(?su)(?:Câu\s*\d+\s*:|Bắt đầu làm bài).*$", ""))
 
-    fits = F.filter(raw, lambda x: (F.length(x) > 100) & F.substring(x, 1, 80).rlike(starts))
-    good = F.filter(F.transform(fits, cleaned), lambda x: F.length(x) > 80)
-    return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))
+    def before_heading(page):
+        def sibling(h, parent):
+            # the last div that ends before the heading, inside the same parent and in no other element of it
+            ahead = F.filter(page.elements, lambda e: (e["name"] == "div") & (e["to"] < h["at"]) & (e["at"] > F.coalesce(parent["at"], F.lit(-1))))
+            outer = F.filter(ahead, lambda e: ~F.exists(page.elements, lambda o: (
+                (o["at"] < e["at"]) & (e["to"] < o["to"]) & (o["at"] > F.coalesce(parent["at"], F.lit(-1))))))
+            return let(F.try_element_at(outer, F.lit(-1)), lambda e: page.direct_text(e))
+
+        def text(h):
+            around = F.filter(page.elements, lambda e: (e["at"] < h["at"]) & (h["to"] < e["to"]))
+            return let(F.try_element_at(around, F.lit(-1)), lambda parent: sibling(h, parent))
+
+        found = let(F.get(matching(page.elements, "h3.b-title"), 0), text)
+        return let(found, lambda x: F.when(long(x) & x.rlike(r"[A-Za-z]{3,}\s+[A-Za-z]{3,}\s+[A-Za-z]{3,}|\(\d+\)\s*_+"), x).otherwise(""))
+
+    def passage(page):
+        marked = F.filter(page.elements, lambda e: e["name"] == "div")
+        texts = F.filter(F.transform(marked, lambda e: page.direct_text(e)), lambda x: long(x) & F.substring(x, 1, 80).rlike(starts))
+        good = F.filter(F.transform(texts, cleaned), lambda x: F.length(x) > 80)
+        return let(F.get(good, 0), lambda x: F.when(x.isNotNull(), x).otherwise(before_heading(page)))
+
+    return F.coalesce(passage(page), F.lit(""))
 
 
 def passage_attach(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """Put the reading passage of a page before each of its questions."""
-    found = pages.select("page_id", page_passage(F.col("html")).alias("_passage"))
+    found = with_markup(pages.select("page_id", "html")).select("page_id", on_markup(page_passage).alias("_passage"))
     joined = questions.join(found, "page_id", "left")
     whole = F.concat(
         F.lit("[Reading Passage]\n"), F.col("_passage"), F.lit("\n\n[Question]\n"), F.col("content")

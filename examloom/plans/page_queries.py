@@ -86,6 +86,43 @@ def subject_by_slug_first(t):
     return ingest.subject_by_slug(t.pages, {"/en/": "english", "example": "other"}, mode="first").select("page_id", "subject")
 
 
+SLUG_TABLE = """
+WITH slugs AS (SELECT DISTINCT slug, 's' || length(slug) || left(slug, 2) AS subject FROM (
+  SELECT lower(split_part(p_name, ' ', 2)) AS slug FROM part UNION ALL SELECT lower(left(split_part(url, '/', -1), 3)) FROM pages
+  UNION ALL SELECT lower(regexp_extract(html, '<title>([^ <]*)', 1)) FROM pages UNION ALL SELECT lower(right(url, 8)) FROM pages WHERE page_id % 2 = 0) WHERE slug <> ''),
+p AS (SELECT page_id, lower(url) AS url, lower(split_part(url, '/', -1)) AS file, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)
+"""
+
+
+def slug_table(t):
+    """Slugs of many lengths out of names, addresses and titles."""
+    title = F.lower(F.regexp_extract("html", "<title>([^ <]*)", 1))
+    found = t.part.select(F.lower(F.split("p_name", " ")[1]).alias("slug")).unionByName(t.pages.select(F.lower(F.substring(F.substring_index("url", "/", -1), 1, 3)).alias("slug")))
+    found = found.unionByName(t.pages.select(title.alias("slug"))).unionByName(t.pages.where("page_id % 2 = 0").select(F.lower(F.expr("right(url, 8)")).alias("slug")))
+    slugs = found.where("slug <> ''").distinct()
+    return slugs.withColumn("subject", F.concat(F.lit("s"), F.length("slug").cast("string"), F.substring("slug", 1, 2)))
+
+
+@query("subject_by_slug_table", SLUG_TABLE + """
+, best AS (SELECT page_id, arg_min(subject, {'place': place, 'n': -length(slug), 'slug': slug}) AS subject FROM (
+  SELECT page_id, unnest([file, title, url]) AS text, unnest([0, 1, 2]) AS place FROM p) f JOIN slugs ON contains(text, slug) GROUP BY page_id)
+SELECT page_id, coalesce(subject, 'general') AS subject FROM p LEFT JOIN best USING (page_id)""")
+def subject_by_slug_table(t):
+    """Slugs from a table: a contains join by stretches."""
+    rows = t.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return ingest.subject_by_slug(rows, slug_table(t), title="title").select("page_id", "subject")
+
+
+@query("subject_by_slug_table_first", SLUG_TABLE + """
+, ranked AS (SELECT *, ascii(right(slug, 1)) AS rank FROM slugs),
+best AS (SELECT page_id, arg_min(subject, {'rank': rank, 'slug': slug}) AS subject FROM p JOIN ranked ON contains(url || ' ' || title, slug) GROUP BY page_id)
+SELECT page_id, coalesce(subject, '') AS subject FROM p LEFT JOIN best USING (page_id)""")
+def subject_by_slug_table_first(t):
+    rows = t.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    ranked = slug_table(t).withColumn("rank", F.ascii(F.expr("right(slug, 1)")))
+    return ingest.subject_by_slug(rows, ranked, mode="first", title="title").select("page_id", "subject")
+
+
 @query("route_by_domain", """
 SELECT page_id, CASE WHEN host LIKE '%example.com%' THEN 'first' WHEN host LIKE '%example.net%' THEN 'second' ELSE 'generic' END AS route
 FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM pages)""")
@@ -146,6 +183,34 @@ def html_questions_boxes(t):
         "=</p></section>"), "vietjack"))
 
 
+@query("html_questions_nested", """
+SELECT p_partkey AS page_id, 'vietjack' AS layout, 0 AS pos, 'Which brand in the hình vẽ is ' || p_name || '?' AS content, p_brand || ' note/note/' || p_type AS options, 'B' AS answer,
+  'mcq' AS question_type, 'https://site/pics/' || p_size || '.png' AS image_url FROM part
+UNION ALL SELECT p_partkey, 'hoc247', 0, 'Where is ' || p_name || ' kept & sold?', p_type || '/' || p_brand, 'A', 'mcq', NULL FROM part
+UNION ALL SELECT p_partkey, 'loigiaihay', 0, 'Find the ' || p_name, p_size || '/' || p_size || '5', 'C', 'mcq', NULL FROM part
+UNION ALL SELECT p_partkey, 'generic', 0, 'How many ' || p_name || ' are there?', p_size || '/' || p_brand, '', 'mcq', NULL FROM part
+UNION ALL SELECT p_partkey, 'generic', 1, 'How many ' || p_name || ' are there?', '', '', 'essay', NULL FROM part""")
+def html_questions_nested(t):
+    """Elements of one name inside each other, lists in lists, containers in containers, for every layout."""
+    made = {
+        "vietjack": [
+            '=<div class="wrap"><div class="box-question"><div class="question-content"><div>Câu 1: Which brand in the hình vẽ is <div>', "p_name",
+            '=?</div></div></div><!-- </div> --><div class="answer-list"><div><ul><li>A. ', "p_brand", "=<ul><li>note</ul></li><li>B. ", "p_type",
+            '=</li></ul></div></div><img alt="a>b" src="/pics/', "p_size", '=.png"><div class="correct-answer"><div>Đáp án</div><div>: b</div></div></div></div>'],
+        "hoc247": [
+            '=<div class="content-question"><div><div class="question-text"><div>Câu 2. Where is ', "p_name", "=</div> kept &amp; sold?</div><div><ol><li>A. ", "p_type",
+            "=</li><li>B. ", "p_brand", "=</li></ol></div></div><div><div>Answer: a</div></div></div>"],
+        "loigiaihay": [
+            '=<div class="box-content big"><div><p> </p><p>Bài 3. Find the ', "p_name", "=</p></div><div><p>A. ", "p_size", "= B. ", "p_size", "=5</p></div><div><div><b>C</b></div></div></div>"],
+        "generic": [
+            '=<header><header><div class="question"><p>Not a question of this page</p></div></header><p>more of it</p></header><main><div class="my-question"><div class="a-question"><p>How many ',
+            "p_name", "= are there?</p></div><div><ul><li>A. ", "p_size", "=</li><li>", "p_brand", "=</li></ul></div></div></main>"],
+    }
+    rows = [ops.html_questions(site_page(t, *parts), layout).withColumn("layout", F.lit(layout)) for layout, parts in made.items()]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return every.select("page_id", "layout", "pos", "content", F.array_join("options", "/").alias("options"), "answer", "question_type", "image_url")
+
+
 @query("html_questions_quiz", """
 SELECT p_partkey AS page_id, 0 AS pos, 'Which brand is ' || p_name || '?' AS content, p_brand || '/' || p_type || '/none' AS options, chr(65 + (p_size % 3)::INT) AS answer,
   'mcq' AS question_type, NULL::VARCHAR AS image_url FROM part
@@ -213,6 +278,28 @@ def cau_segments_inline(t):
         "page_id", "number", "content", F.array_join("options", "/").alias("options"), "answer")
 
 
+@query("cau_segments_page", """
+SELECT p_partkey AS page_id, 1 AS number, 'Which brand makes the ' || p_name || ' & more?' AS content, p_brand || '/' || p_type || '/none of them' AS options FROM part
+UNION ALL SELECT p_partkey, 2, 'How large is part number ' || p_partkey, p_size || '0/about 75' FROM part""")
+def cau_segments_page(t):
+    """Segments of a stored page: texts between its tags, at any depth, without scripts."""
+    rows = site_page(
+        t, "=<body><script>var t = 'Câu 9: no';</script><div><div><b>Câu 1:</b> Which brand makes the ", "p_name", "= &amp; more?<div><div>A. ", "p_brand", "=</div><div>B. ", "p_type",
+        "=</div></div><p>C. none of them</p></div><div>Lời giải: see page 3</div></div><div>Câu 2. How large is part number ", "p_partkey", "=<p>A. ", "p_size",
+        "=0</p><p>B. about 75</p></div></body>")
+    return ops.cau_segments(rows, html="html").select("page_id", "number", "content", F.array_join("options", "/").alias("options"))
+
+
+@query("passage_nested", """
+SELECT p_partkey AS page_id, '[Reading Passage]' || chr(10) || 'Read the passage about ' || p_name || repeat(' and the people who make it', 4) || ' at ' || p_type || chr(10) || chr(10) || '[Question]' || chr(10) || p_brand AS content FROM part""")
+def passage_nested(t):
+    """A passage whose parts stand around further elements of its own name."""
+    rows = site_page(
+        t, '=<div class="page"><div>Read the passage below</div><div>Read the passage about ', "p_name", "=<div>an advert <div>inside</div></div>" + " and the people who make it" * 4,
+        "=<br> at ", "p_type", "=<span>not this</span></div></div>")
+    return ops.passage_attach(rows, t.part.select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("content")))
+
+
 @query("passage_attach", """
 SELECT doc_id AS page_id, CASE WHEN length(t) > 88 THEN '[Reading Passage]' || chr(10) || t || chr(10) || chr(10) || '[Question]' || chr(10) || source ELSE source END AS content
 FROM (SELECT doc_id, source, 'Read the passage ' || trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{3000}]+', ' ', 'g')) || ' end' AS t FROM documents)""")

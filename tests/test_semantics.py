@@ -168,20 +168,75 @@ def test_html_layouts(spark):
         '<div class="question-item"><div class="question-content">Câu 1: What is it?</div><ul><li>A. one</li><li>B. two</li></ul>'
         '<p>Đáp án: b</p></div>'
     )
-    # The inner div closes the container first: nested containers of one name are out of scope.
-    flat = html.replace('<div class="question-content">', '<p class="question-content">').replace("it?</div>", "it?</p>")
-    df = spark.createDataFrame([(1, "u", flat), (2, "u", "<body>Câu 1: How many legs? A. 6 B. 8 Đáp án: B</body>")], "page_id int, url string, html string")
+    df = spark.createDataFrame([(1, "u", html), (2, "u", "<body>Câu 1: How many legs? A. 6 B. 8 Đáp án: B</body>")], "page_id int, url string, html string")
     got = {r["page_id"]: r for r in pages.html_questions(df, "vietjack").collect()}
     assert (got[1]["content"], got[1]["options"], got[1]["answer"], got[1]["question_type"]) == ("What is it?", ["one", "two"], "B", "mcq")
     assert (got[2]["content"], got[2]["answer"]) == ("How many legs?", "B")
 
 
+def test_elements_of_soup(spark):
+    """Unclosed, stray and quoted tags; items and paragraphs end by what follows."""
+    from examloom.functions.markup import Markup, with_markup
+
+    html = (
+        '</i><div id=1>x<p>one<p>two<div title="a>b">in</div></div><ul><li>A<ul><li>i1<li>i2</ul>tail<li>B</ul>'
+        "<!-- <div> --><script>'<div>'</script><span>open<br/><img src=x>")
+    rows = with_markup(spark.createDataFrame([(1, html), (2, ""), (3, None), (4, "plain < text")], "page_id int, html string"))
+    page = Markup(F.col("_pieces"), F.col("_texts"), F.col("_elements"))
+    found = F.transform("_elements", lambda e: F.concat_ws("|", e["name"], page.text(e), page.direct_text(e), e["n"].cast("string")))
+    got = {r[0]: r[1] for r in rows.select("page_id", found).collect()}
+    assert got[1] == [
+        "div|x one two in|x|3", "p|one|one|0", "p|two in|two|1", "div|in|in|0", "ul|A i1 i2 tail B||5", "li|A i1 i2 tail|A tail|3",
+        "ul|i1 i2||2", "li|i1|i1|0", "li|i2|i2|0", "li|B|B|0", "span|open|open|0"]
+    assert got[2] == [] and got[3] is None and got[4] == []
+
+
+def test_running_sums_of_any_length(spark):
+    import itertools
+
+    from examloom.functions import markup
+
+    sizes = (0, 1, 63, 64, 65, 128, 4096, 4097, 9000)
+    df = spark.createDataFrame([([(k * 7) % 5 - 2 for k in range(n)],) for n in sizes], "xs array<bigint>")
+    for xs, got in df.select("xs", F.expr(markup.running_sums("xs"))).collect():
+        assert got == list(itertools.accumulate(xs))
+
+
+def test_nested_containers_and_other_stems(spark):
+    nested = '<div class="my-question"><div>What is <b>this</b>?</div><div class="q-question"><div>Inner one</div></div></div>'
+    df = spark.createDataFrame([(1, "u", nested), (2, "u", '<div id="content">Câu 1: How many legs has it? A. 6 B. 8</div>Câu 2: outside of it'), (3, "u", None)], "page_id int, url string, html string")
+    got = [(r["page_id"], r["content"]) for r in pages.html_questions(df, "vietjack").orderBy("page_id", "pos").collect()]
+    assert got == [(1, "What is this ?"), (1, "Inner one"), (2, "How many legs has it?")]
+
+
+def test_passage_before_the_first_heading(spark):
+    long = "Some people like to read books in the evening because it is quiet then, others in the morning when it is light"
+    html = f'<div><div>Other text</div><div>{long}<div>nested</div></div><h3 class="b-title">Câu 1</h3></div>'
+    df = spark.createDataFrame([(1, html), (2, html.replace("b-title", "c"))], "page_id int, html string")
+    questions = spark.createDataFrame([(1, "Q"), (2, "Q")], "page_id int, content string")
+    got = {r["page_id"]: r["content"] for r in pages.passage_attach(df, questions).collect()}
+    assert got == {1: f"[Reading Passage]\n{long}\n\n[Question]\nQ", 2: "Q"}
+
+
 def test_slug_first_and_longest(spark):
     df = spark.createDataFrame([("http://x/van/tieng-anh-1.html",), ("http://x/van/1.html",), ("http://x/1.html",)], "url string")
     assert [r["subject"] for r in ingest.subject_by_slug(df).collect()] == ["english", "literature", "general"]
     assert [r["subject"] for r in ingest.subject_by_slug(df, mode="first").collect()] == ["literature", "literature", ""]
 
 
+def test_slugs_from_a_table_equal_the_map(spark):
+    rows = [("http://x/van/tieng-anh-1.html", "t"), ("http://x/van/1.html", None), ("http://x/1.html", "Toán hoa-hoc"), (None, "dia"), ("HTTP://X/TOAN", ""), ("http://x/van/1.html", None), ("", None)]
+    df = spark.createDataFrame([(*r, "old", 1) for r in rows], "url string, title string, subject string, rank int")
+    slugs = [(slug, subject, k) for k, (slug, subject) in enumerate(ingest.SUBJECT_SLUGS.items())]
+    table = spark.createDataFrame([*slugs, ("", "none", -1), ("van", "twice", 99), (None, "null", 0)], "slug string, subject string, rank int")
+    for mode in ("longest", "first"):
+        plain = ingest.subject_by_slug(df, mode=mode, title="title").select("url", "title", "subject").collect()
+        joined = ingest.subject_by_slug(df, table, mode=mode, title="title").select("url", "title", "subject").collect()
+        assert sorted(map(str, joined)) == sorted(map(str, plain))
+    empty = ingest.subject_by_slug(df, table.where("false"), title="title").select("subject").distinct().collect()
+    assert [r[0] for r in empty] == ["general"]
+
+
 def test_grade_styles(spark):
     df = spark.createDataFrame([("a-13-b",), ("a-12-b",), ("lop-7",), ("thpt",)], "url string")
     def grades(style):
