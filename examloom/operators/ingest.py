@@ -32,6 +32,21 @@ def content_digests(bank: DataFrame) -> DataFrame:
     return bank.select(held.alias(DIGEST))
 
 
+def with_defaults(accepted: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """Missing columns and missing values take their defaults."""
+    for column, value in (DEFAULTS | (defaults or {})).items():
+        if column not in accepted.columns:
+            accepted = accepted.withColumn(column, F.lit(value))
+        elif column == "subject":
+            # An empty subject counts as missing too.
+            accepted = accepted.withColumn(
+                column, F.coalesce(F.when(F.col(column) != "", F.col(column)), F.lit(value))
+            )
+        else:
+            accepted = accepted.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+    return accepted
+
+
 def ingest_dedup(batch: DataFrame, bank: DataFrame, defaults: dict | None = None, keep_digest: bool = False):
     """New rows of a batch, and how many rows were saved and skipped.
 
@@ -42,7 +57,6 @@ def ingest_dedup(batch: DataFrame, bank: DataFrame, defaults: dict | None = None
     row per task.  A bank that keeps the column ``content_digest``
     (``keep_digest``) is not read for its contents at all.
     """
-    fill = DEFAULTS | (defaults or {})
     rows = batch.withColumn("content", strip(F.col("content"))).filter(F.col("content") != "")
     keyed = rows.select(_digest(F.col("content")).alias("_digest"), "seq")
     firsts = keyed.groupBy("_digest").agg(F.min("seq").alias("seq"))
@@ -52,16 +66,7 @@ def ingest_dedup(batch: DataFrame, bank: DataFrame, defaults: dict | None = None
     accepted = rows.withColumn("_digest", _digest(F.col("content"))).join(fresh, ["seq", "_digest"], "left_semi")
     accepted = accepted.dropDuplicates(["seq", "_digest"])
     accepted = accepted.withColumnRenamed("_digest", DIGEST) if keep_digest else accepted.drop("_digest")
-    for column, value in fill.items():
-        if column not in accepted.columns:
-            accepted = accepted.withColumn(column, F.lit(value))
-        elif column == "subject":
-            # An empty subject counts as missing too.
-            accepted = accepted.withColumn(
-                column, F.coalesce(F.when(F.col(column) != "", F.col(column)), F.lit(value))
-            )
-        else:
-            accepted = accepted.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+    accepted = with_defaults(accepted, defaults)
     flags = rows.select(F.lit(1).alias("row"), F.lit(0).alias("new")).unionByName(
         fresh.select(F.lit(0).alias("row"), F.lit(1).alias("new"))
     )

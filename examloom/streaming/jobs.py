@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from examloom.operators.ingest import DIGEST, content_digests, ingest_dedup
+from examloom.functions.text import strip
+from examloom.operators.ingest import DIGEST, content_digests, with_defaults
+
+
+_KNOWN = "_known"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_ingest(
@@ -14,25 +20,64 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Append new questions of a stream to a bank kept by batch.
 
-    Each batch is deduplicated within itself, against ``bank`` (the questions held before the stream began) and
-    against what earlier batches saved, without its own earlier try.  It replaces ``batch=<id>``, so a batch
-    repeated after a failure leaves the bank as it was.
+    What has been seen is keyed state, one flag per content digest in the state store of the stream, so a batch
+    looks up its own digests only, however large the bank is.  Within a batch the smallest ``seq`` wins.  The
+    questions of ``bank``, held before the stream began, enter the state as digests with the first batch; they are
+    written once beside the bank and not read again.  Copies inside a task are reduced to their first before they
+    are dealt out.  A batch replaces ``batch=<id>``, so that one repeated after a failure leaves the bank as it was.
+
+    Null and blank contents are passed over; rows without ``seq`` come last.
     """
+    spark = rows.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # state on disk, not in memory
+    kept = rows.withColumn("content", strip(F.col("content"))).where("content <> ''")
+    kept = kept.withColumn(DIGEST, F.unhex(F.sha2("content", 256))).withColumn(_KNOWN, F.lit(False))
+    kept = kept.mapInPandas(_first_of_batches, kept.schema)
+    if bank is not None:
+        kept = kept.unionByName(_held(spark, bank, f"{bank_path}/_known", checkpoint), allowMissingColumns=True)
+    out = kept.drop(_KNOWN).schema
+    fresh = kept.groupBy(DIGEST).applyInPandasWithState(_unless_seen(out.fieldNames()), out, "seen boolean", "append", "NoTimeout")
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        known = _saved(batch.sparkSession, bank_path, batch_id)
-        if bank is not None:
-            known = known.unionByName(content_digests(bank))
-        accepted, _ = ingest_dedup(batch, known, defaults, keep_digest=True)
-        accepted.write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
+        with_defaults(batch, defaults).write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
 
-    return _started(rows, save, checkpoint)
+    return _started(fresh, save, checkpoint)
+
+
+def _held(spark: SparkSession, bank: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Digests of the bank as a stream of one batch; they are written unless the stream has begun before."""
+    try:
+        spark.read.text(f"{checkpoint}/metadata").schema
+    except AnalysisException:
+        content_digests(bank).distinct().write.mode("overwrite").parquet(path)
+    return spark.readStream.schema(f"{DIGEST} binary").parquet(path).withColumn(_KNOWN, F.lit(True))
+
+
+def _first_of_batches(frames):
+    """The first row of every content in what a task reads at a time."""
+    for frame in frames:
+        yield frame.sort_values("seq", kind="stable").drop_duplicates(DIGEST)
+
+
+def _unless_seen(columns: list[str]):
+    def run(key, frames, state):
+        known, first = state.exists, None
+        for frame in frames:
+            known = known or bool(frame[_KNOWN].any())
+            if not known:
+                best = frame.sort_values("seq", kind="stable").head(1)
+                if first is None or _ahead(best["seq"].iloc[0], first["seq"].iloc[0]):
+                    first = best
+        state.update((True,))
+        if not known:
+            yield first[columns]
+
+    return run
 
 
-def _saved(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Digests saved by earlier batches; contents are not read."""
-    if before == 0:
-        return spark.range(0).select(F.lit(None).cast("binary").alias(DIGEST))
-    return spark.read.parquet(path).filter(F.col("batch") < before).select(DIGEST)
+def _ahead(a, b) -> bool:
+    return a == a and a is not None and (b != b or b is None or a < b)
 
 
 def _started(rows: DataFrame, save, checkpoint: str) -> StreamingQuery:

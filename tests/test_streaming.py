@@ -44,6 +44,26 @@ def test_ingest_stream_honours_an_existing_bank(spark, tmp_path):
     assert sorted(r[0] for r in saved.select("content").collect()) == sorted(r[0] for r in want.select("content").collect())
 
 
+def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
+    """Three runs of one stream: the bank is read with the first batch, and later batches touch their own digests."""
+    bank = spark.range(20_000).select(F.concat(F.lit("held "), F.col("id")).alias("content"))
+    rows = []
+    for run in range(3):
+        new = [(run * 10 + 2, f" held {run} ", None), (run * 10 + 1, f"new {run}", "x"), (run * 10, f"new {run}", ""), (run * 10 + 3, "new 0", ""), (run * 10 + 4, "  ", ""), (run * 10 + 5, None, "")]
+        rows += new
+        spark.createDataFrame(new, "seq long, content string, subject string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("seq long, content string, subject string").parquet(str(tmp_path / "in"))
+        running = stream_ingest(source, str(tmp_path / "bank"), str(tmp_path / "state"), bank=bank)
+        running.awaitTermination()
+        told = [p for p in running.recentProgress if p["numInputRows"]]
+        assert sum(p["numInputRows"] for p in told) == (20_006 if run == 0 else 6)
+        assert sum(o["numRowsUpdated"] for p in told for o in p["stateOperators"]) <= (20_002 if run == 0 else 3)
+    saved = {(r["seq"], r["content"], r["subject"]) for r in spark.read.parquet(str(tmp_path / "bank")).collect()}
+    assert saved == {(0, "new 0", "general"), (10, "new 1", "general"), (20, "new 2", "general")}
+    want = ingest_dedup(spark.createDataFrame(rows, "seq long, content string, subject string"), bank)[0]
+    assert {r["content"] for r in want.collect()} == {c for _, c, _ in saved}
+
+
 def test_daily_stream_equals_batch(spark, tmp_path):
     rows = stored(spark, tmp_path)
     late = spark.createDataFrame([(10**9, "late", "2024-03-01 00:00:00"), (10**9 + 1, "old", "2024-01-02 00:00:00")], "seq long, content string, t string")
