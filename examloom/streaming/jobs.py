@@ -11,7 +11,9 @@ from examloom.functions.text import strip
 from examloom.operators.ingest import DIGEST, content_digests, with_defaults
 
 
-_KNOWN = "_known"
+_SEEN = "_seen"
+#: Earlier than any batch.
+HELD = -1
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,11 +22,12 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Append new questions of a stream to a bank kept by batch.
 
-    What has been seen is keyed state, one flag per content digest in the state store of the stream, so a batch
-    looks up its own digests only, however large the bank is.  Within a batch the smallest ``seq`` wins.  The
-    questions of ``bank``, held before the stream began, enter the state as digests with the first batch; they are
-    written once beside the bank and not read again.  Copies inside a task are reduced to their first before they
-    are dealt out.  A batch replaces ``batch=<id>``, so that one repeated after a failure leaves the bank as it was.
+    What has been seen is keyed state: per content digest the first row and the batches that saw the digest first
+    and last, in the state store of the stream.  A batch looks up its own digests only, however large the bank is,
+    and copies meet in the map tasks first.  A row is new if no batch but this one saw its digest; within a batch
+    the smallest ``seq`` wins.  The questions of ``bank``, held before the stream began, enter the state as digests
+    with the first batch; they are written once beside the bank and not read again.  A batch replaces
+    ``batch=<id>``, so that one repeated after a failure leaves the bank as it was.
 
     Null and blank contents are passed over; rows without ``seq`` come last.
     """
@@ -32,17 +35,20 @@ def stream_ingest(
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # state on disk, not in memory
     kept = rows.withColumn("content", strip(F.col("content"))).where("content <> ''")
-    kept = kept.withColumn(DIGEST, F.unhex(F.sha2("content", 256))).withColumn(_KNOWN, F.lit(False))
-    kept = kept.mapInPandas(_first_of_batches, kept.schema)
+    columns = kept.columns
+    # the time of a batch is one value for all its rows, and the same when it is repeated
+    kept = kept.withColumn(DIGEST, F.unhex(F.sha2("content", 256))).withColumn(_SEEN, F.unix_micros(F.current_timestamp()))
     if bank is not None:
         kept = kept.unionByName(_held(spark, bank, f"{bank_path}/_known", checkpoint), allowMissingColumns=True)
-    out = kept.drop(_KNOWN).schema
-    fresh = kept.groupBy(DIGEST).applyInPandasWithState(_unless_seen(out.fieldNames()), out, "seen boolean", "append", "NoTimeout")
+    order = F.struct(_SEEN, F.col("seq").isNull(), "seq")
+    state = kept.groupBy(DIGEST).agg(
+        F.min_by(F.struct(*columns), order).alias("_row"), F.min(_SEEN).alias("_first"), F.max(_SEEN).alias("_last"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        with_defaults(batch, defaults).write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
+        fresh = batch.where((F.col("_first") == F.col("_last")) & (F.col("_first") > HELD)).select("_row.*", DIGEST)
+        with_defaults(fresh, defaults).write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
 
-    return _started(fresh, save, checkpoint)
+    return _started(state, save, checkpoint, "update")
 
 
 def _held(spark: SparkSession, bank: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -51,38 +57,13 @@ def _held(spark: SparkSession, bank: DataFrame, path: str, checkpoint: str) -> D
         spark.read.text(f"{checkpoint}/metadata").schema
     except AnalysisException:
         content_digests(bank).distinct().write.mode("overwrite").parquet(path)
-    return spark.readStream.schema(f"{DIGEST} binary").parquet(path).withColumn(_KNOWN, F.lit(True))
+    return spark.readStream.schema(f"{DIGEST} binary").parquet(path).withColumn(_SEEN, F.lit(HELD))
 
 
-def _first_of_batches(frames):
-    """The first row of every content in what a task reads at a time."""
-    for frame in frames:
-        yield frame.sort_values("seq", kind="stable").drop_duplicates(DIGEST)
-
-
-def _unless_seen(columns: list[str]):
-    def run(key, frames, state):
-        known, first = state.exists, None
-        for frame in frames:
-            known = known or bool(frame[_KNOWN].any())
-            if not known:
-                best = frame.sort_values("seq", kind="stable").head(1)
-                if first is None or _ahead(best["seq"].iloc[0], first["seq"].iloc[0]):
-                    first = best
-        state.update((True,))
-        if not known:
-            yield first[columns]
-
-    return run
-
-
-def _ahead(a, b) -> bool:
-    return a == a and a is not None and (b != b or b is None or a < b)
-
-
-def _started(rows: DataFrame, save, checkpoint: str) -> StreamingQuery:
+def _started(rows: DataFrame, save, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
         rows.writeStream.foreachBatch(save)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
