@@ -16,6 +16,7 @@ are kept, one result per row.  An empty table gives an empty result.  Other colu
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,8 @@ _ENCODE_AT_ONCE = 4096
 
 @lru_cache(maxsize=1)
 def _tokenizer(source: str):
+    # a task encodes in its own thread: threads of the library would run beside the other tasks of the executor
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_str(source)
@@ -79,7 +82,7 @@ class WordTable:
         for at in range(0, len(new), _ENCODE_AT_ONCE):
             some = new[at : at + _ENCODE_AT_ONCE]
             words = [bytes(data[s[first[i]] : e[first[i]]]).decode() for i in some]
-            for i, found in zip(some, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+            for i, found in zip(some, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
                 self._append(found.ids)
                 self.rows[keys[i]] = len(self.rows)
         rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
