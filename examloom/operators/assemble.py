@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import split_row_number, top_n
 from examloom.functions.small import literal_table
-from examloom.functions.text import answer_letter, has_text, letter_at, seeded
+from examloom.functions.text import answer_letter, has_text, let, letter_at, seeded
 from examloom.operators.bank import DIFFICULTIES
 
 CELL_SCHEMA = (
@@ -96,13 +95,7 @@ def matrix_pick(
         ).filter(F.col("place") <= F.col("_n"))
         picks = picked.select("cell", "place", F.col("id").alias("_id"))
     else:
-        picks = (
-            ranked.select("cell", "id", "_rank", "_draw", "_n")
-            .groupBy(F.lit(1).alias("_request"))
-            .applyInPandas(
-                lambda pdf: _fill_in_turn(pdf, oversample), f"cell int, place long, _id {bank.schema['id'].dataType.simpleString()}"
-            )
-        )
+        picks = _filled_in_turn(ranked, oversample)
     # The same filters again, so that the scan for the full rows is pruned as well.
     rows = bank.filter(test).join(picks, F.col("id") == F.col("_id"))
     return rows.select("cell", "place", *bank.columns)
@@ -117,20 +110,28 @@ def _disjoint(cells: list[tuple]) -> bool:
     return True
 
 
-def _fill_in_turn(pdf: pd.DataFrame, oversample: int) -> pd.DataFrame:
-    """Fill overlapping cells one after the other from their candidates."""
-    taken, parts = set(), []
-    for cell, rows in pdf.sort_values(["cell", "_rank"]).groupby("cell", sort=True):
-        n = int(rows["_n"].iloc[0])
-        free = rows[~rows["id"].isin(taken)].head(n * oversample)
+def _filled_in_turn(ranked: DataFrame, oversample: int) -> DataFrame:
+    """Fill overlapping cells one after the other: a fold over the cells that carries the ids taken so far.
+
+    The candidates of all cells meet in one row; they are no more than the matrix bounds.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("_rank", "id", "_draw", "_n")))
+    cells = ranked.groupBy("cell").agg(rows.alias("rows")).agg(F.sort_array(F.collect_list(F.struct("cell", "rows"))).alias("cells"))
+    kind = ranked.schema["id"].dataType.simpleString()
+    start = F.struct(
+        F.array().cast(f"array<{kind}>").alias("taken"), F.array().cast(f"array<struct<cell:int,place:bigint,_id:{kind}>>").alias("picks"))
+
+    def filled(acc, c):
+        n = F.get(c["rows"], 0)["_n"]
+        free = F.slice(F.filter(c["rows"], lambda r: ~F.array_contains(acc["taken"], r["id"])), F.lit(1), n * oversample)
         if oversample > 1:
-            free = free.sort_values(["_draw", "id"])
-        free = free.head(n)
-        taken.update(free["id"])
-        parts.append(
-            pd.DataFrame({"cell": cell, "place": range(1, len(free) + 1), "_id": free["id"].values})
-        )
-    return pd.concat(parts).astype({"cell": "int32", "place": "int64"})
+            free = F.sort_array(F.transform(free, lambda r: F.struct(r["_draw"].alias("_draw"), r["id"].alias("id"))))
+        ids = F.transform(F.slice(free, F.lit(1), n), lambda r: r["id"])
+        return let(ids, lambda xs: F.struct(F.concat(acc["taken"], xs).alias("taken"), F.concat(acc["picks"], F.transform(
+            xs, lambda x, i: F.struct(c["cell"].alias("cell"), (i + 1).cast("bigint").alias("place"), x.alias("_id")))).alias("picks")))
+
+    picks = F.aggregate("cells", start, filled, lambda acc: acc["picks"])
+    return cells.select(F.explode_outer(picks).alias("p")).where("p is not null").select("p.*")
 
 
 def shuffle_options(

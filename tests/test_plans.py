@@ -10,7 +10,7 @@ from examloom.plans import bindings as b
 from examloom.plans.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
-WITH_PYTHON = {"matrix_pick_overlapping", "near_dup_merge", "numbered_line_parse"}
+WITH_PYTHON = {"near_dup_merge", "numbered_line_parse"}
 WRITES_FIRST = {
     "write_slice",
     "read_bank_json", "write_bank_json", "read_moodle_xml", "write_moodle_xml", "read_qti_xml", "write_qti_xml",
@@ -20,7 +20,7 @@ WRITES_FIRST = {
 ROW_LOCAL = [
     "split_questions", "parse_mcq_block", "clean_generated", "split_answer_sections", "json_questions", "option_split",
     "question_header_parse", "numbered_line_parse", "passage_questions", "cell_questions", "answer_key_text", "labelled_fields",
-    "level_detect", "outline_fill", "chapter_periods", "shape_vote", "html_questions", "page_links", "cau_segments",
+    "level_detect", "outline_fill", "chapter_periods", "shape_vote", "html_questions", "html_questions_nested", "page_links", "cau_segments", "cau_segments_page",
     "embedded_answers", "document_links", "image_flags", "route_by_domain", "subject_by_slug", "grade_from_url",
     "language_flags", "normalize_keys", "rule_variants", "math_text", "shape_tags", "shuffle_options", "normalize_feeds",
 ]
