@@ -152,22 +152,22 @@ def normalize_feeds(t):
 
 
 FILES_SQL = """
-WITH f AS (SELECT 'p_type=' || p_type AS subject, 'p_size=' || p_size AS grade, sum(length(p_name) + 1)::BIGINT AS size FROM part GROUP BY ALL)
+WITH f AS (SELECT regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS subject, 'lớp ' || (page_id % 12 + 1) AS grade, 'bài số ' || page_id || '.html' AS filename, strlen(html) AS size FROM pages)
 """
 SIZE_TEXT = "CASE WHEN {0} < 1024 THEN {0} || ' B' ELSE format('{{:.1f}} KB', {0} / 1024) END"
 
 
 def stored_files(t):
-    """Names of parts as one file per type and size."""
+    """Every page as a file of its own, under the language of its address and a grade."""
     path = scratch_folder(t.spark, "files")
-    rows = t.part.select("p_type", "p_size", F.col("p_name").alias("value"))
-    rows.repartition("p_type", "p_size").write.partitionBy("p_type", "p_size").text(path)
+    name = F.concat_ws("/", F.regexp_extract("url", "://[^/]*/([^/?#]*)", 1), F.concat(F.lit("lớp "), F.col("page_id") % 12 + 1), F.concat(F.lit("bài số "), "page_id", F.lit(".html")))
+    files.write_files(t.pages.select(name.alias("path"), F.encode("html", "UTF-8").alias("content")), path)
     return path
 
 
 @query("file_inventory", FILES_SQL + f"SELECT *, {SIZE_TEXT.format('size')} AS size_text FROM f")
 def file_inventory(t):
-    return files.file_inventory(t.spark, stored_files(t)).drop("modified_at", "filename")
+    return files.file_inventory(t.spark, stored_files(t)).drop("modified_at")
 
 
 @query("file_stats", FILES_SQL + f"""
@@ -181,29 +181,40 @@ def file_stats(t):
 
 @query("file_tree", FILES_SQL + """
 SELECT 0::INT AS depth, subject AS path, subject AS name, count(*) AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY subject
-UNION ALL SELECT 1, subject || '/' || grade, grade, 1, size FROM f""")
+UNION ALL SELECT 1, subject || '/' || grade, grade, count(*), sum(size)::BIGINT FROM f GROUP BY subject, grade
+UNION ALL SELECT 2, subject || '/' || grade || '/' || filename, filename, 1, size FROM f""")
 def file_tree(t):
-    # File names are made up by the writer, so the twin knows the folders only.
-    return files.file_tree(files.file_inventory(t.spark, stored_files(t))).filter("depth < 2")
+    return files.file_tree(files.file_inventory(t.spark, stored_files(t)))
+
+
+IMAGES_SQL = """
+WITH f AS (SELECT 'img/' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.webp' END AS path, html FROM pages
+  UNION ALL SELECT 'copy/' || page_id || '.gif', html FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'old/' || page_id || '.png', html FROM pages WHERE page_id % 15 = 0),
+i AS (SELECT lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension, path, md5(html) AS hash, strlen(html) AS size FROM f)
+"""
 
 
 def stored_images(t):
-    """One file per brand, all with the same content."""
+    """Pages under the names of pictures, some of them stored again under other names and kinds."""
     path = scratch_folder(t.spark, "images")
-    brands = t.part.select("p_brand", F.lit("same").alias("value")).distinct()
-    brands.repartition("p_brand").write.partitionBy("p_brand").text(path)
+    kind = F.when(F.col("page_id") % 3 == 0, ".png").when(F.col("page_id") % 3 == 1, ".JPG").otherwise(".webp")
+    named = lambda folder, ending: F.concat(F.lit(folder), "page_id", ending).alias("path")
+    content = F.encode("html", "UTF-8").alias("content")
+    rows = t.pages.select(named("img/", kind), content).unionByName(t.pages.where("page_id % 5 = 0").select(named("copy/", F.lit(".gif")), content))
+    files.write_files(rows.unionByName(t.pages.where("page_id % 15 = 0").select(named("old/", F.lit(".png")), content)), path)
     return path
 
 
-@query("image_inventory", """
-SELECT '.txt' AS extension, count(DISTINCT p_brand) AS files, 5 * count(DISTINCT p_brand) AS bytes, count(DISTINCT p_brand) - 1 AS repeated FROM part""")
+@query("image_inventory", IMAGES_SQL + """
+SELECT extension, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) - count(DISTINCT hash) AS repeated FROM i GROUP BY extension""")
 def image_inventory(t):
     return files.image_inventory(t.spark, stored_images(t))
 
 
-@query("image_duplicates", "SELECT md5('same' || chr(10)) AS hash, count(DISTINCT p_brand) AS copies, 5::BIGINT AS size FROM part")
+@query("image_duplicates", IMAGES_SQL + "SELECT hash, count(*) AS copies, max(size) AS size, min(path) AS first_path FROM i GROUP BY hash HAVING count(*) > 1")
 def image_duplicates(t):
-    return files.image_duplicates(t.spark, stored_images(t)).drop("first_path")
+    out = files.image_duplicates(t.spark, stored_images(t))
+    return out.withColumn("first_path", F.regexp_extract("first_path", "([^/]+/[^/]+)$", 1))
 
 
 def document_stream(t):

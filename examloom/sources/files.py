@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def size_text(size) -> Column:
-    """Bytes as B, KB, MB or GB with one decimal."""
+    """Bytes as B, KB, MB or GB with one decimal, ties to the even digit."""
     kb = 1024.0
     return (
         F.when(size < kb, F.format_string("%d B", size))
-        .when(size < kb**2, F.format_string("%.1f KB", size / kb))
-        .when(size < kb**3, F.format_string("%.1f MB", size / kb**2))
-        .otherwise(F.format_string("%.1f GB", size / kb**3))
+        .when(size < kb**2, F.format_string("%.1f KB", F.bround(size / kb, 1)))
+        .when(size < kb**3, F.format_string("%.1f MB", F.bround(size / kb**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(size / kb**3, 1)))
     )
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Store ``content`` (binary) of every row as the file ``path`` under ``root``, a folder that executors share.
+
+    Tasks write their own rows; one that is repeated writes the same files again.  Of rows with one path any may
+    stay.  Returns how many rows were written.
+    """
+    def store(batches):
+        from pyarrow import fs
+
+        if root.startswith("/"):
+            system, base = fs.LocalFileSystem(), root
+        else:
+            system, base = fs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                place = f"{base.rstrip('/')}/{path}"
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    rows = files.select("path", "content").mapInArrow(store, "n bigint")
+    return rows.agg({"n": "sum"}).first()[0] or 0
+
+
 def _files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 

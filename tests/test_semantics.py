@@ -237,6 +237,40 @@ def test_slugs_from_a_table_equal_the_map(spark):
     assert [r[0] for r in empty] == ["general"]
 
 
+def test_overlapping_cells_equal_a_walk_in_turn(spark):
+    import hashlib
+
+    matrix = [{"topic": "", "easy": 4, "hard": 1}, {"topic": "a", "easy": 3}, {"topic": "b", "easy": 2}, {"topic": "a", "easy": 2, "hard": 9}]
+    rows = [(i, "s", "ab"[i % 2], "easy" if i % 3 else "hard", i % 4 if i % 5 else None, "A", "mcq") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, subject string, topic string, difficulty string, times_used int, answer string, question_type string")
+    md5 = lambda seed, i: hashlib.md5(f"{seed}{i}".encode()).hexdigest()
+    for oversample in (1, 3):
+        taken, want, cell = set(), [], 0
+        for row in matrix:
+            for difficulty in ("easy", "medium", "hard"):
+                n = row.get(difficulty, 0)
+                if not n:
+                    continue
+                cell += 1
+                fit = [r for r in rows if r[3] == difficulty and row["topic"] in ("", r[2]) and r[0] not in taken]
+                fit.sort(key=lambda r: (r[4] is not None, r[4] or 0, md5("7", r[0]), r[0]))
+                fit = fit[: n * oversample]
+                if oversample > 1:
+                    fit.sort(key=lambda r: (md5("7/", r[0]), r[0]))
+                taken.update(r[0] for r in fit[:n])
+                want += [(cell, k + 1, r[0]) for k, r in enumerate(fit[:n])]
+        got = assemble.matrix_pick(df, matrix, "s", seed="7", oversample=oversample).select("cell", "place", "id").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert assemble.matrix_pick(df.where("false"), matrix, "s").count() == 0
+
+
+def test_sizes_in_words(spark):
+    from examloom.sources.files import size_text
+
+    df = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 3328, 3430, 1 << 20, 5 << 30)], "n long")
+    assert [r[0] for r in df.select(size_text(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KB", "3.2 KB", "3.3 KB", "1.0 MB", "5.0 GB"]
+
+
 def test_grade_styles(spark):
     df = spark.createDataFrame([("a-13-b",), ("a-12-b",), ("lop-7",), ("thpt",)], "url string")
     def grades(style):
