@@ -75,7 +75,7 @@ def _crc32(number: str) -> str:
 
 
 PREFIX_TRIE = f"""
-WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
   {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT c, list(t ORDER BY i) AS own, {_crc32('c')} % 6 AS h FROM o GROUP BY c),
 r AS (SELECT l.c, list_concat(coalesce(b.own, [])[1:l.h], l.own[l.h + 1:]) AS path FROM l LEFT JOIN l b ON b.c = l.c - l.c % 100),
