@@ -306,7 +306,7 @@ def test_warc(spark, tmp_path):
 
 
 def test_every_dealt_operator_has_a_query():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 14))
     assert suffix_dedup.LENGTH == 50
 
 
