@@ -6,11 +6,11 @@ array and regular-expression functions: no shuffle, no group to collect.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import top_n
+from examloom.functions.scans import running
 from examloom.functions.text import (
     NON_ASCII_CHAR,
     VIETNAMESE_CHAR,
@@ -333,65 +333,85 @@ def _parted_line(line, begins, embedded, start, many) -> Column:
     return F.struct(stem.alias("stem"), options.alias("options"))
 
 
-def _numbered_rows(batches):
-    """Tagged lines of documents, in Arrow batches, to question rows."""
-    for pdf in batches:
-        names = [*pdf.columns[:-1], "pos", "number", "question", "options"]
-        out = [
-            (*row[:-1], pos, q["number"], q["question"], q["options"])
-            for row in pdf.itertuples(index=False, name=None)
-            for pos, q in enumerate(_group_tagged(row[-1]))
-        ]
-        yield pd.DataFrame(out, columns=names).astype({"pos": "int32", "number": "Int64"})
-
-
-def _group_tagged(tagged) -> list[dict]:
-    out, current = [], None
-    for line in tagged:
-        kind, text, options = line["kind"], line["text"], list(line["options"])
-        if kind == "section":
-            current = None
-        elif kind == "cloze":
-            current = {"number": None, "question": None, "options": [],
-                       "blanks": list(line["blanks"]), "text": text, "used": 0}
-        elif current is not None and "blanks" in current:
-            if kind == "options" and current["used"] < len(current["blanks"]):
-                blank = current["blanks"][current["used"]]
-                current["used"] += 1
-                out.append({"number": None, "options": options,
-                            "question": f"Cloze ({blank}): {current['text'][:100]}..."})
-            elif kind not in ("options", "option"):
-                current = _opened(line, out)
-        elif kind in ("numbered", "question") and (kind == "numbered" or current is None):
-            current = _opened(line, out)
-        elif current is not None and kind in ("options", "option"):
-            current["options"].extend(options)
-            if len(current["options"]) >= 5:
-                current = None
-        elif current is not None and current["options"]:
-            if line["ends"]:  # the line may open a question of its own
-                current = _opened(line, out)
-        elif current is not None:
-            current["question"] = f"{current['question']}\n{text}".strip()
-    return [q for q in out if q["question"]]
-
-
-def _opened(line, out):
-    """A new question from a line that can start one."""
-    if line["kind"] not in ("numbered", "question"):
-        return None
-    question = {"number": line["number"], "question": line["text"], "options": list(line["options"])}
-    out.append(question)
-    return question
-
-
-def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
+#: What a line is to the question that is open: nothing, its beginning, options, more of its text, or a blank's options.
+_NOTHING, _OPENS, _OPTIONS, _TEXT, _BLANK = range(5)
+#: What is open: nothing, a question or a cloze passage.
+_CLOSED, _QUESTION, _CLOZE = range(3)
+_WALK = "struct<open:int,n:int,blanks:int,head:int,role:int>"
+
+
+def _walk_step(s, v) -> Column:
+    """The state after a tagged line: ``n`` counts the options of a question or the used blanks of a passage."""
+    def state(open_, n, blanks, head, role):
+        return F.struct(*[x.cast("int").alias(name) for name, x in zip(
+            ("open", "n", "blanks", "head", "role"), (open_, n, blanks, head, F.lit(role)))])
+
+    zero, kind = F.lit(0), v["kind"]
+    closed = state(F.lit(_CLOSED), zero, zero, zero, _NOTHING)
+    unchanged = state(s["open"], s["n"], s["blanks"], s["head"], _NOTHING)
+    opened = F.when(kind.isin("numbered", "question"), state(F.lit(_QUESTION), v["k"], zero, zero, _OPENS)).otherwise(closed)
+    offers, asked = kind.isin("options", "option"), s["open"] == _QUESTION
+    total = s["n"] + v["k"]
+    in_cloze = (
+        F.when((kind == "options") & (s["n"] < s["blanks"]), state(s["open"], s["n"] + 1, s["blanks"], s["head"], _BLANK))
+        .when(offers, unchanged).otherwise(opened)
+    )
+    return (
+        F.when(kind == "section", closed)
+        .when(kind == "cloze", state(F.lit(_CLOZE), zero, v["b"], v["i"], _NOTHING))
+        .when(s["open"] == _CLOZE, in_cloze)
+        .when((kind == "numbered") | ((kind == "question") & (s["open"] == _CLOSED)), opened)
+        .when(asked & offers, state(F.when(total >= 5, _CLOSED).otherwise(_QUESTION), total, zero, zero, _OPTIONS))
+        .when(asked & (s["n"] > 0), F.when(v["ends"], opened).otherwise(unchanged))  # the line may open a question of its own
+        .when(asked, state(s["open"], s["n"], zero, zero, _TEXT))
+        .otherwise(unchanged)
+    )
+
+
+def _walked(tagged) -> Column:
+    """Questions of the tagged lines of a document, in order."""
+    facts = F.transform(tagged, lambda t, i: F.struct(
+        t["kind"].alias("kind"), F.size(t["options"]).alias("k"), F.size(t["blanks"]).alias("b"), t["ends"].alias("ends"), i.alias("i")))
+    start = F.struct(*[F.lit(0).alias(n) for n in ("open", "n", "blanks", "head", "role")])
+
+    def question(seg, marked):
+        first = F.element_at(seg, 1)
+        parts = F.transform(F.filter(seg, lambda x: x["s"]["role"].isin(_OPENS, _TEXT)), lambda x: x["t"]["text"])
+        offered = F.filter(seg, lambda x: x["s"]["role"].isin(_OPENS, _OPTIONS, _BLANK))
+        passage = F.get(marked, first["s"]["head"])["t"]
+        cloze = F.concat(F.lit("Cloze ("), F.element_at(passage["blanks"], F.greatest(first["s"]["n"], F.lit(1))), F.lit("): "),
+                         F.substring(passage["text"], 1, 100), F.lit("..."))
+        asked = first["s"]["role"] == _OPENS
+        return F.struct(
+            F.when(asked, first["t"]["number"]).alias("number"),
+            F.when(asked, strip(F.array_join(parts, "\n"))).otherwise(cloze).alias("question"),
+            F.flatten(F.transform(offered, lambda x: x["t"]["options"])).alias("options"), asked.alias("asked"))
+
+    def cut(marked):
+        begins = F.filter(F.transform(marked, lambda x, i: F.when(x["s"]["role"].isin(_OPENS, _BLANK), i + 1)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda a, j: let(
+            F.slice(marked, a, F.coalesce(F.get(at, j + 1), F.size(marked) + 1) - a), lambda seg: question(seg, marked))))
+
+    return let(F.zip_with(tagged, running(facts, start, _walk_step, _WALK), lambda t, s: F.struct(t.alias("t"), s.alias("s"))), cut)
+
+
+def _with_tables(questions, tables) -> Column:
+    """Questions without options take the leftover lists in turn."""
+    lacks = F.transform(questions, lambda q: (q["asked"] & (F.size(q["options"]) == 0)).cast("int"))
+    turns = running(lacks, F.lit(0), lambda n, x: n + x, "int")
+    return F.zip_with(questions, F.zip_with(lacks, turns, lambda x, n: F.when(x == 1, n)), lambda q, n: F.struct(
+        q["number"].alias("number"), q["question"].alias("question"),
+        F.when(n.isNotNull(), F.coalesce(F.try_element_at(tables, n), q["options"])).otherwise(q["options"]).alias("options"),
+        q["asked"].alias("asked")))
+
+
+def numbered_line_parse(docs: DataFrame, text: str = "text", tables: str | None = None) -> DataFrame:
     """Numbered or "?" stems with the option lines after them, and cloze lines.
 
-    Tags and options of a line are Spark expressions; only the walk that hands
-    option lines to the open question is Python, in Arrow batches.
+    ``tables`` names a column of option lists from tables that stand alone; questions that have no options take
+    them in order, each list once.  A document is worked out inside its row, in time that grows with its lines.
     """
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, tables)]
 
     def kind_of(x):
         numbered = x.rlike(r"^\d+\s*[.)]")
@@ -434,11 +454,11 @@ def numbered_line_parse(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     tagged = F.transform(F.transform(lines(F.col(text)), kind_of), tag)
-    rows = docs.select(*keep, tagged.alias("_t"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInPandas(
-        _numbered_rows, ", ".join([*kept, "pos int", "number bigint", "question string", "options array<string>"])
-    )
+    found = let(tagged, _walked)
+    if tables is not None:
+        found = let(found, lambda q: _with_tables(q, F.col(tables)))
+    found = F.filter(found, lambda q: q["question"] != "")
+    return docs.select(*keep, F.posexplode(found).alias("pos", "_q")).select(*keep, "pos", "_q.number", "_q.question", "_q.options")
 
 
 def passage_questions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -830,9 +850,6 @@ _TOPIC_LINE = r"(?iu)^(Chủ đề|Bài|Mục)\s*(\d+)?[.:]\s*(.+)"
 def outline_fill(docs: DataFrame, text: str = "text") -> DataFrame:
     """Topics of an outline with their chapter, and the last knowledge and skill lines under each."""
     keep = [c for c in docs.columns if c != text]
-    item = "struct<chapter:string,topic:string,knowledge:string,skills:string>"
-    start = F.struct(F.lit("").alias("chapter"), F.array().cast(f"array<{item}>").alias("items"))
-
     def last_line(body, want, avoid=None):
         hits = F.filter(F.split(body, "\n"), lambda x: F.lower(x).rlike(want) & ~x.rlike(_CHAPTER_LINE) & (
             ~F.lower(x).rlike(avoid) if avoid else F.lit(True)))
@@ -840,23 +857,25 @@ def outline_fill(docs: DataFrame, text: str = "text") -> DataFrame:
 
     knowledge, skills = "kiến thức|yêu cầu cần đạt", "kỹ năng|năng lực"
 
-    def step(acc, seg):
+    def item(seg, chapter):
         first = F.element_at(F.split(seg, "\n"), 1)
-        topic = F.regexp_extract(first, _TOPIC_LINE, 3)
-        chapters = F.filter(F.split(seg, "\n"), lambda x: x.rlike(_CHAPTER_LINE))
-        new = F.struct(
-            acc["chapter"].alias("chapter"), strip(topic).alias("topic"),
-            last_line(F.regexp_replace(seg, r"^[^\n]*\n?", ""), knowledge).alias("knowledge"),
-            last_line(F.regexp_replace(seg, r"^[^\n]*\n?", ""), skills, knowledge).alias("skills"),
-        )
+        body = F.regexp_replace(seg, r"^[^\n]*\n?", "")
         return F.struct(
-            F.coalesce(F.try_element_at(chapters, F.lit(-1)), acc["chapter"]).alias("chapter"),
-            F.when(topic != "", F.concat(acc["items"], F.array(new))).otherwise(acc["items"]).alias("items"),
-        )
+            chapter.alias("chapter"), strip(F.regexp_extract(first, _TOPIC_LINE, 3)).alias("topic"),
+            last_line(body, knowledge).alias("knowledge"), last_line(body, skills, knowledge).alias("skills"),
+            (F.regexp_extract(first, _TOPIC_LINE, 3) != "").alias("opens"))
+
+    def chapter_of(seg):
+        return F.try_element_at(F.filter(F.split(seg, "\n"), lambda x: x.rlike(_CHAPTER_LINE)), F.lit(-1))
+
+    def items(segs):
+        after = running(F.transform(segs, chapter_of), F.lit(""), lambda now, c: F.coalesce(c, now), "string")
+        before = let(after, lambda a: F.transform(a, lambda c, i: F.coalesce(F.get(a, i - 1), F.lit(""))))
+        return F.filter(F.zip_with(segs, before, item), lambda x: x["opens"])
 
     segments = F.split(_text_lines(F.col(text)), r"(?imu)^(?=(?:Chủ đề|Bài|Mục)\s*(?:\d+)?[.:])")
-    items = F.aggregate(F.filter(segments, lambda s: s != ""), start, step, lambda acc: acc["items"])
-    return docs.select(*keep, F.posexplode(items).alias("pos", "_i")).select(*keep, "pos", "_i.*")
+    found = let(F.filter(segments, lambda s: s != ""), items)
+    return docs.select(*keep, F.posexplode(found).alias("pos", "_i")).select(*keep, "pos", "_i.*").drop("opens")
 
 
 def chapter_periods(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from examloom.functions.scans import running
+from examloom.functions.text import let
+
+
 def mark_decision(bubbles: DataFrame, options: int = 5) -> DataFrame:
     """Mark of every question from its bubbles: a letter, MULTI, or null for blank.
 
@@ -104,21 +108,21 @@ def row_cluster(rects: DataFrame, tolerance: float = 15) -> DataFrame:
     """Row of every rectangle of a sheet: a row ends when y leaves its first y by more than ``tolerance``.
 
     ``rects(sheet_id, cx, cy, …)``.  Only the distinct y of a sheet, which are
-    no more than the lines of its image, come together to find where rows begin.
-    Within a row the order is that of ``cx``.
+    no more than the lines of its image, come together to find where rows begin; rectangles then look their y
+    up, so that a sheet of many is spread by y.  Without a y or a sheet the row is 0.
     """
     ys = rects.groupBy("sheet_id").agg(F.array_sort(F.collect_set("cy")).alias("_ys"))
-    none = F.array().cast("array<double>")
-    starts = F.aggregate(
-        F.transform("_ys", lambda y: y.cast("double")), none,
-        lambda acc, y: F.when(
-            (F.size(acc) == 0) | (y - F.try_element_at(acc, F.lit(-1)) > tolerance), F.concat(acc, F.array(y))
-        ).otherwise(acc),
-    )
-    anchors = ys.select("sheet_id", starts.alias("_starts"))
-    return rects.join(anchors, "sheet_id").withColumn(
-        "row_no", F.size(F.filter("_starts", lambda s: s <= F.col("cy")))
-    ).drop("_starts")
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("row"))
+
+    def step(now, y):
+        begins = now["first"].isNull() | (y.cast("double") - now["first"] > tolerance)
+        return F.struct(F.when(begins, y.cast("double")).otherwise(now["first"]).alias("first"),
+                        (now["row"] + begins.cast("int")).alias("row"))
+
+    rows = F.transform(running(F.col("_ys"), start, step, "struct<first:double,row:int>"), lambda s: s["row"])
+    placed = ys.select("sheet_id", F.explode(F.arrays_zip("_ys", rows.alias("row_no"))).alias("_y"))
+    placed = placed.select("sheet_id", F.col("_y._ys").alias("cy"), F.col("_y.row_no").alias("_row"))
+    return rects.join(placed, ["sheet_id", "cy"], "left").select(*rects.columns, F.coalesce("_row", F.lit(0)).alias("row_no"))
 
 
 def gap_group(rows: DataFrame, templates: DataFrame) -> DataFrame:
@@ -134,13 +138,8 @@ def gap_group(rows: DataFrame, templates: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.col("cx").cast("double"))).alias("_xs"),
         F.min_by("cy", "cx").alias("_y"),
     )
-    none = F.array().cast("array<double>")
-    kept = F.aggregate(
-        "_xs", none,
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > 10), F.concat(acc, F.array(x))
-        ).otherwise(acc),
-    )
+    kept = F.array_distinct(running(
+        F.col("_xs"), F.lit(None).cast("double"), lambda last, x: F.when(last.isNull() | (x - last > 10), x).otherwise(last), "double"))
     spec = templates.select("template", "questions", "options", "questions_per_row", "layout")
     sized = per_row.select("sheet_id", "template", "row_no", "_y", kept.alias("_xs")).join(spec, "template")
     n, opts = F.size("_xs"), F.col("options")
@@ -161,25 +160,22 @@ def gap_group(rows: DataFrame, templates: DataFrame) -> DataFrame:
     ) / 2
     usable = usable.withColumn("_median", F.when(m > 0, median)).withColumn("_widest", F.array_max(gaps))
 
-    # A break is a wide gap after enough bubbles: a fold that keeps the open group and the closed ones.
-    group = "array<array<double>>"
-    start = F.struct(none.alias("open"), F.array().cast(group).alias("done"))
+    # A break is a wide gap after enough bubbles: the walk counts the bubbles of the open group.
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"))
 
-    def step(acc, x):
-        wide = (x - F.try_element_at(acc["open"], F.lit(-1)) > F.col("_median") * 1.3) & (
-            F.size(acc["open"]) >= opts - 1
-        )
-        return F.when(
-            F.coalesce(wide, F.lit(False)),
-            F.struct(F.array(x).alias("open"), F.concat(acc["done"], F.array(F.slice(acc["open"], F.lit(1), opts))).alias("done")),
-        ).otherwise(F.struct(F.concat(acc["open"], F.array(x)).alias("open"), acc["done"].alias("done")))
-
-    by_gap = F.aggregate(
-        "_xs", start, step,
-        lambda acc: F.when(
-            F.size(acc["open"]) >= opts - 1, F.concat(acc["done"], F.array(F.slice(acc["open"], F.lit(1), opts)))
-        ).otherwise(acc["done"]),
-    )
+    def step(now, x):
+        wide = F.coalesce((x - now["last"] > F.col("_median") * 1.3) & (now["n"] >= opts - 1), F.lit(False))
+        return F.struct(F.when(wide, 1).otherwise(now["n"] + 1).alias("n"), x.alias("last"))
+
+    begins = F.filter(
+        F.transform(running(F.col("_xs"), start, step, "struct<n:int,last:double>"), lambda s, i: F.when(s["n"] == 1, i + 1)),
+        lambda i: i.isNotNull())
+
+    def from_breaks(at):
+        sizes = F.transform(at, lambda a, j: F.struct(a.alias("a"), (F.coalesce(F.get(at, j + 1), n + 1) - a).alias("n")))
+        return F.transform(F.filter(sizes, lambda g: g["n"] >= opts - 1), lambda g: F.slice("_xs", g["a"], F.least(g["n"], opts)))
+
+    by_gap = let(begins, from_breaks)
     chunks = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.floor((n - 1) / opts).cast("int")),

@@ -147,6 +147,18 @@ def numbered_line_parse(t):
     return joined(ops.numbered_line_parse(rows), "options")
 
 
+@query("numbered_line_tables", """
+SELECT p_partkey AS doc_id, 0 AS pos, 1::BIGINT AS number, 'First of ' || p_name AS question, p_brand || '/' || p_type AS options FROM part
+UNION ALL SELECT p_partkey, 1, 2, 'Second' || chr(10) || 'goes on', p_size || '/own' FROM part
+UNION ALL SELECT p_partkey, 2, 4, 'Fourth', p_brand || '/t' FROM part
+UNION ALL SELECT p_partkey, 3, 5, 'Fifth', '' FROM part""")
+def numbered_line_tables(t):
+    rows = written(t, "part", "p_partkey", "=1. First of ", "p_name", "=\n2. Second\ngoes on\nA. ", "p_size", "=  B. own\n3.\n4. Fourth\n5. Fifth")
+    tables = t.part.select(F.col("p_partkey").alias("doc_id"), F.array(
+        F.array("p_brand", "p_type"), F.array(F.lit("of the"), F.lit("empty stem")), F.array("p_brand", F.lit("t"))).alias("tables"))
+    return joined(ops.numbered_line_parse(rows.join(tables, "doc_id"), tables="tables"), "options")
+
+
 @query("passage_questions", """
 SELECT p_partkey AS doc_id, 0 AS pos, '(Passage) 1. Ask ' || p_name AS question, p_brand || '/' || p_type AS options,
   'Text about ' || p_name || chr(10) || 'second line' AS passage FROM part WHERE p_size > 25

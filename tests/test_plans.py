@@ -10,7 +10,7 @@ from examloom.plans import bindings as b
 from examloom.plans.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
-WITH_PYTHON = {"near_dup_merge", "numbered_line_parse"}
+WITH_PYTHON = {"near_dup_merge"}
 WRITES_FIRST = {
     "write_slice",
     "read_bank_json", "write_bank_json", "read_moodle_xml", "write_moodle_xml", "read_qti_xml", "write_qti_xml",
