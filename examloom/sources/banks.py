@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import split_row_number
-from examloom.functions.text import has_text, squeeze, strip
+from examloom.functions.storage import checkpointed
+from examloom.functions.text import has_text, let, squeeze, strip
 from examloom.operators.bank import bank_predicate
 from examloom.operators.curation import math_text
 from examloom.operators.documents import text_questions
@@ -21,17 +22,18 @@ _COLUMNS = ["content", "options", "answer", "explanation", "subject", "topic", "
 def read_bank_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Questions of JSON files: a bare list, or an object with a ``questions`` list.
 
-    ``multiline=False`` reads one question per line, the form in which large
-    banks can be split between tasks.
+    Files are read in ranges, so one huge list is shared between tasks.  ``multiline=False`` reads one question
+    per line, which needs no shuffle.
     """
     names = [f.split(":")[0] for f in _FIELDS.replace("array<string>", "array").split(",")]
-    schema = _FIELDS.replace(":", " ", 1)
-    schema = ", ".join(
-        f"{n} {'array<string>' if n in ('options', 'tags') else 'string'}" for n in names
-    ) + f", questions array<struct<{_FIELDS}>>"
-    raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
-    single = F.array(F.struct(*names))
-    rows = raw.select(F.explode(F.coalesce("questions", single)).alias("q")).select("q.*")
+    if multiline:
+        rows = list_records(spark, path).select(F.from_json("record", _FIELDS.replace(":", " ")).alias("q")).select("q.*")
+    else:
+        schema = ", ".join(
+            f"{n} {'array<string>' if n in ('options', 'tags') else 'string'}" for n in names
+        ) + f", questions array<struct<{_FIELDS}>>"
+        raw = spark.read.schema(schema).json(path)
+        rows = raw.select(F.explode(F.coalesce("questions", F.array(F.struct(*names)))).alias("q")).select("q.*")
     content = strip(F.coalesce("content", "question"))
     out = rows.select(
         content.alias("content"),
@@ -49,6 +51,88 @@ def read_bank_json(spark: SparkSession, path: str, multiline: bool = True) -> Da
     return out.filter(has_text(F.col("content")))
 
 
+def list_records(spark: SparkSession, path: str, member: str = "questions") -> DataFrame:
+    """file, place and text of every object of the JSON lists in files: a bare list, or the list ``member`` of an object.
+
+    A file whose object has no such list gives its outermost objects.  Files are cut at every ``}``, in ranges of
+    bytes.  Whether a piece begins inside a string, and how deep, follows from the pieces before it: each range
+    reports what it does to both, the reports are added up per file, and then each range places its own pieces.
+    An object ends where the depth of the list is reached again; its pieces are put together by their places.
+    A range is one sorted group, as large as ``spark.sql.files.maxPartitionBytes`` allows.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    # Without escapes, quotes are the ends of strings: every second part between them lies outside.
+    parts = F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"', -1)
+    outside = lambda odd: F.array_join(F.filter(parts, lambda x, i: i % 2 == odd), "")
+    pieces = pieces.select(
+        "*", (F.size(parts) - 1).alias("quotes"),
+        *[F.regexp_replace(outside(odd), r"[^\[\]{]", "").alias(f"marks{odd}") for odd in (0, 1)])
+    change = lambda marks: F.length(F.translate(marks, "]", "")) - F.length(F.translate(marks, "[{", ""))
+
+    within = Window.partitionBy("file", "start").orderBy("at")
+    inside = F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("odd", F.coalesce(inside, F.lit(0)) % 2)
+    # depth after a piece and its brace, for a range that begins outside a string (0) or in one (1)
+    for k in (0, 1):
+        flipped = (F.col("odd") + k) % 2
+        marks = F.when(flipped == 0, F.col("marks0")).otherwise(F.col("marks1"))
+        closes = ((flipped + F.col("quotes")) % 2 == 0).cast("int")
+        pieces = pieces.withColumn(f"m{k}", marks).withColumn(f"closes{k}", closes)
+        pieces = pieces.withColumn(f"d{k}", F.sum(change(F.col(f"m{k}")) - F.col(f"closes{k}")).over(within))
+    pieces = checkpointed(pieces.select(
+        "file", "start", "at", "piece", "quotes", "odd", "m0", "m1", "closes0", "closes1", "d0", "d1"))
+
+    along = Window.partitionBy("file").orderBy("start")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = pieces.groupBy("file", "start").agg(
+        F.sum("quotes").alias("quotes"), F.max_by("d0", "at").alias("d0"), F.max_by("d1", "at").alias("d1"))
+    ranges = ranges.withColumn("in", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    ranges = ranges.withColumn("base", F.coalesce(F.sum(F.when(F.col("in") == 0, F.col("d0")).otherwise(F.col("d1"))).over(before), F.lit(0)))
+
+    either = lambda name: F.when(F.col("in") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    placed = pieces.join(ranges.select("file", "start", "in", "base"), ["file", "start"]).select(
+        "file", "start", "at", "piece", either("m").alias("marks"), (either("closes") == 1).alias("closes"),
+        (F.col("base") + either("d")).alias("depth"), ((F.col("odd") + F.col("in")) % 2).alias("quoted"))
+    began = F.col("depth") + F.col("closes").cast("int") - change(F.col("marks"))
+    lead = F.regexp_extract("piece", rf'(?s)^(.*?"{member}"\s*:\s*\[)', 1)
+    lead_parts = F.split(F.regexp_replace(lead, r"(?s)\\.", ""), '"', -1)
+    lead_marks = F.regexp_replace(F.array_join(F.filter(lead_parts, lambda x, i: i % 2 == F.col("quoted")), ""), r"[^\[\]{]", "")
+    opens = (lead != "") & (F.col("began") + change(lead_marks) == 2)
+    # the lowest depth in a piece, or in what follows the opening of the list
+    lowest = F.aggregate(
+        F.split(F.when(F.col("opens"), F.substring("marks", F.length(lead_marks) + 1, F.length("marks"))).otherwise(F.col("marks")), ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")),
+        lambda a, c: let(a["now"] + F.when(c == "]", -1).when(c == "", 0).otherwise(1), lambda n: F.struct(
+            n.alias("now"), F.least(n, a["low"]).alias("low"))), lambda a: a["low"])
+    placed = placed.withColumn("began", began)
+    placed = placed.withColumn("opens", opens).withColumn("low", F.when(F.col("opens"), 2 + lowest).when(F.col("began") <= 2, F.col("began") + lowest))
+
+    spot = F.struct("start", "at")
+    kinds = placed.groupBy("file").agg(
+        F.ltrim(F.min_by("piece", spot)).startswith("[").alias("list"), F.min(F.when(F.col("opens"), spot)).alias("opened"))
+    # the list ends in the first piece that falls below it
+    ends = placed.join(kinds.select("file", "opened"), "file").where((spot >= F.col("opened")) & (F.col("low") < 2))
+    ends = ends.groupBy("file").agg(F.min(spot).alias("ended"))
+    kinds = kinds.join(ends, "file", "left").withColumn(
+        "level", F.when(F.col("list"), 1).when(F.col("opened").isNotNull(), 2).otherwise(0))
+    inner = (F.col("level") < 2) | ((spot >= F.col("opened")) & (F.col("ended").isNull() | (spot < F.col("ended"))))
+    kept = placed.join(kinds, "file").where(inner).select(
+        "file", "start", "at", "level",
+        F.when((F.col("level") == 2) & F.col("opens") & (spot == F.col("opened")), F.substring("piece", F.length(lead) + 1, F.length("piece")))
+        .otherwise(F.col("piece")).alias("piece"),
+        (F.col("closes") & (F.col("depth") == F.col("level"))).cast("int").alias("last"))
+    # objects are numbered by the ends before them
+    ended = kept.groupBy("file", "start").agg(F.sum("last").alias("n"))
+    ended = ended.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"))
+    earlier = F.coalesce(F.sum("last").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = kept.withColumn("earlier", earlier).join(ended, ["file", "start"]).withColumn("place", F.col("done") + F.col("earlier"))
+    whole = numbered.groupBy("file", "place").agg(
+        F.array_sort(F.collect_list(F.struct("start", "at", "piece"))).alias("p"), F.max("last").alias("whole"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["piece"]), "}"), F.lit("}"))
+    return whole.where("whole = 1").select("file", "place", F.regexp_replace(text, r"^[^{]*", "").alias("record"))
+
+
 def _selected(bank: DataFrame, limit: int | None, filters: dict) -> DataFrame:
     """Filtered rows, newest first; at most ``limit`` when given."""
     test = bank_predicate(**filters)

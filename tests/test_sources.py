@@ -1,6 +1,7 @@
 """Files in, files out."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,35 @@ def test_feed_edge_cases(spark):
     assert rows["opentdb.com"]["question"] == 'A & "b"' and rows["opentdb.com"]["answer"] == "B"
     assert rows["quizapi.io"]["question"] == "u" and rows["quizapi.io"]["answer"] == "A"
     assert rows["api-ninjas.com"]["subject"] == "general" and rows["api-ninjas.com"]["question_type"] == "short_answer"
+
+
+def test_list_records_in_small_ranges(spark, tmp_path):
+    rng, want = random.Random(2), {}
+    bits = ["a", "}", "{", "[", "]", '"', "\\", "\\\\\"", "é", "\n", ",", '"questions":[', " "]
+
+    def text():
+        return "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+
+    def record():
+        return {"content": text(), "n": {"x": [{}, text(), {"y": [text()]}], "questions": [{"a": text()}]}, "options": [text()]}
+
+    for k in range(12):
+        records = [record() for _ in range(rng.choice([0, 1, 3, 60]))]
+        extra = {"meta": {"a": {"b": [text(), {}]}, "questions": [{"no": 1}]}, "t": text()}
+        whole = [records, {**extra, "questions": [*records], "after": {"c": {"d": {}}, "e": [[{}], {"f": 1}]}}, {"questions": records}][k % 3]
+        (tmp_path / f"f{k}.json").write_text(json.dumps(whole, indent=[None, 1][k % 2], ensure_ascii=k % 4 < 2))
+        want[f"f{k}.json"] = records
+    (tmp_path / "single.json").write_text(json.dumps({"content": "alone", "n": {}}))
+    want["single.json"] = [{"content": "alone", "n": {}}]
+    (tmp_path / "empty.json").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("97b", "1000b", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = banks.list_records(spark, str(tmp_path)).orderBy("file", "place").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        found = {}
+        for r in got:
+            found.setdefault(r.file.rsplit("/", 1)[1], []).append(json.loads(r.record))
+        assert found == {k: v for k, v in want.items() if v}
