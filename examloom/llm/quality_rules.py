@@ -4,7 +4,7 @@ Main path in DataFrame functions only.
 
 Edge cases: a null text has no words.  Null languages or sources form groups of their own.  Texts of any
 length are read whole.  Repeated rows and repeated ids are judged row by row; null ids are kept.  An empty
-table gives an empty result.  Other columns of the input are not read.
+table gives an empty result.  A document alone in its group is its own median and stays.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -102,28 +102,67 @@ def sketch_quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float
     return packed.select(*keys, "n", *[quantile(s).alias(name) for name, s in shares.items()])
 
 
-#: Least spread per metric, so that a group of near-constant values does not reject on a trifle; and the
-#: number of spreads beyond the upper quantile that a document may lie.
-SLACK = {"symbol_share": 0.03, "line_share": 0.15, "repeat_share": 0.065, "word_length": 2.0}
-SPREADS = 3.0
+#: Spreads above the median of its group that a document may lie; standard errors by which its own counts must
+#: place it there; and the weight, in documents, of the wider corpus in the spread of a group.
+SPREADS, ERRORS, PRIOR = 3.0, 2.0, 10.0
 
 
-def adaptive_thresholds(rows: DataFrame) -> DataFrame:
-    """The highest allowed value of each metric per (lang, source): median + SPREADS * max(p75 - p25, slack)."""
+def certain_share(part: Column, whole: Column) -> Column:
+    """The least share that ``part`` of ``whole`` supports (Wilson's lower bound); few events support little."""
+    n, z = F.greatest(whole, F.lit(1.0)), F.lit(ERRORS)
+    p = part / n
+    root = F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return F.when(part > 0, (p + z * z / (2 * n) - z * root) / (1 + z * z / n)).otherwise(0.0)
+
+
+def _certain() -> dict[str, Column]:
+    """What of each metric is sure; words of repeated windows come five at a time."""
+    return {
+        "symbol_share": certain_share(F.col("n_symbols"), F.col("word_chars")),
+        "line_share": certain_share(F.col("n_dup_lines"), F.col("n_lines")),
+        "repeat_share": certain_share(F.col("n_repeat_words") / WINDOW, F.col("n_words") / WINDOW),
+        "word_length": F.col("word_length"),
+    }
+
+
+def _spread() -> Column:
+    return F.sqrt(F.greatest(F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), F.lit(2.0)), F.lit(0.0)))
+
+
+def _towards(own: Column, wider: Column) -> Column:
+    return (F.col("n") * own + PRIOR * wider) / (F.col("n") + PRIOR)
+
+
+def adaptive_thresholds(rows: DataFrame, growth: float = 1.02) -> DataFrame:
+    """The highest allowed value of each metric per (lang, source): median + SPREADS * spread.
+
+    Medians and standard deviations are read from the sketches.  The spread of a group is drawn towards that of
+    its language, and that one towards the corpus, the more the fewer documents it has.
+    """
     values = rows.where("not base_failed").select(
         "lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*METRICS))).alias("metric", "value"))
     keys = ["lang", "source", "metric"]
-    q = sketch_quantiles(quantile_sketch(values, keys), keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("metric"))
-    limit = F.col("q50") + SPREADS * F.greatest(F.col("q75") - F.col("q25"), slack)
-    return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, limit)).alias(f"max_{m}") for m in METRICS])
+    sketch = quantile_sketch(values, keys, growth)
+    medians = sketch_quantiles(sketch, keys, {"q50": 0.5}, growth).drop("n")
+    x = F.when(F.col("bin") > 0, F.pow(F.lit(growth), F.col("bin")) / 1e6).otherwise(0.0)
+    sums = lambda df, by: df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    groups = sums(sketch.select(*keys, "n", (F.col("n") * x).alias("s1"), (F.col("n") * x * x).alias("s2")), keys)
+    langs = sums(groups, ["lang", "metric"])
+    corpus = sums(langs, ["metric"]).select("metric", _spread().alias("corpus_spread"))
+    langs = langs.join(corpus, "metric").select(
+        F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), _towards(_spread(), F.col("corpus_spread")).alias("lang_spread"))
+    q = medians.withColumnsRenamed({"lang": "q_lang", "source": "q_source", "metric": "q_metric"})
+    limits = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(
+        q, F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source")) & (F.col("metric") == F.col("q_metric")))
+    limit = F.col("q50") + SPREADS * _towards(_spread(), F.col("lang_spread"))
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, limit)).alias(f"max_{m}") for m in METRICS])
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """Counts, base rule and verdict of every document.
 
     ``base_failed`` has less than ten words, or more than a fifth of the words in repeated windows.  The others
-    are kept unless a metric exceeds the threshold of their language and source.  Counts are stored once;
+    are kept unless what is certain of a metric exceeds the threshold of their language and source.  Counts are stored once;
     thresholds come from sketches that merge in the map tasks, so a source with most of the rows is no hot key,
     and the join carries numbers only.
     """
@@ -133,8 +172,8 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     limits = adaptive_thresholds(rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     near = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     beyond = F.lit(False)
-    for m in METRICS:
-        beyond = beyond | F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False))
+    for m, sure in _certain().items():
+        beyond = beyond | F.coalesce(sure > F.col(f"max_{m}"), F.lit(False))
     return rows.join(limits, near, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~beyond).alias("kept"))

@@ -40,8 +40,20 @@ counts AS (SELECT t, count(*) AS n_text_links, sum(copies) AS docs FROM links GR
 SELECT doc_id, class_id, (coalesce(docs, 0) + copies - 1)::BIGINT AS n_links, coalesce(n_text_links, 0) AS n_text_links
 FROM d JOIN t USING (text) JOIN class USING (t) LEFT JOIN counts USING (t)"""
 
-_SLACK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.SLACK.items())
-_METRICS = ", ".join(f"({k!r}, {k})" for k in quality_rules.METRICS)
+
+
+def _certain(part: str, whole: str) -> str:
+    n, z = f"greatest({whole}, 1.0)::DOUBLE", quality_rules.ERRORS
+    p = f"({part} / {n})"
+    return (f"CASE WHEN {part} > 0 THEN ({p} + {z * z} / (2 * {n}) - {z} * sqrt({p} * (1 - {p}) / {n} + {z * z} / (4 * {n} * {n}))) / (1 + {z * z} / {n}) ELSE 0 END")
+
+
+_METRICS = ", ".join(f"('{name}', {name}, {sure})" for name, sure in (
+    ("symbol_share", _certain("n_symbols", "word_chars")), ("line_share", _certain("n_dup_lines", "n_lines")),
+    ("repeat_share", _certain("(n_repeat_words / 5)", "(n_words / 5)")), ("word_length", "word_length")))
+_SPREAD = "sqrt(greatest(s2 / n - pow(s1 / n, 2), 0))"
+_SUMS = "sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2"
+
 
 QUALITY_RULES = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
@@ -54,15 +66,17 @@ c AS (SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_tra
   FROM d JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)),
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share,
   n_dup_lines / greatest(n_lines, 1) AS line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS word_length FROM c),
-v AS (SELECT doc_id, lang, source, metric, value FROM m, LATERAL (VALUES {_METRICS}) x(metric, value) WHERE NOT base_failed),
+v AS (SELECT doc_id, lang, source, metric, value, sure FROM m, LATERAL (VALUES {_METRICS}) x(metric, value, sure) WHERE NOT base_failed),
 bins AS (SELECT lang, source, metric, greatest(ceil(ln(greatest(value * 1e6, 1.0)) / ln(1.02)), 0)::INT AS bin, count(*) AS n FROM v GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM bins),
-q AS (SELECT lang, source, metric, min(CASE WHEN seen >= total * 0.25 THEN bin END) AS b25, min(CASE WHEN seen >= total * 0.5 THEN bin END) AS b50,
-  min(CASE WHEN seen >= total * 0.75 THEN bin END) AS b75 FROM cum GROUP BY ALL),
-r AS (SELECT lang, source, metric, CASE WHEN b25 > 0 THEN pow(1.02, b25) / 1e6 ELSE 0 END AS q25, CASE WHEN b50 > 0 THEN pow(1.02, b50) / 1e6 ELSE 0 END AS q50,
-  CASE WHEN b75 > 0 THEN pow(1.02, b75) / 1e6 ELSE 0 END AS q75 FROM q),
-limits AS (SELECT lang, source, metric, q50 + {quality_rules.SPREADS} * greatest(q75 - q25, CASE metric {_SLACK} END) AS top FROM r),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN limits x ON v.lang IS NOT DISTINCT FROM x.lang AND v.source IS NOT DISTINCT FROM x.source AND v.metric = x.metric WHERE value > top)
+edges AS (SELECT *, CASE WHEN bin > 0 THEN pow(1.02, bin) / 1e6 ELSE 0 END AS x FROM cum),
+g1 AS (SELECT lang, source, metric, min(CASE WHEN seen >= total * 0.5 THEN x END) AS q50, sum(n) AS n, sum(n * x) AS s1, sum(n * x * x) AS s2 FROM edges GROUP BY ALL),
+l1 AS (SELECT lang, metric, {_SUMS} FROM g1 GROUP BY ALL), a1 AS (SELECT metric, {_SUMS} FROM l1 GROUP BY ALL),
+a2 AS (SELECT metric, {_SPREAD} AS s FROM a1),
+l2 AS (SELECT lang, metric, (n * {_SPREAD} + {quality_rules.PRIOR} * s) / (n + {quality_rules.PRIOR}) AS s FROM l1 JOIN a2 USING (metric)),
+limits AS (SELECT g1.lang, source, g1.metric, q50 + {quality_rules.SPREADS} * (n * {_SPREAD} + {quality_rules.PRIOR} * s) / (n + {quality_rules.PRIOR}) AS top
+  FROM g1 JOIN l2 ON g1.lang IS NOT DISTINCT FROM l2.lang AND g1.metric = l2.metric),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN limits x ON v.lang IS NOT DISTINCT FROM x.lang AND v.source IS NOT DISTINCT FROM x.source AND v.metric = x.metric WHERE sure > top)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM m LEFT JOIN bad USING (doc_id)"""
 

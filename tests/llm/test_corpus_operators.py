@@ -8,6 +8,7 @@ import corpus_cases as cases
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from examloom.llm import bytes as byte_tools
@@ -334,6 +335,23 @@ def test_classifier_without_labels(spark, docs):
 # Jaccard join
 
 
+def test_rows_that_repeat_a_labelled_id_count_once(spark):
+    rows = [(1, cases.prose(k, 30)) for k in range(300)] + [(k, cases.prose(k, 30)) for k in range(2, 30)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, quality int")
+    seen = []
+    keep = quality_classifier.Network
+    try:
+        quality_classifier.Network = lambda x, y: seen.append((x.copy(), y.copy()))
+        source = cases.frame(spark, rows)
+        vectors = quality_classifier.word_vectors(source)
+        quality_classifier.fit(source, labels, vectors)
+        quality_classifier.fit(source.repartition(7), labels, vectors)
+    finally:
+        quality_classifier.Network = keep
+    usable = labels.where(~quality_classifier.held_out(F.col("doc_id"))).count()
+    assert [len(y) for _, y in seen] == [usable, usable] and (seen[0][0] == seen[1][0]).all()
+
+
 def plain_links(rows):
     sets = []
     for _, t in rows:

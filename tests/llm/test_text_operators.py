@@ -9,6 +9,7 @@ import corpus_cases as cases
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from examloom.llm import bpe, quality_rules, secrets, suffix_dedup, token_counts, url_filter, warc
 from examloom.llm.queries import ORACLES, QUERIES, URL_RULES
@@ -232,6 +233,22 @@ def test_thresholds_follow_the_corpus(spark):
     assert all(got[k] for k in range(60)) and not any(got[100 + k] for k in range(3)) and all(got[200 + k] for k in range(60))
 
 
+def test_limits_differ_between_groups_and_few_events_prove_nothing(spark):
+    tidy = [(k, cases.prose(k, 300), "en", "tidy") for k in range(40)]
+    mixed = [(100 + k, cases.prose(k, 300).replace(" an", " #an" if k % 2 else " an"), "en", "mixed") for k in range(40)]
+    lines = [(200, "\n".join([cases.prose(1, 20), cases.prose(2, 20), cases.prose(2, 20)]), "en", "tidy")]
+    noisy = [(201, cases.prose(3, 300).replace(" ", " ### "), "en", "tidy"), (202, cases.prose(4, 300).replace(" ", " ### "), "en", "alone")]
+    kept = quality_rules.quality_filter(cases.frame(spark, tidy + mixed + noisy)).where("kept").select("doc_id").collect()
+    assert {r[0] for r in kept} == {*range(40), *range(100, 140), 202}
+    counted = quality_rules.measured(cases.frame(spark, tidy + mixed)).withColumn("base_failed", F.lit(False)).withColumns(quality_rules._metrics())
+    limit = {r["source"]: r["max_symbol_share"] for r in quality_rules.adaptive_thresholds(counted).collect()}
+    assert limit["mixed"] > 1.5 * limit["tidy"] > 0
+    sure = cases.frame(spark, lines).select(
+        quality_rules.certain_share(F.lit(1), F.lit(3)).alias("few"), quality_rules.certain_share(F.lit(1000), F.lit(3000)).alias("many"),
+        quality_rules.certain_share(F.lit(0), F.lit(0)).alias("none")).first()
+    assert sure["few"] < 0.07 < 0.3 < sure["many"] < 1 / 3 and sure["none"] == 0
+
+
 def test_sketch_quantiles(spark):
     r = np.random.default_rng(1)
     values = np.concatenate([r.exponential(3, 4000), np.zeros(500)])
@@ -297,6 +314,13 @@ def test_warc(spark, tmp_path):
     assert collections.Counter(rows(warc.record_fields(records))) == want
     whole = [bytes(r["record"]) for r in warc.record_bytes(records).collect()]
     assert all(w.startswith(b"WARC/1.1\r\n") and w.endswith(b"\r\n\r\n") and w.count(b"\nX: y") == 0 for w in whole)
+    for w in whole:
+        block = w.partition(b"\r\n\r\n")[2][:-4]
+        fields = warc.parse_header(w)
+        assert int(fields["content-length"]) == len(block) and fields["warc-date"] == warc.UNDATED
+        payload = block.partition(b"\r\n\r\n")[2]
+        assert fields["warc-type"] == "response" or not payload
+        assert fields["warc-type"] == "revisit" or warc.payload_digest(payload) == fields["warc-payload-digest"].removeprefix("sha1:")
     assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == len({h or "" for _, _, h in source})
     warc.write_archive(pages, f"{tmp_path}/least", least_bytes=10)
     kinds = {(r["page_id"], r["record_type"]) for r in warc.record_fields(warc.read_archive(spark, f"{tmp_path}/least")).collect()}
