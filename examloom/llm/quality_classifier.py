@@ -216,8 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network | fl
     usable = marks.where(~held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE short rows
-    got = rows.select("doc_id", "quality", "text").mapInArrow(
-        _feature_batches(vectors), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<float>").collect()
+    features = rows.select("doc_id", "quality", "text").mapInArrow(
+        _feature_batches(vectors), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<float>")
+    # rows that repeat an id count once, by their smallest features, so that SAMPLE bounds what is collected
+    got = features.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     y = np.array([r["quality"] for r in got], float)
     if len(set(y)) < 2:

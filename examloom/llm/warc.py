@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END = b"\r\n\r\n"
+#: Date of records whose time of capture is not given.
+UNDATED = "1970-01-01T00:00:00Z"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -59,13 +61,18 @@ def _packed(batches):
                 ["sha256", "packed"])
 
 
-def record_header(page_id, url: str | None, kind: str, digest: str, refers_to, length: int) -> bytes:
-    """Header bytes of one record, without the blank line that ends it."""
+def record_header(page_id, url: str | None, kind: str, digest: str, refers_to, length: int, date: str = UNDATED) -> bytes:
+    """Bytes of a record before its payload, without the blank line that ends them: WARC fields and HTTP head.
+
+    The HTTP head gives the length of the payload, which a revisit does not repeat.
+    """
     target = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\n" in (url or "") or "\r" in (url or "") else url or ""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    return "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {length}"]).encode()
+    block = len(http) + len(END) + (0 if kind == "revisit" else length)
+    return "\r\n".join([*lines, "Content-Type: application/http; msgtype=response", f"Content-Length: {block}", "", http]).encode()
 
 
 def _headers(batches):
@@ -73,17 +80,20 @@ def _headers(batches):
         out = []
         for r in batch.to_pylist():
             first = r["page_id"] is None and r["first_id"] is None or r["page_id"] is not None and r["page_id"] == r["first_id"] or r["n_bytes"] < r["least"]
-            out.append(record_header(r["page_id"], r["url"], "response" if first else "revisit", r["digest"], r["first_id"], r["n_bytes"]))
+            out.append(record_header(r["page_id"], r["url"], "response" if first else "revisit", r["digest"], r["first_id"], r["n_bytes"], r["date"]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary()), batch.column("sha256")], ["page_id", "header", "sha256"])
 
 
-def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
-    """Write the two tables of an archive; payloads below ``least_bytes`` are never referred to."""
+def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = UNDATED) -> None:
+    """Write the two tables of an archive; payloads below ``least_bytes`` are never referred to.
+
+    ``date`` is the time of capture of all records, as WARC-Date gives it.
+    """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode("html", "UTF-8").alias("payload"))
     id_type = rows.schema["page_id"].dataType.simpleString()
     seen = rows.mapInArrow(_digests, f"page_id {id_type}, url string, sha256 string, digest string, n_bytes bigint")
     firsts = seen.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
-    (seen.join(firsts, "sha256").withColumn("least", F.lit(least_bytes).cast("bigint"))
+    (seen.join(firsts, "sha256").withColumn("least", F.lit(least_bytes).cast("bigint")).withColumn("date", F.lit(date))
      .mapInArrow(_headers, f"page_id {id_type}, header binary, sha256 string").write.parquet(f"{folder}/headers"))
     (rows.select("payload").mapInArrow(_packed, "sha256 string, packed binary")
      .groupBy("sha256").agg(F.first("packed").alias("packed")).write.parquet(f"{folder}/payloads"))
@@ -109,9 +119,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_header(header: bytes) -> dict[str, str]:
-    """Field values by lower-cased name."""
-    fields = {}
-    for line in header.decode().split("\r\n")[1:]:
+    """Values of the WARC fields by lower-cased name; of the HTTP head, the payload's length as ``payload-length``."""
+    named, _, http = header.partition(END)
+    fields = {"payload-length": http.decode().rsplit(" ", 1)[-1], "http-length": str(len(http) + len(END))}
+    for line in named.decode().split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.lower()] = value.strip()
     return fields
@@ -127,7 +138,8 @@ def record_fields(records: DataFrame) -> DataFrame:
             for header, payload in zip(batch.column("header").to_pylist(), _payload_of(batch)):
                 fields = parse_header(header)
                 digest = payload_digest(payload)
-                if fields["warc-payload-digest"] != f"sha1:{digest}" or int(fields["content-length"]) != len(payload):
+                block = int(fields["http-length"]) + (0 if fields["warc-type"] == "revisit" else len(payload))
+                if (fields["warc-payload-digest"], fields["payload-length"], fields["content-length"]) != (f"sha1:{digest}", str(len(payload)), str(block)):
                     raise ValueError(f"record {fields['warc-record-id']} does not match its payload")
                 to = fields.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
                 sizes.append(len(payload))
@@ -143,6 +155,8 @@ def record_fields(records: DataFrame) -> DataFrame:
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """page_id and the whole record: header, blank line, payload and the two line breaks that end it."""
+    """page_id and the whole record: headers, blank line, payload (none in a revisit) and the two line breaks that end it."""
     end = F.lit(END)
-    return records.select("page_id", F.concat("header", end, "payload", end).alias("record"))
+    again = F.startswith(F.col("header"), F.lit(b"WARC/1.1\r\nWARC-Type: revisit"))
+    payload = F.when(again, F.lit(b"")).otherwise(F.col("payload"))
+    return records.select("page_id", F.concat("header", end, payload, end).alias("record"))
