@@ -217,30 +217,29 @@ def nearest_right_match(
     ``spans(doc_id, seq, text, x, y)``.  An answer is to the right of its
     number, less than ``dx`` away, in the same line within ``dy``; a clearly
     closer line wins, else the closer x.  Columns are told apart by the places
-    of the number 1.  Numbers above ``max_number`` are left out if the template gives one.  Numbers meet only the answers in their own and the
-    adjoining cells of a ``dx`` × ``dy`` grid.
+    of the number 1.  Numbers above ``max_number`` are left out if the template gives one.  Numbers meet only the answers in the cells of a
+    2 ``dx`` × 4 ``dy`` grid that their surroundings touch.  Both joins are hinted: spans that are exploded from a small table look small to
+    the planner, and would be broadcast.
     """
     text = F.trim("text")
     number = F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
     asked_for = F.col("q") >= 1 if max_number is None else F.col("q").between(1, max_number)
     letter = F.when(text.rlike("^[A-E]$") | (text.rlike("^[A-E]") & text.contains(",")), F.substring(text, 1, 1))
-    grid = lambda c, step: F.floor(F.col(c) / step)
+    wide, high = 2 * dx, 4 * dy
+    cell = lambda c, step: F.floor(c / step).cast("bigint")
     # The same text at the same place counts once.
     numbers = spans.select("doc_id", "seq", "x", "y", number.alias("q")).filter(asked_for).groupBy("doc_id", "q", "x", "y").agg(F.min("seq").alias("seq"))
     answers = spans.select("doc_id", "seq", "x", "y", letter.alias("letter")).filter(
         F.col("letter").isNotNull()
     ).groupBy("doc_id", "letter", "x", "y").agg(F.min("seq").alias("a_seq")).select(
         "doc_id", "a_seq", F.col("x").alias("ax"), F.col("y").alias("ay"), "letter",
-        grid("x", dx).alias("_gx"), grid("y", dy).alias("_gy"),
-    )
-    near = F.array(*[
-        F.struct((grid("x", dx) + i).alias("gx"), (grid("y", dy) + j).alias("gy")) for i in (0, 1) for j in (-1, 0, 1)
-    ])
-    asked = numbers.withColumn("_n", F.explode(near)).select(
-        "doc_id", "seq", "q", "x", "y", F.col("_n.gx").alias("_gx"), F.col("_n.gy").alias("_gy")
+        cell(F.col("x"), wide).alias("_gx"), cell(F.col("y"), high).alias("_gy"),
     )
+    x, y = F.col("x"), F.col("y")
+    asked = numbers.withColumn("_gx", F.explode(F.sequence(cell(x, wide), cell(x + dx, wide)))).withColumn(
+        "_gy", F.explode(F.sequence(cell(y - dy, high), cell(y + dy, high))))
     off, dist = F.abs(F.col("ay") - F.col("y")), F.col("ax") - F.col("x")
-    pairs = asked.join(answers, ["doc_id", "_gx", "_gy"]).filter((off < dy) & (dist > 0) & (dist < dx))
+    pairs = asked.join(answers.hint("merge"), ["doc_id", "_gx", "_gy"]).filter((off < dy) & (dist > 0) & (dist < dx))
     start = F.struct(F.lit(9999.0).alias("off"), F.lit(9999.0).alias("dist"), F.lit(None).cast("string").alias("letter"))
 
     def better(acc, c):
@@ -263,7 +262,7 @@ def nearest_right_match(
     middles = F.zip_with(
         F.slice("_ones", F.lit(1), F.size("_ones") - 1), F.slice("_ones", F.lit(2), F.size("_ones")), lambda a, b: (a + b) / 2
     )
-    placed = best.join(ones, "doc_id").withColumn(
+    placed = best.join(ones.hint("merge"), "doc_id").withColumn(
         "column", F.size(F.filter(middles, lambda m: m <= F.col("x"))) + 1
     )
     return placed.groupBy("doc_id", "column", "q").agg(F.min_by("letter", "seq").alias("letter"))
