@@ -412,7 +412,7 @@ def page_passage(page: Markup) -> Column:
 def passage_attach(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """Put the reading passage of a page before each of its questions."""
     found = with_markup(pages.select("page_id", "html")).select("page_id", on_markup(page_passage).alias("_passage"))
-    joined = questions.join(found, "page_id", "left")
+    joined = questions.join(found.hint("merge"), "page_id", "left")  # texts made from narrow rows look small
     whole = F.concat(
         F.lit("[Reading Passage]\n"), F.col("_passage"), F.lit("\n\n[Question]\n"), F.col("content")
     )

@@ -163,7 +163,7 @@ def html_questions(t):
 def site_page(t, *parts):
     """One page per part; parts are column names or '=literals'."""
     pieces = [F.lit(p[1:]) if p.startswith("=") else F.col(p).cast("string") for p in parts]
-    return t.part.select(F.col("p_partkey").alias("page_id"), F.lit("https://site/list").alias("url"), F.concat(*pieces).alias("html"))
+    return t.spread("part").select(F.col("p_partkey").alias("page_id"), F.lit("https://site/list").alias("url"), F.concat(*pieces).alias("html"))
 
 
 def listed_questions(rows):
@@ -233,7 +233,7 @@ class _with_columns:
     """The part table with further columns."""
 
     def __init__(self, t, columns):
-        self.part = t.part.select("*", *columns)
+        self.spread = lambda name: t.spread(name).select("*", *columns)
 
 
 @query("html_questions_header_list", """
@@ -250,7 +250,7 @@ def html_questions_header_list(t):
 
 def exam_page(t):
     """Parts written as a page of numbered questions."""
-    return t.part.select(
+    return t.spread("part").select(
         F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://site/de-"), "p_partkey").alias("url"),
         F.concat(
             F.lit("Bài tập\nCâu 1: Which brand makes the "), "p_name", F.lit("?\nA. "), "p_brand", F.lit("\nB. "), "p_type",
@@ -270,7 +270,7 @@ def cau_segments(t):
 SELECT p_partkey AS page_id, 1 AS number, 'Which brand makes the ' || p_name || '?' AS content,
   p_brand || '/' || p_type || '/none' AS options, chr(65 + (p_size % 4)::INT) AS answer FROM part""")
 def cau_segments_inline(t):
-    rows = t.part.select(
+    rows = t.spread("part").select(
         F.col("p_partkey").alias("page_id"),
         F.concat(F.lit("Câu 1: Which brand makes the "), "p_name", F.lit("? A. "), "p_brand", F.lit(" B. "), "p_type",
                  F.lit(" C. none Đáp án: "), F.char((F.col("p_size") % 4 + 97).cast("int"))).alias("text"))
@@ -297,7 +297,7 @@ def passage_nested(t):
     rows = site_page(
         t, '=<div class="page"><div>Read the passage below</div><div>Read the passage about ', "p_name", "=<div>an advert <div>inside</div></div>" + " and the people who make it" * 4,
         "=<br> at ", "p_type", "=<span>not this</span></div></div>")
-    return ops.passage_attach(rows, t.part.select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("content")))
+    return ops.passage_attach(rows, t.spread("part").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("content")))
 
 
 @query("passage_attach", """
@@ -322,7 +322,7 @@ def embedded_answers(t):
         F.lit('<script>wpProQuizInitList.push({ quiz: "#1", json: {"'), "p_partkey",
         F.lit('": {"type": "single", "correct": ['), ones, F.lit(']}, "9'), "p_partkey",
         F.lit('": {"correct": [0,1,0,0]}}, more: 1 });</script>'))
-    return ops.embedded_answers(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return ops.embedded_answers(t.spread("part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query("document_links", """
@@ -333,7 +333,7 @@ def document_links(t):
         F.lit('<a href="/files/'), "p_partkey", F.lit('.docx">file</a> <a href="/files/'), "p_partkey",
         F.lit('.docx">again</a><a href="x.pdf">no</a><iframe src="https://view.officeapps.live.com/op/view.aspx?src=https%3A%2F%2Fcdn%2F'),
         "p_partkey", F.lit('.docx&wd=1"></iframe>'))
-    return ops.document_links(t.part.select(F.col("p_partkey").alias("page_id"), F.lit("https://site/list").alias("url"), html.alias("html")))
+    return ops.document_links(t.spread("part").select(F.col("p_partkey").alias("page_id"), F.lit("https://site/list").alias("url"), html.alias("html")))
 
 
 @query("link_frontier", """
@@ -362,7 +362,7 @@ def image_flags(t):
     html = F.concat(
         F.lit('<img src="/img/icon.png"><img src="https://latex.codecogs.com/gif.latex?x"><img src="//cdn/'), "p_partkey",
         F.lit('.png" width="'), (F.col("p_size") * 4).cast("string"), F.lit('" height="60px"><img alt="plain" src="pic/'), "p_partkey", F.lit('.jpg">'))
-    rows = t.part.select(
+    rows = t.spread("part").select(
         F.col("p_partkey").alias("page_id"), F.lit("https://site/x/list").alias("url"), html.alias("html"),
         F.when(F.col("p_size") > 25, "Xem HÌNH VẼ").otherwise("no picture").alias("question"))
     return ops.image_flags(rows)

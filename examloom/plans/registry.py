@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+#: Rows of a narrow table that one task turns into texts or pages; fewer are not worth a shuffle.
+ROWS_PER_TASK = 5_000
 
 
 class Tables:
@@ -23,6 +25,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A narrow table whose rows are made into texts or pages: dealt to tasks by key, its first column.
+
+        A million rows of some bytes lie in one file of one row group, and so in one task, but each makes work of
+        milliseconds.  Only the narrow rows travel.
+        """
+        table = getattr(self, name)
+        tasks = -(-table.count() // ROWS_PER_TASK)
+        return table.repartition(tasks, table.columns[0]) if tasks > 1 else table
+
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
 
