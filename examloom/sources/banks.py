@@ -273,14 +273,19 @@ def write_qti_xml(bank: DataFrame, path: str, limit: int | None = None, **filter
 
 
 def write_question_text(bank: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Questions with formulas as plain text: one per line, or CSV with numbers from 1 by ``id``."""
-    plain = math_text(bank.select("id", "content"), "content").select("id", F.col("plain_text").alias("question"))
+    """Questions with formulas as plain text: one per line, or CSV with numbers from 1 by ``id``.
+
+    Rows are put in order first, so that taking samples for the ranges does not work formulas out.
+    """
+    rows = bank.select("id", "content")
+    ordered = _numbered(rows, ["id"]).select(F.col("n").alias("id"), "content") if fmt == "csv" else rows.orderBy("id")
+    plain = math_text(ordered, "content").select("id", F.col("plain_text").alias("question"))
     if fmt == "csv":
-        _numbered(plain, ["id"]).select(F.col("n").alias("id"), "question").write.option("header", True).option(
+        plain.write.option("header", True).option(
             "escape", '"'
         ).option("quoteAll", False).csv(path)
     else:
-        plain.orderBy("id").select("question").write.text(path)
+        plain.select("question").write.text(path)
 
 
 def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
