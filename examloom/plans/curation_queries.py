@@ -31,7 +31,7 @@ def normalize_numbering(t):
     kind = F.col("p_partkey") % 4
     text = (F.when(kind == 0, F.concat(F.lit("CÂU HỎI 12: 3) "), "p_name")).when(kind == 1, F.concat(F.lit("question 7. "), "p_name"))
             .when(kind == 2, F.concat(F.lit(" 15- "), "p_name")).otherwise(F.concat(F.lit(" "), "p_name", F.lit("\n"))))
-    return ops.normalize_keys(t.part.select(F.col("p_partkey").alias("id"), text.alias("x")), "x").select("id", "stripped", "question_key")
+    return ops.normalize_keys(t.spread("part").select(F.col("p_partkey").alias("id"), text.alias("x")), "x").select("id", "stripped", "question_key")
 
 
 @query("language_flags", r"""
@@ -81,7 +81,7 @@ SELECT doc_id, line_no::INT AS line_no, CASE WHEN line_no = 1 THEN substr(text,
 FROM l WHERE line_no <> 2""")
 def bilingual_line_merge(t):
     lines = F.array(F.concat(F.lit("1. What is "), "p_name"), F.concat(F.lit("Cái gì là "), "p_brand"), F.lit("2. plain"), F.concat(F.lit("no "), "p_size"))
-    rows = t.part.select(F.col("p_partkey").alias("doc_id"), F.posexplode(lines).alias("_i", "text"))
+    rows = t.spread("part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(lines).alias("_i", "text"))
     return ops.bilingual_line_merge(rows.select("doc_id", (F.col("_i") + 1).alias("line_no"), "text"))
 
 
@@ -159,8 +159,8 @@ def number_sort(t):
 SELECT p_partkey AS doc_id, 1::BIGINT AS number, 'x/' || p_brand AS options FROM part UNION ALL SELECT p_partkey, 3, 'y/' || p_type FROM part
 UNION ALL SELECT p_partkey, 5, NULL FROM part UNION ALL SELECT p_partkey, 9000000000 + p_partkey, NULL FROM part""")
 def missing_numbers(t):
-    passages = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("a (5) of (1) "), "p_name", F.lit(" (2) and (3) or (1) ("), (F.lit(9000000000) + F.col("p_partkey")).cast("string"), F.lit(")")).alias("text"))
-    rows = t.part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(
+    passages = t.spread("part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("a (5) of (1) "), "p_name", F.lit(" (2) and (3) or (1) ("), (F.lit(9000000000) + F.col("p_partkey")).cast("string"), F.lit(")")).alias("text"))
+    rows = t.spread("part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(
         F.struct(F.lit(9).alias("seq"), F.lit(2).alias("number"), F.array(F.lit("z")).alias("options")),
         F.struct(F.lit(12).alias("seq"), F.lit(None).cast("int").alias("number"), F.array(F.lit("y"), F.col("p_type")).alias("options")),
         F.struct(F.lit(4).alias("seq"), F.lit(None).cast("int").alias("number"), F.array(F.lit("x"), F.col("p_brand")).alias("options")),
@@ -244,7 +244,7 @@ x AS (SELECT *, md5('4' || id || '|' || variant || '|0')[1] < '8' AS t1, md5('4'
 SELECT id, variant::INT AS variant, CASE WHEN t1 THEN 'xác định' ELSE 'tìm' END || ' ' || CASE WHEN t2 THEN 'con số' ELSE 'giá trị' END || ' viên bi của ' || p_name ||
   ' với ' || greatest(1, CASE WHEN n1 THEN p_size - d ELSE p_size + d END) || ' và 0 mẫu?' AS text FROM x""")
 def rule_variants(t):
-    rows = t.part.select(F.col("p_partkey").alias("id"), F.concat(
+    rows = t.spread("part").select(F.col("p_partkey").alias("id"), F.concat(
         F.lit("Câu 5: tính số quả táo của "), "p_name", F.lit(" với "), "p_size", F.lit(" và 0 ...?")).alias("text"))
     return ops.rule_variants(rows, 2, topic="toan_hoc", keywords=["mẫu"], seed=4)
 
@@ -256,7 +256,7 @@ def rule_variants_forced(t):
     kind = F.col("p_partkey") % 3
     text = (F.when(kind == 0, F.col("p_name")).when(kind == 1, F.concat(F.lit("ệệệ "), "p_brand"))
             .otherwise(F.concat(F.lit("Pick:"), "p_name", F.lit("\nA. "), "p_brand", F.lit("\nnote\nB) x"))))
-    return ops.rule_variants(t.part.select(F.col("p_partkey").alias("id"), text.alias("text")), 1, paraphrase=False, change_numbers=False, change_context=False)
+    return ops.rule_variants(t.spread("part").select(F.col("p_partkey").alias("id"), text.alias("text")), 1, paraphrase=False, change_numbers=False, change_context=False)
 
 
 @query("math_text", """
@@ -266,7 +266,7 @@ def math_text(t):
     size = F.col("p_size") % 3
     text = (F.when(size == 0, F.concat(F.lit("plain "), "p_name")).when(size == 1, F.concat(F.lit("Solve $x^2+\\frac{a}{b} \\leq \\pi$ for "), "p_name"))
             .otherwise(F.concat(F.lit("Let $y_{12}$ and $$\\sqrt{2n} \\in \\mathbb A$$ of "), "p_name", F.lit("."))))
-    return ops.math_text(t.part.select(F.col("p_partkey").alias("id"), text.alias("x")), "x").drop("x")
+    return ops.math_text(t.spread("part").select(F.col("p_partkey").alias("id"), text.alias("x")), "x").drop("x")
 
 
 @query("shape_tags", """
@@ -278,7 +278,7 @@ def shape_tags(t):
     text = (F.when(size == 0, F.concat(F.lit("Cho TAM GIÁC ABC, cạnh "), "p_size", F.lit(",5 cm và 3m")))
             .when(size == 1, F.concat(F.lit("rectangle of "), "p_size", F.lit(" by 1, 2, 3, 4")))
             .when(size == 2, F.concat(F.lit("tâm O, r = "), "p_size")).otherwise("none 7"))
-    return joined(ops.shape_tags(t.part.select(F.col("p_partkey").alias("id"), text.alias("x")), "x").drop("x"), "measurements")
+    return joined(ops.shape_tags(t.spread("part").select(F.col("p_partkey").alias("id"), text.alias("x")), "x").drop("x"), "measurements")
 
 
 # ----------------------------------------------------------------- curriculum
@@ -441,5 +441,5 @@ def answer_key_unpivot(t):
     single = F.array(row(0, "No", "Ecolier", "Pre-Ecolier"), *[row(i, str(i), "E" if i > 1 else "A", letter(i)) for i in (1, 2, 3)], row(4, "x", "A", "B"))
     pairs = F.array(row(0, "Ecolier", "Ecolier", "pre ecolier", "Pre_Ecolier"), *[row(i, str(i), "A", f" {i} ", letter(i)) for i in (1, 2, 3)])
     plain = F.array(row(0, "Câu", "Đáp án"), *[row(i, str(i), letter(i)) for i in (1, 2, 3)], row(4, "9", "F"))
-    tables = t.part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.when(kind == 0, single).when(kind == 1, pairs).otherwise(plain)).alias("r"))
+    tables = t.spread("part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.when(kind == 0, single).when(kind == 1, pairs).otherwise(plain)).alias("r"))
     return sheets.answer_key_unpivot(tables.select("doc_id", "r.*"), "Pre-Ecolier")
