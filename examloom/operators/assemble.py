@@ -210,9 +210,9 @@ def exam_variants(
         "variant_code", F.explode(F.array(*[F.lit(c) for c in codes]))
     )
     rows = rows.withColumn(
-        "_luck",
-        seeded(seed, F.col("exam_id"), F.lit("|"), F.col("variant_code"), F.lit("|"),
-               F.col("question_id"), F.lit("|"), F.col("order")),
+        "_luck",  # bytes sort as their digits do, and are half as long
+        F.unhex(seeded(seed, F.col("exam_id"), F.lit("|"), F.col("variant_code"), F.lit("|"),
+                       F.col("question_id"), F.lit("|"), F.col("order"))),
     )
     placed = split_row_number(
         rows, ["exam_id", "variant_code"], ["_luck", "question_id", "order"], "position"

@@ -42,3 +42,17 @@ def test_formulas_are_worked_out_once_after_the_order(spark, tmp_path, monkeypat
     assert "Sort [id" in seen[0] if fmt == "txt" else "Join" in seen[0]
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(lines) == (["x² 0", "x² 1", "x² 2", "x² 3", "x² 4"] if fmt == "txt" else ["1,x² 4", "2,x² 3", "3,x² 2", "4,x² 1", "5,x² 0", "id,question"])
+
+
+def test_the_order_of_variants_travels_as_bytes(spark):
+    """The digest that orders an exam is 16 bytes in the range shuffle, not 32 digits."""
+    from examloom.operators import assemble
+
+    seen = []
+    real = assemble.split_row_number
+    assemble.split_row_number = lambda df, *rest: seen.append(dict(df.dtypes)["_luck"]) or real(df, *rest)
+    try:
+        QUERIES["exam_variants"](spark, FOLDER)
+    finally:
+        assemble.split_row_number = real
+    assert seen == ["binary"]
