@@ -25,3 +25,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, next to the checkpoints of the cluster."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a scratch folder and read again: worked out once, and of known size to the planner."""
+    place = scratch_folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examloom.functions.ranking import top_n
+from examloom.functions.storage import stored
 from examloom.functions.text import let, question_key, strip
 from examloom.functions.urls import file_name, host
 
@@ -164,39 +165,56 @@ def _subject_from_table(pages: DataFrame, slugs: DataFrame, mode: str, title: st
     return found.withColumn("subject", F.coalesce("_subject", F.lit(missing))).drop("_subject", *[f"_by_{n}" for n in names])
 
 
-#: Length of the stretches that texts and slugs meet by; a shorter slug is met as a whole.
-SLUG_STRETCH = 4
+#: Lengths of the stretches that texts and slugs meet by, the longest that fits; a shorter slug is met as a whole.
+SLUG_STRETCHES = (8, 4)
+
+
+def _stretches(text: Column, n: int) -> Column:
+    """Hashes of the distinct stretches of ``n`` characters; none in a shorter text."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(n))))))
+
+
+def _filed(table: DataFrame, n: int, below: int | None) -> DataFrame:
+    """Slugs of ``n`` characters and more, but fewer than ``below``, with the hash of the rarest of their stretches."""
+    length = F.length("slug")
+    mine = table.where((length >= n) & (length < below) if below else length >= n)
+    cut = mine.select("slug", "rank", F.explode(_stretches(F.col("slug"), n)).alias("key"))
+    often = cut.groupBy("key").agg(F.count("*").alias("n"))
+    return cut.join(often, "key").groupBy("slug", "rank").agg(F.min(F.struct("n", "key")).alias("k")).select("slug", "rank", "k.key")
+
+
+def slug_candidates(named: DataFrame, table: DataFrame) -> DataFrame:
+    """id, slug and rank for every text (``id``, ``text``) that has the stretch under which the slug is filed."""
+    lengths = sorted(SLUG_STRETCHES)
+    classes = [(tuple(range(1, lengths[0])), None, table.where(F.length("slug") < lengths[0]).select("slug", "rank", F.xxhash64("slug").alias("key")))]
+    classes += [((n,), n, _filed(table, n, below)) for n, below in zip(lengths, [*lengths[1:], None])]
+    out = None
+    for sizes, name, filed in classes:
+        own = F.flatten(F.array_compact(F.array(*[_stretches(F.col("text"), n) for n in sizes])))
+        met = named.select("id", F.explode(own).alias("key")).join(stored(filed, f"slugs-{name or 'short'}"), "key").select("id", "slug", "rank")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def slug_matches(texts: DataFrame, slugs: DataFrame, mode: str = "longest") -> DataFrame:
     """text and subject for every text (column ``text``, distinct) that holds a slug of the table.
 
-    A contains join without a nested loop: every slug is filed under the rarest of its stretches of
-    ``SLUG_STRETCH`` characters, counted over the slugs, and a text looks up each of its own stretches once.  Only
-    digests of texts travel with stretches; whoever meets is compared whole.  The longest slug wins, then the
-    smallest; with "first" the smallest ``rank``.  Empty slugs match nothing; of a slug given twice the row with
-    the smallest rank, else the smallest subject, counts.
+    A contains join without a nested loop: every slug is filed under the rarest of its stretches, counted over
+    the slugs, and a text looks up each of its own stretches once.  Stretches grow with the slug, as a table of many
+    long slugs would crowd the few short ones.  Only hashes of texts and stretches travel; texts that share one
+    are compared whole, so that it costs a comparison and no more.  Tables are stored before they are joined:
+    Spark then knows their sizes.  The longest slug wins, then the smallest; with "first" the smallest ``rank``.
+    Empty slugs match nothing; of a slug given twice the row with the smallest rank, else the smallest subject, counts.
     """
     rank = F.col("rank").cast("bigint") if "rank" in slugs.columns else F.lit(0).cast("bigint")
-    table = slugs.where("slug <> ''").select("slug", "subject", rank.alias("rank")).groupBy("slug").agg(
-        F.min(F.struct("rank", "subject")).alias("s")).select("slug", "s.subject", "s.rank")
-
-    def stretches(text, n):
-        return F.when(F.length(text) >= n, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
-
-    cut = table.select("slug", F.explode(stretches(F.col("slug"), SLUG_STRETCH)).alias("key"))
-    often = cut.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = cut.join(often, "key").groupBy("slug").agg(F.min(F.struct("n", "key")).alias("k")).select("slug", "k.key")
-    short = table.where(F.length("slug") < SLUG_STRETCH).select("slug", F.col("slug").alias("key"))
-    filed = rarest.unionByName(short)
-
-    named = texts.select("text", F.sha2("text", 256).alias("id"))
-    own = F.flatten(F.filter(F.array(*[stretches(F.col("text"), n) for n in range(1, SLUG_STRETCH + 1)]), lambda x: x.isNotNull()))
-    met = named.select("id", F.explode(own).alias("key")).join(filed, "key").select("id", "slug")
-    held = met.join(named, "id").where(F.col("text").contains(F.col("slug"))).join(table, "slug")
+    table = stored(slugs.where("slug <> ''").select("slug", "subject", rank.alias("rank")).groupBy("slug").agg(
+        F.min(F.struct("rank", "subject")).alias("s")).select("slug", "s.subject", "s.rank"), "slugs")
+    named = stored(texts.select(F.xxhash64("text").alias("id"), "text"), "slug-texts")
+    held = slug_candidates(named, table).join(named, "id").where(F.col("text").contains(F.col("slug")))
     order = F.struct("rank", "slug") if mode == "first" else F.struct((-F.length("slug")).alias("n"), "slug")
-    return held.groupBy("text").agg(F.min_by("subject", order).alias("subject"))
+    best = held.groupBy("id", "text").agg(F.min_by("slug", order).alias("slug"))
+    return best.join(table, "slug").select("text", "subject")
 
 
 # Sites with a layout of their own.

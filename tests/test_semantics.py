@@ -237,6 +237,32 @@ def test_slugs_from_a_table_equal_the_map(spark):
     assert [r[0] for r in empty] == ["general"]
 
 
+def test_many_long_slugs_do_not_crowd_short_stretches(spark, monkeypatch):
+    """Who meets grows with what matches: 40,000 slugs of eight characters share few stretches of four."""
+    numbers = spark.range(40_000).select(F.format_string("n/%06d", F.col("id") * 23).alias("slug"))
+    table = numbers.select("slug", F.concat(F.lit("s"), "slug").alias("subject"), F.lit(0).cast("bigint").alias("rank"))
+    texts = spark.range(0, 40_000, 400).select(F.format_string("http://a.example.com/en/%06d?x=1", F.col("id") * 23).alias("text"))
+    named = texts.select(F.xxhash64("text").alias("id"), "text")
+    assert ingest.slug_candidates(named, table).count() == 100
+    got = ingest.slug_matches(texts, table.drop("rank")).collect()
+    assert sorted(r["subject"] for r in got) == [f"sn/{n * 23:06d}" for n in range(0, 40_000, 400)]
+    monkeypatch.setattr(ingest, "SLUG_STRETCHES", (4,))
+    assert ingest.slug_candidates(named, table).count() > 200
+    assert sorted(map(tuple, ingest.slug_matches(texts, table.drop("rank")).collect())) == sorted(map(tuple, got))
+
+
+def test_slugs_of_every_length_equal_a_nested_loop(spark):
+    text = "aab-übcdefghijklmnopq/rst"
+    cuts = sorted({text[i:i + n] for n in range(1, 21) for i in range(0, len(text) - n + 1, 3)} | {"zzz", "rst/", "übcdefgh!"})
+    slugs = [(c, f"s{c}", len(c) * 7 % 5) for c in cuts]
+    texts = ["", "a", "ab", "üb", text, text[:9], text[4:17], "x" + text[6:14] + "y", "defg", "zzzz"]
+    table = spark.createDataFrame(slugs, "slug string, subject string, rank int")
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for mode, order in (("longest", lambda r: (-len(r[0]), r[0])), ("first", lambda r: (r[2], r[0]))):
+        want = {t: min((r for r in slugs if r[0] in t), key=order)[1] for t in texts if any(r[0] in t for r in slugs)}
+        assert {r["text"]: r["subject"] for r in ingest.slug_matches(df, table, mode).collect()} == want
+
+
 def test_overlapping_cells_equal_a_walk_in_turn(spark):
     import hashlib
 
