@@ -139,55 +139,60 @@ def near_dup_merge(
     and without diagram labels, both longer than ``min_len``.  A row takes part
     once, in order.
 
-    Finding candidates is a window over blocks of ``block_rows`` rows that share
-    their first rows with the block before, so no document needs to fit one task.
+    Finding candidates is a window over each document.  A document of more than ``block_rows`` rows is cut in blocks
+    that share their first rows with the block before, so none needs to fit one task.
     Who merges with whom depends on what earlier rows took, but only on the
     last ``lookahead`` rows: that is a state of ``lookahead`` bits.  For a document longer
     than a block, every block first reports what it makes of each state; the
     reports are chained, and then each block runs once from its true state.
     Only rows with a candidate reach this step.
+
+    Texts travel once to be compared, without their neighbours; who takes whom is told by places, and what
+    is wanted of a taken row comes to its taker from there.  Rows at one place of a document go by a hash.
     """
-    rows = questions.withColumn("question", strip(F.col("question"))).withColumn(
-        "_clean", F.regexp_replace("question", _LABEL_NOISE, "")
-    )
-    indexed = split_row_number(rows, ["doc_id"], ["pos"], "_idx").withColumn("_idx", F.col("_idx") - 1)
-    own = F.floor(F.col("_idx") / block_rows)
-    shared = (F.col("_idx") % block_rows < lookahead) & (own > 0)
-    spread = indexed.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own)))
-    )
-    w = Window.partitionBy("doc_id", "_block").orderBy("_idx")
-    text, clean = F.col("question"), F.col("_clean")
-    row = F.struct(text.alias("q"), clean.alias("c"), F.col("options").alias("o"))
-    ahead = spread.select("*", *[F.lead(row, d).over(w).alias(f"_n{d}") for d in range(1, lookahead + 1)])
-    ahead = ahead.filter(F.col("_block") == F.col("_own"))
-    mask = F.lit(0)
-    for d in range(1, lookahead + 1):
-        q2, c2 = F.col(f"_n{d}.q"), F.col(f"_n{d}.c")
-        same = (F.length(clean) > min_len) & (F.length(c2) > min_len) & (
-            c2.contains(clean) | clean.contains(c2) | q2.contains(text) | text.contains(q2)
-        )
-        mask = mask + F.when(F.coalesce(same, F.lit(False)), 1 << (d - 1)).otherwise(0)
-    marked = ahead.withColumn("_mask", mask)
+    rows = questions.select(
+        "doc_id", "pos", strip(F.col("question")).alias("question"), "options", F.xxhash64("question", "options").alias("_tie"))
+    # At most one document for every ``block_rows`` rows.
+    long_docs = checkpointed(rows.groupBy("doc_id").count().filter(F.col("count") > block_rows).select(F.col("doc_id").alias("_long")))
+    several = not long_docs.isEmpty()
+    is_long = F.col("doc_id").eqNullSafe(F.col("_long"))
+    short = rows.join(F.broadcast(long_docs), is_long, "left_anti") if several else rows
+    along = Window.partitionBy("doc_id").orderBy("pos", "_tie")
+    numbered = short.withColumn("_idx", F.row_number().over(along).cast("long") - 1)
+    masks = _masks(short.withColumn("_block", F.lit(0).cast("long")), along, lookahead, min_len)
+    if several:
+        cut = split_row_number(rows.join(F.broadcast(long_docs), is_long, "left_semi"), ["doc_id"], ["pos", "_tie"], "_idx")
+        cut = cut.withColumn("_idx", F.col("_idx") - 1)
+        numbered = numbered.unionByName(cut)
+        own = F.floor(F.col("_idx") / block_rows)
+        shared = (F.col("_idx") % block_rows < lookahead) & (own > 0)
+        spread = cut.withColumn("_own", own).withColumn(
+            "_block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
+        inside = Window.partitionBy("doc_id", "_block").orderBy("pos", "_tie")
+        found = _masks(spread, inside, lookahead, min_len, "_idx", "_own").filter(F.col("_block") == F.col("_own"))
+        masks = masks.unionByName(found.drop("_own"))
 
     # Rows with a candidate, and the rows they may take.
     # They are few, and three steps read them, so they are stored once.
-    linked = checkpointed(marked.filter(F.col("_mask") > 0).select("doc_id", "_idx", "_mask", "_block"))
+    linked = checkpointed(masks.filter((F.col("_mask") > 0) & F.col("doc_id").isNotNull()))
     doc_type = questions.schema["doc_id"].dataType.simpleString()
     starts = _start_states(linked, lookahead, doc_type)
-    choices = (
+    takes = checkpointed(
         linked.join(starts, ["doc_id", "_block"], "left")
-        .groupBy("doc_id", "_block")
-        .applyInPandas(lambda pdf: _choose(pdf, lookahead), f"doc_id {doc_type}, _idx long, _take int")
+        .repartition("doc_id", "_block").sortWithinPartitions("doc_id", "_block", "_idx")
+        .mapInPandas(lambda batches: _choose(batches, lookahead), f"doc_id {doc_type}, _idx long, _take int")
     )
-    takes = choices.filter(F.col("_take") > 0).select("doc_id", "_idx", "_take")
-    gone = takes.select("doc_id", (F.col("_idx") + F.col("_take")).alias("_idx"))
-    joined = marked.join(takes, ["doc_id", "_idx"], "left").join(gone, ["doc_id", "_idx"], "left_anti")
-
-    other = F.element_at(F.array(*[F.col(f"_n{d}") for d in range(1, lookahead + 1)]), F.col("_take"))
-    noisy, other_noisy = clean != text, other["c"] != other["q"]
-    best = F.when(noisy & ~other_noisy, other["q"]).when(~noisy, text).otherwise(clean)
-    more = F.when(F.size("options") >= F.size(other["o"]), F.col("options")).otherwise(other["o"])
+    gone = takes.select("doc_id", (F.col("_idx") + F.col("_take")).alias("_idx"), F.col("_idx").alias("_by"))
+    given = numbered.join(gone, ["doc_id", "_idx"]).select(
+        "doc_id", F.col("_by").alias("_idx"), F.col("question").alias("_other"), F.col("options").alias("_theirs"))
+    joined = numbered.join(takes, ["doc_id", "_idx"], "left").join(gone, ["doc_id", "_idx"], "left_anti").join(
+        given, ["doc_id", "_idx"], "left")
+
+    text, other = F.col("question"), F.col("_other")
+    clean = _without_labels(text)
+    noisy, other_noisy = clean != text, _without_labels(other) != other
+    best = F.when(noisy & ~other_noisy, other).when(~noisy, text).otherwise(clean)
+    more = F.when(F.size("options") >= F.size("_theirs"), F.col("options")).otherwise(F.col("_theirs"))
     hit = F.col("_take").isNotNull()
     return joined.select(
         "doc_id", "pos",
@@ -197,6 +202,28 @@ def near_dup_merge(
     )
 
 
+def _without_labels(text: Column) -> Column:
+    return F.regexp_replace(text, _LABEL_NOISE, "")
+
+
+def _masks(rows: DataFrame, along, lookahead: int, min_len: int, *kept: str) -> DataFrame:
+    """Place, block and candidates of each row: bit d - 1 stands for the row d places further."""
+    # Plain columns, put together after the window: a text without labels is sent once.
+    marked = rows.withColumn("_clean", F.when(F.col("question").rlike(_LABEL_NOISE), _without_labels(F.col("question"))))
+    place = [] if "_idx" in kept else [(F.row_number().over(along).cast("long") - 1).alias("_idx")]
+    ahead = [F.lead(c, d).over(along).alias(f"{c}{d}") for d in range(1, lookahead + 1) for c in ("question", "_clean")]
+    near = marked.select("doc_id", "_block", *kept, *place, "question", "_clean", *ahead)
+    text, clean = F.col("question"), F.coalesce("_clean", "question")
+    mask = F.lit(0)
+    for d in range(1, lookahead + 1):
+        q2, c2 = F.col(f"question{d}"), F.coalesce(f"_clean{d}", f"question{d}")
+        same = (F.length(clean) > min_len) & (F.length(c2) > min_len) & (
+            c2.contains(clean) | clean.contains(c2) | q2.contains(text) | text.contains(q2)
+        )
+        mask = mask + F.when(F.coalesce(same, F.lit(False)), 1 << (d - 1)).otherwise(0)
+    return near.select("doc_id", "_idx", "_block", *[k for k in kept if k != "_idx"], mask.alias("_mask"))
+
+
 def _walk(idx, masks, state: int, last: int, lookahead: int):
     """Greedy choice along rows; ``state`` bit d says row ``last + d`` is taken."""
     takes = []
@@ -214,13 +241,20 @@ def _walk(idx, masks, state: int, last: int, lookahead: int):
     return takes, state, last
 
 
-def _choose(pdf: pd.DataFrame, lookahead: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("_idx")
-    first = int(pdf["_idx"].iloc[0])
-    state, last = pdf["_state"].iloc[0], pdf["_last"].iloc[0]
-    state, last = (0, first) if pd.isna(state) else (int(state), int(last))
-    takes, _, _ = _walk(pdf["_idx"].tolist(), pdf["_mask"].tolist(), state, last, lookahead)
-    return pd.DataFrame({"doc_id": pdf["doc_id"], "_idx": pdf["_idx"], "_take": takes}).astype({"_take": "int32"})
+def _choose(batches, lookahead: int):
+    """Who takes whom, for rows sorted by document, block and place; a block may go on in the next batch."""
+    key, state, last = None, 0, 0
+    for pdf in batches:
+        out = []
+        columns = [pdf[c].tolist() for c in ("doc_id", "_block", "_idx", "_mask", "_state", "_last")]
+        for doc, block, idx, mask, start, first in zip(*columns):
+            if (doc, block) != key:
+                key = (doc, block)
+                state, last = (0, idx) if pd.isna(start) else (int(start), int(first))
+            (take,), state, last = _walk([idx], [mask], state, last, lookahead)
+            if take:
+                out.append((doc, idx, take))
+        yield pd.DataFrame(out, columns=["doc_id", "_idx", "_take"])
 
 
 def _start_states(linked: DataFrame, lookahead: int, doc_type: str) -> DataFrame:

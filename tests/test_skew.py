@@ -154,6 +154,46 @@ def test_near_dup_merge_against_a_walk(spark):
         assert sorted(got) == sorted(want), block
 
 
+def test_near_dup_merge_sends_texts_once(spark):
+    """To find candidates a text travels once and alone; the query itself, which wants no text, sends none."""
+    from examloom.plans import QUERIES
+
+    seen = []
+    real = curation.checkpointed
+    curation.checkpointed = lambda df: seen.append(df) or real(df)
+    try:
+        last = QUERIES["near_dup_merge"](spark, FOLDER)
+    finally:
+        curation.checkpointed = real
+
+    def sent(df):
+        """Columns of strings and structs below every exchange of the plan."""
+        out, todo = [], [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.initialPlan())
+            if node.nodeName() == "Exchange":
+                out.append([f"{a.name()}:{a.dataType().catalogString()}" for a in map(node.output().apply, range(node.output().size()))])
+            todo += map(node.children().apply, range(node.children().size()))
+        return [[c for c in cols if c.endswith(":string") or ":struct" in c] for cols in out]
+
+    assert all(not cols for cols in sent(last))
+    masks = [df for df in seen if "_mask" in df.columns]
+    assert len(masks) == 1 and [c for c in sent(masks[0]) if c] == [["question:string", "_clean:string"]]
+
+
+def test_near_dup_merge_places_that_tie_and_null_documents(spark):
+    """Rows at one place are ordered by what they hold, each once; rows without a document stay as they are."""
+    rows = [(1, 0, "what is the capital", ["a"]), (1, 0, "an unlike question", ["b"]), (1, 1, "what is the capital of peru", ["c", "d"]),
+            (None, 0, "what is the capital", ["a"]), (None, 1, "what is the capital of peru", ["c"])]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, question string, options array<string>")
+    for block in (1, 50_000):
+        got = sorted((str(r["doc_id"]), r["question"], len(r["options"]), r["merged"]) for r in curation.near_dup_merge(df, block_rows=block).collect())
+        assert got == [("1", "an unlike question", 1, False), ("1", "what is the capital", 2, True),
+                       ("None", "what is the capital", 1, False), ("None", "what is the capital of peru", 1, False)]
+
+
 def test_bilingual_merge_split(spark):
     t = Tables(spark, FOLDER)
     from examloom.plans.curation_queries import merge_rows
