@@ -17,30 +17,37 @@ _FIELDS = (
     "topic:string,grade:string,question_type:string,type:string,difficulty:string,tags:array<string>"
 )
 _COLUMNS = ["content", "options", "answer", "explanation", "subject", "topic", "grade", "question_type", "difficulty", "tags"]
+# Spark takes a record with a string of more than 20 million characters for a broken one unless told otherwise.
+JSON_OPTIONS = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "_broken"}
 
 
-def read_bank_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_bank_json(spark: SparkSession, path: str, multiline: bool = True, whole: bool = False) -> DataFrame:
     """Questions of JSON files: a bare list, or an object with a ``questions`` list.
 
     Files are read in ranges, so one huge list is shared between tasks.  ``multiline=False`` reads one question
-    per line, which needs no shuffle.
+    per line, which needs no shuffle.  Questions without content are left out and a missing subject is "unknown".
+    ``whole=True`` reads an export back with all its rows: null and empty contents and null subjects stay as they
+    are, and contents lose only blanks, tabs and line breaks at their ends.  A record that cannot be read gives no row.
     """
     names = [f.split(":")[0] for f in _FIELDS.replace("array<string>", "array").split(",")]
     if multiline:
-        rows = list_records(spark, path).select(F.from_json("record", _FIELDS.replace(":", " ")).alias("q")).select("q.*")
+        schema = _FIELDS.replace(":", " ") + ", _broken string"
+        rows = list_records(spark, path).select(F.from_json("record", schema, JSON_OPTIONS).alias("q")).select("q.*")
     else:
         schema = ", ".join(
             f"{n} {'array<string>' if n in ('options', 'tags') else 'string'}" for n in names
-        ) + f", questions array<struct<{_FIELDS}>>"
-        raw = spark.read.schema(schema).json(path)
-        rows = raw.select(F.explode(F.coalesce("questions", F.array(F.struct(*names)))).alias("q")).select("q.*")
-    content = strip(F.coalesce("content", "question"))
-    out = rows.select(
+        ) + f", questions array<struct<{_FIELDS}>>, _broken string"
+        raw = spark.read.options(**JSON_OPTIONS).schema(schema).json(path)
+        rows = raw.select("_broken", F.explode(F.coalesce("questions", F.array(F.struct(*names)))).alias("q")).select("_broken", "q.*")
+    content = F.coalesce("content", "question")
+    content = F.btrim(content, F.lit(" \n\t\r")) if whole else strip(content)
+    kept = has_text(content) | F.col("_broken").isNull() if whole else has_text(content)
+    return rows.filter(kept).select(
         content.alias("content"),
         F.when(F.size("options") > 0, F.col("options")).alias("options"),
         F.coalesce("answer", F.lit("")).alias("answer"),
         F.coalesce("explanation", F.lit("")).alias("explanation"),
-        F.coalesce("subject", F.lit("unknown")).alias("subject"),
+        (F.col("subject") if whole else F.coalesce("subject", F.lit("unknown"))).alias("subject"),
         F.coalesce("topic", F.lit("")).alias("topic"),
         F.coalesce("grade", F.lit("")).alias("grade"),
         F.coalesce("question_type", "type", F.lit("mcq")).alias("question_type"),
@@ -48,7 +55,6 @@ def read_bank_json(spark: SparkSession, path: str, multiline: bool = True) -> Da
         F.when(F.size("tags") > 0, F.col("tags")).alias("tags"),
         F.lit("import_json").alias("source"),
     )
-    return out.filter(has_text(F.col("content")))
 
 
 def list_records(spark: SparkSession, path: str, member: str = "questions") -> DataFrame:
